@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from bidlens.llm import quality
+from bidlens.llm import bpe, mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op4_mixing": mixing.op4_mixing,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_sharding": sharding.op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_mixing": mixing.OP4_SQL,
+    }
