@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from bidlens.llm import bpe, mixing, quality, sharding
+from bidlens.llm import archives, bpe, mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_mixing": mixing.op4_mixing,
+        "op7_warc": archives.op7_warc,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_sharding": sharding.op9_sharding,
     }
@@ -19,4 +20,5 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.OP4_SQL,
+        "op7_warc": archives.OP7_SQL,
     }
