@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from bidlens.llm import archives, bpe, mixing, quality, sharding
+from bidlens.llm import archives, bpe, mixing, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_mixing": mixing.op4_mixing,
+        "op6_simhash": simhash.op6_simhash,
         "op7_warc": archives.op7_warc,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_sharding": sharding.op9_sharding,
