@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from bidlens.llm import archives, bpe, mixing, quality, sharding, simhash
+from bidlens.llm import archives, bpe, mixing, quality, sharding, simhash, vectors
 
 
 def queries() -> dict[str, Callable]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable]:
         "op7_warc": archives.op7_warc,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_sharding": sharding.op9_sharding,
+        "op10_embedding_graph": vectors.op10_embedding_graph,
     }
 
 
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.OP4_SQL,
         "op7_warc": archives.OP7_SQL,
+        "op10_embedding_graph": vectors.OP10_SQL,
     }
