@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from bidlens.llm import archives, bpe, mixing, quality, sharding, simhash, vectors
+from bidlens.llm import archives, bpe, mixing, quality, sharding, simhash, substrings, vectors
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_mixing": mixing.op4_mixing,
+        "op5_substring_dedup": substrings.op5_substring_dedup,
         "op6_simhash": simhash.op6_simhash,
         "op7_warc": archives.op7_warc,
         "op8_quality_rules": quality.op8_quality_rules,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.OP4_SQL,
+        "op5_substring_dedup": substrings.OP5_SQL,
         "op7_warc": archives.OP7_SQL,
         "op10_embedding_graph": vectors.OP10_SQL,
     }
