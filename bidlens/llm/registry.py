@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from bidlens.llm import archives, bpe, mixing, quality, secrets, sharding, simhash, substrings, vectors
+from bidlens.llm import archives, bpe, mixing, pii, quality, secrets, sharding, simhash, substrings, vectors
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_pii_skip_chain": pii.op2_pii_skip_chain,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_mixing": mixing.op4_mixing,
         "op5_substring_dedup": substrings.op5_substring_dedup,
