@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidlens.llm.text import whole
+from bidlens.llm.text import unused, whole
 from bidlens.session import prepare
 
 NONE = np.int64(1) << 60
@@ -228,19 +228,20 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     """
     prepare(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text, ids)]
-    narrow = docs.select(*rest, whole(text).alias("_text"))
+    own = unused(docs, "_text")
+    narrow = docs.select(*rest, whole(text).alias(own))
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids, T.BinaryType())])
-    return narrow.mapInArrow(lambda it: _append(it, "_text", ids, lambda texts: vocabulary(path, pattern).encode(texts)), schema)
+    return narrow.mapInArrow(lambda it: _append(it, own, ids, lambda texts: vocabulary(path, pattern).encode(texts)), schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``tokens`` with a binary column ``decoded``: the bytes that the ids stand for. Null ids give no bytes."""
     prepare(tokens.sparkSession)
     rest = [c for c in tokens.columns if c != decoded]
-    none = F.lit(b"")
-    narrow = tokens.select(*[F.coalesce(F.col(c), none).alias(c) if c == ids else F.col(c) for c in rest], F.coalesce(F.col(ids), none).alias("_ids"))
+    none, own = F.lit(b""), unused(tokens, "_ids")
+    narrow = tokens.select(*[F.coalesce(F.col(c), none).alias(c) if c == ids else F.col(c) for c in rest], F.coalesce(F.col(ids), none).alias(own))
     schema = T.StructType([*(T.StructField(ids, T.BinaryType()) if c == ids else tokens.schema[c] for c in rest), T.StructField(decoded, T.BinaryType())])
-    return narrow.mapInArrow(lambda it: _append(it, "_ids", decoded, lambda rows: [vocabulary(path, pattern).decode(x) for x in rows]), schema)
+    return narrow.mapInArrow(lambda it: _append(it, own, decoded, lambda rows: [vocabulary(path, pattern).decode(x) for x in rows]), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidlens.llm.text import count_words, whole
+from bidlens.llm.text import count_words, packed, unpacked, whole
 from bidlens.session import prepare
 
 WEIGHTS = (5, 2, 1)
@@ -89,8 +89,8 @@ def rates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """``docs``, each row as often as the mix takes it; columns as before. Documents that it takes no copy of are not there."""
-    drawn = _drawn(docs, doc_id, text, source, seed)
-    return drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+    drawn = _drawn(docs.select(packed(docs), F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(source).alias("of")), "id", "text", "of", seed)
+    return drawn.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*unpacked(docs.columns))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidlens.llm.text import whole
+from bidlens.llm.text import unused, whole
 from bidlens.session import prepare
 
 KINDS = ("email", "ip", "card", "phone")
@@ -343,11 +343,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents
     return fit(np.concatenate(features) if features else np.zeros((0, FEATURES)), np.concatenate(labels) if labels else np.zeros(0, np.int64), chain, outside, (agree[0], agree[1]))
 
 
-def _label_rows(batches: Iterator[pa.RecordBatch], model: Model, confident: float) -> Iterator[pa.RecordBatch]:
+def _label_rows(batches: Iterator[pa.RecordBatch], source: str, model: Model, confident: float) -> Iterator[pa.RecordBatch]:
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
     for batch in batches:
-        texts = batch.column("_text").to_pylist()
-        kept = [c for c in batch.schema.names if c != "_text"]
+        texts = batch.column(source).to_pylist()
+        kept = [c for c in batch.schema.names if c != source]
         start = 0
         while start < len(texts):
             stop, size = start, 0
@@ -372,7 +372,8 @@ def find(docs: DataFrame, text: str = "text", model: Model | None = None, doc_id
     rest = [c for c in docs.columns if c not in (text, "spans")]
     kind_of = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("spans", kind_of)])
-    return docs.select(*rest, whole(text).alias("_text")).mapInArrow(lambda it: _label_rows(it, model, confident), schema)
+    own = unused(docs, "_text")
+    return docs.select(*rest, whole(text).alias(own)).mapInArrow(lambda it: _label_rows(it, own, model, confident), schema)
 
 
 def op2_pii_skip_chain(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlens.llm.text import SPACE_CHARS, count_chars, count_words, whole, words_of
+from bidlens.llm.text import SPACE_CHARS, count_chars, packed, unpacked, whole, words_of
 from bidlens.session import prepare
 
 #: A line that more documents of one host have is boilerplate there.
@@ -59,15 +59,18 @@ def text_counts(docs: DataFrame, text: str = "text", window: int = 5) -> DataFra
         lambda a, i: F.struct((a["n"] + F.least(F.lit(window), i - a["at"])).alias("n"), i.alias("at")),
         lambda a: a["n"],
     )
-    return four.select(
+    five = four.select(
         *keep,
-        F.col("_n").alias("n_words"),
-        (F.length("_t") - F.length(F.translate("_t", SPACE_CHARS, ""))).alias("_spaces"),
-        F.length("_t").alias("_chars"),
-        count_chars(F.col("_t"), SYMBOLS).alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-    ).select(*keep, "n_words", (F.col("_chars") - F.col("_spaces")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words")
+        F.struct(
+            F.col("_n").alias("n_words"),
+            F.length(F.translate("_t", SPACE_CHARS, "")).cast("long").alias("word_chars"),
+            count_chars(F.col("_t"), SYMBOLS).alias("n_symbols"),
+            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+            F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        ).alias("_counts"),
+    )
+    # Filters on the counts stay above this: pushed into the steps, they would compute each step once for each use.
+    return five.select(*keep, F.inline(F.array("_counts")))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
@@ -135,13 +138,14 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_share: float = MIN_SHARE_LEFT) -> DataFrame:
     """``docs`` without the documents that :func:`judge` rejects and without the lines above the limit, columns as before."""
     gone = frequent_lines(docs, doc_id, text, host, max_docs).groupBy("id", "body").agg(F.collect_set("pos").alias("places"), F.sum("words").alias("gone")).withColumnRenamed("id", "_id").withColumnRenamed("body", "_body")
-    counted = text_counts(docs.withColumn("_raw", F.col(text)).withColumn("_key", F.xxhash64(whole(text))), "_raw")
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_body"))
+    counted = text_counts(docs.select(packed(docs), F.col(doc_id).alias("_doc"), F.xxhash64(whole(text)).alias("_key"), F.col(text).alias("_raw")), "_raw")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_body"))
     both = counted.join(gone, same, "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     kept = both.where(~failed & (F.col("n_words") - F.coalesce("gone", F.lit(0)) >= min_share * F.col("n_words")))
-    shorter = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("places", i)), "\n")
-    return kept.select(*[F.when(F.col("places").isNull(), F.col(c)).otherwise(shorter).alias(c) if c == text else F.col(c) for c in docs.columns])
+    shorter = F.array_join(F.filter(F.split("_raw", "\n"), lambda _, i: ~F.array_contains("places", i)), "\n")
+    cleaned = F.when(F.col("places").isNull(), F.col("_raw")).otherwise(shorter)
+    return kept.select(*[cleaned.alias(text) if c == text else old for c, old in zip(docs.columns, unpacked(docs.columns), strict=True)])
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlens.llm.text import running_sums, whole
+from bidlens.llm.text import packed, running_sums, unpacked, whole
 
 #: Patterns of the base kinds, in the order in which they are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -119,7 +119,7 @@ def find(docs: DataFrame, text: str = "text", window: int = WINDOW, classes: tup
     row: rows repeat, and other columns pass, as they are; a column ``spans`` is replaced.
     """
     rest = [c for c in docs.columns if c != "spans"]
-    rows = docs.select(*rest, whole(text).alias("_t"))
+    rows = docs.select(packed(docs, rest), whole(text).alias("_t"))
     for name, pattern in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_run", CANDIDATE)):
         rows = _places(rows, name, pattern)
     kind = lambda c, k, rank: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(k).alias("kind"), x["end"].alias("end")))
@@ -131,7 +131,9 @@ def find(docs: DataFrame, text: str = "text", window: int = WINDOW, classes: tup
     for k, c in enumerate(classes):
         rows = rows.withColumn(f"_scored{k}", F.when(F.size("_free") > 0, _scored(c, classes[:k], window)))
     every = F.array_sort(F.concat("_base", *[_added(f"_scored{k}", 3 + k, c.name) for k, c in enumerate(classes)]))
-    return rows.select(*rest, F.transform(every, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+    spans = F.transform(every, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    # Filters on the spans stay above this: pushed into the steps, they would compute each step once for each use.
+    return rows.select("_row", F.struct(spans.alias("spans")).alias("_found")).select(*unpacked(rest), F.inline(F.array("_found")))
 
 
 def _scored(c: CharacterClass, before: tuple[CharacterClass, ...], window: int) -> Column:
@@ -162,17 +164,18 @@ def listed(spans: str, kinds: tuple[str, ...] | None = None) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span of the text replaced by ``mark`` (overlapping spans by one); columns as before."""
-    found = find(docs, text)
+    found = find(docs.select(packed(docs), F.col(text).alias("_text")), "_text")
     gaps = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda a, x: F.struct(
-            F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise(a["out"]).alias("out"),
+            F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("_text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise(a["out"]).alias("out"),
             F.greatest(a["at"], x["end"]).alias("at"),
         ),
-        lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(text))),
+        lambda a: F.concat(a["out"], F.substring(F.col("_text"), (a["at"] + 1).cast("int"), F.length("_text"))),
     )
-    return found.select(*[F.when(F.size("spans") == 0, F.col(c)).otherwise(gaps).alias(c) if c == text else F.col(c) for c in docs.columns])
+    clean = F.when(F.size("spans") == 0, F.col("_text")).otherwise(gaps)
+    return found.select(*[clean.alias(text) if c == text else old for c, old in zip(docs.columns, unpacked(docs.columns), strict=True)])
 
 
 BASE = ("assign", "access", "hex")

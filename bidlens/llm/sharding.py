@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidlens.llm.text import packed, unpacked
+
 #: A prime. The table has as many rows of two integers whatever the data, so it can be broadcast.
 SLOTS = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(96))
@@ -64,9 +66,9 @@ def place(rows: DataFrame, keys: Sequence[str], shards: Sequence[str] = SHARDS,
     column that tells its rows apart to ``keys``. A column of the name ``out`` is replaced.
     """
     table = lookup(rows.sparkSession, shards, slots).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
-    rest = [F.col(c) for c in rows.columns if c != out]
-    keyed = rows.withColumn("_at", slot_of(*keys, slots=slots))
-    return keyed.join(F.broadcast(table), F.col("_at") == F.col("_slot")).select(*rest, F.col("_shard").alias(out))
+    rest = [c for c in rows.columns if c != out]
+    keyed = rows.select(packed(rows, rest), slot_of(*keys, slots=slots).alias("_at"))
+    return keyed.join(F.broadcast(table), F.col("_at") == F.col("_slot")).select(*unpacked(rest), F.col("_shard").alias(out))
 
 
 def write(rows: DataFrame, keys: Sequence[str], path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> None:

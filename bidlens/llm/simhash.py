@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidlens.llm.components import connect
-from bidlens.llm.text import whole
+from bidlens.llm.text import unused, whole
 from bidlens.session import prepare
 
 BITS = 64
@@ -59,10 +59,10 @@ def fingerprints_of(texts: list[str], words: int, seed: int = SEED) -> np.ndarra
     return out.view(np.int64)
 
 
-def _map(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _map(batches: Iterator[pa.RecordBatch], source: str, words: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = batch.column("_text")
-        keep = [c for c in batch.schema.names if c != "_text"]
+        text = batch.column(source)
+        keep = [c for c in batch.schema.names if c != source]
         made = [fingerprints_of(text.slice(i, 200).to_pylist(), words, seed) for i in range(0, batch.num_rows, 200)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.concatenate(made) if made else np.zeros(0, np.int64), pa.int64())], [*keep, "fingerprint"])
 
@@ -71,9 +71,10 @@ def fingerprint(docs: DataFrame, text: str = "text", words: int = 3, seed: int =
     """``docs`` with the text replaced by ``fingerprint`` (long). Null and empty texts get 0. A-Z count as a-z."""
     prepare(docs.sparkSession)
     rest = docs.drop(text, "fingerprint")
-    narrow = docs.select(*rest.columns, whole(text).alias("_text"))
+    own = unused(docs, "_text")
+    narrow = docs.select(*rest.columns, whole(text).alias(own))
     schema = rest.schema.add("fingerprint", "long")
-    return narrow.mapInArrow(lambda it: _map(it, words, seed), schema)
+    return narrow.mapInArrow(lambda it: _map(it, own, words, seed), schema)
 
 
 # Candidates

@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+def packed(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """The rows as one struct ``_row``, so that their names can't clash with those of an operator's own columns."""
+    names = docs.columns if columns is None else columns
+    return (F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0))).alias("_row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col(f"_row.`{c}`").alias(c) for c in columns]
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be no column of ``docs``."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def whole(text: str | Column) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
