@@ -20,7 +20,7 @@ from bidlens.streaming import changes
 Query = Callable[[SparkSession, str], DataFrame]
 LIVE = f"(state IN ('previo', 'publicada', 'evaluacion') AND (deadline IS NULL OR deadline >= DATE '{AS_OF}'))"
 DAY = f"DATE '{AS_OF}'"
-MARK = 30_000_000
+MARK = 10_000_000
 
 PROFILE_A = rules.Profile("A", strong=("disgust", "licen"), weak=("tion", "ment"), context=("from", "ung"), exclude=("quel",), cpv=("80100000",), min_amount=500)
 PROFILE_B = rules.Profile("B", strong=("cion",), weak=("heit", "mit "), context=("ung",), exclude=("thsh",), cpv=("12100000",), regions=("de", "es"))
@@ -123,7 +123,7 @@ ORDERS = {
 FILTERED = {
     "inbox_live": (Filters(live=True), f"{OPEN} AND {LIVE}"),
     "inbox_closing_7d": (Filters(live=True, closing_days=7), f"{OPEN} AND {LIVE} AND deadline BETWEEN {DAY} AND {DAY} + 7"),
-    "inbox_by_region": (Filters(region="FRANCE"), f"{OPEN} AND region = 'FRANCE'"),
+    "inbox_by_region": (Filters(region="NATION_0"), f"{OPEN} AND region = 'NATION_0'"),
     "inbox_min_amount": (Filters(min_amount=90_000), f"{OPEN} AND budget >= 90000"),
     "inbox_source_prefix": (Filters(source="NATIONAL"), f"{OPEN} AND source ILIKE 'national%'"),
     "inbox_profile": (Filters(profile="bulk"), f"{OPEN} AND list_contains(string_split(profiles, ','), 'bulk')"),
@@ -311,7 +311,7 @@ y AS (SELECT *, lag(fingerprint) OVER (PARTITION BY key ORDER BY seq) AS was FRO
     q["scalar_functions"] = (_scalars, SCALARS_SQL)
     q["text_normalized"] = (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(scalars.text_norm(F.col("text")), 256).alias("text_norm")), f"SELECT doc_id, sha256({_norm_sql('text')}) AS text_norm FROM documents")
     for name, query, where in (
-        ("full_text_and", "Disgust from", "contains(w, ' disgust ') AND contains(w, ' from ')"),
+        ("full_text_and", "The from", "contains(w, ' the ') AND contains(w, ' from ')"),
         ("full_text_prefix", "licen*", "contains(w, ' licen')"),
         ("full_text_phrase", '"on the" OR "of the"', "contains(w, ' on the ') OR contains(w, ' of the ')"),
         ("full_text_not", "(que OR de) NOT la", "(contains(w, ' que ') OR contains(w, ' de ')) AND NOT contains(w, ' la ')"),

@@ -43,4 +43,4 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     path = f"{sf_dir}/events.parquet"
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
-    return source.selectExpr("cast(user_id as string) as key", "unix_micros(ts) * 100000 + event_id % 100000 as seq", "event_type as fingerprint")
+    return source.selectExpr("cast(user_id as string) as key", "unix_micros(cast(ts as timestamp)) * 100000 + event_id % 100000 as seq", "event_type as fingerprint")
