@@ -294,7 +294,7 @@ SELECT b.key, CASE WHEN a.key IS NULL THEN 'nueva' WHEN was = now THEN 'igual' E
     )
     q["stream_change_detection"] = (
         lambda s, d: changes.run_once(s, changes.events_stream(s, d)),
-        """WITH x AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) * 100000 + event_id % 100000 AS seq, event_type AS fingerprint FROM events),
+        """WITH x AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) * 1000 + event_id % 1000 AS seq, event_type AS fingerprint FROM events),
 y AS (SELECT *, lag(fingerprint) OVER (PARTITION BY key ORDER BY seq) AS was FROM x) SELECT key, seq, fingerprint, CASE WHEN was IS NULL THEN 'nueva' WHEN was = fingerprint THEN 'igual' ELSE 'actualizada' END AS outcome FROM y""",
     )
     bucket = lambda: F.floor(F.col("budget") / 5000)

@@ -42,4 +42,4 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as (key, seq, fingerprint): user, place in time, kind of event."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be a file or a folder
-    return source.selectExpr("cast(user_id as string) as key", "unix_micros(cast(ts as timestamp)) * 100000 + event_id % 100000 as seq", "event_type as fingerprint")
+    return source.selectExpr("cast(user_id as string) as key", "unix_micros(cast(ts as timestamp)) * 1000 + event_id % 1000 as seq", "event_type as fingerprint")
