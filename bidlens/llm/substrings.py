@@ -231,7 +231,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> I
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Segments around shared anchors: anchor, words (hashes of 8 bytes each), id, body, start."""
+    """Segments around shared anchors: anchor, key (a digest of the words), words (hashes of 8 bytes each), id, body, start."""
     hashes = Hasher()
     for batch in batches:
         ids = batch.column("id").to_pylist()
@@ -245,32 +245,33 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) ->
             a, start, count = anchors(h, window, gram)
             take = np.isin(_signed(a), np.array(shared[i], np.int64))
             raw = h.tobytes()
-            out += [(int(x), raw[8 * s : 8 * (s + n + window - 1)], ids[i], bodies[i], s) for x, s, n in zip(_signed(a)[take].tolist(), start[take].tolist(), count[take].tolist(), strict=True)]
+            cut = lambda s, n, raw=raw: raw[8 * s : 8 * (s + n + window - 1)]
+            out += [(int(x), xxhash.xxh3_128_digest(cut(s, n)), cut(s, n), ids[i], bodies[i], s) for x, s, n in zip(_signed(a)[take].tolist(), start[take].tolist(), count[take].tolist(), strict=True)]
         if out:
             columns = list(zip(*out, strict=True))
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["anchor", "words", "id", "body", "start"])
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["anchor", "key", "words", "id", "body", "start"])
 
 
 def _index_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows come in order of anchor. One index for as many whole anchors as INDEX_WORDS allow."""
 
     def result(rows: list[tuple]) -> pa.RecordBatch:
-        segments = [np.frombuffer(w, np.uint64) for _, w, _ in rows]
-        least = least_documents(segments, np.array([d for _, _, d in rows], np.int64), window)
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in rows], pa.int64()), pa.array([w for _, w, _ in rows], pa.binary()), pa.array([x.tobytes() for x in least], pa.binary())], ["anchor", "words", "least"])
+        segments = [np.frombuffer(w, np.uint64) for _, _, w, _ in rows]
+        least = least_documents(segments, np.array([d for _, _, _, d in rows], np.int64), window)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _, _, _ in rows], pa.int64()), pa.array([k for _, k, _, _ in rows], pa.binary()), pa.array([x.tobytes() for x in least], pa.binary())], ["anchor", "key", "least"])
 
     rows: list[tuple] = []
     size = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 5_000):
             part = batch.slice(at, 5_000)
-            for row in zip(part.column("anchor").to_pylist(), part.column("words").to_pylist(), part.column("first").to_pylist(), strict=True):
+            for row in zip(*(part.column(c).to_pylist() for c in ("anchor", "key", "words", "first")), strict=True):
                 if size > INDEX_WORDS and row[0] != rows[-1][0]:
                     yield result(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[1]) // 8
+                size += len(row[2]) // 8
     if rows:
         yield result(rows)
 
@@ -300,18 +301,18 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     of = rows.select("id", "text").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor long, id long")
     shared = of.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
     lists = of.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    segments = rows.join(lists, "id").mapInArrow(lambda it: _segment_rows(it, window, gram), "anchor long, words binary, id long, body long, start int").checkpoint()
-    distinct = segments.groupBy("anchor", "words").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    segments = rows.join(lists, "id").mapInArrow(lambda it: _segment_rows(it, window, gram), "anchor long, key binary, words binary, id long, body long, start int").checkpoint()
+    distinct = segments.groupBy("anchor", "key").agg(F.any_value("words").alias("words"), F.min("id").alias("first"))
     # An anchor with many different segments is cut into single windows, which meet by their own content.
-    wide = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_ANCHOR).select("anchor").checkpoint()
+    wide = segments.select("anchor", "key").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_ANCHOR).select("anchor").checkpoint()
     if not wide.isEmpty():
         cut = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length("words") / 8).cast("int") - window), lambda k: F.struct(F.substring("words", 8 * k + 1, F.lit(8 * window)).alias("words"), k.alias("k")))
-        hot = segments.join(wide, "anchor").select("id", "body", "start", F.explode(cut).alias("w")).select(F.xxhash64("w.words").alias("anchor"), F.col("w.words").alias("words"), "id", "body", (F.col("start") + F.col("w.k")).alias("start"))
+        hot = segments.join(wide, "anchor").select("id", "body", "start", F.explode(cut).alias("w")).select(F.xxhash64("w.words").alias("anchor"), F.unhex(F.md5("w.words")).alias("key"), F.col("w.words").alias("words"), "id", "body", (F.col("start") + F.col("w.k")).alias("start"))
         segments = segments.join(wide, "anchor", "left_anti").union(hot)
-        distinct = segments.groupBy("anchor", "words").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        distinct = segments.groupBy("anchor", "key").agg(F.any_value("words").alias("words"), F.min("id").alias("first"))
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = distinct.repartition(parts, "anchor").sortWithinPartitions("anchor", "first").mapInArrow(lambda it: _index_rows(it, window), "anchor long, words binary, least binary")
-    hits = segments.join(found, ["anchor", "words"]).select("id", "body", "start", "least")
+    found = distinct.repartition(parts, "anchor").sortWithinPartitions("anchor", "first").mapInArrow(lambda it: _index_rows(it, window), "anchor long, key binary, least binary")
+    hits = segments.drop("words").join(found, ["anchor", "key"]).select("id", "body", "start", "least")
     return hits.mapInArrow(lambda it: _interval_rows(it, window), "id long, body long, begin int, end int")
 
 
