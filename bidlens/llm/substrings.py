@@ -4,8 +4,9 @@ A window of WINDOW consecutive words chooses an anchor: of its grams of GRAM wor
 windows choose equal anchors, wherever they are, so windows that occur in two documents can only be found
 around anchors that occur in two documents.
 
-1. Anchors per document; those that two documents have are shared. (One partial count for each anchor, not its rows.)
-2. Around each shared anchor the document's segment: all words of the windows that chose it. Equal segments become one,
+1. Anchors per text; those that two texts have are shared. (One partial count for each anchor, not its rows.) Copies of
+   one text are one text, that of the least id; all windows of the later copies repeat it.
+2. Around each shared anchor the text's segment: all words of the windows that chose it. Equal segments become one,
    with the least document that has it.
 3. Segments are sharded by anchor. In each shard an FM-index is built: the suffix order of all segments, the transform as
    a wavelet matrix of packed bits with counts per block. The segments are streamed through it, searching backward;
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bidlens.llm.tables import written
 from bidlens.llm.text import whole
 from bidlens.session import prepare
 
@@ -217,61 +219,73 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    hashes = Hasher()
+    """anchor, body: the anchors of each text; copies of a text that the task has seen lately add nothing."""
+    hashes, seen = Hasher(), set()
     for batch in batches:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        bodies = batch.column("body").to_pylist()
         found, owner = [], []
-        for i, words in _texts(batch, "text"):
+        for i, t in enumerate(batch.column("text")):
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            if bodies[i] in seen:
+                continue
+            seen.add(bodies[i])
+            words = t.as_py().encode().split()
             if len(words) >= window:
                 a = np.unique(anchors(hashes(words), window, gram)[0])
                 found.append(a)
-                owner.append(np.full(len(a), ids[i]))
+                owner.append(np.full(len(a), bodies[i]))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(found))), pa.array(np.concatenate(owner))], ["anchor", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(found))), pa.array(np.concatenate(owner))], ["anchor", "body"])
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Segments around shared anchors: anchor, key (a digest of the words), words (hashes of 8 bytes each), id, body, start."""
+    """Segments around shared anchors: anchor, key (a digest of the words), words, id, body, start."""
     hashes = Hasher()
     for batch in batches:
         ids = batch.column("id").to_pylist()
         bodies = batch.column("body").to_pylist()
-        shared = batch.column("anchors").to_pylist()
+        shared = batch.column("anchors")
         out: list[tuple] = []
         for i, words in _texts(batch, "text"):
             if len(words) < window:
                 continue
-            h = hashes(words)
-            a, start, count = anchors(h, window, gram)
-            take = np.isin(_signed(a), np.array(shared[i], np.int64))
-            raw = h.tobytes()
-            cut = lambda s, n, raw=raw: raw[8 * s : 8 * (s + n + window - 1)]
-            out += [(int(x), xxhash.xxh3_128_digest(cut(s, n)), cut(s, n), ids[i], bodies[i], s) for x, s, n in zip(_signed(a)[take].tolist(), start[take].tolist(), count[take].tolist(), strict=True)]
+            a, start, count = anchors(hashes(words), window, gram)
+            take = np.isin(_signed(a), shared[i].values.to_numpy(zero_copy_only=False))
+            for x, s, n in zip(_signed(a)[take].tolist(), start[take].tolist(), count[take].tolist(), strict=True):
+                passage = b" ".join(words[s : s + n + window - 1])
+                out.append((x, xxhash.xxh3_128_digest(passage), passage.decode(), ids[i], bodies[i], s))
         if out:
             columns = list(zip(*out, strict=True))
-            types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+            types = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["anchor", "key", "words", "id", "body", "start"])
 
 
 def _index_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of anchor. One index for as many whole anchors as INDEX_WORDS allow."""
+    """The segments of which some document has a repeated window, with the least document for each window.
+
+    Rows come in order of anchor. One index for as many whole anchors as INDEX_WORDS allow.
+    """
+    hashes = Hasher()
 
     def result(rows: list[tuple]) -> pa.RecordBatch:
-        segments = [np.frombuffer(w, np.uint64) for _, _, w, _ in rows]
-        least = least_documents(segments, np.array([d for _, _, _, d in rows], np.int64), window)
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _, _, _ in rows], pa.int64()), pa.array([k for _, k, _, _ in rows], pa.binary()), pa.array([x.tobytes() for x in least], pa.binary())], ["anchor", "key", "least"])
+        segments = [hashes(w) for _, _, w, _, _ in rows]
+        least = least_documents(segments, np.array([r[3] for r in rows], np.int64), window)
+        told = [(a, k, x.tobytes()) for (a, k, _, first, last), x in zip(rows, least, strict=True) if last > first or x.min() < first]
+        columns = list(zip(*told, strict=True)) if told else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.binary(), pa.binary()], strict=True)], ["anchor", "key", "least"])
 
     rows: list[tuple] = []
     size = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 5_000):
             part = batch.slice(at, 5_000)
-            for row in zip(*(part.column(c).to_pylist() for c in ("anchor", "key", "words", "first")), strict=True):
-                if size > INDEX_WORDS and row[0] != rows[-1][0]:
+            for anchor, key, words, first, last in zip(*(part.column(c).to_pylist() for c in ("anchor", "key", "words", "first", "last")), strict=True):
+                if size > INDEX_WORDS and anchor != rows[-1][0]:
                     yield result(rows)
                     rows, size = [], 0
-                rows.append(row)
-                size += len(row[2]) // 8
+                rows.append((anchor, key, words.encode().split(b" "), first, last))
+                size += len(rows[-1][2])
     if rows:
         yield result(rows)
 
@@ -290,39 +304,60 @@ def _interval_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["id", "body", "begin", "end"])
 
 
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(whole(text)).alias("body"), whole(text).alias("text"))
+
+
+def _distinct(segments: DataFrame) -> DataFrame:
+    return segments.groupBy("anchor", "key").agg(F.any_value("words").alias("words"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+def _wide(segments: DataFrame) -> DataFrame:
+    """Anchors of more than WIDE_ANCHOR different segments; segments are told apart only where there are so many rows."""
+    many = segments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_ANCHOR).select("anchor")
+    kinds = segments.select("anchor", "key").join(many, "anchor", "left_semi").distinct()
+    return kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_ANCHOR).select("anchor")
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """id, body (hash of the text), begin, end (words; end exclusive): intervals of windows that a document with a smaller id has.
+    """id, body (hash of the text), spans: for the first copy of each text its intervals of windows that a document with a smaller id has.
 
-    Intervals of one document may overlap or touch. Null and empty texts and null ids have none; repeated rows have
-    the same, once for each row.
+    ``spans`` has begin and end (words; end exclusive), which may overlap or touch, or is null if there are none. The later
+    copies of a text have no row: the first has all their windows. Null and empty texts are texts like any other; null ids
+    have no row. Repeated rows have one, for all of them.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(whole(text)).alias("body"), whole(text).alias("text")).where("id is not null")
-    of = rows.select("id", "text").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor long, id long")
-    shared = of.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    lists = of.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    segments = rows.join(lists, "id").mapInArrow(lambda it: _segment_rows(it, window, gram), "anchor long, key binary, words binary, id long, body long, start int").checkpoint()
-    distinct = segments.groupBy("anchor", "key").agg(F.any_value("words").alias("words"), F.min("id").alias("first"))
+    rows = _rows(docs, doc_id, text).where("id is not null")
+    firsts = rows.groupBy("body", F.octet_length("text").alias("size")).agg(F.min("id").alias("id")).select("id", "body")
+    of = rows.select("body", "text").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor long, body long")
+    shared = of.groupBy("anchor").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high").select("anchor")
+    lists = of.join(shared, "anchor").groupBy("body").agg(F.collect_set("anchor").alias("anchors")).join(firsts, "body")
+    segments = rows.join(lists, ["id", "body"]).select("id", "body", "text", "anchors").mapInArrow(lambda it: _segment_rows(it, window, gram), "anchor long, key binary, words string, id long, body long, start int")
+    segments = written(segments, "segments")
     # An anchor with many different segments is cut into single windows, which meet by their own content.
-    wide = segments.select("anchor", "key").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_ANCHOR).select("anchor").checkpoint()
+    wide = written(_wide(segments), "wide-anchors")
     if not wide.isEmpty():
-        cut = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length("words") / 8).cast("int") - window), lambda k: F.struct(F.substring("words", 8 * k + 1, F.lit(8 * window)).alias("words"), k.alias("k")))
+        words = F.split("words", " ")
+        cut = F.transform(F.sequence(F.lit(0), F.size(words) - window), lambda k: F.struct(F.array_join(F.slice(words, k + 1, window), " ").alias("words"), k.alias("k")))
         hot = segments.join(wide, "anchor").select("id", "body", "start", F.explode(cut).alias("w")).select(F.xxhash64("w.words").alias("anchor"), F.unhex(F.md5("w.words")).alias("key"), F.col("w.words").alias("words"), "id", "body", (F.col("start") + F.col("w.k")).alias("start"))
-        segments = segments.join(wide, "anchor", "left_anti").union(hot)
-        distinct = segments.groupBy("anchor", "key").agg(F.any_value("words").alias("words"), F.min("id").alias("first"))
+        segments = segments.join(wide, "anchor", "left_anti").select(hot.columns).union(hot)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = distinct.repartition(parts, "anchor").sortWithinPartitions("anchor", "first").mapInArrow(lambda it: _index_rows(it, window), "anchor long, key binary, least binary")
+    found = _distinct(segments).repartition(parts, "anchor").sortWithinPartitions("anchor", "first").mapInArrow(lambda it: _index_rows(it, window), "anchor long, key binary, least binary")
     hits = segments.drop("words").join(found, ["anchor", "key"]).select("id", "body", "start", "least")
-    return hits.mapInArrow(lambda it: _interval_rows(it, window), "id long, body long, begin int, end int")
+    spans = hits.mapInArrow(lambda it: _interval_rows(it, window), "id long, body long, begin int, end int").groupBy("id", "body").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    return written(firsts.join(spans, ["id", "body"], "left"), "repeats")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        later = batch.column("later").to_pylist()
         spans = batch.column("spans").to_pylist()
         n, gone, left = [], [], []
         for i, words in _texts(batch, "text"):
             n.append(len(words))
-            if spans[i]:
+            if later[i]:
+                words = words if len(words) < window else []
+            elif spans[i]:
                 mark = np.zeros(len(words) + 1, np.int32)
                 for s in spans[i]:
                     mark[s["begin"]] += 1
@@ -331,21 +366,21 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.Reco
                 words = [w for w, k in zip(words, stay.tolist(), strict=True) if k]
             gone.append(n[-1] - len(words))
             left.append(b" ".join(words).decode())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], [*keep, "n_words", "n_removed", "kept_text"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: its id, n_words, n_removed and kept_text, the words left, joined by one space.
 
-    Each word that a reported interval covers is removed; windows are judged on the input. A document without words
-    has an empty text. A null id keeps all its words. Repeated rows lose the same words, and none
-    because of each other.
+    Each word that a reported interval covers is removed; windows are judged on the input. A later copy of a text loses
+    all words, if it has a window. A document without words has an empty text. A null id keeps all its words. Repeated
+    rows lose the same words, and none because of each other.
     """
-    found = repeated_passages(docs, doc_id, text, window).groupBy("id", "body").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).toDF("of", "of_body", "spans")
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(whole(text)).alias("body"), whole(text).alias("text"))
-    both = rows.join(found, (F.col("id") == F.col("of")) & (F.col("body") == F.col("of_body")), "left").select("id", "text", "spans")
+    found = repeated_passages(docs, doc_id, text, window).toDF("of", "of_body", "spans")
+    both = _rows(docs, doc_id, text).join(found, (F.col("id") == F.col("of")) & (F.col("body") == F.col("of_body")), "left")
+    rows = both.select("id", "text", "spans", (F.col("id").isNotNull() & F.col("of").isNull()).alias("later"))
     kinds = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return both.mapInArrow(lambda it: _cut(it, ["id"]), kinds).withColumnRenamed("id", doc_id)
+    return rows.mapInArrow(lambda it: _cut(it, window), kinds).withColumnRenamed("id", doc_id)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
