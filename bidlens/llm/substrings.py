@@ -50,11 +50,11 @@ class Hasher:
         if len(known) > REMEMBERED:
             known.clear()
         try:
-            return np.array([known[w] for w in words], np.uint64)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
             for w in set(words).difference(known):
                 known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array([known[w] for w in words], np.uint64)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,14 +64,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
-    """A hash for each ``gram`` consecutive words."""
-    n = len(h) - gram + 1
-    out = np.zeros(max(0, n), np.uint64)
-    if n <= 0:
-        return out
+    """A hash for each ``gram`` consecutive words: their hashes by odd factors, summed and mixed."""
+    n = max(0, len(h) - gram + 1)
+    out = np.zeros(n, np.uint64)
+    factor = 1
     for j in range(gram):
-        out = _mix(out + h[j : j + n])
-    return out
+        out += h[j : j + n] * np.uint64(factor)
+        factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
+    return _mix(out)
 
 
 def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,18 +125,23 @@ class WaveletMatrix:
             self.zeros.append(int(len(s) - bit.sum()))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
 
+        self.start = np.zeros(sigma, np.int64)
+        self.start = self.rank(np.arange(sigma), self.start)
+
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        lo, hi = np.zeros_like(i), i
+        at = i
         for k in range(self.levels):
             one = ((symbol >> (self.levels - 1 - k)) & 1).astype(bool)
-            a, b = self.bits[k].ones(lo), self.bits[k].ones(hi)
-            lo = np.where(one, self.zeros[k] + a, lo - a)
-            hi = np.where(one, self.zeros[k] + b, hi - b)
-        return hi - lo
+            ones = self.bits[k].ones(at)
+            at = np.where(one, self.zeros[k] + ones, at - ones)
+        return at - self.start[symbol]
+
 
+def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Starts of all suffixes in order of their first ``depth`` symbols at least, by doubling.
 
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in order, by doubling; ends of segments (symbol 0) are told apart by their place."""
+    Backward search for up to ``depth`` symbols needs no more. Ends of segments (symbol 0) are told apart by their place.
+    """
     n = len(symbols)
     ends = np.flatnonzero(symbols == 0)
     rank = symbols.astype(np.int64) + len(ends)
@@ -151,24 +156,24 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = new
-        if new[-1] == n - 1 or step >= n:
-            return order
         step *= 2
+        if new[-1] == n - 1 or step >= min(n, depth):
+            return order
 
 
 class FMIndex:
-    """Index of segments of symbols from 1 on, with a document for each segment."""
+    """Index of segments of symbols from 1 on, with a document for each segment, for searches of up to ``depth`` symbols."""
 
-    def __init__(self, segments: list[np.ndarray], docs: np.ndarray) -> None:
+    def __init__(self, segments: list[np.ndarray], docs: np.ndarray, depth: int) -> None:
         end = np.zeros(1, np.int64)
         self.text = np.concatenate([x for s in segments for x in (s, end)])
         sigma = int(self.text.max(initial=0)) + 1
-        order = suffix_order(self.text)
+        order = suffix_order(self.text, depth)
         self.wavelet = WaveletMatrix(self.text[order - 1], sigma)
         counts = np.bincount(self.text, minlength=sigma)
         self.first = np.concatenate([[0], np.cumsum(counts)])
-        owner = np.repeat(np.arange(len(segments)), [len(s) + 1 for s in segments])
-        self.least = [docs[owner[order]]]
+        self.owner = np.repeat(docs, [len(s) + 1 for s in segments])
+        self.least = [self.owner[order]]
         width = 1
         while 2 * width <= len(order):  # least document of 1, 2, 4, ... suffixes
             prior = self.least[-1]
@@ -176,19 +181,25 @@ class FMIndex:
             width *= 2
 
     def least_document(self, ends: np.ndarray, length: int) -> np.ndarray:
-        """For each place: the least document that has the ``length`` symbols up to it, by backward search; all places at once."""
+        """For each place: the least document that has the ``length`` symbols up to it, by backward search; all places at once.
+
+        A search ends early where one suffix is left, which is the place's own.
+        """
+        out = self.owner[ends]
+        open_ = np.arange(len(ends))
         lo = np.zeros(len(ends), np.int64)
         hi = np.full(len(ends), len(self.text), np.int64)
         for k in range(length):
-            c = self.text[ends - k]
+            c = self.text[ends[open_] - k]
             lo = self.first[c] + self.wavelet.rank(c, lo)
             hi = self.first[c] + self.wavelet.rank(c, hi)
+            more = hi - lo > 1
+            open_, lo, hi = open_[more], lo[more], hi[more]
         level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        out = np.empty(len(ends), np.int64)
         for lv in np.unique(level):
             m = level == lv
             table = self.least[lv]
-            out[m] = np.minimum(table[lo[m]], table[hi[m] - (1 << int(lv))])
+            out[open_[m]] = np.minimum(table[lo[m]], table[hi[m] - (1 << int(lv))])
         return out
 
 
@@ -198,7 +209,7 @@ def least_documents(segments: list[np.ndarray], docs: np.ndarray, window: int =
     _, inverse = np.unique(flat, return_inverse=True)
     cuts = np.cumsum([len(s) for s in segments])
     dense = np.split(inverse.astype(np.int64) + 1, cuts[:-1])
-    index = FMIndex(dense, docs)
+    index = FMIndex(dense, docs, window)
     begin = np.concatenate([[0], cuts[:-1] + np.arange(1, len(segments))])
     windows = np.array([len(s) - window + 1 for s in segments])
     ends = np.repeat(begin + window - 1, windows) + np.concatenate([np.arange(w) for w in windows])
