@@ -39,22 +39,24 @@ CHUNK_ROWS = 300
 REMEMBERED = 400_000
 
 
+class Known(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        h = self[word] = xxhash.xxh3_64_digest(word)
+        return h
+
+
 class Hasher:
     """64-bit hashes of words, remembered up to a bound."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Known()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
