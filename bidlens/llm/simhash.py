@@ -13,11 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidlens.llm.components import connect
+from bidlens.llm.tables import written
 from bidlens.llm.text import unused, whole
 from bidlens.session import prepare
 
@@ -168,84 +169,121 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(found, prints["fingerprint"] == found["fp"]).select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Similar texts that differ in more bits: wide fingerprints on several rings
+# Similar texts: shingle sets, exactly
 
 
-def allowed_bits(similarity: float, bits: int) -> int:
-    """Bits in which the fingerprints of two texts of that Jaccard similarity differ, on average, and a half deviation more."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + 0.5 * (bits * share * (1 - share)) ** 0.5)
+#: Documents drawn to learn which shingles are frequent, and how many of these are sent to the tasks. They only order the shingles.
+SAMPLE_DOCUMENTS, FREQUENT = 20_000, 100_000
+#: Members of a key that one task holds against another such block.
+BLOCK = 256
 
 
-def rings(bits: int, chains: int, width: int) -> np.ndarray:
-    """Places of the bits of each chain, chains x width: consecutive bits of rings that are shuffled one after the other."""
-    order = np.random.default_rng(SEED)
-    out: list[np.ndarray] = []
-    while len(out) < chains:
-        ring_bits = order.permutation(bits)
-        out += [ring_bits[k : k + width] for k in range(0, bits - width + 1, width)]
-    return np.array(out[:chains])
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Hashes of the shingles, each once; texts without words have one in common."""
+    return np.unique(np.array(shingle_hashes(text, words) or [0], np.uint64))
 
 
-def _wide(batches: Iterator[pa.RecordBatch], words: int, parts: int, chains: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """id, the fingerprints of ``parts`` seeds as binary, and the keys: a chain's number and its bits."""
-    weight = np.int64(1) << np.arange(chains.shape[1], dtype=np.int64)
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets of that similarity, in one order, the first ``n - ceil(similarity * n) + 1`` of each have an element in common."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            texts = part.column("text").to_pylist()
-            prints = np.stack([fingerprints_of(texts, words, SEED + k) for k in range(parts)], axis=1)
-            bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
-            keys = bits[:, chains].astype(np.int64) @ weight + (np.arange(len(chains), dtype=np.int64) << chains.shape[1])
-            raw = pa.array([x.tobytes() for x in prints], pa.binary())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(chains)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), raw, lists], ["id", "print", "keys"])
-
-
-def _differing(batches: Iterator[pa.RecordBatch], most: int, bits: int, segments: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose fingerprints pass the ring: from some segment on, each chain keeps to its share of ``most``; the longest is the full check."""
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            made = [shingle_set(t, words).view(np.int64) for t in part.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))], ["id", "shingles"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], words: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """id, a digest of the shingle set, its size, and its prefix in the order of frequency (as far as known) and hash."""
+    known, times = frequent
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("print_a", "print_b"))
-        by_segment = np.unpackbits(a ^ b, axis=1).reshape(batch.num_rows, segments, bits // segments).sum(2, dtype=np.int32)
-        total = np.cumsum(np.concatenate([by_segment, by_segment], axis=1), axis=1)
-        ok = np.zeros(batch.num_rows, bool)
-        for start in range(segments):
-            here = total[:, start - 1] if start else np.zeros(batch.num_rows, np.int32)
-            fits = np.ones(batch.num_rows, bool)
-            for length in range(1, segments + 1):
-                fits &= total[:, start + length - 1] - here <= length * most // segments
-            ok |= fits
-        yield batch.filter(pa.array(ok)).select(["a", "b"])
-
-
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, parts: int = 4, chains: int = 96) -> DataFrame:
-    """One row per id: id and component_id, for texts whose word shingles are similar to ``similarity`` or more.
-
-    Fingerprints of 64 bits for each of ``parts`` seeds lie on one ring, so that similarity can be told from the share
-    of differing bits. With the 15 percent of bits that differ at 0.8, no chain must be equal; but among ``chains`` chains of
-    shuffled rings one is with high probability (0.98 at 0.8, more above, for 18 bits each). Chains are as long as
-    the number of texts calls for. What shares a chain is held against the first and the last of those that share it,
-    by the pigeonring and the full check. Equal texts are one from the start. Texts without words are alike.
-    Null ids are left out.
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            digests, sizes, made = [], [], []
+            for text in part.column("text").to_pylist():
+                s = shingle_set(text, words)
+                place = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+                often = np.where(known[place] == s, times[place], 0) if len(known) else np.zeros(len(s), np.int64)
+                digests.append(xxhash.xxh128_digest(s.tobytes()))
+                sizes.append(len(s))
+                made.append(s[np.lexsort((s, often))[: prefix_length(len(s), similarity)]].view(np.int64))
+            ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], ["id", "body", "size", "prefix"])
+
+
+def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a bounded hash sample have, in order, and in how many they are."""
+    n = max(1, rows.count())
+    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(n)) < SAMPLE_DOCUMENTS)
+    kinds = T.StructType([rows.schema["id"], T.StructField("shingles", T.ArrayType(T.LongType()))])
+    each = drawn.mapInArrow(lambda it: _sets(it, words), kinds).select(F.explode("shingles").alias("s"))
+    top = each.groupBy("s").agg(F.count("*").alias("times")).where("times > 2").orderBy(F.desc("times"), "s").limit(FREQUENT).toPandas()
+    known, times = top["s"].to_numpy(np.int64).view(np.uint64), top["times"].to_numpy(np.int64)
+    order = np.argsort(known)
+    return known[order], times[order]
+
+
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether sizes allow it, and what is left of both sets from this shingle on, if it is the first in common."""
+    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    rest = F.least(size_a - F.col(f"{a}.pos"), size_b - F.col(f"{b}.pos"))
+    return (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b) - 1e-9) & (rest * (1 + similarity) >= similarity * (size_a + size_b) - 1e-9)
+
+
+def _pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets have that Jaccard similarity or more."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    kinds = T.StructType([rows.schema["id"], T.StructField("shingles", T.ArrayType(T.LongType()))])
+    sets = rows.join(asked, "id", "left_semi").mapInArrow(lambda it: _sets(it, words), kinds)
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    shared = both.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("sizes"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
+    return written(shared.where(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("a", "b"), "similar")
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per id: id and component_id, for texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Exact at every number of texts: of two similar sets in one order, the prefixes share a shingle. Frequent shingles
+    come last in that order, so that few texts share one. What shares one is held first against the least and the
+    greatest id there. Then all members of a shingle that are not yet in one component are held against each other, in
+    blocks, so that no task has all of a frequent one. Each candidate is decided by the whole sets. Equal sets are one from the start.
+    Texts without words are alike. Null ids are left out.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession).sparkContext
     rows = docs.select(F.col(doc_id).alias("id"), whole(text).alias("text")).where("id is not null")
-    same = rows.select("id", F.sha2(F.encode("text", "UTF-8"), 256).alias("body"))
+    sent = spark.broadcast(_frequent(rows, words))
+    kinds = T.StructType([rows.schema["id"], T.StructField("body", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    wide = written(rows.mapInArrow(lambda it: _prefixes(it, words, similarity, sent.value), kinds), "prefixes")
+    same = wide.select("id", "body")
     firsts = same.groupBy("body").agg(F.min("id").alias("first")).checkpoint()
-    n = max(1, firsts.count())
-    width = max(16, int(np.ceil(np.log2(n))))
-    kinds = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    bits, table = BITS * parts, rings(BITS * parts, chains, width)
-    wide = rows.mapInArrow(lambda it: _wide(it, words, parts, table), kinds).join(firsts.select(F.col("first").alias("id")), "id", "left_semi").checkpoint()
-    keyed = wide.select("id", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    near = keyed.join(ends, "key")
-    pairs = near.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("low", "high"))).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    prints = wide.select("id", "print")
-    both = pairs.join(prints.toDF("a", "print_a"), "a").join(prints.toDF("b", "print_b"), "b")
-    most = allowed_bits(similarity, bits)
-    links_ = both.select("a", "b", "print_a", "print_b").mapInArrow(lambda it: _differing(it, most, bits, 16), both.select("a", "b").schema)
-    parts_ = connect(links_, "a", "b")
+    one = wide.join(firsts.withColumnRenamed("first", "id"), ["body", "id"], "left_semi").dropDuplicates(["body", "id"])
+    keyed = one.select("id", "size", F.posexplode("prefix").alias("pos", "key"))
+    by_key = Window.partitionBy("key")
+    member = F.struct("id", "size", "pos")
+    met = written(keyed.select("key", "id", "size", "pos", F.count("*").over(by_key).alias("n"), F.min(member).over(by_key).alias("low"), F.max(member).over(by_key).alias("high")).where("n > 1"), "met")
+    ends = met.select(F.struct("id", "size", "pos").alias("m"), F.explode(F.array("low", "high")).alias("e"))
+    near = written(ends.where((F.col("m.id") != F.col("e.id")) & _may_be_similar("m", "e", similarity)).select(*_pair(F.col("m.id"), F.col("e.id"))).distinct(), "near")
+    links_ = _similar(near, rows, words, similarity)
+
+    inner = met.where((F.col("n") > 3) & (F.col("id") != F.col("low.id")) & (F.col("id") != F.col("high.id"))).select("key", "id", "size", "pos")
+    so_far = connect(links_, "a", "b").withColumnRenamed("component", "part")
+    placed = inner.join(so_far, "id", "left").select("key", "id", "size", "pos", F.coalesce("part", "id").alias("part"))
+    mixed = written(placed.select("*", F.count("*").over(by_key).alias("n"), (F.min("part").over(by_key) < F.max("part").over(by_key)).alias("apart")).where("apart").drop("apart"), "mixed")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    x = mixed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
+    y = mixed.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("y")
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & _may_be_similar("x", "y", similarity)
+    more = written(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & apart).select(*_pair(F.col("x.id"), F.col("y.id"))).distinct(), "more")
+    parts_ = connect(links_.union(_similar(more.join(near, ["a", "b"], "left_anti"), rows, words, similarity)), "a", "b")
     groups_ = firsts.join(parts_, firsts["first"] == parts_["id"], "left").select("body", F.coalesce("component", "first").alias("component_id"))
     return same.join(groups_, "body").select(F.col("id").alias(doc_id), "component_id")
 

@@ -304,6 +304,52 @@ def test_near_copies_go_and_others_stay(spark):
     assert left == {3 * k for k in range(120)}
 
 
+def plain_shingles(text, words=5):
+    w = SPACE.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1)))
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def plain_similar(rows, similarity=0.8):
+    """Least id reachable of each id, all pairs compared."""
+    sets, parent = [(i, plain_shingles(t)) for i, t in rows], {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9 and jaccard(a, b) >= similarity:
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+    return {i: root(i) for i in parent}
+
+
+def similar(spark, rows):
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+
+def test_similar_pairs_meet_among_hundreds_of_strangers(spark, monkeypatch):
+    """Texts that share a long passage but are below the limit; the pairs among them have ids between those of others."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    r = np.random.default_rng(7)
+    common = " ".join(f"c{i}" for i in range(180))
+    rows = [(k, common + " " + " ".join(f"s{k}_{i}" for i in range(40))) for k in range(400)]
+    for k in range(150, 190, 2):
+        own = rows[k][1].split()
+        for place in (183, 190, 200, 210):
+            own[place + int(r.integers(4))] = f"changed{place}"
+        rows[k + 1] = (k + 1, " ".join(own))
+    got = similar(spark, rows)
+    assert got == plain_similar(rows)
+    assert sum(i != c for i, c in got.items()) == 20
+
+
 # 7
 
 
