@@ -350,6 +350,20 @@ def test_similar_pairs_meet_among_hundreds_of_strangers(spark, monkeypatch):
     assert sum(i != c for i, c in got.items()) == 20
 
 
+@pytest.mark.parametrize("frequent", [100_000, 0])
+def test_similar_groups_are_those_of_all_pairs(spark, sf, odd, monkeypatch, frequent):
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    rows = [(i, t) for i, t in {r[0]: r[1] for r in ODD if r[0] is not None}.items()] + [(1000 + r[0], r[1]) for r in texts(sf)]
+    assert similar(spark, rows) == plain_similar(rows)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.9])
+def test_no_pair_escapes_by_its_prefix(similarity):
+    for n in range(1, 300):
+        least = math.ceil(similarity * n - 1e-9)  # of n elements, so many at least are in any similar set
+        assert simhash.prefix_length(n, similarity) == n - least + 1
+
+
 # 7
 
 
