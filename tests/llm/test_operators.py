@@ -364,6 +364,23 @@ def test_no_pair_escapes_by_its_prefix(similarity):
         assert simhash.prefix_length(n, similarity) == n - least + 1
 
 
+def test_limit_is_exact(spark):
+    """Pairs of all similarities about the limit, four of 5 being on it."""
+    r = np.random.default_rng(9)
+    rows, want = [(1, "a b c d e f g h"), (2, "a b c d e f g h i")], 1
+    for k in range(5, 125):
+        n = 200 + 7 * k
+        one = [f"u{k}_{i}" for i in range(n)]
+        keep = round(n * r.uniform(0.7, 0.85))
+        two = one[:keep] + [f"t{k}_{i}" for i in range(round(n * r.uniform(0, 0.1)))]
+        a, b = " ".join(one), " ".join(two)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want += jaccard(plain_shingles(a), plain_shingles(b)) >= 0.8
+    got = similar(spark, rows)
+    assert got == plain_similar(rows)
+    assert sum(i != c for i, c in got.items()) == want and 10 < want < 110
+
+
 # 7
 
 
