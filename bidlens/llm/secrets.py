@@ -114,8 +114,8 @@ def highest_window(s: Column, characters: str, limit: float, window: int = WINDO
 def find(docs: DataFrame, text: str = "text", window: int = WINDOW, classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """``docs`` with a column ``spans``: array of kind, start, end (code points, end exclusive), by start and kind.
 
-    Base spans always stay. A candidate that no base span touches and no pattern of ``allowed`` knows adds the part from
-    its first to its last window above the limit of its class. Null and empty texts have no spans. All is done in the
+    Base spans always stay, and are cut out of the candidates. What is left of a candidate, a window or more long, that no
+    pattern of ``allowed`` knows adds the part from its first to its last window above the limit of its class. Null and empty texts have no spans. All is done in the
     row: rows repeat, and other columns pass, as they are; a column ``spans`` is replaced.
     """
     rest = [c for c in docs.columns if c != "spans"]
@@ -126,8 +126,9 @@ def find(docs: DataFrame, text: str = "text", window: int = WINDOW, classes: tup
     strong = F.filter("_assign", lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 2)) >= LEAST_ASSIGNED)
     rows = rows.withColumn("_base", F.concat(kind(strong, "assign", 0), kind(F.col("_access"), "access", 1), kind(F.col("_hex"), "hex", 2)))
     known = lambda s: _any([s.rlike(p) for p in allowed])
-    free = F.filter("_run", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])) & ~known(r["s"]))
-    rows = rows.withColumn("_free", F.when(F.size("_run") > 0, free).otherwise(F.col("_run"))).drop("_assign", "_access", "_hex", "_run")
+    rows = rows.withColumn("_part", F.when(F.size("_run") > 0, F.flatten(F.transform("_run", lambda r: _left_of(r, window)))).otherwise(F.col("_run")))
+    free = F.filter("_part", lambda r: ~known(r["s"]))
+    rows = rows.withColumn("_free", F.when(F.size("_part") > 0, free).otherwise(F.col("_part"))).drop("_assign", "_access", "_hex", "_run", "_part")
     for k, c in enumerate(classes):
         rows = rows.withColumn(f"_scored{k}", F.when(F.size("_free") > 0, _scored(c, classes[:k], window)))
     every = F.array_sort(F.concat("_base", *[_added(f"_scored{k}", 3 + k, c.name) for k, c in enumerate(classes)]))
@@ -136,6 +137,19 @@ def find(docs: DataFrame, text: str = "text", window: int = WINDOW, classes: tup
     return rows.select("_row", F.struct(spans.alias("spans")).alias("_found")).select(*unpacked(rest), F.inline(F.array("_found")))
 
 
+def _left_of(r: Column, window: int) -> Column:
+    """The parts of a candidate that lie between the base spans which touch it, if they are ``window`` or more long."""
+    part = lambda a, b: F.when(b - a >= window, F.array(F.struct(F.substring(r["s"], (a - r["start"] + 1).cast("int"), (b - a).cast("int")).alias("s"), a.alias("start"), b.alias("end")))).otherwise(F.array().cast("array<struct<s:string,start:bigint,end:bigint>>"))
+    touching = F.array_sort(F.filter("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    cut = F.aggregate(
+        touching,
+        F.struct(F.array().cast("array<struct<s:string,start:bigint,end:bigint>>").alias("parts"), r["start"].alias("at")),
+        lambda a, b: F.struct(F.concat(a["parts"], part(a["at"], b["start"])).alias("parts"), F.greatest(a["at"], b["end"]).alias("at")),
+        lambda a: F.concat(a["parts"], part(a["at"], r["end"])),
+    )
+    return F.when(F.size(touching) == 0, F.array(r)).otherwise(cut)
+
+
 def _scored(c: CharacterClass, before: tuple[CharacterClass, ...], window: int) -> Column:
     """The free candidates of class ``c``, that those ``before`` don't take, with their windows."""
     mine = F.filter("_free", lambda r: r["s"].rlike(c.pattern) & ~_any([r["s"].rlike(o.pattern) for o in before]))

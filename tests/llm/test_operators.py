@@ -108,6 +108,18 @@ def test_redacted_text_has_no_secret(odd):
     assert rows[0] is None and rows[1] == ""
 
 
+def test_secrets_beside_a_base_span(spark):
+    one, two, key = "Zx9Qw7Rt5Yp3Ls1Kd8Fg6Hj4Bv2Nm0Tc8Xe5Ua3W", "Qm4Tz8Lb2Vr6Ny1Kp9Xs3", "0f3a9c7e" * 5
+    texts = [f"a {key}/{one} z", f"{one}/{key}_{key}/{two}=", f"é😀 {one}-{key}/Zx9Qw7 AKIA{'Q7W3' * 4}+{two}", f"{key}/ExampleZx9Qw7Rt5Yp3Ls1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = [r["spans"] for r in secrets.find(docs).orderBy("doc_id").collect()]
+    got = [[(s["kind"], t[s["start"] : s["end"]].strip("/_=-+")) for s in spans] for t, spans in zip(texts, rows, strict=True)]
+    of = lambda t: ("entropy_base64", t)
+    assert got == [[("hex", key), of(one)], [of(one), ("hex", key), ("hex", key), of(two)], [of(one), ("hex", key), ("access", "AKIA" + "Q7W3" * 4), of(two)], [("hex", key)]]
+    clean = " ".join(r["text"] for r in secrets.redact(docs).collect())
+    assert one not in clean and two not in clean and key not in clean
+
+
 # 2
 
 
