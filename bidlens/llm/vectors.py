@@ -6,7 +6,8 @@
 3. Adjacency lists of one vector from several shards are joined, and the lists reach every shard that the vector is in.
 4. In each shard every member is searched for from the medoid and from itself; the range expands while all is in range.
    Cosines in double precision verify what was found.
-5. A bounded sample is held against all rows, in blocks. If recall is below the aim, shards overlap more.
+5. A bounded sample is held against all rows, in blocks. If recall is below the aim, shards overlap more; if it is still
+   below it with the largest overlap, all vectors of a label are compared, in blocks.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ OVERLAP, DEGREE, POOL, BEAM, ALPHA = 3, 16, 32, 24, 1.2
 LONGER = 8
 #: Rows that a step of numpy takes together.
 AT_ONCE = 512
+#: Members of a shard, about; what is larger becomes several, one for each two of its blocks.
+LARGEST = 3_000
 #: Queries of the audit, and the recall that it asks for.
 AUDIT, RECALL = 400, 0.98
 
@@ -205,7 +208,20 @@ def assign(classes: DataFrame, centres: dict, overlap: int) -> DataFrame:
                 yield part.assign(shards=names)[["id", "n", "v", "shards"]]
 
     kinds = T.StructType([classes.schema["id"], classes.schema["n"], classes.schema["v"], T.StructField("shards", T.ArrayType(T.StringType()))])
-    return classes.select("id", "n", "label", "v").mapInPandas(near, kinds).withColumn("shard", F.explode("shards"))
+    return classes.select("id", "n", "label", "v").mapInPandas(near, kinds).withColumn("shard", F.explode("shards")).select("shard", "id", "n", "v")
+
+
+def split(placed: DataFrame, largest: int | None = None) -> DataFrame:
+    """``placed`` (shard, id, n, v) with shards of over ``largest`` cut into blocks, each two of which are a shard; and ``shards``, all of the class."""
+    largest = LARGEST if largest is None else largest
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("of"))
+    blocks = F.when(F.col("of") > largest, F.ceil(2 * F.col("of") / largest)).otherwise(1).cast("int")
+    cut = placed.join(sizes, "shard").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (F.col("blocks") == 1) | (b != F.col("own")))
+    name = lambda b: F.when(F.col("blocks") == 1, F.col("shard")).otherwise(F.concat_ws("/", "shard", F.least("own", b).cast("string"), F.greatest("own", b).cast("string")))
+    each = cut.select("id", "n", "v", F.transform(others, name).alias("names"))
+    all_of = each.groupBy("id").agg(F.flatten(F.collect_list("names")).alias("shards"))
+    return each.join(all_of, "id").select("id", "n", "v", "shards", F.explode("names").alias("shard"))
 
 
 def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
@@ -215,18 +231,29 @@ def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "near": [ids[g[g >= 0]].tolist() for g in graph]})
 
 
+def _in_range(x: np.ndarray, most: float) -> list[np.ndarray]:
+    """For each row all those within the squared distance ``most``, by comparison with every row."""
+    return [np.flatnonzero(d <= most) for k in range(0, len(x), AT_ONCE) for d in 2 - 2 * (x[k : k + AT_ONCE] @ x.T)]
+
+
 def _search_shard(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links whose first common shard is this one, so each pair counts once: per member the partners' rows, and one partner to hang on."""
+    """Links in a shard: per member the partners' rows that it meets here only, and one partner to hang on; besides, the pairs that
+    other shards may find, too, with the rows of both. Without a column ``near``, all are compared.
+    """
     rows = rows.sort_values("id", ignore_index=True)
     exact = _units(rows["v"])
     x = exact.astype(np.float32)
-    place = {i: k for k, i in enumerate(rows["id"].tolist())}
-    lists = [[place[j] for j in near if j in place] for near in rows["near"]]
-    graph = np.full((len(rows), max(1, max(map(len, lists)))), -1)
-    for k, near in enumerate(lists):
-        graph[k, : len(near)] = near
-    here = rows["shard"].iloc[0]
-    shards, n, ids = [list(s) for s in rows["shards"]], rows["n"].to_numpy(), rows["id"].to_numpy()
+    most = 2 - 2 * least + 1e-4
+    if "near" in rows:
+        place = {i: k for k, i in enumerate(rows["id"].tolist())}
+        lists = [[place[j] for j in near if j in place] for near in rows["near"]]
+        graph = np.full((len(rows), max(1, max(map(len, lists)))), -1)
+        for k, near in enumerate(lists):
+            graph[k, : len(near)] = near
+        found = range_search(x, graph, most)
+    else:
+        found = _in_range(x, most)
+    shards, n, ids = [set(s) for s in rows["shards"]], rows["n"].to_numpy(), rows["id"].to_numpy()
     parent = list(range(len(rows)))
 
     def root(i: int) -> int:
@@ -236,36 +263,54 @@ def _search_shard(rows: pd.DataFrame, least: float) -> pd.DataFrame:
         return i
 
     partners = [0] * len(rows)
-    found = range_search(x, graph, 2 - 2 * least + 1e-4)
+    shared: list[np.ndarray] = []
     one = np.repeat(np.arange(len(rows)), [len(js) for js in found])
     two = np.concatenate(found)
     code = np.unique(np.minimum(one, two)[one != two] * len(rows) + np.maximum(one, two)[one != two])
     for k in range(0, len(code), 1 << 16):
         i, j = np.divmod(code[k : k + (1 << 16)], len(rows))
         ok = np.einsum("nd,nd->n", exact[i], exact[j]) >= least
+        again = []
         for i, j in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
             a, b = root(i), root(j)
             parent[max(a, b)] = min(a, b)
-            if _first_common(shards[i], shards[j]) == here:
+            if len(shards[i] & shards[j]) == 1:
                 partners[i] += int(n[j])
                 partners[j] += int(n[i])
+            else:
+                again.append((i, j))
+        shared.append(np.array(again, np.int64).reshape(-1, 2))
     hang = [ids[root(i)] for i in range(len(rows))]
     out = pd.DataFrame({"id": ids, "links": partners, "hub": hang})
-    return out[(out["links"] > 0) | (out["id"] != out["hub"])]
+    out = out[(out["links"] > 0) | (out["id"] != out["hub"])].assign(other=None, other_links=None)
+    i, j = np.concatenate([np.zeros((0, 2), np.int64), *shared]).T
+    pairs = pd.DataFrame({"id": ids[i], "links": n[j], "hub": ids[i], "other": ids[j], "other_links": n[i]})
+    return pairs if out.empty else out if pairs.empty else pd.concat([out.astype({"other": object, "other_links": object}), pairs.astype({"other": object, "other_links": object})], ignore_index=True)
 
 
-def _first_common(a: list[str], b: list[str]) -> str:
-    return min(set(a) & set(b))
+def _counted(shards: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """id, links, hub of the links in ``shards``; pairs that several shards find count once."""
+    kind = classes.schema["id"].dataType
+    kinds = T.StructType([classes.schema["id"], T.StructField("links", T.LongType()), T.StructField("hub", kind), T.StructField("other", kind), T.StructField("other_links", T.LongType())])
+    found = shards.groupBy("shard").applyInPandas(lambda rows: _search_shard(rows, least), kinds).checkpoint()
+    pairs = found.where("other is not null").select("id", "other", "links", "other_links").distinct()
+    both = F.explode(F.array(F.struct("id", "links"), F.struct(F.col("other").alias("id"), F.col("other_links").alias("links"))))
+    return found.where("other is null").select("id", "links", "hub").union(pairs.select(both.alias("p")).select("p.id", "p.links", F.col("p.id")))
 
 
 def search(classes: DataFrame, overlap: int, least: float = LEAST_COSINE) -> DataFrame:
     """id, links (rows in linked classes), hub (a class of the same component): several rows for one id, links to be summed."""
-    placed = assign(classes, centres_of(classes), overlap).checkpoint()
+    placed = split(assign(classes, centres_of(classes), overlap).checkpoint()).checkpoint()
     edges = placed.groupBy("shard").applyInPandas(lambda rows: _build_shard(rows), T.StructType([classes.schema["id"], T.StructField("near", T.ArrayType(T.LongType()))]))
     graph = edges.select("id", F.explode("near").alias("one")).groupBy("id").agg(F.array_sort(F.collect_set("one")).alias("near"))
     full = placed.join(graph, "id", "left").select("shard", "id", "v", "n", "shards", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
-    kinds = T.StructType([classes.schema["id"], T.StructField("links", T.LongType()), T.StructField("hub", classes.schema["id"].dataType)])
-    return full.groupBy("shard").applyInPandas(lambda rows: _search_shard(rows, least), kinds)
+    return _counted(full, classes, least)
+
+
+def compare_all(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
+    """As ``search``, without a graph: all classes of a label and length are compared, two blocks in a task."""
+    placed = classes.select(F.concat_ws("/", "label", F.size("v").cast("string")).alias("shard"), "id", "n", "v")
+    return _counted(split(placed), classes, least)
 
 
 def audit(classes: DataFrame, found: DataFrame, least: float = LEAST_COSINE, queries: int = AUDIT) -> float:
@@ -306,7 +351,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     overlap = OVERLAP
     while True:
         found = search(classes, overlap, least).checkpoint()
-        if overlap >= 4 * OVERLAP or audit(classes, found, least) >= RECALL:
+        if audit(classes, found, least) >= RECALL:
+            break
+        if overlap >= 4 * OVERLAP:
+            found = compare_all(classes, least).checkpoint()
             break
         overlap *= 2
     parts = connect(found.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")), "a", "b")

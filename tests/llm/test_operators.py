@@ -531,3 +531,32 @@ def test_pipeline(spark, sf):
             assert 0.5 * before < docs.count() <= before, name
             before = docs.count()
     assert all(r["round_trip"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect())
+
+
+def tight(spark):
+    """Groups of near vectors, and for each id the number of links and the least id that links reach."""
+    r = np.random.default_rng(11)
+    base = r.normal(size=(12, 24))
+    v = np.repeat(base, 15, axis=0) + 0.2 * r.normal(size=(180, 24))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & ~np.eye(180, dtype=bool)
+    least = np.arange(180)
+    for _ in range(180):
+        least = np.minimum(least, np.where(near, least[None, :], 180).min(1))
+    want = sorted(zip(range(180), near.sum(1).tolist(), least.tolist(), strict=True))
+    return spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>, label int"), want
+
+
+def test_result_below_the_aim_is_not_returned(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "search", lambda classes, *_: classes.select("id", classes["n"].alias("links"), classes["id"].alias("hub")).where("false"))
+    docs, want = tight(spark)
+    assert sorted(r[:3] for r in map(tuple, vectors.near_duplicates(docs).collect())) == want
+
+
+def test_large_shards_are_cut_and_pairs_count_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LARGEST", 40)
+    docs, want = tight(spark)
+    classes = docs.selectExpr("vec_id as id", "'1' as label", "embedding as v", "1L as n")
+    shards = vectors.split(vectors.assign(classes, {}, 3)).groupBy("shard").count().collect()
+    assert len(shards) > 9 and max(r["count"] for r in shards) < 80
+    assert sorted(r[:3] for r in map(tuple, vectors.near_duplicates(docs).collect())) == want
