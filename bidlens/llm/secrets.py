@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlens.llm.text import packed, running_sums, unpacked, whole
+from bidlens.llm.text import blocks_of, free_parts, packed, piece, running_sums, unpacked, whole
 
 #: Patterns of the base kinds, in the order in which they are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -58,65 +58,82 @@ def _places(docs: DataFrame, name: str, pattern: str) -> DataFrame:
     """``docs`` with ``name``: the leftmost non-overlapping matches in ``_t`` as structs of s, start, end (code points).
 
     Matches and what lies between them alternate, so lengths give places. The text is split only where there is a match.
+    Lists are walked side by side, none by place, so the time grows with the text alone.
     """
     found = docs.withColumn("_m", F.regexp_extract_all("_t", F.lit(pattern), F.lit(0)))
     cut = found.withColumn("_gap", F.when(F.size("_m") > 0, F.transform(F.split("_t", pattern, -1), lambda x: F.length(x).cast("long"))))
     # before match k are the gaps up to it and the matches before it
-    steps = cut.withColumn("_step", F.transform("_m", lambda x, k: F.length(x) + F.get("_gap", k)))
-    sums = steps.withColumn("_sum", F.when(F.size("_m") > 0, running_sums("_step")))
-    start = lambda k: F.get("_sum", k) + F.get("_gap", k)
-    spans = F.transform("_m", lambda x, k: F.struct(x.alias("s"), start(k).alias("start"), (start(k) + F.length(x)).alias("end")))
-    return sums.withColumn(name, F.when(F.size("_m") > 0, spans).otherwise(F.array().cast("array<struct<s:string,start:bigint,end:bigint>>"))).drop("_m", "_gap", "_step", "_sum")
+    before = running_sums(F.zip_with("_m", F.slice("_gap", 1, F.size("_m")), lambda x, g: F.length(x) + g))
+    sums = cut.withColumn("_start", F.when(F.size("_m") > 0, F.zip_with(before, F.slice("_gap", 1, F.size("_m")), lambda s, g: s + g)))
+    spans = F.zip_with("_m", "_start", lambda x, at: F.struct(x.alias("s"), at.alias("start"), (at + F.length(x)).alias("end")))
+    return sums.withColumn(name, F.when(F.size("_m") > 0, spans).otherwise(F.array().cast("array<struct<s:string,start:bigint,end:bigint>>"))).drop("_m", "_gap", "_start")
 
 
-def _x_log_x(n: int) -> Column:
-    return F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(n + 1)])
+#: Entropies are compared as whole numbers, so that no error adds up along a run.
+SCALE = 1 << 40
+
+
+def _x_log_x(n: int) -> int:
+    return round(n * math.log2(n) * SCALE) if n else 0
 
 
 def highest_window(s: Column, characters: str, limit: float, window: int = WINDOW) -> Column:
     """From the windows over ``s`` (characters of the class only): best entropy, start of the first and end of the last above the limit.
 
     The state has the count of each character and the sum of count * log2(count). A step takes the new character in
-    and puts the one that leaves out, and moves the sum by what these two counts give.
+    and puts the one that leaves out, and moves the sum by what these two counts give. Counts are characters of one
+    string, "0" for none. What a step has made is judged by the next, so that it is computed once.
     """
-    table = _x_log_x(window + 1)
-    f = lambda n: F.element_at(table, n + 1)
-    at = lambda i: F.instr(F.lit(characters), F.substring(s, i, F.lit(1)))
+    if window > 60:
+        raise ValueError("a window may have 60 characters at most")
+    # what the sum gains when a count grows from k
+    rise = F.array(*[F.lit(_x_log_x(k + 1) - _x_log_x(k)).cast("long") for k in range(window + 1)])
+    most = math.floor((math.log2(window) - limit) * window * SCALE)
+    places = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.instr(F.lit(characters), c))
+    left = lambda x: F.slice(F.concat(F.array_repeat(F.lit(0), window), x), 1, F.size(x))
+    pairs = F.flatten(F.transform(F.array(places), lambda x: F.arrays_zip(x.alias("new"), left(x).alias("old"))))
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(characters)).alias("n"),
-        F.lit(0.0).alias("sum"),
-        F.lit(-1.0).alias("best"),
+        F.lit("0" * len(characters)).alias("n"),
+        F.lit(0).cast("long").alias("sum"),
+        F.lit(0).alias("i"),
+        F.lit(1 << 62).cast("long").alias("least"),
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
     )
+    count = lambda n, c: F.ascii(F.substring(n, c, F.lit(1))) - 48
+    put = lambda n, c, by: F.overlay(n, F.char((count(n, c) + 48 + by).cast("long")), c, F.lit(1))
+
+    def judged(a: Column) -> list[Column]:
+        full = a["i"] >= window
+        above = full & (a["sum"] <= most)
+        return [
+            F.when(full, F.least(a["least"], a["sum"])).otherwise(a["least"]).alias("least"),
+            F.coalesce(a["first"], F.when(above, a["i"] - window)).alias("first"),
+            F.when(above, a["i"]).otherwise(a["last"]).alias("last"),
+        ]
 
-    def step(a: Column, i: Column) -> Column:
-        new, old = at(i), F.when(i > window, at(i - window)).otherwise(F.lit(0))
-        same = new == old
-        grown = F.element_at(a["n"], new)
-        shrunk = F.when(old > 0, F.element_at(a["n"], F.greatest(old, F.lit(1))))
-        moved = F.when(same, F.lit(0.0)).otherwise(f(grown + 1) - f(grown) + F.when(old > 0, f(shrunk - 1) - f(shrunk)).otherwise(F.lit(0.0)))
-        counts = F.when(same, a["n"]).otherwise(F.transform(a["n"], lambda v, k: v + (k + 1 == new).cast("int") - (k + 1 == old).cast("int")))
-        total = a["sum"] + moved
-        entropy = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(-1.0))
-        above = entropy >= limit
-        return F.struct(
-            counts.alias("n"),
-            total.alias("sum"),
-            F.greatest(a["best"], entropy).alias("best"),
-            F.coalesce(a["first"], F.when(above, i - window)).alias("first"),
-            F.when(above, i).otherwise(a["last"]).alias("last"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda a: F.struct(a["best"].alias("best"), a["first"].alias("first"), a["last"].alias("last")))
+    def step(a: Column, x: Column) -> Column:
+        new, old = x["new"], x["old"]
+        gone = F.when(old > 0, F.element_at(rise, count(a["n"], old))).otherwise(F.lit(0).cast("long"))
+        moved = F.when(new == old, F.lit(0).cast("long")).otherwise(F.element_at(rise, count(a["n"], new) + 1) - gone)
+        swapped = F.when(old > 0, put(put(a["n"], new, 1), old, -1)).otherwise(put(a["n"], new, 1))
+        return F.struct(F.when(new == old, a["n"]).otherwise(swapped).alias("n"), (a["sum"] + moved).alias("sum"), (a["i"] + 1).alias("i"), *judged(a))
+
+    def result(a: Column) -> Column:
+        least, first, last = judged(a)
+        best = F.when(a["i"] < window, F.lit(-1.0)).otherwise(F.lit(math.log2(window)) - least / F.lit(float(SCALE * window)))
+        return F.struct(best.alias("best"), first.alias("first"), last.alias("last"))
+
+    return F.aggregate(pairs, zero, step, result)
 
 
 def find(docs: DataFrame, text: str = "text", window: int = WINDOW, classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """``docs`` with a column ``spans``: array of kind, start, end (code points, end exclusive), by start and kind.
 
     Base spans always stay, and are cut out of the candidates. What is left of a candidate, a window or more long, that no
-    pattern of ``allowed`` knows adds the part from its first to its last window above the limit of its class. Null and empty texts have no spans. All is done in the
-    row: rows repeat, and other columns pass, as they are; a column ``spans`` is replaced.
+    pattern of ``allowed`` knows adds the part from its first to its last window above the limit of its class. Null and
+    empty texts have no spans. All is done in the row, in time that grows with the text, however long a candidate and
+    however many there are; rows repeat, and other columns pass, as they are; a column ``spans`` is replaced.
     """
     rest = [c for c in docs.columns if c != "spans"]
     rows = docs.select(packed(docs, rest), whole(text).alias("_t"))
@@ -125,31 +142,24 @@ def find(docs: DataFrame, text: str = "text", window: int = WINDOW, classes: tup
     kind = lambda c, k, rank: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(k).alias("kind"), x["end"].alias("end")))
     strong = F.filter("_assign", lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 2)) >= LEAST_ASSIGNED)
     rows = rows.withColumn("_base", F.concat(kind(strong, "assign", 0), kind(F.col("_access"), "access", 1), kind(F.col("_hex"), "hex", 2)))
+    event = lambda taken: lambda x: F.struct(x["start"].alias("start"), (~F.lit(taken)).alias("run"), x["end"].alias("end"), F.lit(taken).alias("taken"))
+    events = F.sort_array(F.concat(F.transform("_base", event(True)), F.transform("_run", event(False))))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    rows = rows.withColumn("_part", F.when(F.size("_run") > 0, free_parts(events, window)).otherwise(none))
+    blocks = F.when(F.size("_part") > 0, blocks_of(F.col("_t")))
+    # one row in, one row out: nothing that stands in a list's function below is computed again for each element
+    rows = rows.select("_row", "_base", "_part", blocks.alias("_blocks")).select("_row", F.inline(F.array(F.struct("_base", "_part", "_blocks"))))
     known = lambda s: _any([s.rlike(p) for p in allowed])
-    rows = rows.withColumn("_part", F.when(F.size("_run") > 0, F.flatten(F.transform("_run", lambda r: _left_of(r, window)))).otherwise(F.col("_run")))
-    free = F.filter("_part", lambda r: ~known(r["s"]))
-    rows = rows.withColumn("_free", F.when(F.size("_part") > 0, free).otherwise(F.col("_part"))).drop("_assign", "_access", "_hex", "_run", "_part")
+    parts = F.transform("_part", lambda p: F.struct(piece(F.col("_blocks"), p["start"], p["end"]).alias("s"), p["start"].alias("start")))
+    rows = rows.withColumn("_free", F.when(F.size("_part") > 0, F.filter(parts, lambda r: ~known(r["s"]))).otherwise(F.array().cast("array<struct<s:string,start:bigint>>")))
     for k, c in enumerate(classes):
         rows = rows.withColumn(f"_scored{k}", F.when(F.size("_free") > 0, _scored(c, classes[:k], window)))
-    every = F.array_sort(F.concat("_base", *[_added(f"_scored{k}", 3 + k, c.name) for k, c in enumerate(classes)]))
+    every = F.sort_array(F.concat("_base", *[_added(f"_scored{k}", 3 + k, c.name) for k, c in enumerate(classes)]))
     spans = F.transform(every, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     # Filters on the spans stay above this: pushed into the steps, they would compute each step once for each use.
     return rows.select("_row", F.struct(spans.alias("spans")).alias("_found")).select(*unpacked(rest), F.inline(F.array("_found")))
 
 
-def _left_of(r: Column, window: int) -> Column:
-    """The parts of a candidate that lie between the base spans which touch it, if they are ``window`` or more long."""
-    part = lambda a, b: F.when(b - a >= window, F.array(F.struct(F.substring(r["s"], (a - r["start"] + 1).cast("int"), (b - a).cast("int")).alias("s"), a.alias("start"), b.alias("end")))).otherwise(F.array().cast("array<struct<s:string,start:bigint,end:bigint>>"))
-    touching = F.array_sort(F.filter("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    cut = F.aggregate(
-        touching,
-        F.struct(F.array().cast("array<struct<s:string,start:bigint,end:bigint>>").alias("parts"), r["start"].alias("at")),
-        lambda a, b: F.struct(F.concat(a["parts"], part(a["at"], b["start"])).alias("parts"), F.greatest(a["at"], b["end"]).alias("at")),
-        lambda a: F.concat(a["parts"], part(a["at"], r["end"])),
-    )
-    return F.when(F.size(touching) == 0, F.array(r)).otherwise(cut)
-
-
 def _scored(c: CharacterClass, before: tuple[CharacterClass, ...], window: int) -> Column:
     """The free candidates of class ``c``, that those ``before`` don't take, with their windows."""
     mine = F.filter("_free", lambda r: r["s"].rlike(c.pattern) & ~_any([r["s"].rlike(o.pattern) for o in before]))
@@ -177,19 +187,23 @@ def listed(spans: str, kinds: tuple[str, ...] | None = None) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each span of the text replaced by ``mark`` (overlapping spans by one); columns as before."""
+    """``docs`` with each span of the text replaced by ``mark`` (spans that overlap or touch by one); columns as before.
+
+    Null and empty texts stay as they are, repeated rows repeat, and long texts cost time in proportion to their length.
+    """
     found = find(docs.select(packed(docs), F.col(text).alias("_text")), "_text")
-    gaps = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda a, x: F.struct(
-            F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("_text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise(a["out"]).alias("out"),
-            F.greatest(a["at"], x["end"]).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col("_text"), (a["at"] + 1).cast("int"), F.length("_text"))),
-    )
-    clean = F.when(F.size("spans") == 0, F.col("_text")).otherwise(gaps)
-    return found.select(*[clean.alias(text) if c == text else old for c, old in zip(docs.columns, unpacked(docs.columns), strict=True)])
+    taken = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), F.lit(False).alias("run"), x["end"].alias("end"), F.lit(True).alias("taken")))
+    all_of = F.struct(F.lit(0).cast("long").alias("start"), F.lit(True).alias("run"), F.length("_text").cast("long").alias("end"), F.lit(False).alias("taken"))
+    gaps = F.when(F.size("spans") > 0, free_parts(F.concat(F.array(all_of), taken), 1))
+    cut = found.select("_row", "_text", "spans", gaps.alias("_gap"), F.when(F.size("spans") > 0, blocks_of(F.col("_text"))).alias("_blocks"))
+    cut = cut.select("_row", F.inline(F.array(F.struct("_text", "spans", "_gap", "_blocks"))))
+    left = F.array_join(F.transform("_gap", lambda g: piece(F.col("_blocks"), g["start"], g["end"])), mark)
+    # a mark stands between gaps; at an end of the text that a span has, one is added
+    head = F.when(F.array_min("spans.start") == 0, F.lit(mark)).otherwise(F.lit(""))
+    tail = F.when(F.array_max("spans.end") == F.length("_text"), F.lit(mark)).otherwise(F.lit(""))
+    marked = F.when(F.size("_gap") == 0, F.lit(mark)).otherwise(F.concat(head, left, tail))
+    clean = F.when(F.size("spans") == 0, F.col("_text")).otherwise(marked)
+    return cut.select(*[clean.alias(text) if c == text else old for c, old in zip(docs.columns, unpacked(docs.columns), strict=True)])
 
 
 BASE = ("assign", "access", "hex")

@@ -120,6 +120,49 @@ def test_secrets_beside_a_base_span(spark):
     assert one not in clean and two not in clean and key not in clean
 
 
+def plain_entropy_spans(text, window=20):
+    """Spans that windows add, with all windows computed anew."""
+    taken, out = [(a, b) for a, _, _, b in plain_secrets(text)], []
+    free = list(text)
+    for a, b in taken:
+        free[a:b] = " " * (b - a)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(free)):
+        s = m[0]
+        if any(re.search(p, s) for p in secrets.ALLOWED):
+            continue
+        limit = 3.0 if re.fullmatch(r"[0-9a-fA-F]+", s) else 3.8
+        hit = [i for i in range(len(s) - window + 1) if entropy(s[i : i + window]) >= limit]
+        if hit:
+            out.append((m.start() + hit[0], m.start() + hit[-1] + window))
+    return out
+
+
+def test_long_candidates_and_many_matches_take_time_in_proportion(spark):
+    import time
+
+    r = np.random.default_rng(8)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    run = "".join(r.choice(letters, 1_000_000))
+    tokens = " ".join(f"{x:032x}" for x in (r.integers(1 << 62, size=50_000).astype(object) * 3**40))
+    docs = lambda *t: spark.createDataFrame(list(enumerate(t)), "doc_id bigint, text string")
+    began = time.time()
+    row = secrets.find(docs(run)).collect()[0]["spans"]
+    assert [(s["kind"], s["start"], s["end"]) for s in row] == [("entropy_base64", 0, 1_000_000)]
+    assert len(secrets.find(docs(tokens)).collect()[0]["spans"]) == 50_000
+    assert time.time() - began < 120
+    few = "".join(r.choice(list("ab0c1"), 3_000)) + "é" + "".join(r.choice(letters, 30)) + "".join(r.choice(list("xyz1"), 3_000)) + "/" + "".join(r.choice(letters, 25))
+    cut = "é😀" + "/".join(f"{int(x):019x}/" + "".join(r.choice(letters[:62], 24)) for x in r.integers(1 << 60, size=700))
+    for t, row in zip((few, cut), secrets.find(docs(few, cut)).orderBy("doc_id").collect(), strict=True):
+        assert [(s["start"], s["end"]) for s in row["spans"] if s["kind"].startswith("entropy")] == plain_entropy_spans(t)
+    clean = secrets.redact(docs(cut)).collect()[0]["text"]
+    spans = sorted((s["start"], s["end"]) for s in row["spans"])
+    want, at = "", 0
+    for k, (x, y) in enumerate(spans):
+        want += cut[at:x] + ("" if k and x <= at else "[SECRET]")
+        at = max(at, y)
+    assert clean == want + cut[at:]
+
+
 # 2
 
 
