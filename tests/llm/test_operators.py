@@ -260,6 +260,19 @@ def test_mixing(spark, sf, odd):
         assert all(t <= 2 * s + 1e-6 for t, s in per.values())
         assert abs(sum(t for t, _ in per.values()) - 1.5 * total) < 1
         assert mixing.mix(docs).count() == sum(r["copies"] for r in rows)
+        room = defaultdict(float)
+        for r in rows:
+            f = r["target"] / r["source_size"] % 1 if r["source_size"] else 0
+            room[names[r["doc_id"]]] += r["size"] ** 2 * f * (1 - f)
+        assert all(abs(taken[s] - per[s][0]) <= 2 * room[s] ** 0.5 + 1e-6 for s in per)
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_many_documents_come_near_the_target(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat_ws(' ', array_repeat('w', int(1 + id % 97))) AS text", "IF(id % 3 = 0, 'hot', concat('s', id % 5)) AS source")
+    rows = mixing.op4_rows(docs).selectExpr("IF(doc_id % 3 = 0, 5, doc_id % 5) AS source", "target", "taken").groupBy("source", "target").agg({"taken": "sum"}).collect()
+    assert len(rows) == 6 and all(abs(taken / target - 1) < 0.01 for _, target, taken in rows)
 
 
 # 5
@@ -488,14 +501,35 @@ def test_quality_counts(spark, sf, odd):
         assert got == sorted(want)
 
 
-def test_frequent_lines_go_by_host(spark):
+def plain_frequent(rows, max_docs, max_share):
+    """Words that each row (id, text, host) loses, documents told apart by id."""
+    tidy = lambda t: [" ".join(SPACE.findall(x)) for x in (t or "").lower().split("\n")]
+    docs, has = defaultdict(set), defaultdict(set)
+    for i, t, h in rows:
+        docs[h].add(i)
+        for x in tidy(t):
+            if x:
+                has[h, x].add(i)
+    over = {k for k, ids in has.items() if len(ids) > max_docs and len(ids) > max_share * len(docs[k[0]])}
+    return [(i, sum(len(x.split(" ")) for x in tidy(t) if (h, x) in over)) for i, t, h in rows]
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_frequent_lines_go_by_host(spark, sf, odd, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_LINES", broadcast)
     rows = [(i, f"a line of its own number {i} with enough words in it to be kept by the rules\nShared  LINE here\nmore text {i} and {i}", "h" if i < 8 else "other") for i in range(12)]
     rows.append((50, "shared line here\n" * 2 + "tiny " + " ".join(f"q{i}" for i in range(2)) + "\nshared line here\n" * 20, "h"))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     removed = {r["doc_id"]: r["words_removed"] for r in quality.judge(docs, max_docs=5).collect()}
-    assert [removed[i] for i in range(12)] == [0] + [3] * 7 + [0] * 4
+    assert [removed[i] for i in range(12)] == [3] * 8 + [0] * 4
     kept = {r["doc_id"]: r["text"] for r in quality.clean(docs, max_docs=5).collect()}
-    assert 50 not in kept and kept[0].count("\n") == 2 and kept[3].count("\n") == 1 and kept[9] == rows[9][1]
+    assert 50 not in kept and kept[0].count("\n") == 1 and kept[9] == rows[9][1]
+    assert {r["words_removed"] for r in quality.judge(docs, max_docs=5, max_share=1.0).collect()} == {0}
+    copies = [(100 + i, "one line that each copy has\nand another one that each copy has", "h") for i in range(9)]
+    for table, share in ((rows + copies, 0.1), (rows + copies, 0.6), ([r for r in texts(sf)], 0.02), ([r[:3] for r in ODD if r[0] is not None and r[0] < 10], 0.0)):
+        frame = spark.createDataFrame(table, "doc_id bigint, text string, source string")
+        got = sorted((r["doc_id"], r["words_removed"]) for r in quality.judge(frame, max_docs=2, max_share=share).collect())
+        assert got == sorted(plain_frequent(table, 2, share))
 
 
 # 9
