@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from bidlens.llm.text import SPACE_CHARS, count_chars, packed, unpacked, whole, words_of
 from bidlens.session import prepare
 
-#: A line that more documents of one host have is boilerplate there.
-MAX_DOCS_PER_HOST = 50
+#: A line that more documents of one host have than both limits, a number and a share of the host's documents, is boilerplate there.
+MAX_DOCS_PER_HOST, MAX_SHARE_OF_HOST = 50, 0.1
 #: A document that keeps a smaller share of its words is depleted.
 MIN_SHARE_LEFT = 0.2
 MIN_WORDS = 10
@@ -73,43 +73,53 @@ def text_counts(docs: DataFrame, text: str = "text", window: int = 5) -> DataFra
     return five.select(*keep, F.inline(F.array("_counts")))
 
 
+def _host(host: Column) -> Column:
+    return F.xxhash64(F.coalesce(host, F.lit("")), host.isNull())
+
+
+def _document(doc_id: Column, text: Column) -> Column:
+    """What tells documents apart: the id; for a null id, the text."""
+    return F.xxhash64(doc_id, F.when(doc_id.isNull(), text))
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """A row for each line that has a word: id, hash of the text, key (host and normalised line hashed), its place and words.
+    """A row for each line that has a word: id, hash of the text, document, host, key (host and normalised line hashed), its place and words.
 
     Normalised: lower case, runs of white space as one space, trimmed.
     """
     tidy = F.regexp_replace(F.lower(whole(text)), r"[\x20\x09\x0B-\x0D]+", " ")
-    base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(whole(text)).alias("body"), F.col(host).alias("host"), tidy.alias("tidy"))
-    rows = base.select("id", "body", "host", F.posexplode(F.split(F.trim("tidy"), " ?\n ?")).alias("pos", "line")).where("line <> ''")
+    told = (F.col(doc_id).alias("id"), F.xxhash64(whole(text)).alias("body"), _document(F.col(doc_id), whole(text)).alias("doc"), _host(F.col(host)).alias("host"))
+    rows = docs.select(*told, tidy.alias("tidy")).select("id", "body", "doc", "host", F.posexplode(F.split(F.trim("tidy"), " ?\n ?")).alias("pos", "line")).where("line <> ''")
     return rows.select(
         "id",
         "body",
-        F.xxhash64(F.coalesce(F.col("host"), F.lit("")), F.col("host").isNull(), F.col("line")).alias("key"),
+        "doc",
+        "host",
+        F.xxhash64("host", "line").alias("key"),
         "pos",
         (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("words"),
     )
 
 
-def frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
-    """Places of lines that more than ``max_docs`` different documents of their host have: id, body, pos, words.
+def frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, max_share: float = MAX_SHARE_OF_HOST) -> DataFrame:
+    """Places of lines that more than ``max_docs`` documents, and more than ``max_share`` of the documents, of their host have: id, body, pos, words.
 
-    Documents with equal texts count once, so that a group of copies is not taken for boilerplate: that is the
-    work of deduplication. The document with the smallest id that has the line keeps it.
-    Counts are partial sums before their shuffle. Only lines that occur often enough to qualify at all are
-    then counted by document.
+    Counts are partial sums before their shuffle. Only lines that occur often enough to qualify at all are then counted
+    by document; a line that a document has twice counts once.
     """
     prepare(docs.sparkSession)
     lines = _lines(docs, doc_id, text, host)
     often = lines.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("key").checkpoint()
     few = often.count() <= BROADCAST_LINES
     hits = lines.join(F.broadcast(often) if few else often, "key")
-    per_text = hits.groupBy("key", "body").agg(F.min("id").alias("id"))
-    limits = per_text.groupBy("key").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") > max_docs).select("key", "first")
+    counts = hits.select("key", "host", "doc").distinct().groupBy("key", "host").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
+    hosts = docs.select(_host(F.col(host)).alias("host"), _document(F.col(doc_id), whole(text)).alias("doc")).distinct().groupBy("host").agg(F.count("*").alias("of"))
+    limits = counts.join(hosts, "host").where(F.col("docs") > max_share * F.col("of")).select("key")
     places = hits.join(F.broadcast(limits) if few else limits, "key")
-    return places.where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "body", "pos", "words").distinct()
+    return places.select("id", "body", "pos", "words").distinct()
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_share: float = MIN_SHARE_LEFT) -> DataFrame:
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_share: float = MIN_SHARE_LEFT, max_share: float = MAX_SHARE_OF_HOST) -> DataFrame:
     """One row per document: its id, the counts, base_failed, words_removed and kept.
 
     Null or empty text: all counts 0 and base_failed (too few words). Null host: a host of its own.
@@ -117,7 +127,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     An empty table gives an empty result; other columns of ``docs`` are not read.
     """
     counts = text_counts(docs.select(F.col(doc_id).alias("id"), F.xxhash64(whole(text)).alias("body"), F.col(text).alias("_raw")), "_raw").drop("_raw")
-    removed = frequent_lines(docs, doc_id, text, host, max_docs).groupBy("id", "body").agg(F.sum("words").alias("gone"))
+    removed = frequent_lines(docs, doc_id, text, host, max_docs, max_share).groupBy("id", "body").agg(F.sum("words").alias("gone"))
     same = counts["id"].eqNullSafe(removed["id"]) & (counts["body"] == removed["body"])
     both = counts.join(removed, same, "left").select(counts["*"], F.coalesce(removed["gone"], F.lit(0)).cast("long").alias("words_removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -135,9 +145,12 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     )
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_share: float = MIN_SHARE_LEFT) -> DataFrame:
-    """``docs`` without the documents that :func:`judge` rejects and without the lines above the limit, columns as before."""
-    gone = frequent_lines(docs, doc_id, text, host, max_docs).groupBy("id", "body").agg(F.collect_set("pos").alias("places"), F.sum("words").alias("gone")).withColumnRenamed("id", "_id").withColumnRenamed("body", "_body")
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_share: float = MIN_SHARE_LEFT, max_share: float = MAX_SHARE_OF_HOST) -> DataFrame:
+    """``docs`` without the documents that :func:`judge` rejects and without the lines above the limits, columns as before.
+
+    Null and empty texts go (too few words); null ids and hosts, repeated rows and long texts as in :func:`judge`.
+    """
+    gone = frequent_lines(docs, doc_id, text, host, max_docs, max_share).groupBy("id", "body").agg(F.collect_set("pos").alias("places"), F.sum("words").alias("gone")).withColumnRenamed("id", "_id").withColumnRenamed("body", "_body")
     counted = text_counts(docs.select(packed(docs), F.col(doc_id).alias("_doc"), F.xxhash64(whole(text)).alias("_key"), F.col(text).alias("_raw")), "_raw")
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_body"))
     both = counted.join(gone, same, "left")
