@@ -13,13 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidlens.llm.components import connect
 from bidlens.llm.tables import written
-from bidlens.llm.text import unused, whole
+from bidlens.llm.text import packed, unpacked, unused, whole
 from bidlens.session import prepare
 
 BITS = 64
@@ -172,6 +172,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 # Similar texts: shingle sets, exactly
 
 
+#: Wide fingerprints of shingle sets: longs, segments of 16 bits, and the length of the chains that are tried before all bits.
+WIDE, WIDE_SEGMENTS, WIDE_CHAIN = 4, 16, 8
 #: Documents drawn to learn which shingles are frequent, and how many of these are sent to the tasks. They only order the shingles.
 SAMPLE_DOCUMENTS, FREQUENT = 20_000, 100_000
 #: Members of a key that one task holds against another such block.
@@ -188,6 +190,50 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
 
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """``WIDE`` longs: a bit is 1 if it is set in over half of the shingles' hashes, each mixed anew for each long."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(shingles), 4096):
+        h = shingles[at : at + 4096]
+        mixed = np.empty((len(h), WIDE), np.uint64)
+        for k in range(WIDE):
+            x = (h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            mixed[:, k] = x ^ (x >> np.uint64(32))
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)
+
+
+def wide_budget(similarity: float, deviations: float = 7) -> int:
+    """Bits of the wide fingerprints in which sets of that Jaccard similarity differ at most.
+
+    A bit differs with the probability angle / pi, the cosine being 2s / (1 + s) for sets of like size. At 0.8 that is 39
+    bits of 256 with a deviation of 6, and the budget is 78: no pair of 0.8 goes, and those below about 0.4 do.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * WIDE
+    return int(np.ceil(bits * p + deviations * np.sqrt(bits * p * (1 - p))))
+
+
+def keeps_to_budget(a: Column, b: Column, most: int) -> Column:
+    """Pigeonring on two wide fingerprints: from some segment on, each chain up to ``WIDE_CHAIN`` segments keeps to its share of ``most``; then all bits."""
+    differing = F.flatten(F.array(*[F.transform(F.array(*[F.shiftrightunsigned(F.get(a, k).bitwiseXOR(F.get(b, k)), 16 * j) for j in range(4)]), lambda x: F.bit_count(x.bitwiseAND(F.lit(0xFFFF).cast("long")))) for k in range(WIDE)]))
+
+    def chained(d: Column) -> Column:
+        ring_ = F.concat(d, F.slice(d, 1, WIDE_CHAIN - 1))
+
+        def holds(start: Column) -> Column:
+            sums, out = F.lit(0), F.lit(True)
+            for length in range(1, WIDE_CHAIN + 1):
+                sums = sums + F.get(ring_, start + length - 1)
+                out = out & (sums <= length * most // WIDE_SEGMENTS)
+            return out
+
+        return F.exists(F.sequence(F.lit(0), F.lit(WIDE_SEGMENTS - 1)), holds) & (F.aggregate(d, F.lit(0), lambda x, y: x + y) <= most)
+
+    return F.get(F.transform(F.array(differing), chained), F.lit(0))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
@@ -198,22 +244,23 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """id, a digest of the shingle set, its size, and its prefix in the order of frequency (as far as known) and hash."""
+    """id, a digest of the shingle set, its size, its wide fingerprint, and its prefix in the order of frequency (as far as known) and hash."""
     known, times = frequent
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            digests, sizes, made = [], [], []
+            digests, sizes, prints, made = [], [], [], []
             for text in part.column("text").to_pylist():
                 s = shingle_set(text, words)
                 place = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
                 often = np.where(known[place] == s, times[place], 0) if len(known) else np.zeros(len(s), np.int64)
                 digests.append(xxhash.xxh128_digest(s.tobytes()))
                 sizes.append(len(s))
+                prints.append(wide_fingerprint(s))
                 made.append(s[np.lexsort((s, often))[: prefix_length(len(s), similarity)]].view(np.int64))
             ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], ["id", "body", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64())), lists], ["id", "body", "size", "print", "prefix"])
 
 
 def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,38 +299,53 @@ def _similar(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per id: id and component_id, for texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Exact at every number of texts: of two similar sets in one order, the prefixes share a shingle. Frequent shingles
-    come last in that order, so that few texts share one. What shares one is held first against the least and the
-    greatest id there. Then all members of a shingle that are not yet in one component are held against each other, in
-    blocks, so that no task has all of a frequent one. Each candidate is decided by the whole sets. Equal sets are one from the start.
-    Texts without words are alike. Null ids are left out.
+    Exact at every number of texts. Fingerprints alone can't tell 0.8 (pairs at it differ in 39 bits of 256, give or take 6),
+    and keys of equal segments miss more pairs the more texts there are; so
+
+    1. pairs meet at a shingle: of two similar sets in one order, the prefixes share one. Frequent shingles come last in that
+       order, so that few texts share one. What shares one is held first against the least and the greatest id there. Then
+       all members of a shingle that are not yet in one component are held against each other, in blocks, so that no task has
+       all of a frequent one;
+    2. wide SimHash fingerprints prune them by pigeonring: chains of segments within their budgets, then all bits;
+    3. what is left is decided by the whole sets.
+
+    Equal sets are one from the start. Null, empty and blank texts are alike. Null ids are left out; repeated rows do no
+    harm; very long texts are compared whole.
     """
     spark = prepare(docs.sparkSession).sparkContext
     rows = docs.select(F.col(doc_id).alias("id"), whole(text).alias("text")).where("id is not null")
     sent = spark.broadcast(_frequent(rows, words))
-    kinds = T.StructType([rows.schema["id"], T.StructField("body", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    kinds = T.StructType([rows.schema["id"], T.StructField("body", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("print", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
     wide = written(rows.mapInArrow(lambda it: _prefixes(it, words, similarity, sent.value), kinds), "prefixes")
     same = wide.select("id", "body")
     firsts = same.groupBy("body").agg(F.min("id").alias("first")).checkpoint()
     one = wide.join(firsts.withColumnRenamed("first", "id"), ["body", "id"], "left_semi").dropDuplicates(["body", "id"])
+    prints = one.groupBy("id").agg(F.first("print").alias("print"))
+
+    def pruned(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(prints.toDF("a", "print_a"), "a").join(prints.toDF("b", "print_b"), "b")
+        return both.where(keeps_to_budget(F.col("print_a"), F.col("print_b"), wide_budget(similarity))).select("a", "b")
+
     keyed = one.select("id", "size", F.posexplode("prefix").alias("pos", "key"))
-    by_key = Window.partitionBy("key")
     member = F.struct("id", "size", "pos")
-    met = written(keyed.select("key", "id", "size", "pos", F.count("*").over(by_key).alias("n"), F.min(member).over(by_key).alias("low"), F.max(member).over(by_key).alias("high")).where("n > 1"), "met")
+    ends_of = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(member).alias("low"), F.max(member).alias("high")).where("n > 1")
+    met = written(keyed.join(ends_of, "key").select("key", "id", "size", "pos", "n", "low", "high"), "met")
     ends = met.select(F.struct("id", "size", "pos").alias("m"), F.explode(F.array("low", "high")).alias("e"))
     near = written(ends.where((F.col("m.id") != F.col("e.id")) & _may_be_similar("m", "e", similarity)).select(*_pair(F.col("m.id"), F.col("e.id"))).distinct(), "near")
-    links_ = _similar(near, rows, words, similarity)
+    links_ = _similar(written(pruned(near), "near-pruned"), rows, words, similarity)
 
     inner = met.where((F.col("n") > 3) & (F.col("id") != F.col("low.id")) & (F.col("id") != F.col("high.id"))).select("key", "id", "size", "pos")
     so_far = connect(links_, "a", "b").withColumnRenamed("component", "part")
-    placed = inner.join(so_far, "id", "left").select("key", "id", "size", "pos", F.coalesce("part", "id").alias("part"))
-    mixed = written(placed.select("*", F.count("*").over(by_key).alias("n"), (F.min("part").over(by_key) < F.max("part").over(by_key)).alias("apart")).where("apart").drop("apart"), "mixed")
+    placed = written(inner.join(so_far, "id", "left").select("key", "id", "size", "pos", F.coalesce("part", "id").alias("part")), "placed")
+    apart_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("one"), F.max("part").alias("other")).where("one < other").select("key", "n")
+    mixed = written(placed.join(apart_, "key"), "mixed")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     x = mixed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
     y = mixed.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("y")
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & _may_be_similar("x", "y", similarity)
     more = written(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & apart).select(*_pair(F.col("x.id"), F.col("y.id"))).distinct(), "more")
-    parts_ = connect(links_.union(_similar(more.join(near, ["a", "b"], "left_anti"), rows, words, similarity)), "a", "b")
+    left = written(pruned(more.join(near, ["a", "b"], "left_anti")), "more-pruned")
+    parts_ = connect(links_.union(_similar(left, rows, words, similarity)), "a", "b")
     groups_ = firsts.join(parts_, firsts["first"] == parts_["id"], "left").select("body", F.coalesce("component", "first").alias("component_id"))
     return same.join(groups_, "body").select(F.col("id").alias(doc_id), "component_id")
 
@@ -291,11 +353,19 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of similar texts, that of the least id; columns as before.
 
-    Of repeated rows with that id, one stays. Rows with a null id are kept: nothing names them.
+    Rows of one id are one document: of its equal texts one row stays, the first by its JSON; other texts of it stay,
+    as nothing tells which is meant. Rows with a null id are kept: nothing names them. Null and empty texts are alike,
+    so one of them stays.
     """
     first = similar_groups(docs, doc_id, text, words, similarity).select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(first, docs[doc_id] == first["_keep"], "left_semi").dropDuplicates([doc_id])
-    return kept.union(docs.where(F.col(doc_id).isNull()))
+    rows = docs.select(packed(docs), F.col(doc_id).alias("_id"), F.xxhash64(whole(text)).alias("_body"))
+    kept = rows.join(first, rows["_id"] == first["_keep"], "left_semi")
+    several = kept.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id").checkpoint()
+    one = kept.where(F.col("_id").isNotNull()).select("_row")
+    if not several.isEmpty():
+        of_many = kept.join(several, "_id", "left_semi").groupBy("_id", "_body").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+        one = kept.join(several, "_id", "left_anti").select("_row").union(of_many.select("_row"))
+    return one.union(rows.where("_id is null").select("_row")).select(*unpacked(docs.columns))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -449,6 +449,28 @@ def test_limit_is_exact(spark):
     assert sum(i != c for i, c in got.items()) == want and 10 < want < 110
 
 
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    rows = [(1, PASSAGE, "b", {"k": 1}), (1, PASSAGE, "a", {"k": 2}), (1, "another text of the same id, with words of its own", "a", None), (2, PASSAGE, "c", None), (3, None, "c", None), (4, " ", "c", None), (None, PASSAGE, "d", None)]
+    left = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string, _row string, m map<string,int>")).select("doc_id", "text", "_row").collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [rows[1][:3], rows[2][:3], rows[4][:3], rows[6][:3]]))
+
+
+def test_no_similar_pair_is_pruned_and_strangers_are(spark):
+    r = np.random.default_rng(6)
+    pairs, most = [], simhash.wide_budget(0.8)
+    for k in range(600):
+        n = int(r.integers(4, 400))
+        base = r.integers(1, 1 << 63, n).astype(np.uint64)
+        swap = int(n / 9) if k % 2 else n  # a ninth of each changed leaves 0.8
+        other = np.unique(np.concatenate([base[swap:], r.integers(1, 1 << 63, swap).astype(np.uint64)]))
+        pairs.append((k, simhash.wide_fingerprint(np.unique(base)).tolist(), simhash.wide_fingerprint(other).tolist()))
+    frame = spark.createDataFrame(pairs, "k int, a array<bigint>, b array<bigint>")
+    left = {x[0] for x in frame.where(simhash.keeps_to_budget(frame["a"], frame["b"], most)).select("k").collect()}
+    differ = {k: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True)) for k, a, b in pairs}
+    assert left == {k for k, d in differ.items() if d <= most}
+    assert all((k in left) == bool(k % 2) for k in range(600))
+
+
 # 7
 
 
