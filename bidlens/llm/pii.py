@@ -1,11 +1,13 @@
 """Personal data: patterns, and a skip-chain conditional random field that carries their labels through a document.
 
 Nodes are the words that have a digit or an @; all other words are known to be outside. A node has a potential from its
-form. Neighbouring words are joined by chain edges, and words of equal content (punctuation and case aside), however far
-apart, by skip edges. What a pattern has found is observed. Loopy message passing then labels the other nodes: a number
-that was written in full once is known where it stands alone, too.
+form. Neighbouring words are joined by chain edges, and words of equal or similar content, however far apart, by skip
+edges: equal but for punctuation and case, the same last seven digits, the part of an address before its @, the last four
+digits of a long number. What a pattern has found is observed. Loopy message passing then labels the other nodes: a
+number that was written in full once is known where it stands in part, too.
 
-The potentials are fitted piece by piece on a bounded sample, whose labels are those of the patterns.
+The potentials are fitted piece by piece on a bounded sample, whose labels are those of the patterns. A node that no
+pattern has found, though it is joined by a skip edge to one that a pattern has, counts as unknown there, not as outside.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: Label 0 is outside, label k + 1 is KINDS[k].
 LABELS = len(KINDS) + 1
 
-#: Documents in the sample that potentials are fitted on, about, and its nodes at most. Bounds of the fit alone.
+#: Documents in the sample that potentials are fitted on, about. A bound of the fit alone.
 FIT_DOCUMENTS = 20_000
-FIT_NODES = 200_000
+#: Skip edges that agree and that don't, as many as are taken to have been seen before the sample.
+AGREEING = np.array([19.0, 1.0])
 #: A node is reported from this marginal probability on.
 CONFIDENT = 0.9
 ROUNDS, DAMPING, SETTLED = 30, 0.5, 1e-4
@@ -143,19 +146,50 @@ def nodes_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     return base, places, labels
 
 
+def keys_of(word: str) -> list[str]:
+    """What a node is told by, the whole content first; nodes that share one are joined. Contents of under four characters tell nothing."""
+    content = OTHER_THAN_CONTENT.sub("", word).lower()
+    if content.lstrip("x").isdecimal():  # a masked number
+        content = content.lstrip("x")
+    out = [content] if len(content) >= 4 else []
+    named, at, _ = word.partition("@")
+    local = OTHER_THAN_CONTENT.sub("", named).lower()
+    if at and len(local) >= 4:
+        out.append(local)
+    if content.isdecimal() and len(content) > 7:
+        out.append(content[-7:])
+    if content.isdecimal() and len(content) >= 13:
+        out.append(content[-4:])
+    return out
+
+
 @dataclass
 class Graph:
-    """Nodes of one or more documents, without an edge between those of different documents."""
+    """Nodes of one or more documents, without an edge between those of different documents. ``like`` marks skip edges of similar content."""
 
     features: np.ndarray
     labels: np.ndarray
     outside: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    like: np.ndarray | None = None
+
+    def likes(self) -> np.ndarray:
+        return np.zeros(len(self.skip), bool) if self.like is None else self.like
+
+    def unknown(self) -> np.ndarray:
+        """Nodes without a label that a skip edge joins to one with a label."""
+        out = np.zeros(len(self.labels), bool)
+        seen = self.labels > 0
+        if len(self.skip):
+            a, b = self.skip.T
+            np.logical_or.at(out, a, seen[b])
+            np.logical_or.at(out, b, seen[a])
+        return out & ~seen
 
 
 def graph_of(texts: list[str], places: list[list[tuple[int, int]]], labels: list[list[int]]) -> Graph:
-    features, outside, chain, skip, n = [], [], [], [], 0
+    features, outside, chain, skip, like, n = [], [], [], [], [], 0
     for text, at in zip(texts, places, strict=True):
         last: dict[str, int] = {}
         end = len(text)
@@ -169,15 +203,18 @@ def graph_of(texts: list[str], places: list[list[tuple[int, int]]], labels: list
                 chain.append((n + k - 1, n + k))
             following = k + 1 < len(at) and bool(ASCII_SPACE.fullmatch(text, b, at[k + 1][0]))
             outside.append((not joined and a > 0) + (not following and b < end))
-            content = OTHER_THAN_CONTENT.sub("", word).lower()
-            if len(content) >= 4:
-                if content in last:
-                    skip.append((last[content], n + k))
-                last[content] = n + k
+            met = set()
+            for which, key in enumerate(keys_of(word)):
+                if key in last and last[key] not in met:
+                    other = text[slice(*at[last[key] - n])]
+                    met.add(last[key])
+                    skip.append((last[key], n + k))
+                    like.append(which > 0 or keys_of(other)[0] != key)
+                last[key] = n + k
         n += len(at)
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
     flat = np.array([x for part in labels for x in part], np.int64)
-    return Graph(np.array(features).reshape(-1, FEATURES), flat, np.array(outside, np.float64), pairs(chain), pairs(skip))
+    return Graph(np.array(features).reshape(-1, FEATURES), flat, np.array(outside, np.float64), pairs(chain), pairs(skip), np.array(like, bool))
 
 
 # The model
@@ -185,33 +222,35 @@ def graph_of(texts: list[str], places: list[list[tuple[int, int]]], labels: list
 
 @dataclass
 class Model:
-    """Potentials (logarithms): of forms and labels, of neighbouring labels, and of agreement across a skip edge."""
+    """Potentials (logarithms): of forms and labels, of neighbouring labels, and of labels across a skip edge of equal or of similar content."""
 
     form: np.ndarray
     chain: np.ndarray
-    skip: float
+    skip: np.ndarray
+    like: np.ndarray | None = None
 
     def unary(self, g: Graph) -> np.ndarray:
         return g.features @ self.form + g.outside[:, None] * self.chain[0]
 
 
-def fit(features: np.ndarray, labels: np.ndarray, chain: np.ndarray, outside: np.ndarray, agree: tuple[int, int], steps: int = 300, decay: float = 1e-3) -> Model:
-    """Piecewise: the forms by logistic regression, the chain by how much more often than by chance labels meet, skips by the odds that they agree.
+def fit(features: np.ndarray, labels: np.ndarray, times: np.ndarray, chain: np.ndarray, outside: np.ndarray, agree: np.ndarray, steps: int = 300, decay: float = 1e-3) -> Model:
+    """Piecewise: the forms by logistic regression, the chain by how much more often than by chance labels meet, skips by how often two labels of patterns agree.
 
-    ``chain`` counts pairs of neighbouring labels; ``outside`` counts, for each label, neighbours that are no nodes.
+    An edge that agrees gains what a label is rarer than that, so that a rare kind is carried as well as a frequent one.
+    Rows of ``features`` with their labels are distinct; ``times`` is how often each occurs. ``chain`` counts pairs of
+    neighbouring labels; ``outside`` counts, for each label, neighbours that are no nodes. ``agree`` counts skip edges
+    between two labels of patterns: in row 0 those of equal content, in row 1 of similar; those that agree, those that don't.
     """
     w = np.zeros((FEATURES, LABELS))
     if len(labels):
-        rows, at, n = np.unique(np.concatenate([features, labels[:, None]], axis=1), axis=0, return_inverse=True, return_counts=True)
-        x, y = rows[:, :-1], rows[:, -1].astype(np.int64)
-        weight = n / n.sum()
-        truth = np.eye(LABELS)[y]
+        weight = times / times.sum()
+        truth = np.eye(LABELS)[labels]
         velocity = np.zeros_like(w)
         for _ in range(steps):
-            z = x @ w
+            z = features @ w
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            velocity = 0.9 * velocity - 1.0 * (x.T @ ((p - truth) * weight[:, None]) + decay * w)
+            velocity = 0.9 * velocity - 1.0 * (features.T @ ((p - truth) * weight[:, None]) + decay * w)
             w += velocity
     counts = chain + chain.T + 1.0
     counts[0] += outside
@@ -219,8 +258,15 @@ def fit(features: np.ndarray, labels: np.ndarray, chain: np.ndarray, outside: np
     joint = counts / counts.sum()
     alone = joint.sum(1)
     meet = np.log(joint / alone[:, None] / alone[None, :])
-    odds = float(np.log((agree[0] + 1) / (agree[1] + 1)))
-    return Model(w, np.clip(meet, -3, 3), min(4.0, max(1.0, odds)))
+    share = (np.bincount(labels, times, LABELS) + 1) / (times.sum() + LABELS)
+    tables = []
+    for same, other in agree + AGREEING:
+        r = same / (same + other)
+        table = np.full((LABELS, LABELS), np.log(1 - r))
+        table[np.diag_indices(LABELS)] = np.log(r / share)
+        table[0, 0] = 0
+        tables.append(np.clip(table, -6, 8))
+    return Model(w, np.clip(meet, -3, 3), *tables)
 
 
 def marginals(model: Model, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
@@ -238,16 +284,16 @@ def marginals(model: Model, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
     source = np.concatenate([edges[:, 0], edges[:, 1]])
     target = np.concatenate([edges[:, 1], edges[:, 0]])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    is_skip = np.tile(np.arange(len(edges)) >= len(g.chain), 2)
-    agree = model.skip * np.eye(LABELS)
+    kind_of = np.tile(np.concatenate([np.zeros(len(g.chain), np.int64), 1 + g.likes()]), 2)
+    tables = (model.chain, model.skip, model.skip if model.like is None else model.like)
     message = np.zeros((len(source), LABELS))
     for _ in range(rounds):
         belief = own.copy()
         np.add.at(belief, target, message)
         out = belief[source] - message[back]
         new = np.empty_like(message)
-        for kind, table in ((True, agree), (False, model.chain)):
-            m = is_skip == kind
+        for kind, table in enumerate(tables):
+            m = kind_of == kind
             z = out[m][:, :, None] + table[None]
             top = z.max(1, keepdims=True)
             new[m] = (top + np.log(np.exp(z - top).sum(1, keepdims=True)))[:, 0]
@@ -301,18 +347,21 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, places, labels = nodes_of(text)
             if places:
                 g = graph_of([text], [places], [labels])
-                pairs = lambda e, y=g.labels: (LABELS * y[e[:, 0]] + y[e[:, 1]]).tolist()
+                known = ~g.unknown()
                 bits = (g.features @ (1 << np.arange(FEATURES))).astype(np.int64)
-                rows.append((key, bits.tolist(), g.labels.tolist(), g.outside.astype(np.int64).tolist(), pairs(g.chain), pairs(g.skip)))
+                a, b = (g.labels[e] for e in g.chain[known[g.chain].all(1)].T)
+                x, y = (g.labels[e] for e in g.skip.T)
+                both = (x > 0) & (y > 0)
+                rows.append((key, bits[known].tolist(), g.labels[known].tolist(), g.outside[known].astype(np.int64).tolist(), (LABELS * a + b).tolist(), (2 * g.likes() + (x != y))[both].tolist()))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "form", "label", "outside", "chain", "skip"])
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents: int = FIT_DOCUMENTS, most_nodes: int = FIT_NODES) -> Model:
-    """A model from about ``documents`` documents, chosen by a hash of id and text, and ``most_nodes`` of their nodes at most.
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents: int = FIT_DOCUMENTS) -> Model:
+    """A model from about ``documents`` documents, chosen by a hash of id and text, with all their nodes.
 
-    What comes to the driver are distinct forms with their counts: bounded by the sample, whatever the corpus.
+    What comes to the driver are distinct forms with their counts, whatever the number of nodes.
     The model depends on the rows alone, not on their order or partitions.
     """
     prepare(docs.sparkSession)
@@ -321,26 +370,23 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents
     keyed = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), whole(text).alias("text"))
     sample = keyed.where(F.pmod("key", F.lit(1 << 40)) < share)
     schema = "key bigint, form array<bigint>, label array<bigint>, outside array<bigint>, chain array<bigint>, skip array<bigint>"
-    rows = sample.mapInArrow(_evidence, schema).where(F.size("form") <= most_nodes)
-    parts = rows.select(
-        F.inline(F.flatten(F.array(
-            F.transform(F.arrays_zip("form", "label", "outside"), lambda x: F.struct(F.lit("node").alias("what"), x["form"].alias("form"), x["label"].alias("label"), x["outside"].alias("outside"))),
-            F.transform("chain", lambda x: F.struct(F.lit("chain").alias("what"), x.alias("form"), F.lit(0).cast("bigint").alias("label"), F.lit(0).cast("bigint").alias("outside"))),
-            F.transform("skip", lambda x: F.struct(F.lit("skip").alias("what"), x.alias("form"), F.lit(0).cast("bigint").alias("label"), F.lit(0).cast("bigint").alias("outside"))),
-        )))
-    ).groupBy("what", "form", "label", "outside").agg(F.count("*").alias("n"))
-    features, labels, chain, outside, agree = [], [], np.zeros((LABELS, LABELS)), np.zeros(LABELS), [0, 0]
-    for what, bits, y, free, count in sorted(map(tuple, parts.collect())):
+    rows = sample.mapInArrow(_evidence, schema)
+    zero = F.lit(0).cast("bigint")
+    coded = lambda what: F.transform(what, lambda x: F.struct(F.lit(what).alias("what"), x.alias("form"), zero.alias("label"), zero.alias("outside")))
+    nodes = F.transform(F.arrays_zip("form", "label", "outside"), lambda x: F.struct(F.lit("node").alias("what"), x["form"].alias("form"), x["label"].alias("label"), x["outside"].alias("outside")))
+    parts = rows.select(F.inline(F.flatten(F.array(nodes, coded("chain"), coded("skip"))))).groupBy("what", "form", "label", "outside").agg(F.count("*").alias("n"))
+    forms: dict[tuple[int, int], int] = {}
+    chain, outside, agree = np.zeros((LABELS, LABELS)), np.zeros(LABELS), np.zeros((2, 2))
+    for what, code, y, free, count in sorted(map(tuple, parts.collect())):
         if what == "node":
-            row = np.array([(bits >> k) & 1 for k in range(FEATURES)], np.float64)
-            features.append(np.tile(row, (min(count, most_nodes), 1)))
-            labels.append(np.full(min(count, most_nodes), y))
+            forms[code, y] = forms.get((code, y), 0) + count
             outside[y] += free * count
         elif what == "chain":
-            chain[bits // LABELS, bits % LABELS] += count
+            chain[code // LABELS, code % LABELS] += count
         else:
-            agree[int(bits // LABELS != bits % LABELS)] += count
-    return fit(np.concatenate(features) if features else np.zeros((0, FEATURES)), np.concatenate(labels) if labels else np.zeros(0, np.int64), chain, outside, (agree[0], agree[1]))
+            agree[code // 2, code % 2] += count
+    features = np.array([[(code >> k) & 1 for k in range(FEATURES)] for code, _ in forms], np.float64).reshape(-1, FEATURES)
+    return fit(features, np.array([y for _, y in forms], np.int64), np.array(list(forms.values()), np.float64), chain, outside, agree)
 
 
 def _label_rows(batches: Iterator[pa.RecordBatch], source: str, model: Model, confident: float) -> Iterator[pa.RecordBatch]:
@@ -381,4 +427,4 @@ def op2_pii_skip_chain(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["base"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))
