@@ -1,13 +1,16 @@
 """Embedding near-duplicates by a flat graph with robust pruning, built on overlapping shards.
 
 1. Equal vectors of a label become one. A bounded hash sample of them gives the centres of clusters.
-2. Each vector goes to the shards of its nearest centres, so shards overlap. In each shard a graph is built: of the
-   nearest in the shard, robust pruning keeps those that no kept neighbour is much nearer to.
+2. Each vector goes to the shards of its nearest centres, so shards overlap; large shards have centres of their own. In each
+   shard a graph is built by insertion: a greedy search in the graph so far finds a vector's candidates, and robust
+   pruning keeps those that no kept neighbour is much nearer to.
 3. Adjacency lists of one vector from several shards are joined, and the lists reach every shard that the vector is in.
 4. In each shard every member is searched for from the medoid and from itself; the range expands while all is in range.
    Cosines in double precision verify what was found.
 5. A bounded sample is held against all rows, in blocks. If recall is below the aim, shards overlap more; if it is still
-   below it with the largest overlap, all vectors of a label are compared, in blocks.
+   below it with the largest overlap, all vectors of a label are compared, in blocks. Large labels of which the sample
+   shows that a vector is linked to a hundredth or more of all are compared so from the start: listing the links found
+   there would cost more than comparing.
 """
 
 from __future__ import annotations
@@ -26,17 +29,21 @@ from bidlens.session import prepare
 LEAST_COSINE = 0.93
 #: Vectors to a centre, about, as long as MAX_CENTRES allows; and centres of all labels together, about (they are broadcast).
 SHARD = 400
-MAX_CENTRES = 16_384
+MAX_CENTRES = 4_096
 #: Shards that a vector is in at first; neighbours of a vector in the graph; nearest that are candidates; width of the beam; pruning factor.
 OVERLAP, DEGREE, POOL, BEAM, ALPHA = 3, 16, 32, 24, 1.2
-#: Edges of a vector to others drawn among ever more of the nearest, each time so many.
-LONGER = 8
+#: Edges of a vector to others drawn among those that its search has met; vectors of which the first graph is made.
+LONGER, FIRST = 8, 64
 #: Rows that a step of numpy takes together.
 AT_ONCE = 512
-#: Members of a shard, about; what is larger becomes several, one for each two of its blocks.
+#: Members of a shard, about; what is larger gets centres of its own, and what still is becomes several, one for each two of its blocks.
 LARGEST = 3_000
+#: Rows of a large shard that a task deals to its centres, about.
+DEALT = 20_000
 #: Queries of the audit, and the recall that it asks for.
 AUDIT, RECALL = 400, 0.98
+#: A label is dense if a vector is linked to this share of it, or more, on average.
+DENSE = 0.01
 
 
 # In a shard: x holds unit vectors, one a row
@@ -79,26 +86,65 @@ def medoid(x: np.ndarray) -> int:
 
 
 def build(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, longer: int = LONGER, alpha: float = ALPHA) -> np.ndarray:
-    """Adjacency, a row for each vector, -1 where there are fewer.
+    """Adjacency, a row for each vector, -1 where there are fewer. Vectors are inserted in random order, as many at a time as the graph has.
 
-    Candidates of a vector are its ``pool`` nearest in the shard, found a block of rows at a time, and pruned. In a tight
-    group of many near copies the nearest are the same few for all, so that the rest of the group has no edge to it.
-    Hence ``longer`` edges to vectors drawn among the 2 * pool nearest, the 4 * pool nearest, and so on to all, are kept besides.
+    A new vector's candidates are what a greedy search from the medoid meets in the graph so far; the pruned ones become its
+    edges. In a tight group of many near copies pruning leaves few edges, so ``longer`` more are drawn among what the search
+    has met. Edges go both ways: where a vector has no room left for those of new ones, all of its are pruned again.
     """
     n = len(x)
     draw = np.random.default_rng(n)
-    scales = [k for k in (pool << j for j in range(1, 64)) if k < 2 * n]
-    lists = []
-    for k in range(0, n, AT_ONCE):
-        rows = np.arange(k, min(n, k + AT_ONCE))
-        order = np.argsort(-(x[rows] @ x.T), axis=1)
-        drawn = [np.take_along_axis(order, draw.integers(0, min(n, top), (len(rows), longer)), 1) for top in scales]
-        lists.append(np.concatenate([robust_prune(x, rows, order[:, : pool + 1], degree, alpha), *drawn], axis=1))
-    graph = np.sort(np.concatenate(lists), axis=1)
-    graph[:, 1:][graph[:, 1:] == graph[:, :-1]] = -1
+    order = draw.permutation(n)
+    most = 2 * (degree + longer)
+    graph = np.full((n, most), -1)
+    filled = np.zeros(n, np.int64)
+    done = 0
+    while done < n:
+        rows = order[done : done + (min(FIRST, n) if done == 0 else min(done, AT_ONCE))]
+        if done == 0:
+            met = np.tile(rows, (len(rows), 1))
+        else:
+            entry = order[:done][np.argmin(((x[order[:done]] - x[order[:done]].mean(0)) ** 2).sum(1))]
+            met, _ = beam_search(x, graph, np.full((len(rows), 1), entry), rows, pool)
+        near = robust_prune(x, rows, met, degree, alpha)
+        drawn = np.take_along_axis(met, draw.integers(0, met.shape[1], (len(rows), longer)), 1)
+        new = np.sort(np.concatenate([near, drawn], axis=1), axis=1)
+        new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
+        new[new == rows[:, None]] = -1
+        new = np.sort(new, axis=1)[:, ::-1]
+        graph[rows, : new.shape[1]] = new
+        filled[rows] = (new >= 0).sum(1)
+        _link_back(x, graph, filled, np.repeat(rows, (new >= 0).sum(1)), new[new >= 0], draw, degree, alpha)
+        done += len(rows)
     return graph
 
 
+def _link_back(x: np.ndarray, graph: np.ndarray, filled: np.ndarray, source: np.ndarray, target: np.ndarray, draw: np.random.Generator, degree: int, alpha: float) -> None:
+    """The edges ``source`` to ``target`` the other way, too."""
+    by = np.argsort(target, kind="stable")
+    source, target = source[by], target[by]
+    known = (graph[target] == source[:, None]).any(1)
+    source, target = source[~known], target[~known]
+    if not len(target):
+        return
+    first = np.concatenate([[0], np.flatnonzero(np.diff(target)) + 1])
+    place = filled[target] + np.arange(len(target)) - np.repeat(first, np.diff(np.concatenate([first, [len(target)]])))
+    fits = place < graph.shape[1]
+    graph[target[fits], place[fits]] = source[fits]
+    np.maximum.at(filled, target[fits], place[fits] + 1)
+    full, times = np.unique(target[~fits], return_counts=True)
+    if len(full):
+        more = np.full((len(full), times.max()), -1)
+        more[np.repeat(np.arange(len(full)), times), np.concatenate([np.arange(t) for t in times])] = source[~fits]
+        every = np.concatenate([graph[full], more], axis=1)
+        kept = robust_prune(x, full, every, degree, alpha)
+        some = np.take_along_axis(every, np.argsort(np.where(every < 0, 2, draw.random(every.shape)), axis=1)[:, : graph.shape[1] - degree], 1)
+        both = np.sort(np.concatenate([kept, some], axis=1), axis=1)
+        both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+        graph[full] = np.sort(both, axis=1)[:, ::-1]
+        filled[full] = (graph[full] >= 0).sum(1)
+
+
 def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and distances of the ``width`` nearest that a greedy search meets for each query row. ``starts``: entry points of each."""
     n, width = len(queries), max(starts.shape[1], min(width, len(x)))
@@ -211,6 +257,35 @@ def assign(classes: DataFrame, centres: dict, overlap: int) -> DataFrame:
     return classes.select("id", "n", "label", "v").mapInPandas(near, kinds).withColumn("shard", F.explode("shards")).select("shard", "id", "n", "v")
 
 
+def refine(placed: DataFrame, overlap: int, largest: int | None = None, most: int | None = None) -> DataFrame:
+    """``placed`` (shard, id, n, v) with each shard of over ``largest`` dealt again, by centres that are drawn from it.
+
+    A large shard is dealt by several tasks, each of about ``DEALT`` of its rows and all of its centres, ``most`` at most.
+    """
+    largest, most = LARGEST if largest is None else largest, MAX_CENTRES if most is None else most
+    big = placed.groupBy("shard").agg(F.count("*").alias("of")).where(F.col("of") > largest).checkpoint()
+    if big.isEmpty():
+        return placed
+    rows = placed.join(big, "shard").withColumn("tasks", F.ceil(F.col("of") / DEALT).cast("int"))
+    unit = F.greatest(F.least(F.lit(SHARD), F.floor(F.col("of") / 8)), F.ceil(F.col("of") / most)).cast("long")
+    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), unit) == 0).select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "id", "v").toDF("of_shard", "of_task", "at", "v")
+    dealt = rows.select("shard", F.pmod(F.xxhash64("id", F.lit(6)), F.col("tasks")).cast("int").alias("task"), "id", "n", "v")
+
+    def deal(own: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return own[["shard", "id", "n", "v"]]
+        if centres.empty:
+            return own.assign(shard=own["shard"] + "|0")[["shard", "id", "n", "v"]]
+        c = _units(centres.sort_values("at")["v"])
+        best = np.concatenate([np.argsort(-(_units(own["v"].iloc[k : k + AT_ONCE]) @ c.T), axis=1, kind="stable")[:, :overlap] for k in range(0, len(own), AT_ONCE)])
+        at = np.repeat(np.arange(len(own)), best.shape[1])
+        names = own["shard"].to_numpy()[at] + "|" + best.ravel().astype(str)
+        return own[["id", "n", "v"]].iloc[at].assign(shard=names)[["shard", "id", "n", "v"]]
+
+    again = dealt.groupBy("shard", "task").cogroup(drawn.groupBy("of_shard", "of_task")).applyInPandas(deal, placed.select("shard", "id", "n", "v").schema)
+    return placed.join(big, "shard", "left_anti").select("shard", "id", "n", "v").union(again).checkpoint()
+
+
 def split(placed: DataFrame, largest: int | None = None) -> DataFrame:
     """``placed`` (shard, id, n, v) with shards of over ``largest`` cut into blocks, each two of which are a shard; and ``shards``, all of the class."""
     largest = LARGEST if largest is None else largest
@@ -231,28 +306,20 @@ def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "near": [ids[g[g >= 0]].tolist() for g in graph]})
 
 
-def _in_range(x: np.ndarray, most: float) -> list[np.ndarray]:
-    """For each row all those within the squared distance ``most``, by comparison with every row."""
-    return [np.flatnonzero(d <= most) for k in range(0, len(x), AT_ONCE) for d in 2 - 2 * (x[k : k + AT_ONCE] @ x.T)]
-
-
 def _search_shard(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     """Links in a shard: per member the partners' rows that it meets here only, and one partner to hang on; besides, the pairs that
-    other shards may find, too, with the rows of both. Without a column ``near``, all are compared.
+    other shards may find, too, with the rows of both.
     """
     rows = rows.sort_values("id", ignore_index=True)
     exact = _units(rows["v"])
     x = exact.astype(np.float32)
     most = 2 - 2 * least + 1e-4
-    if "near" in rows:
-        place = {i: k for k, i in enumerate(rows["id"].tolist())}
-        lists = [[place[j] for j in near if j in place] for near in rows["near"]]
-        graph = np.full((len(rows), max(1, max(map(len, lists)))), -1)
-        for k, near in enumerate(lists):
-            graph[k, : len(near)] = near
-        found = range_search(x, graph, most)
-    else:
-        found = _in_range(x, most)
+    place = {i: k for k, i in enumerate(rows["id"].tolist())}
+    lists = [[place[j] for j in near if j in place] for near in rows["near"]]
+    graph = np.full((len(rows), max(1, max(map(len, lists)))), -1)
+    for k, near in enumerate(lists):
+        graph[k, : len(near)] = near
+    found = range_search(x, graph, most)
     shards, n, ids = [set(s) for s in rows["shards"]], rows["n"].to_numpy(), rows["id"].to_numpy()
     parent = list(range(len(rows)))
 
@@ -300,25 +367,51 @@ def _counted(shards: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 def search(classes: DataFrame, overlap: int, least: float = LEAST_COSINE) -> DataFrame:
     """id, links (rows in linked classes), hub (a class of the same component): several rows for one id, links to be summed."""
-    placed = split(assign(classes, centres_of(classes), overlap).checkpoint()).checkpoint()
+    placed = split(refine(assign(classes, centres_of(classes), overlap).checkpoint(), overlap)).checkpoint()
     edges = placed.groupBy("shard").applyInPandas(lambda rows: _build_shard(rows), T.StructType([classes.schema["id"], T.StructField("near", T.ArrayType(T.LongType()))]))
     graph = edges.select("id", F.explode("near").alias("one")).groupBy("id").agg(F.array_sort(F.collect_set("one")).alias("near"))
     full = placed.join(graph, "id", "left").select("shard", "id", "v", "n", "shards", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
     return _counted(full, classes, least)
 
 
-def compare_all(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """As ``search``, without a graph: all classes of a label and length are compared, two blocks in a task."""
-    placed = classes.select(F.concat_ws("/", "label", F.size("v").cast("string")).alias("shard"), "id", "n", "v")
-    return _counted(split(placed), classes, least)
+def _compare_blocks(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links between two blocks, or within one: per member the rows in range, and the least member that these links reach. No pair is listed."""
+    rows = rows.sort_values("id", ignore_index=True)
+    x, own = _units(rows["v"]), rows["block"].to_numpy()
+    hit = x @ x.T >= least
+    if (own != own[0]).any():
+        hit &= own[:, None] != own[None, :]
+    np.fill_diagonal(hit, False)
+    part = np.arange(len(rows), dtype=np.int32)
+    while True:
+        least_of = np.concatenate([np.where(hit[k : k + AT_ONCE], part[None, :], len(part)).min(1) for k in range(0, len(part), AT_ONCE)]).astype(np.int32)
+        new = np.minimum(part, least_of)
+        new = new[new]
+        if (new == part).all():
+            break
+        part = new
+    ids = rows["id"].to_numpy()
+    out = pd.DataFrame({"id": ids, "links": hit @ rows["n"].to_numpy().astype(np.int64), "hub": ids[part]})
+    return out[out["links"] > 0]
 
 
-def audit(classes: DataFrame, found: DataFrame, least: float = LEAST_COSINE, queries: int = AUDIT) -> float:
-    """Recall: links found of a bounded hash sample of classes, of those that comparing with all rows finds."""
+def compare_all(classes: DataFrame, least: float = LEAST_COSINE, largest: int | None = None) -> DataFrame:
+    """As ``search``, without a graph: all classes of a label and length are compared, two blocks of them in a task."""
+    largest = LARGEST if largest is None else largest
+    named = classes.select(F.concat_ws("/", "label", F.size("v").cast("string")).alias("shard"), "id", "n", "v")
+    sizes = named.groupBy("shard").agg(F.count("*").alias("of"))
+    cut = named.join(sizes, "shard").withColumn("blocks", F.ceil(2 * F.col("of") / largest).cast("int"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    each = cut.withColumn("other", other).select(F.concat_ws("/", "shard", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")).alias("shard"), "block", "id", "n", "v")
+    kinds = T.StructType([classes.schema["id"], T.StructField("links", T.LongType()), T.StructField("hub", classes.schema["id"].dataType)])
+    return each.groupBy("shard").applyInPandas(lambda rows: _compare_blocks(rows, least), kinds)
+
+
+def truth(classes: DataFrame, least: float = LEAST_COSINE, queries: int = AUDIT) -> DataFrame:
+    """For a bounded hash sample of classes: id, label and ``there``, the rows linked to it, by comparing with all rows."""
     asked = classes.orderBy(F.xxhash64("id", F.lit(7))).limit(queries).select("id", "label", "v").toPandas()
-    if asked.empty:
-        return 1.0
-    sent = classes.sparkSession.sparkContext.broadcast([(k, part["id"].to_numpy(), _units(part["v"])) for k, part in asked.groupby([asked["label"], asked["v"].map(len)])])
+    sent = classes.sparkSession.sparkContext.broadcast([(k, part["id"].to_numpy(), _units(part["v"])) for k, part in asked.groupby([asked["label"], asked["v"].map(len)])] if len(asked) else [])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -329,10 +422,14 @@ def audit(classes: DataFrame, found: DataFrame, least: float = LEAST_COSINE, que
                 if k in groups:
                     part = groups[k]
                     hit = (q @ _units(part["v"]).T >= least) & (ids[:, None] != part["id"].to_numpy()[None, :])
-                    yield pd.DataFrame({"id": ids, "there": hit @ part["n"].to_numpy().astype(np.int64)})
+                    yield pd.DataFrame({"id": ids, "label": k[0], "there": hit @ part["n"].to_numpy().astype(np.int64), "partners": hit.sum(1)})
+
+    kinds = T.StructType([classes.schema["id"], T.StructField("label", T.StringType()), T.StructField("there", T.LongType()), T.StructField("partners", T.LongType())])
+    return classes.select("id", "label", "v", "n").mapInPandas(compare, kinds).groupBy("id", "label").agg(F.sum("there").alias("there"), F.sum("partners").alias("partners")).checkpoint()
+
 
-    kinds = T.StructType([classes.schema["id"], T.StructField("there", T.LongType())])
-    there = classes.select("id", "label", "v", "n").mapInPandas(compare, kinds).groupBy("id").agg(F.sum("there").alias("there")).where("there > 0")
+def audit(there: DataFrame, found: DataFrame) -> float:
+    """Recall: links found of those that ``truth`` has."""
     both = there.join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").agg(F.sum("there"), F.sum(F.coalesce("links", F.lit(0)))).first()
     return 1.0 if not both[0] else both[1] / both[0]
 
@@ -348,15 +445,21 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     prepare(vectors.sparkSession)
     rows = keyed(vectors, vec_id, embedding, label)
     classes = rows.where("key is not null").groupBy("label", "key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")).checkpoint()
+    there = truth(classes, least)
+    sizes = classes.groupBy("label").agg(F.count("*").alias("of")).where(F.col("of") > 2 * SHARD)
+    dense = there.groupBy("label").agg(F.avg("partners").alias("partners")).join(sizes, "label").where(F.col("partners") >= DENSE * F.col("of")).select("label").checkpoint()
+    rest, there = classes.join(dense, "label", "left_anti").select(classes.columns).checkpoint(), there.join(dense, "label", "left_anti")
+    by_blocks = compare_all(classes.join(dense, "label", "left_semi").select(classes.columns), least)
     overlap = OVERLAP
     while True:
-        found = search(classes, overlap, least).checkpoint()
-        if audit(classes, found, least) >= RECALL:
+        found = search(rest, overlap, least).checkpoint()
+        if audit(there, found) >= RECALL:
             break
         if overlap >= 4 * OVERLAP:
-            found = compare_all(classes, least).checkpoint()
+            found = compare_all(rest, least)
             break
         overlap *= 2
+    found = found.union(by_blocks).checkpoint()
     parts = connect(found.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")), "a", "b")
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.join(counted, "id", "left").join(parts, "id", "left").select("label", "key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", F.col("id")).alias("component"))

@@ -689,3 +689,32 @@ def test_large_shards_are_cut_and_pairs_count_once(spark, monkeypatch):
     shards = vectors.split(vectors.assign(classes, {}, 3)).groupBy("shard").count().collect()
     assert len(shards) > 9 and max(r["count"] for r in shards) < 80
     assert sorted(r[:3] for r in map(tuple, vectors.near_duplicates(docs).collect())) == want
+
+
+def test_graph_by_insertion_reaches_what_is_in_range():
+    r = np.random.default_rng(4)
+    for n, groups, noise in ((900, 1, 0.2), (900, 30, 0.2), (900, 450, 0.2), (900, 1, 0.3)):
+        x = r.normal(size=(groups, 64))[r.integers(0, groups, n)] + noise * r.normal(size=(n, 64))
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        graph = vectors.build(x)
+        assert all(len(set(g[g >= 0])) == (g >= 0).sum() and k not in g for k, g in enumerate(graph))
+        found = vectors.range_search(x, graph, 2 - 2 * 0.93)
+        there = [np.flatnonzero(d <= 2 - 2 * 0.93) for d in 2 - 2 * (x @ x.T)]
+        assert sum(len(np.intersect1d(f, t)) for f, t in zip(found, there, strict=True)) >= 0.98 * sum(map(len, there))
+
+
+@pytest.mark.parametrize("vectors_", [(1_600, 200, 0.2), (2_000, 1, 0.25)])
+def test_recall_of_one_label_with_many_centres(spark, monkeypatch, vectors_):
+    """Shards scaled down, so that one label has as many centres as tens of thousands of vectors have; and one dense group."""
+    n, groups, noise = vectors_
+    monkeypatch.setattr(vectors, "SHARD", 8)
+    monkeypatch.setattr(vectors, "LARGEST", 60)
+    r = np.random.default_rng(12)
+    v = r.normal(size=(groups, 32))[r.integers(0, groups, n)] + noise * r.normal(size=(n, 32))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    there = (u @ u.T >= 0.93).sum() - n
+    searched, original = [], vectors.search
+    monkeypatch.setattr(vectors, "search", lambda classes, *a: searched.append(classes.count()) or original(classes, *a))
+    rows = vectors.near_duplicates(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>, label int")).collect()
+    assert searched[0] == (n if groups > 1 else 0)
+    assert 0.98 * there <= sum(x["n_links"] for x in rows) <= there
