@@ -1,78 +1,41 @@
-"""Full-text search in the users' syntax: words, "phrases", prefix*, AND, OR, NOT and parentheses. It becomes one column."""
+"""Full-text conditions as columns, to be combined with ``&``, ``|`` and ``~``. They hold on a text made by :func:`searchable`."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bidlens.functions.scalars import text_norm
 
-TOKEN = re.compile(r'\s*(?:"([^"]*)"|(\()|(\))|([\w]+\*?))')
 
+def searchable(text: Column) -> Column:
+    """The words of a text, without marks and in lower case, each between single spaces; null for null."""
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(text_norm(text), r"[^\p{L}\p{N}_]+", " ")), F.lit(" "))
 
-def tokens(text: Column) -> Column:
-    """Words of a text, without marks and in lower case."""
-    return F.filter(F.split(text_norm(text), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
 
-
-def _fold(word: str) -> str:
-    import unicodedata
-
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
-
-
-def _term(words: str, joined: Column, phrase: bool) -> Column:
-    parts = [_fold(w) for w in re.findall(r"\w+", words)]
-    if not parts:
-        raise ValueError("an empty phrase")
-    tail = "" if words.endswith("*") and not phrase else " "
-    return joined.contains(" " + " ".join(parts) + tail)
+def _folded(words: str) -> list[str]:
+    plain = "".join(c for c in unicodedata.normalize("NFD", words.lower()) if not unicodedata.combining(c))
+    out = re.findall(r"\w+", plain)
+    if not out:
+        raise ValueError(f"no word in {words!r}")
+    return out
 
 
-def condition(query: str, words: str | Column) -> Column:
-    """The condition that ``query`` means for a text whose words (:func:`tokens`) are ``words``. Syntax errors raise ValueError."""
-    column = F.col(words) if isinstance(words, str) else words
-    joined = F.concat(F.lit(" "), F.array_join(column, " "), F.lit(" "))
-    parts, at = [], 0
-    query = query.strip()
-    while at < len(query):
-        m = TOKEN.match(query, at)
-        if not m or m.end() == at:
-            raise ValueError(f"can't read the query from {query[at:]!r} on")
-        at = m.end()
-        parts.append(("phrase", m[1]) if m[1] is not None else ("(", "(") if m[2] else (")", ")") if m[3] else (m[4] if m[4] in ("AND", "OR", "NOT") else "word", m[4]))
-    if not parts:
-        raise ValueError("an empty query")
+def phrase(text: Column, words: str) -> Column:
+    """Whether the text has these words, one after the other; a single word is a phrase, too."""
+    return text.contains(f" {' '.join(_folded(words))} ")
 
-    def alternatives(k: int) -> tuple[Column, int]:
-        left, k = conjunction(k)
-        while k < len(parts) and parts[k][0] == "OR":
-            right, k = conjunction(k + 1)
-            left = left | right
-        return left, k
 
-    def conjunction(k: int) -> tuple[Column, int]:
-        left, k = one(k)
-        while k < len(parts) and parts[k][0] not in ("OR", ")"):
-            negative = parts[k][0] == "NOT"
-            right, k = one(k + 1 if parts[k][0] in ("AND", "NOT") else k)
-            left = left & (~right if negative else right)
-        return left, k
+def prefix(text: Column, words: str) -> Column:
+    """As :func:`phrase`; the last word may go on."""
+    return text.contains(f" {' '.join(_folded(words))}")
 
-    def one(k: int) -> tuple[Column, int]:
-        kind, value = parts[k] if k < len(parts) else ("end", "")
-        if kind == "(":
-            inner, k = alternatives(k + 1)
-            if k >= len(parts) or parts[k][0] != ")":
-                raise ValueError("a parenthesis isn't closed")
-            return inner, k + 1
-        if kind in ("word", "phrase"):
-            return _term(value, joined, kind == "phrase"), k + 1
-        raise ValueError(f"a word is missing before {value!r}" if value else "a word is missing at the end")
 
-    out, end = alternatives(0)
-    if end < len(parts):
-        raise ValueError(f"can't read {parts[end][1]!r}")
-    return out
+def near(text: Column, one: str, other: str, most: int = 10) -> Column:
+    """Whether both words are there, in either order, with ``most`` words between them at most."""
+    (a,), (b,) = _folded(one), _folded(other)
+    between = rf" (?:[^ ]+ ){{0,{most}}}"
+    return text.rlike(f" {a}{between}{b} ") | text.rlike(f" {b}{between}{a} ")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidlens.functions.fence import fenced
 from bidlens.functions.scalars import company_key, window_end
+from bidlens.session import prepare
 
 
 def within(rows: DataFrame, as_of: str, months: int) -> DataFrame:
@@ -29,10 +31,12 @@ def windows(entry: DataFrame, as_of: str, months: tuple[int, ...] = (3, 6, 12, 2
 
 
 def awardees(entry: DataFrame, limit: int = 20) -> DataFrame:
-    """Companies by contracts, spellings of one name together; discarded notices count here."""
-    named = entry.where("awardee is not null").withColumn("company_key", company_key(F.col("awardee"))).where("company_key is not null")
+    """Companies by contracts, spellings of one name together; discarded notices count here. The key is made once for each spelling."""
+    prepare(entry.sparkSession)
+    pairs = entry.where("awardee is not null").groupBy("awardee", "buyer").agg(F.count("*").alias("n"), F.sum("money").alias("money")).checkpoint()
+    names = fenced(pairs.select("awardee").distinct(), {"company_key": company_key(F.col("awardee"))}).where("company_key is not null")
     longest = F.max_by("awardee", F.struct(F.length("awardee"), "awardee"))
-    rows = named.groupBy("company_key").agg(longest.alias("company"), F.count("*").alias("contracts"), F.sum("money").cast("double").alias("money"), F.countDistinct("buyer").alias("buyers"))
+    rows = pairs.join(names, "awardee").groupBy("company_key").agg(longest.alias("company"), F.sum("n").alias("contracts"), F.sum("money").cast("double").alias("money"), F.countDistinct("buyer").alias("buyers"))
     return rows.orderBy(F.col("contracts").desc(), F.col("money").desc(), "company_key").limit(limit)
 
 

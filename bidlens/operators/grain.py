@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidlens.functions.search import prefix, searchable
 from bidlens.session import prepare
 
 LIVE_STATES = ("previo", "publicada", "evaluacion")
@@ -44,6 +46,9 @@ class Filters:
     source: str | None = None
     min_amount: float | None = None
     after_id: int | None = None
+    words: tuple[str, ...] = ()
+    since: str | None = None
+    until: str | None = None
 
     def condition(self, as_of: str) -> Column:
         state, day = F.coalesce("review_state", F.lit("nuevo")), F.lit(as_of).cast("date")
@@ -62,6 +67,12 @@ class Filters:
             out &= F.col("budget") >= self.min_amount
         if self.after_id is not None:
             out &= F.col("notice_id") > self.after_id
+        for w in self.words:  # each begins a word of the title; marks and case aside
+            out &= prefix(searchable(F.col("title")), w)
+        if self.since:
+            out &= F.date_format("published", "yyyy-MM") >= self.since
+        if self.until:
+            out &= F.date_format("published", "yyyy-MM") <= self.until
         return out
 
 
@@ -73,6 +84,14 @@ def cases(rows: DataFrame, since: str | None = None, until: str | None = None) -
     return out
 
 
+def in_range(rows: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The rows, all of them, of the cases whose first publication is in the months given (yyyy-MM, both ends included)."""
+    for month in (since, until):
+        if month is not None and not re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", month):
+            raise ValueError(f"not a month: {month!r}")
+    return rows.join(cases(rows, since, until).select("case_key"), "case_key", "left_semi") if since or until else rows
+
+
 def ranks(values: DataFrame, value: str, percents: tuple[int, ...] = (25, 75)) -> DataFrame:
     """One row: n, median (mean of the middle two) and, per percent, the nearest rank (half to even).
 

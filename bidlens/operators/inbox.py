@@ -45,8 +45,8 @@ def count(entry: DataFrame, as_of: str, filters: Filters = Filters()) -> DataFra
 
 def header(entry: DataFrame, as_of: str, new_after: int) -> DataFrame:
     """All counters in one pass; each equals the length of the list with the same filters, but ``new_notices`` counts notices."""
-    on = lambda **f: F.countDistinct(F.when(Filters(**f).condition(as_of), F.col("case_key")))
-    return entry.agg(
+    on = lambda **f: F.bool_or(F.coalesce(Filters(**f).condition(as_of), F.lit(False)))
+    cases = entry.groupBy("case_key").agg(
         on().alias("all_cases"),
         on(live=True).alias("open_cases"),
         on(live=True, closing_days=7).alias("closing"),
@@ -54,6 +54,8 @@ def header(entry: DataFrame, as_of: str, new_after: int) -> DataFrame:
         on(review="descartado").alias("discarded"),
         F.count(F.when(Filters(after_id=new_after).condition(as_of), 1)).alias("new_notices"),
     )
+    counted = [F.count_if(c).alias(c) for c in ("all_cases", "open_cases", "closing", "followed", "discarded")]
+    return cases.agg(*counted, F.coalesce(F.sum("new_notices"), F.lit(0)).alias("new_notices"))
 
 
 def by_profile(matches: DataFrame, notices: DataFrame) -> DataFrame:

@@ -41,12 +41,43 @@ def upsert(old: DataFrame, new: DataFrame, key: str, fingerprint: str) -> DataFr
     return both.select(key, outcome.alias("outcome"))
 
 
-def versions(log: DataFrame, key: str, order: tuple[str, ...], state: str) -> DataFrame:
-    """Rows of ``log`` where the state of a key changes, with the state before; a state that the key had before isn't recorded again."""
-    line = Window.partitionBy(key).orderBy(*order)
-    changed = log.withColumn("previous", F.lag(state).over(line)).where(~F.col(state).eqNullSafe(F.col("previous")))
-    again = Window.partitionBy(key, state).orderBy(*order)
-    return changed.withColumn("rn", F.row_number().over(again)).where("rn = 1").drop("rn")
+def versions(log: DataFrame, key: str, order: tuple[str, ...], state: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``log`` where the state of a key or a field of ``also`` changes, with the state before (``previous``).
+
+    What a key had before in all these fields isn't recorded again.
+    """
+    line, what = Window.partitionBy(key).orderBy(*order), F.struct(state, *also)
+    rows = log.withColumns({"previous": F.lag(state).over(line), "_before": F.lag(what).over(line), "_what": what})
+    changed = rows.where(~F.col("_what").eqNullSafe(F.col("_before")))
+    again = Window.partitionBy(key, state, *also).orderBy(*order)
+    return changed.withColumn("rn", F.row_number().over(again)).where("rn = 1").drop("rn", "_before", "_what")
+
+
+def change_date(first: Column, published: Column, updated: Column) -> Column:
+    """The day that the source gives a version: the first by its publication, later ones by their update; the other where one is missing."""
+    return F.when(first, F.coalesce(published, updated)).otherwise(F.coalesce(updated, published))
+
+
+REVIEW_STATES = ("nuevo", "siguiendo", "descartado")
+
+
+def decide(decisions: DataFrame, notices: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``reviews`` (notice_id, state, reason) after ``decisions`` (the same, null meaning keep) on all notices of the case that each names.
+
+    One decision a case; states other than the known ones are an error when the rows are read.
+    """
+    known = F.col("state").isNull() | F.col("state").isin(*REVIEW_STATES)
+    valid = decisions.select("notice_id", F.when(known, F.col("state")).otherwise(F.raise_error(F.concat(F.lit("no review state: "), F.col("state")))).alias("_state"), F.col("reason").alias("_reason"))
+    keys = notices.select("notice_id", "case_key")
+    of_case = valid.join(keys, "notice_id").groupBy("case_key").agg(F.max("_state").alias("_state"), F.max("_reason").alias("_reason"))
+    touched = keys.join(of_case, "case_key").select("notice_id", "_state", "_reason", F.lit(True).alias("_new"))
+    both = reviews.join(touched, "notice_id", "full")
+    return both.select("notice_id", F.coalesce("_state", "state", F.when(F.col("_new"), "nuevo")).alias("state"), F.coalesce("_reason", "reason").alias("reason"))
+
+
+def inherit(new: DataFrame, notices: DataFrame, reviews: DataFrame) -> DataFrame:
+    """notice_id and state of notices of ``new`` whose case has a review: what comes in later takes the latest one along."""
+    return new.select("notice_id", "group_key").join(latest_reviews(reviews, notices), "group_key").select("notice_id", "state")
 
 
 def last_runs(log: DataFrame, source: str, run: str, ok: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import asdict, dataclass, field, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidlens.functions.fence import fenced
 from bidlens.functions.scalars import stem, text_norm
 
 LARGE_AMOUNT = 100_000
@@ -94,42 +95,82 @@ def _any(terms: Sequence[str], text: Column) -> Column:
     return out
 
 
-def evaluate(rows: DataFrame, p: Profile, text: str = "text_norm", region: str = "region", amount: str = "amount", source: str = "source", cpv: str = "cpv") -> DataFrame:
-    """``rows`` with verdict, score and reason under ``p``. ``text`` is normalised already.
-
-    In order: source, any term at all, exclusion, region (unknown passes), least amount (unknown passes), terms. Strong
-    terms accept, weak ones with a context; a CPV code adds to the score but never accepts alone.
-    """
-    t, m, r = F.col(text), F.col(amount), F.col(region)
-    strong, weak, context = _hits(p.strong, t), _hits(p.weak, t), _hits(p.context, t)
+def _parts(p: Profile, k: int, t: Column, cpv: Column) -> dict[str, Column]:
+    """What a verdict under ``p`` looks at, as columns with the number ``k`` in their names."""
     sieve = F.lit(False)
     for term in (*p.strong, *p.weak):
         sieve |= t.contains(term.strip())
-    prefixes = [cpv_prefix(c) for c in p.cpv]
-    coded = F.exists(cpv, lambda c: F.array_contains(F.transform(F.array(*map(F.lit, prefixes)), lambda x: c.startswith(x)), True)) if prefixes else F.lit(False)
-    one = rows.withColumns({"_strong": F.when(sieve, strong), "_weak": F.when(sieve, weak), "_context": F.when(sieve, context), "_coded": coded})
-    s, w, c = F.size("_strong"), F.size("_weak"), F.size("_context")
-    verdict = F.when(F.lit(bool(p.sources)) & ~F.col(source).isin(*p.sources), "source") if p.sources else F.when(F.lit(False), "source")
-    verdict = verdict.when(F.col("_strong").isNull() | (s + w == 0), "no term").when(_any(p.exclude, t), "excluded")
+    prefixes = F.array(*[F.lit(cpv_prefix(c)) for c in p.cpv]) if p.cpv else F.array().cast("array<string>")
+    coded = F.filter(cpv, lambda c: F.exists(prefixes, lambda x: c.startswith(x)))
+    hits = {name: F.when(sieve, _hits(terms, t)) for name, terms in (("strong", p.strong), ("weak", p.weak), ("context", p.context))}
+    return {f"_{name}{k}": c for name, c in (hits | {"coded": coded, "excluded": sieve & _any(p.exclude, t)}).items()}
+
+
+def _judged(p: Profile, k: int, region: Column, amount: Column, source: Column) -> tuple[Column, Column, Column]:
+    """Verdict, score and reason from the columns of :func:`_parts`."""
+    at = lambda name: F.col(f"_{name}{k}")
+    s, w, c = F.size(at("strong")), F.size(at("weak")), F.size(at("context"))
+    scoped = F.exists(F.array(*map(F.lit, p.sources)), lambda x: F.coalesce(source, F.lit("")).startswith(x)) if p.sources else F.lit(True)
+    verdict = F.when(~scoped, "source").when(at("strong").isNull() | (s + w == 0), "no term").when(at("excluded"), "excluded")
     if p.regions:
-        verdict = verdict.when(r.isNotNull() & ~r.isin(*p.regions), "region")
-    verdict = verdict.when(m < p.min_amount, "amount").when(s > 0, "accepted").when(c > 0, "accepted").otherwise("weak only")
-    score = F.when(s > 0, 3.0 + 0.5 * (s - 1)).otherwise(0.0) + F.when((w > 0) & (c > 0), 2.0).otherwise(0.0) + F.when(F.col("_coded"), 1.0).otherwise(0.0) + F.when(m >= LARGE_AMOUNT, 0.5).otherwise(0.0)
-    part = lambda name, column: F.when(F.size(column) > 0, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(column, 1, 3), ", ")))
-    reason = F.concat_ws("; ", part("strong", "_strong"), F.when(c > 0, part("weak", "_weak")))
+        verdict = verdict.when(region.isNotNull() & ~region.isin(*p.regions), "region")
+    verdict = verdict.when(amount < p.min_amount, "amount").when(s > 0, "accepted").when(c > 0, "accepted").otherwise("weak only")
+    both, coded, large = (w > 0) & (c > 0), F.size(at("coded")) > 0, F.coalesce(amount >= LARGE_AMOUNT, F.lit(False))
+    score = F.when(s > 0, 3.0 + 0.5 * (s - 1)).otherwise(0.0) + F.when(both, 2.0).otherwise(0.0) + F.when(coded, 1.0).otherwise(0.0) + F.when(large, 0.5).otherwise(0.0)
+    part = lambda name, ok: F.when(ok, F.concat(F.lit(f"{'cpv' if name == 'coded' else name}: "), F.array_join(F.slice(at(name), 1, 3), ", ")))
+    reason = F.concat_ws("; ", part("strong", s > 0), part("weak", both), part("context", both), part("coded", coded), F.when(large, "large amount"))
+    return verdict, score, reason
+
+
+def evaluate(rows: DataFrame, p: Profile, text: str = "text_norm", region: str = "region", amount: str = "amount", source: str = "source", cpv: str = "cpv") -> DataFrame:
+    """``rows`` with verdict, score and reason under ``p``. ``text`` is normalised already.
+
+    In order: source (by prefix; an unknown one is in no scope), any term at all, exclusion, region (unknown passes), least
+    amount (unknown passes), terms. Strong terms accept, weak ones with a context; a CPV code adds to the score but never
+    accepts alone.
+    """
+    one = fenced(rows, _parts(p, 0, F.col(text), F.col(cpv)))
+    verdict, score, reason = _judged(p, 0, F.col(region), F.col(amount), F.col(source))
     two = one.withColumn("verdict", verdict)
-    return two.withColumns({"score": F.when(F.col("verdict") == "accepted", score), "reason": F.when(F.col("verdict") == "accepted", reason)}).drop("_strong", "_weak", "_context", "_coded")
+    accepted = F.col("verdict") == "accepted"
+    return fenced(two, {"verdict": F.col("verdict"), "score": F.when(accepted, score), "reason": F.when(accepted, reason)}).select(*[c for c in rows.columns if c not in ("verdict", "score", "reason")], "verdict", "score", "reason")
 
 
-def matches(rows: DataFrame, profiles: Sequence[Profile], key: str, **columns: str) -> DataFrame:
-    """key, profile, score and reason of each acceptance under an active profile."""
-    out = None
-    for p in (p for p in profiles if p.active):
-        one = evaluate(rows, p, **columns).where("verdict = 'accepted'").select(key, F.lit(p.name).alias("profile"), "score", "reason")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+def matches(rows: DataFrame, profiles: Sequence[Profile], key: str, text: str = "text_norm", region: str = "region", amount: str = "amount", source: str = "source", cpv: str = "cpv") -> DataFrame:
+    """key, profile, score and reason of each acceptance under an active profile. The rows are read once for all profiles."""
+    active = [p for p in profiles if p.active]
+    if not active:
         raise ValueError("no profile is active")
-    return out
+    narrow = rows.select(key, *dict.fromkeys((text, region, amount, source, cpv)))
+    found = fenced(narrow, {c: x for k, p in enumerate(active) for c, x in _parts(p, k, F.col(text), F.col(cpv)).items()})
+    accepted = []
+    for k, p in enumerate(active):
+        verdict, score, reason = _judged(p, k, F.col(region), F.col(amount), F.col(source))
+        accepted.append(F.when(verdict == "accepted", F.struct(F.lit(p.name).alias("profile"), score.alias("score"), reason.alias("reason"))))
+    return found.select(key, F.inline(F.filter(F.array(*accepted), lambda x: x.isNotNull())))
+
+
+def reevaluate(stored: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """key, profile, change (created, updated, removed, same), score and reason of each pair that is stored or holds now.
+
+    A stored pair of a profile that isn't active any more has no match now, so it is removed.
+    """
+    old = stored.select(key, "profile", F.col("score").alias("_score"), F.col("reason").alias("_reason"), F.lit(True).alias("_was"))
+    both = now.select(key, "profile", "score", "reason", F.lit(True).alias("_is")).join(old, [key, "profile"], "full")
+    same = F.col("score").eqNullSafe(F.col("_score")) & F.col("reason").eqNullSafe(F.col("_reason"))
+    change = F.when(F.col("_was").isNull(), "created").when(F.col("_is").isNull(), "removed").when(same, "same").otherwise("updated")
+    return both.select(key, "profile", change.alias("change"), "score", "reason")
+
+
+def outcome(changes: DataFrame) -> DataFrame:
+    """Per profile how many pairs a run creates, updates and removes."""
+    n = lambda c: F.count(F.when(F.col("change") == c, 1)).alias(c)
+    return changes.groupBy("profile").agg(n("created"), n("updated"), n("removed"))
+
+
+def orphans(stored: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
+    """Stored matches of profiles that are gone, renamed or inactive."""
+    return stored.where(~F.col("profile").isin(*[p.name for p in profiles if p.active]))
 
 
 def preview(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -139,4 +180,7 @@ def preview(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def documents_as_notices(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", text_norm(F.col("text")).alias("text_norm"), F.col("lang").alias("region"), "source", F.col("n_chars").cast("double").alias("amount"), F.array(F.concat(F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("100000"))).alias("cpv"))
+    """Documents in the shape that rules read; ``src0`` stands for a source that is unknown."""
+    cpv = F.array(F.concat(F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("100000")))
+    rows = docs.select("doc_id", "text", F.col("lang").alias("region"), F.nullif("source", F.lit("src0")).alias("source"), F.col("n_chars").cast("double").alias("amount"), cpv.alias("cpv"))
+    return fenced(rows, {"text_norm": text_norm(F.col("text"))}).drop("text")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.functions import scalars, search
+from bidlens.functions.fence import fenced
 from bidlens.operators import analytics as A
 from bidlens.operators import expiries as E
 from bidlens.operators import inbox as I
 from bidlens.operators import reconcile as R
 from bidlens.operators import rules
-from bidlens.operators.grain import Filters, bins, entry, ranks
+from bidlens.operators.grain import Filters, bins, entry, in_range, ranks
 from bidlens.sources.adapter import AS_OF, NOTICES_SQL, matches, notices
 from bidlens.streaming import changes
 
@@ -24,6 +25,7 @@ MARK = 10_000_000
 
 PROFILE_A = rules.Profile("A", strong=("disgust", "licen"), weak=("tion", "ment"), context=("from", "ung"), exclude=("quel",), cpv=("80100000",), min_amount=500)
 PROFILE_B = rules.Profile("B", strong=("cion",), weak=("heit", "mit "), context=("ung",), exclude=("thsh",), cpv=("12100000",), regions=("de", "es"))
+PROFILE_S = rules.Profile("S", strong=("cion", "heit", "tion"), sources=("src1", "src7"))
 PROFILE_A2 = rules.Profile("A", strong=("disgust",), weak=("tion", "ment"), context=("from", "ung"), exclude=("quel",), min_amount=1000)
 
 
@@ -42,8 +44,7 @@ def _docs(spark, sf):
 
 
 def _words(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    return docs.select("doc_id", search.tokens(F.col("text")).alias("words"))
+    return fenced(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), {"words": search.searchable(F.col("text"))}).drop("text")
 
 
 def _events(spark, sf):
@@ -60,13 +61,13 @@ version AS (SELECT event_id, ts, key, state, previous FROM changed WHERE rn = 1)
 
 
 def _reviews(spark, sf):
-    """A review of one notice in seven cases, by the first lot's notice: what remains open is for propagation."""
-    n = notices(spark, sf).where("group_key is not null")
-    return n.where(F.pmod(F.col("group_key").cast("long"), F.lit(7)) == 0).where(F.pmod("notice_id", F.lit(1000)) <= 2).select("notice_id", F.when(F.pmod("notice_id", F.lit(2)) == 0, "siguiendo").otherwise("descartado").alias("state"), F.pmod("notice_id", F.lit(5)).alias("updated"))
+    """Reviews of the notices of the first two lots: what else a case has is open for propagation. The dearer lot was reviewed last."""
+    n = notices(spark, sf).where("group_key is not null and lot in ('1', '2')")
+    return n.select("notice_id", F.when(F.col("procedure") == "1-urgent", "siguiendo").otherwise("descartado").alias("state"), F.col("budget").alias("updated"))
 
 
-REVIEWS_SQL = """, rev AS (SELECT notice_id, group_key, CASE WHEN notice_id % 2 = 0 THEN 'siguiendo' ELSE 'descartado' END AS state, notice_id % 5 AS updated
-  FROM valued WHERE group_key IS NOT NULL AND group_key::BIGINT % 7 = 0 AND notice_id % 1000 <= 2),
+REVIEWS_SQL = """, rev AS (SELECT notice_id, group_key, CASE WHEN procedure = '1-urgent' THEN 'siguiendo' ELSE 'descartado' END AS state, budget AS updated
+  FROM valued WHERE group_key IS NOT NULL AND lot IN ('1', '2')),
 last AS (SELECT group_key, state FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY updated DESC, notice_id DESC) AS rn FROM rev) WHERE rn = 1) """
 
 CASES_SQL = ", cases AS (SELECT case_key, min(strftime(published, '%Y-%m')) AS month, max(money) AS money, max(score) AS score FROM entry GROUP BY case_key) "
@@ -74,7 +75,7 @@ CASES_SQL = ", cases AS (SELECT case_key, min(strftime(published, '%Y-%m')) AS m
 
 def _stats_sql(source: str, value: str) -> str:
     nth = lambda p: f"list_sort(list({value}))[round_even({p}::DOUBLE * (count({value}) - 1), 0)::INT + 1]"
-    return f"SELECT count({value}) AS n, median({value})::DOUBLE AS median, {nth(0.25)}::DOUBLE AS p25, {nth(0.75)}::DOUBLE AS p75 FROM {source}"
+    return f"SELECT count({value}) AS n, median({value}::DOUBLE) AS median, {nth(0.25)}::DOUBLE AS p25, {nth(0.75)}::DOUBLE AS p75 FROM {source}"
 
 
 def _bins_sql(source: str, value: str, cuts: tuple[int, ...]) -> str:
@@ -151,13 +152,15 @@ def _profile_sql(p: rules.Profile, tag: str = "") -> str:
     hits = lambda terms: "list_filter([" + ", ".join(f"CASE WHEN {_stem_sql(t)} THEN '{t}' END" for t in terms) + "]::VARCHAR[], lambda x: x IS NOT NULL)"
     region = f"WHEN region IS NOT NULL AND region NOT IN ({', '.join(repr(x) for x in p.regions)}) THEN 'region'" if p.regions else ""
     coded = " OR ".join(f"starts_with(cpv, '{rules.cpv_prefix(c)}')" for c in p.cpv) or "false"
-    return f"""hits{tag} AS (SELECT doc_id, region, amount, cpv, {hits(p.strong)} AS s, {hits(p.weak)} AS w, {hits(p.context)} AS c, {' OR '.join(_stem_sql(t) for t in p.exclude)} AS x FROM doc),
-judged{tag} AS (SELECT *, CASE WHEN len(s) + len(w) = 0 THEN 'no term' WHEN x THEN 'excluded' {region} WHEN amount < {p.min_amount} THEN 'amount' WHEN len(s) > 0 OR len(c) > 0 THEN 'accepted' ELSE 'weak only' END AS verdict,
+    scope = "WHEN NOT (" + " OR ".join(f"starts_with(coalesce(source, ''), '{x}')" for x in p.sources) + ") THEN 'source'" if p.sources else ""
+    return f"""hits{tag} AS (SELECT doc_id, region, amount, cpv, source, {hits(p.strong)} AS s, {hits(p.weak)} AS w, {hits(p.context)} AS c, {' OR '.join(_stem_sql(t) for t in p.exclude) or 'false'} AS x FROM doc),
+judged{tag} AS (SELECT *, CASE {scope} WHEN len(s) + len(w) = 0 THEN 'no term' WHEN x THEN 'excluded' {region} WHEN amount < {p.min_amount} THEN 'amount' WHEN len(s) > 0 OR len(c) > 0 THEN 'accepted' ELSE 'weak only' END AS verdict,
   CASE WHEN len(s) > 0 THEN 3.0::DOUBLE + 0.5::DOUBLE * (len(s) - 1) ELSE 0 END + CASE WHEN len(w) > 0 AND len(c) > 0 THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN {coded} THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN amount >= 100000 THEN 0.5::DOUBLE ELSE 0 END AS points,
-  concat_ws('; ', CASE WHEN len(s) > 0 THEN 'strong: ' || array_to_string(s[1:3], ', ') END, CASE WHEN len(w) > 0 AND len(c) > 0 THEN 'weak: ' || array_to_string(w[1:3], ', ') END) AS why FROM hits{tag})"""
+  concat_ws('; ', CASE WHEN len(s) > 0 THEN 'strong: ' || array_to_string(s[1:3], ', ') END, CASE WHEN len(w) > 0 AND len(c) > 0 THEN 'weak: ' || array_to_string(w[1:3], ', ') END,
+  CASE WHEN len(w) > 0 AND len(c) > 0 THEN 'context: ' || array_to_string(c[1:3], ', ') END, CASE WHEN {coded} THEN 'cpv: ' || cpv END, CASE WHEN amount >= 100000 THEN 'large amount' END) AS why FROM hits{tag})"""
 
 
-DOC_SQL = f"WITH doc AS (SELECT doc_id, {_norm_sql('text')} AS n, lang AS region, n_chars::DOUBLE AS amount, lpad((doc_id % 100)::VARCHAR, 2, '0') || '100000' AS cpv FROM documents), "
+DOC_SQL = f"WITH doc AS (SELECT doc_id, {_norm_sql('text')} AS n, lang AS region, nullif(source, 'src0') AS source, n_chars::DOUBLE AS amount, lpad((doc_id % 100)::VARCHAR, 2, '0') || '100000' AS cpv FROM documents), "
 SCALARS_SQL = """WITH p AS (SELECT p_partkey, p_size, p_name, p_type, p_retailprice FROM part)
 SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN round_even(p_size / 30.44, 2) WHEN 1 THEN p_size * 12.0 WHEN 2 THEN round_even(p_size / 4.35, 2) ELSE p_size END::DOUBLE AS months,
   (p_size * 1000 + 0.25)::DOUBLE AS amount, ('8053' || lpad(p_size::VARCHAR, 4, '0')) AS first_cpv, 1 + (p_size % 2)::BIGINT AS cpvs,
@@ -310,18 +313,19 @@ y AS (SELECT *, lag(fingerprint) OVER (PARTITION BY key ORDER BY seq) AS was FRO
     # Text and rules
     q["scalar_functions"] = (_scalars, SCALARS_SQL)
     q["text_normalized"] = (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(scalars.text_norm(F.col("text")), 256).alias("text_norm")), f"SELECT doc_id, sha256({_norm_sql('text')}) AS text_norm FROM documents")
-    for name, query, where in (
-        ("full_text_and", "The from", "contains(w, ' the ') AND contains(w, ' from ')"),
-        ("full_text_prefix", "licen*", "contains(w, ' licen')"),
-        ("full_text_phrase", '"on the" OR "of the"', "contains(w, ' on the ') OR contains(w, ' of the ')"),
-        ("full_text_not", "(que OR de) NOT la", "(contains(w, ' que ') OR contains(w, ' de ')) AND NOT contains(w, ' la ')"),
+    for name, condition, where in (
+        ("full_text_and", lambda w: search.phrase(w, "The") & search.phrase(w, "from"), "contains(w, ' the ') AND contains(w, ' from ')"),
+        ("full_text_prefix", lambda w: search.prefix(w, "licen"), "contains(w, ' licen')"),
+        ("full_text_phrase", lambda w: search.phrase(w, "on the") | search.phrase(w, "of the"), "contains(w, ' on the ') OR contains(w, ' of the ')"),
+        ("full_text_not", lambda w: (search.phrase(w, "que") | search.phrase(w, "de")) & ~search.phrase(w, "la"), "(contains(w, ' que ') OR contains(w, ' de ')) AND NOT contains(w, ' la ')"),
+        ("full_text_near", lambda w: search.near(w, "from", "the", 3), "regexp_matches(w, ' from ([^ ]+ ){0,3}the ') OR regexp_matches(w, ' the ([^ ]+ ){0,3}from ')"),
     ):
-        q[name] = (lambda s, d, x=query: _words(s, d).where(search.condition(x, "words")).select("doc_id"), TEXTS_SQL + f"SELECT doc_id FROM t WHERE {where}")
+        q[name] = (lambda s, d, x=condition: _words(s, d).where(x(F.col("words"))).select("doc_id"), TEXTS_SQL + f"SELECT doc_id FROM t WHERE {where}")
     q["stem_match"] = (
         lambda s, d: _docs(s, d).select("doc_id", scalars.stem(F.col("text_norm"), "cion").alias("cion"), scalars.stem(F.col("text_norm"), "mit ").alias("mit")),
         DOC_SQL + f"d AS (SELECT * FROM doc) SELECT doc_id, {_stem_sql('cion')} AS cion, {_stem_sql('mit ')} AS mit FROM d",
     )
-    for tag, p in (("a", PROFILE_A), ("b", PROFILE_B)):
+    for tag, p in (("a", PROFILE_A), ("b", PROFILE_B), ("sources", PROFILE_S)):
         q[f"profile_verdicts_{tag}"] = (lambda s, d, p=p: rules.evaluate(_docs(s, d), p).select("doc_id", "verdict"), DOC_SQL + _profile_sql(p) + " SELECT doc_id, verdict FROM judged")
     both = DOC_SQL + _profile_sql(PROFILE_A, "a") + ", " + _profile_sql(PROFILE_B, "b")
     all_ = " SELECT doc_id, 'A' AS profile, points::DOUBLE AS score, why AS reason FROM judgeda WHERE verdict = 'accepted' UNION ALL SELECT doc_id, 'B', points::DOUBLE, why FROM judgedb WHERE verdict = 'accepted'"
@@ -337,6 +341,61 @@ SELECT doc_id, 'A' AS profile, 'enter' AS change FROM (SELECT * FROM y EXCEPT SE
         lambda s, d: R.pending(s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("n_chars").alias("now"), F.when(F.col("doc_id") % 3 > 0, F.col("n_chars") - F.when(F.col("doc_id") % 3 == 1, 1).otherwise(0)).alias("evaluated")), "now", "evaluated").select("doc_id"),
         "SELECT doc_id FROM documents WHERE n_chars IS DISTINCT FROM CASE WHEN doc_id % 3 > 0 THEN n_chars - CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END END",
     )
+    # Months: cases whose first publication is in the range, with all their notices
+    since, until = "1996-03", "1997-10"
+    ranged = lambda s, d: in_range(_entry(s, d), since, until)
+    narrow = lambda sql: (n + ", whole AS (SELECT * FROM entry), within AS (SELECT case_key FROM whole GROUP BY case_key HAVING min(strftime(published, '%Y-%m')) " + f"BETWEEN '{since}' AND '{until}'), ranged AS (SELECT * FROM whole WHERE case_key IN (SELECT case_key FROM within)) " + sql.replace("FROM entry", "FROM ranged"))
+    q["calendar_months_ranged"] = (lambda s, d: A.calendar_months(ranged(s, d)), narrow(CASES_SQL + "SELECT month, count(*) AS cases FROM cases WHERE month IS NOT NULL GROUP BY month"))
+    q["amount_stats_ranged"] = (lambda s, d: ranks(A.amounts(ranged(s, d)), "money"), narrow(CASES_SQL + _stats_sql("cases", "money")))
+    q["amount_bins_ranged"] = (lambda s, d: bins(A.amounts(ranged(s, d)), "money", A.AMOUNT_CUTS), narrow(CASES_SQL + _bins_sql("cases", "money", A.AMOUNT_CUTS)))
+    q["discount_stats_ranged"] = (lambda s, d: ranks(A.discounts(ranged(s, d)).where(kept), "discount"), narrow(DISCOUNTS_SQL + _stats_sql("kept", "discount")))
+    q["bid_window_bins_ranged"] = (lambda s, d: bins(A.bid_windows(ranged(s, d)).where(kept), "days", A.BID_CUTS), narrow(BID_SQL + _bins_sql("kept", "days", A.BID_CUTS)))
+    q["buyers_top_ranged"] = (lambda s, d: A.buyers(ranged(s, d)), narrow("SELECT buyer, count(DISTINCT case_key) AS cases FROM entry GROUP BY buyer ORDER BY cases DESC, buyer LIMIT 8"))
+    q["portfolio_states_ranged"] = (lambda s, d: A.latest_states(ranged(s, d)), narrow("SELECT state, count(*) AS cases FROM (SELECT state, row_number() OVER (PARTITION BY case_key ORDER BY published DESC NULLS LAST, notice_id DESC) AS rn FROM entry) WHERE rn = 1 GROUP BY state"))
+    month = f"strftime(published, '%Y-%m') BETWEEN '{since}' AND '{until}'"
+    q["inbox_months"] = (lambda s, d: I.inbox(_every(s, d), AS_OF, Filters(since=since, until=until)), _inbox_sql(f"{OPEN} AND {month}", ORDERS["urgency"]))
+    q["inbox_search"] = (lambda s, d: I.inbox(_every(s, d), AS_OF, Filters(words=("Réd", "wid"))), _inbox_sql(f"{OPEN} AND contains(' ' || title, ' red') AND contains(' ' || title, ' wid')", ORDERS["urgency"]))
+    # Versions, re-evaluation, reviews
+    q["case_versions"] = (
+        lambda s, d: (lambda v: v.select("notice_id", "case_key", "state", "previous", R.change_date(F.col("previous").isNull(), F.col("published"), F.col("deadline")).alias("changed_on")))(
+            R.versions(notices(s, d), "case_key", ("notice_id",), "state", ("region", "procedure", "source"))),
+        n + """, lagged AS (SELECT *, lag(state) OVER l AS previous, lag({'s': state, 'r': region, 'p': procedure, 'f': source}) OVER l AS before FROM valued WINDOW l AS (PARTITION BY case_key ORDER BY notice_id)),
+changed AS (SELECT *, row_number() OVER (PARTITION BY case_key, state, region, procedure, source ORDER BY notice_id) AS rn FROM lagged WHERE before IS DISTINCT FROM {'s': state, 'r': region, 'p': procedure, 'f': source})
+SELECT notice_id, case_key, state, previous, CASE WHEN previous IS NULL THEN coalesce(published, deadline) ELSE coalesce(deadline, published) END AS changed_on FROM changed WHERE rn = 1""",
+    )
+    stored = lambda s, d: rules.matches(_docs(s, d), [PROFILE_A, PROFILE_B], "doc_id")
+    again = lambda s, d: rules.reevaluate(stored(s, d), rules.matches(_docs(s, d), [PROFILE_A2, PROFILE_S], "doc_id"), "doc_id")
+    four = DOC_SQL + ", ".join(_profile_sql(p, t) for p, t in ((PROFILE_A, "a"), (PROFILE_B, "b"), (PROFILE_A2, "c"), (PROFILE_S, "d")))
+    chosen = lambda pairs: " UNION ALL ".join(f"SELECT doc_id, '{name}' AS profile, points::DOUBLE AS score, why AS reason FROM judged{t} WHERE verdict = 'accepted'" for name, t in pairs)
+    four += f""", old AS ({chosen((("A", "a"), ("B", "b")))}), new AS ({chosen((("A", "c"), ("S", "d")))}),
+change AS (SELECT coalesce(new.doc_id, old.doc_id) AS doc_id, coalesce(new.profile, old.profile) AS profile, new.score, new.reason,
+  CASE WHEN old.doc_id IS NULL THEN 'created' WHEN new.doc_id IS NULL THEN 'removed' WHEN old.score = new.score AND old.reason = new.reason THEN 'same' ELSE 'updated' END AS change
+  FROM new FULL JOIN old ON old.doc_id = new.doc_id AND old.profile = new.profile) """
+    q["reevaluation_changes"] = (again, four + "SELECT doc_id, profile, change, score, reason FROM change")
+    q["reevaluation_counts"] = (lambda s, d: rules.outcome(again(s, d)), four + "SELECT profile, count(CASE WHEN change = 'created' THEN 1 END) AS created, count(CASE WHEN change = 'updated' THEN 1 END) AS updated, count(CASE WHEN change = 'removed' THEN 1 END) AS removed FROM change GROUP BY profile")
+    q["orphan_matches"] = (lambda s, d: rules.orphans(stored(s, d), [PROFILE_A2]).select("doc_id", "profile"), both + f" SELECT doc_id, profile FROM ({all_}) WHERE profile NOT IN ('A')")
+
+    def decided(s, d):
+        x = notices(s, d)
+        reviews = x.where("review_state is not null").select("notice_id", F.col("review_state").alias("state"), F.col("discard_reason").alias("reason"))
+        decisions = x.where("lot = '1' and procedure = '2-high'").select("notice_id", F.when(F.col("source") == "eu", "siguiendo").alias("state"), F.lit("seen").alias("reason"))
+        return R.decide(decisions, x, reviews)
+
+    q["reviews_of_cases"] = (
+        decided,
+        n + """, decision AS (SELECT case_key, max(CASE WHEN source = 'eu' THEN 'siguiendo' END) AS s FROM valued WHERE lot = '1' AND procedure = '2-high' GROUP BY case_key)
+SELECT notice_id, coalesce(s, review_state, 'nuevo') AS state, CASE WHEN decision.case_key IS NOT NULL THEN 'seen' ELSE discard_reason END AS reason
+FROM valued LEFT JOIN decision USING (case_key) WHERE review_state IS NOT NULL OR decision.case_key IS NOT NULL""",
+    )
+    q["reviews_inherited"] = (
+        lambda s, d: (lambda x: R.inherit(x.where("lot = '4'"), x, _reviews(s, d)))(notices(s, d)),
+        n + REVIEWS_SQL + "SELECT v.notice_id, last.state FROM valued v JOIN last ON v.group_key = last.group_key WHERE v.lot = '4'",
+    )
+    q["group_keys"] = (
+        lambda s, d: notices(s, d).select("notice_id", scalars.group_key(F.col("buyer"), F.col("group_key"), F.col("title"), F.col("source") == "eu", F.col("source"), F.col("notice_id").cast("string")).alias("group_key")),
+        n + r""", anchored AS (SELECT *, CASE WHEN source = 'eu' OR group_key IS NULL THEN left(regexp_replace(lower(title), '[^\p{L}\p{N}]', '', 'g'), CASE WHEN source = 'eu' THEN 80 ELSE 40 END) ELSE group_key END AS anchor FROM valued)
+SELECT notice_id, CASE WHEN anchor = '' THEN source || ':' || notice_id ELSE left(regexp_replace(lower(buyer), '[^\p{L}\p{N}]', '', 'g'), 40) || '|' || anchor END AS group_key FROM anchored""",
+    )
     return q
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -42,6 +43,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def _shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
     return named or f"file://{tempfile.mkdtemp(prefix='spark-bidlens-')}"
 
 

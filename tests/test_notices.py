@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bidlens.functions import scalars, search
 from bidlens.operators import analytics, inbox, reconcile, rules
-from bidlens.operators.grain import Filters, bins, entry, ranks
+from bidlens.operators.grain import Filters, bins, entry, in_range, ranks
 from bidlens.plans import registry
 from bidlens.sources import feeds
 from bidlens.sources.adapter import AS_OF, matches, notices
@@ -97,15 +97,38 @@ def test_fusion_is_idempotent(model):
     assert sorted(map(tuple, once.select("notice_id", "group_key").collect()), key=str) == sorted(map(tuple, reconcile.fuse(once, bucket).select("notice_id", "group_key").collect()), key=str)
 
 
-def test_search_syntax(spark):
-    rows = spark.createDataFrame([(1, "El Niño está aquí"), (2, "the tender of works"), (3, "tendering works, of the"), (4, None)], "id int, t string").select("id", search.tokens(F.col("t")).alias("w"))
-    find = lambda q: [r[0] for r in rows.where(search.condition(q, "w")).orderBy("id").collect()]
-    assert find("nino") == [1] and find("NIÑO AND esta") == [1]
-    assert find("tender*") == [2, 3] and find("tender") == [2] and find('"of the"') == [3]
-    assert find("works NOT tender") == [3] and find("(nino OR works) NOT tendering") == [1, 2]
-    for bad in ("", "(a", "a)", "AND", "a OR", '""', "a:b"):
+def test_search(spark):
+    rows = spark.createDataFrame([(1, "El Niño está aquí"), (2, "the tender of works"), (3, "tendering works, of the"), (4, None)], "id int, t string").select("id", search.searchable(F.col("t")).alias("w"))
+    w = F.col("w")
+    find = lambda c: [r[0] for r in rows.where(c).orderBy("id").collect()]
+    assert find(search.phrase(w, "nino")) == [1] and find(search.phrase(w, "NIÑO") & search.phrase(w, "esta")) == [1]
+    assert find(search.prefix(w, "tender")) == [2, 3] and find(search.phrase(w, "tender")) == [2] and find(search.phrase(w, "of the")) == [3]
+    assert find(search.phrase(w, "works") & ~search.phrase(w, "tender")) == [3]
+    assert find(search.near(w, "works", "tender", 1)) == [2] and find(search.near(w, "the", "works", 0)) == []
+    for bad in ("", '""', "-"):
         with pytest.raises(ValueError):
-            search.condition(bad, "w")
+            search.phrase(w, bad)
+
+
+def test_source_scope_is_by_prefix(spark):
+    rows = spark.createDataFrame([("national:tenders",), (None,), ("eu",)], "source string").selectExpr("source", "'ciber x' AS text_norm", "cast(null AS string) AS region", "cast(null AS double) AS amount", "array('7250') AS cpv", "1 AS k")
+    got = rules.evaluate(rows, rules.Profile("p", strong=("ciber",), sources=("national",))).select("source", "verdict").collect()
+    assert {r[0]: r[1] for r in got} == {"national:tenders": "accepted", None: "source", "eu": "source"}
+    assert rules.matches(rows, [rules.Profile("p", strong=("ciber",), cpv=("7250",))], "k").select("reason").first()[0] == "strong: ciber; cpv: 7250"
+
+
+def test_decisions_reach_the_case_and_keep_what_is_null(spark):
+    n = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "notice_id bigint, case_key string")
+    old = spark.createDataFrame([(2, "siguiendo", "mine"), (3, "descartado", "x")], "notice_id bigint, state string, reason string")
+    new = lambda *r: spark.createDataFrame(list(r), "notice_id bigint, state string, reason string")
+    assert sorted(map(tuple, reconcile.decide(new((1, None, "why")), n, old).collect())) == [(1, "nuevo", "why"), (2, "siguiendo", "why"), (3, "descartado", "x")]
+    with pytest.raises(Exception, match="no review state"):
+        reconcile.decide(new((1, "odd", None)), n, old).collect()
+
+
+def test_months_are_checked(model):
+    with pytest.raises(ValueError):
+        in_range(model[0], "1996-13")
 
 
 def test_profiles(spark):
