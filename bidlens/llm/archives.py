@@ -21,12 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidlens.llm.tables import written
 from bidlens.session import prepare, scratch
 
 #: Payloads of fewer bytes are stored with each page.
 MIN_REVISIT_BYTES = 1000
 #: Records in one archive file.
 RECORDS_PER_FILE = 1000
+#: Larger pages have archives of their own, of so many bytes of pages at most (or one page), as a file is read whole.
+LARGE_PAGE, FILE_BYTES = 250_000, 250_000_000
+#: Revisits are broadcast up to this many (about 70 bytes each), and joined by a shuffle beyond it.
+BROADCAST_REVISITS = 200_000
 FETCHED = "20240101000000"
 END = "\r\n\r\n"
 
@@ -206,9 +211,9 @@ READ_COLUMNS = ["key", "record_type", "record_id", "date", "url", "payload_bytes
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the WARC files below ``path``; payloads are held against their digests."""
+    """A row for each record of the WARC files below ``path``, in any folder; payloads are held against their digests."""
     prepare(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     schema = ", ".join(f"{c} {'bigint' if c == 'payload_bytes' else 'string'}" for c in READ_COLUMNS)
     return files.mapInArrow(_parse, schema)
 
@@ -221,18 +226,26 @@ def archive_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     responses. A null page is an empty payload, a null url ``about:blank``; a null id is written as an empty key and
     never revisits nor is revisited.
     """
+    prepare(pages.sparkSession)
     base = pages.select(F.col(page_id).cast("string").alias("id"), F.col(page_id).alias("n"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    base = base.withColumn("digest", F.when((F.octet_length("html") >= min_bytes) & F.col("n").isNotNull(), F.sha1(F.encode("html", "UTF-8"))))
-    groups = base.where("digest is not null").groupBy("digest").agg(F.max("n").alias("stored"), F.min("n").alias("least"))
-    shared = groups.where("least < stored").select(F.col("digest").alias("same"), "stored")
-    both = base.join(shared, base["digest"] == shared["same"], "left")
+    size = F.octet_length("html")
+    base = base.withColumn("digest", F.when((size >= min_bytes) & F.col("n").isNotNull(), F.sha1(F.encode("html", "UTF-8"))))
+    known = written(base.where("digest is not null").select("n", "digest"), "digests")
+    groups = known.groupBy("digest").agg(F.max("n").alias("stored"), F.min("n").alias("least")).where("least < stored")
+    # by page, not by digest: a page of which there are many copies is no burden, and pages don't move while the revisits are few
+    revisits = written(known.join(groups, "digest").where("n <> stored").select(F.col("n").alias("of"), F.col("digest").alias("same"), "stored").distinct(), "revisits")
+    few = revisits.count() <= BROADCAST_REVISITS
+    both = base.join(F.broadcast(revisits) if few else revisits, (F.col("n") == F.col("of")) & (F.col("digest") == F.col("same")), "left")
     version = F.when(F.crc32(F.coalesce("id", F.lit(""))) % 2 == 0, F.lit("1")).otherwise(F.lit("2"))
-    arcs = both.select(
-        F.coalesce("id", F.lit("")).alias("key"),
-        F.when(F.col("stored") != F.col("n"), F.col("stored").cast("string")).alias("refers_to"),
-        arc_text(F.col("url"), http_reply(F.col("html")), version).alias("arc"),
-    )
-    write(convert(arcs), path)
+
+    def store(rows: DataFrame, folder: str, per_file: int) -> None:
+        arcs = rows.select(F.coalesce("id", F.lit("")).alias("key"), F.col("stored").cast("string").alias("refers_to"), arc_text(F.col("url"), http_reply(F.col("html")), version).alias("arc"))
+        write(convert(arcs), folder, per_file)
+
+    largest = base.where(size > LARGE_PAGE).agg(F.max(size)).first()[0]
+    store(both.where(size <= LARGE_PAGE), f"{path}/pages", RECORDS_PER_FILE)
+    if largest:
+        store(both.where(size > LARGE_PAGE), f"{path}/large-pages", max(1, FILE_BYTES // largest))
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:

@@ -12,11 +12,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidlens.llm.text import packed, unpacked
 
 #: A prime. The table has as many rows of two integers whatever the data, so it can be broadcast.
 SLOTS = 65_537
+ROWS_PER_FILE = 1_000_000
 SHARDS = tuple(f"shard-{i:03d}" for i in range(96))
 
 
@@ -71,9 +73,21 @@ def place(rows: DataFrame, keys: Sequence[str], shards: Sequence[str] = SHARDS,
     return keyed.join(F.broadcast(table), F.col("_at") == F.col("_slot")).select(*unpacked(rest), F.col("_shard").alias(out))
 
 
-def write(rows: DataFrame, keys: Sequence[str], path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> None:
-    """Parquet below ``path``, a folder for each shard."""
-    place(rows, keys, shards, slots).repartition("shard").write.partitionBy("shard").parquet(path)
+def write(rows: DataFrame, keys: Sequence[str], path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Parquet below ``path``, a folder for each shard, in files of about ``rows_per_file`` rows.
+
+    A shard is written by as many tasks as its rows ask for, so one that has a third of all rows is no single task. Null
+    keys, repeated rows and long texts are rows like others; an empty table makes no folder.
+    """
+    placed = place(rows, keys, shards, slots)
+    files = placed.groupBy("shard").agg(F.count("*").alias("n")).select(F.col("shard").alias("_of"), F.ceil(F.col("n") / rows_per_file).cast("int").alias("_files")).collect()  # a row for each shard
+    if not files:
+        return
+    of = placed.sparkSession.createDataFrame(files, "_of string, _files int")
+    whole = [F.col(f"`{c}`") for c in placed.columns if not isinstance(placed.schema[c].dataType, T.MapType)]
+    dealt = placed.join(F.broadcast(of), F.col("shard") == F.col("_of")).withColumn("_part", F.pmod(F.xxhash64(*whole), F.col("_files")).cast("int"))
+    total = sum(r["_files"] for r in files)
+    dealt.repartition(total, "shard", "_part").drop("_of", "_files", "_part").write.partitionBy("shard").parquet(path)
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:

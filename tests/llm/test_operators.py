@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from bidlens.llm import archives, bpe, mixing, pii, quality, registry, secrets, sharding, simhash, substrings, vectors
 
@@ -598,6 +599,57 @@ def test_sharding(spark, odd):
         sharding.fill(["a"], 100)
 
 
+def plain_fill(shards, slots):
+    """The table by whole preference orders, each shard's first free slot in turns."""
+    orders = []
+    for name in shards:
+        number = lambda salt, name=name: int.from_bytes(hashlib.sha256(f"{salt}:{name}".encode()).digest()[:8], "big")
+        offset, skip = number("offset") % slots, number("skip") % (slots - 1) + 1
+        orders.append([(offset + k * skip) % slots for k in range(slots)])
+    owner = {}
+    while len(owner) < slots:
+        for k, order in enumerate(orders):
+            if len(owner) < slots:
+                owner[next(x for x in order if x not in owner)] = k
+    return [owner[k] for k in range(slots)]
+
+
+def test_each_row_is_where_the_table_says(spark, odd):
+    names = ["a", "b", "c", "d", "e"]
+    owner = plain_fill(names, 211)
+    assert sharding.fill(names, 211) == owner
+    rows = sharding.place(odd.withColumn("_slot", sharding.slot_of("doc_id", slots=211)), ["doc_id"], names, 211).collect()
+    assert all(r["shard"] == names[owner[r["_slot"]]] for r in rows)
+    for key in (1, -5, 10**12):  # xxHash of the eight bytes, after that of the flag "is not null"
+        flag = xxhash.xxh64_intdigest((0).to_bytes(4, "little"), 42)
+        slot = np.int64(np.uint64(xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), flag))) % 211
+        assert spark.range(1).select(sharding.slot_of(F.lit(key).cast("long"), slots=211)).first()[0] == slot
+
+
+def test_hot_shard_is_several_files(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, id, 7) AS k", "concat('t', id) AS text")
+    sharding.write(rows, ["k"], str(tmp_path / "s"), ["a", "b", "c"], 101, rows_per_file=200)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(r["id"] for r in back.select("id").collect()) == list(range(3000))
+    hot = back.where("k = 7").selectExpr("input_file_name() AS f").groupBy("f").count().collect()
+    assert len(hot) >= 8 and max(r["count"] for r in hot) < 600
+    sharding.write(rows.where("false"), ["k"], str(tmp_path / "none"), ["a"], 101)
+
+
+def test_large_pages_have_archives_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "LARGE_PAGE", 2_000)
+    monkeypatch.setattr(archives, "FILE_BYTES", 10_000)
+    rows = [(k, "u", "x" * (1_500 if k % 2 else 4_000) + str(k % 5)) for k in range(20)]
+    archives.archive_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "w"))
+    assert all(f.stat().st_size for f in (tmp_path / "w/large-pages").glob("*.gz")) and len(list((tmp_path / "w/large-pages").glob("*.gz"))) >= 5
+    for broadcast in (200_000, 0):
+        monkeypatch.setattr(archives, "BROADCAST_REVISITS", broadcast)
+        archives.archive_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / f"w{broadcast}"))
+        got = {int(r["key"]): r["refers_to_key"] for r in archives.read(spark, str(tmp_path / f"w{broadcast}")).collect()}
+        last = {html: k for k, _, html in rows}
+        assert got == {k: None if last[h] == k else str(last[h]) for k, _, h in rows}
+
+
 # 10
 
 
