@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlens.operators.grain import bins, cases, live, ranks
+from bidlens.operators.grain import cases, live
 
 AMOUNT_CUTS = (10_000, 25_000, 50_000, 75_000)
 DISCOUNT_CUTS = (5, 15, 30, 50)
@@ -69,8 +69,8 @@ def excluded(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("cases"))
 
 
-def cycles(events: DataFrame, first: str = "view", last: str = "purchase") -> DataFrame:
-    """Per key the days from its first ``first`` to its first later ``last``; ``events`` has key, state, previous and day."""
+def cycles(events: DataFrame, last: str = "purchase") -> DataFrame:
+    """Per key the days from its first version to its first later ``last``; ``events`` has key, state, previous and day."""
     rows = events.groupBy("key").agg(F.min(F.when(F.col("previous").isNull(), F.col("day"))).alias("a"), F.min(F.when((F.col("state") == last) & F.col("previous").isNotNull(), F.col("day"))).alias("b"))
     return rows.where("a is not null and b is not null").select("key", F.datediff("b", "a").alias("days"))
 
@@ -142,9 +142,7 @@ def latest_states(entry: DataFrame) -> DataFrame:
     return entry.groupBy("case_key").agg(newest).groupBy("state").agg(F.count("*").alias("cases"))
 
 
-def stats(rows: DataFrame, value: str) -> DataFrame:
-    return ranks(rows, value)
-
-
-def histogram(rows: DataFrame, value: str, cuts: tuple[int, ...]) -> DataFrame:
-    return bins(rows, value, cuts)
+def early(entry: DataFrame, source: str, amount: str = "money") -> DataFrame:
+    """The number of cases of which all notices come from ``source`` and none has an amount: consultations before any tender."""
+    rows = entry.groupBy("case_key").agg(F.bool_and(F.col("source").startswith(source)).alias("only"), F.max(amount).alias("amount"))
+    return rows.agg(F.count_if(F.col("only") & F.col("amount").isNull()).alias("cases"))

@@ -11,11 +11,13 @@ from bidlens.functions import scalars, search
 from bidlens.functions.fence import fenced
 from bidlens.operators import analytics as A
 from bidlens.operators import expiries as E
+from bidlens.operators import export as X
 from bidlens.operators import inbox as I
 from bidlens.operators import reconcile as R
-from bidlens.operators import rules
+from bidlens.operators import maintenance, rules
 from bidlens.operators.grain import Filters, bins, entry, in_range, ranks
 from bidlens.sources.adapter import AS_OF, NOTICES_SQL, matches, notices
+from bidlens.session import scratch
 from bidlens.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,6 +398,35 @@ FROM valued LEFT JOIN decision USING (case_key) WHERE review_state IS NOT NULL O
         n + r""", anchored AS (SELECT *, CASE WHEN source = 'eu' OR group_key IS NULL THEN left(regexp_replace(lower(title), '[^\p{L}\p{N}]', '', 'g'), CASE WHEN source = 'eu' THEN 80 ELSE 40 END) ELSE group_key END AS anchor FROM valued)
 SELECT notice_id, CASE WHEN anchor = '' THEN source || ':' || notice_id ELSE left(regexp_replace(lower(buyer), '[^\p{L}\p{N}]', '', 'g'), 40) || '|' || anchor END AS group_key FROM anchored""",
     )
+    q["early_consultations"] = (
+        lambda s, d: A.early(_entry(s, d), "regional", "award"),
+        n + "SELECT count(*) AS cases FROM (SELECT case_key FROM entry GROUP BY case_key HAVING bool_and(source = 'regional') AND max(award) IS NULL)",
+    )
+    q["notices_with_versions"] = (
+        lambda s, d: (lambda v: _entry(s, d).join(v.select("notice_id", "previous"), "notice_id").groupBy("state").agg(F.count("*").alias("versions"), F.count("previous").alias("transitions")))(R.versions(notices(s, d), "case_key", ("notice_id",), "state")),
+        n + """, lagged AS (SELECT *, lag(state) OVER (PARTITION BY case_key ORDER BY notice_id) AS previous FROM valued),
+version AS (SELECT notice_id, previous, row_number() OVER (PARTITION BY case_key, state ORDER BY notice_id) AS rn FROM lagged WHERE previous IS DISTINCT FROM state)
+SELECT state, count(*) AS versions, count(previous) AS transitions FROM entry JOIN version USING (notice_id) WHERE rn = 1 GROUP BY state""",
+    )
+
+    def exported(s, d):
+        path = scratch(s, "export")
+        X.write(X.rows(_every(s, d), AS_OF), path)
+        return X.read(s, path)
+
+    q["export_file_rows"] = (
+        exported,
+        n + f""", every AS (SELECT valued.*, score, profiles, reasons FROM valued JOIN matched USING (notice_id)),
+  passing AS (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY published DESC NULLS LAST, notice_id DESC) AS rn FROM every WHERE {OPEN}),
+  one AS (SELECT *, (deadline - {DAY})::INT AS days_left FROM passing WHERE rn = 1),
+  listed AS (SELECT * FROM one ORDER BY {ORDERS['urgency']}, notice_id LIMIT {X.MOST_ROWS})
+SELECT profiles, score::VARCHAR AS score, coalesce(review_state, 'nuevo') AS review_state, coalesce(days_left::VARCHAR, '') AS days_left, buyer, title, budget::VARCHAR AS budget, coalesce(deadline::VARCHAR, '') AS deadline,
+  coalesce(published::VARCHAR, '') AS published, state, procedure, coalesce(region, '') AS region, coalesce(group_key, '') AS group_key, array_to_string(cpv, ' ') AS cpv, source, '' AS url, reasons, awardee, '' AS notes FROM listed""",
+    )
+    q["texts_filled"] = (
+        lambda s, d: maintenance.fill_texts(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.when(F.col("lang") == "en", "as it was").alias("text_norm")), "text", "text_norm").select("doc_id", F.sha2("text_norm", 256).alias("text_norm")),
+        f"SELECT doc_id, sha256(CASE WHEN lang = 'en' THEN 'as it was' ELSE {_norm_sql('text')} END) AS text_norm FROM documents",
+    )
     return q
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidlens.functions import scalars, search
-from bidlens.operators import analytics, inbox, reconcile, rules
+from bidlens.operators import analytics, export, inbox, maintenance, reconcile, rules
 from bidlens.operators.grain import Filters, bins, entry, in_range, ranks
 from bidlens.plans import registry
 from bidlens.sources import feeds
@@ -126,6 +126,22 @@ def test_decisions_reach_the_case_and_keep_what_is_null(spark):
         reconcile.decide(new((1, "odd", None)), n, old).collect()
 
 
+def test_export(model, spark, tmp_path):
+    e = model[3]
+    table = export.rows(e, AS_OF, most=50).withColumn("title", F.concat(F.lit('a; "b" '), "title"))
+    export.write(table, str(tmp_path / "x"))
+    head = next((tmp_path / "x").glob("*.csv")).read_bytes().split(b"\n")[0]
+    assert head.startswith(b"\xef\xbb\xbf") or head.startswith(b'"\xef\xbb\xbf')
+    assert tuple(table.columns) == export.COLUMNS and len(export.COLUMNS) == 19
+
+
+def test_snapshots_keep_what_is_read(spark):
+    long = json.dumps({"state": "x", "note": "y" * 500})
+    rows = spark.createDataFrame([(1, long), (2, '{"state": "z", "note": 1}'), (3, None)], "k int, s string")
+    once = maintenance.trim_snapshots(rows, "s", ("state", "day"))
+    assert [r["s"] for r in once.orderBy("k").collect()] == ['{"state":"x","day":null}', '{"state": "z", "note": 1}', None]
+
+
 def test_months_are_checked(model):
     with pytest.raises(ValueError):
         in_range(model[0], "1996-13")
