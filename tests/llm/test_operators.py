@@ -696,22 +696,60 @@ def test_queries_equal_their_sql(spark, sf):
         assert plain(frame.select(*columns).collect()) == plain(want), name
 
 
-def test_pipeline(spark, sf):
+def staged(spark, docs, tmp_path):
+    """What each stage of the pipeline returns, written and read again."""
     import corpus_pipeline
 
+    out = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "").write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        out.append(docs)
+    return out
+
+
+def plain_redacted(text):
+    spans = sorted([(a, b) for a, _, _, b in plain_secrets(text)] + plain_entropy_spans(text or ""))
+    out, at = "", 0
+    for k, (x, y) in enumerate(spans):
+        out += text[at:x] + ("" if k and x <= at else "[SECRET]")
+        at = max(at, y)
+    return out + (text or "")[at:]
+
+
+def test_pipeline_is_what_plain_code_makes(spark, sf, tmp_path):
+    import public_tokenizers as P
+    import tiktoken
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    from bidlens.session import scratch
-
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        path = scratch(spark, name)
-        stage(spark, docs, sf).write.parquet(path)
-        docs = spark.read.parquet(path)
-        assert docs.columns == columns, name
-        if name != "source_mix":
-            assert 0.5 * before < docs.count() <= before, name
-            before = docs.count()
-    assert all(r["round_trip"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect())
+    one, two, three, four, five = staged(spark, docs, tmp_path)
+    assert one.columns == two.columns == three.columns == four.columns == docs.columns
+    texts_of = lambda d: {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()}
+    rows = [r for r in texts(sf)]
+    assert not any(n for _, n in plain_frequent(rows, quality.MAX_DOCS_PER_HOST, quality.MAX_SHARE_OF_HOST))
+    good = {i: t for i, t, _ in rows for c in [plain_counts(t)] if c[0] >= 10 and 100 * c[4] <= 20 * c[0]}
+    assert texts_of(one) == good
+    kept = {i: good[i] for i, c in plain_similar(list(good.items())).items() if i == c}
+    assert texts_of(two) == kept and len(kept) < len(good)
+    clean = {i: plain_redacted(t) for i, t in kept.items()}
+    assert texts_of(three) == clean and clean != kept
+    assert {r["n_chars"] for r in three.collect()} == {len(t) for t in clean.values()}
+    copies = {r["doc_id"]: r["copies"] for r in mixing.rates(three).collect()}
+    assert Counter(r["doc_id"] for r in four.select("doc_id").collect()) == Counter({i: n for i, n in copies.items() if n})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((i, np.array(lib.encode_ordinary(clean[i]), "<u4").tobytes()) for i, n in copies.items() for _ in range(n))
+    got = five.collect()
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in got) == want and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) // 4 for r in got)
+
+
+def test_pipeline_takes_odd_and_no_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, "en", s, k, None) for i, t, s, k in ODD], "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string")
+    stages = staged(spark, docs, tmp_path / "odd")
+    ids = [Counter(r["doc_id"] for r in d.select("doc_id").collect()) for d in stages]
+    assert ids[0][9] == 2 and ids[1][9] == 0 and ids[1][7] == 1 and ids[0][1] == ids[0][2] == ids[0][3] == 0 and ids[1][None] == 1
+    assert stages[3].columns == docs.columns
+    assert all(d.count() == 0 for d in staged(spark, docs.where("false"), tmp_path / "none"))
 
 
 def tight(spark):
