@@ -19,27 +19,39 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the rules reject, and without lines that too many documents of their host have."""
+    """Without the documents that the rules reject, and without lines that too many documents of their host have.
+
+    Null, empty and blank texts go, as they have too few words. Repeated rows get one verdict, each for itself; null ids and
+    hosts are told by their text and as a host of their own. Very long texts are judged whole.
+    """
     return _measured(quality.clean(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Of repeated rows one stays, of other texts with the same id all that no smaller id is near to. Null, empty and blank
+    texts are alike. Rows without an id stay, as nothing names them.
+    """
     return simhash.deduplicate(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With secrets replaced by a mark."""
+    """With secrets replaced by a mark. Null and empty texts stay as they are, repeated rows repeat, long texts are read whole."""
     return _measured(secrets.redact(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the target weights of the sources take it."""
+    """Each document as often as the target weights of the sources take it.
+
+    A null source is a source, a null id draws by its text, repeated rows have the same draw; texts without words
+    have size 0 and follow their source's rate. An empty table gives an empty one.
+    """
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, the ids, and whether they decode to the text."""
+    """doc_id, lang, source, n_tokens, the ids, and whether they decode to the text. A null text is an empty one: no ids."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")), path, pattern)
     back = bpe.decode(encoded, path, pattern)
@@ -55,7 +67,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL can't express wide fingerprints, entropy windows and byte-pair merges; the tests hold the stages against plain Python.
+#: SQL can't express similar sets, entropy windows and byte-pair merges; the tests hold each stage's rows against plain Python.
 ORACLE_SQL = None
 
 
