@@ -9,8 +9,9 @@ around anchors that occur in two documents.
 2. Around each shared anchor the text's segment: all words of the windows that chose it. Equal segments become one,
    with the least document that has it.
 3. Segments are sharded by anchor. In each shard an FM-index is built: the suffix order of all segments, the transform as
-   a wavelet matrix of packed bits with counts per block. The segments are streamed through it, searching backward;
-   for each end of a window the range of suffixes that begin with it gives the least document that has it.
+   a wavelet matrix of packed bits with counts per block. The segments are streamed through it: backward search computes
+   matching statistics, for each place the length of the longest match that ends there, up to a window's, and the range
+   of suffixes that begin with it. Where the length is a window's, the range gives the least document that has it.
 4. Windows that an earlier document has are reported as intervals of the document, and their words are removed.
 """
 
@@ -182,26 +183,34 @@ class FMIndex:
             self.least.append(np.minimum(prior[: len(prior) - width], prior[width:]))
             width *= 2
 
-    def least_document(self, ends: np.ndarray, length: int) -> np.ndarray:
-        """For each place: the least document that has the ``length`` symbols up to it, by backward search; all places at once.
+    def matching_statistics(self, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each place the length, up to ``depth``, of the longest match that ends there and is elsewhere, too.
 
-        A search ends early where one suffix is left, which is the place's own.
+        Besides, which places reach ``depth``, and the ranges of the suffixes that begin with their matches. All places
+        are searched at once; a place leaves where one suffix is left, which is its own.
         """
-        out = self.owner[ends]
+        length = np.full(len(ends), depth)
         open_ = np.arange(len(ends))
         lo = np.zeros(len(ends), np.int64)
         hi = np.full(len(ends), len(self.text), np.int64)
-        for k in range(length):
+        for k in range(depth):
             c = self.text[ends[open_] - k]
             lo = self.first[c] + self.wavelet.rank(c, lo)
             hi = self.first[c] + self.wavelet.rank(c, hi)
             more = hi - lo > 1
+            length[open_[~more]] = k
             open_, lo, hi = open_[more], lo[more], hi[more]
+        return length, open_, lo, hi
+
+    def least_document(self, ends: np.ndarray, window: int) -> np.ndarray:
+        """For each place: the least document that has the ``window`` symbols up to it."""
+        out = self.owner[ends]
+        _, reached, lo, hi = self.matching_statistics(ends, window)
         level = np.frexp((hi - lo).astype(np.float64))[1] - 1
         for lv in np.unique(level):
             m = level == lv
             table = self.least[lv]
-            out[open_[m]] = np.minimum(table[lo[m]], table[hi[m] - (1 << int(lv))])
+            out[reached[m]] = np.minimum(table[lo[m]], table[hi[m] - (1 << int(lv))])
         return out
 
 
@@ -342,7 +351,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     prepare(docs.sparkSession)
     rows = _rows(docs, doc_id, text).where("id is not null")
     firsts = rows.groupBy("body", F.octet_length("text").alias("size")).agg(F.min("id").alias("id")).select("id", "body")
-    of = rows.select("body", "text").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor long, body long")
+    of = written(rows.select("body", "text").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor long, body long"), "anchors")
     shared = of.groupBy("anchor").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high").select("anchor")
     lists = of.join(shared, "anchor").groupBy("body").agg(F.collect_set("anchor").alias("anchors")).join(firsts, "body")
     segments = rows.join(lists, ["id", "body"]).select("id", "body", "text", "anchors").mapInArrow(lambda it: _segment_rows(it, window, gram), "anchor long, key binary, words string, id long, body long, start int")

@@ -326,6 +326,22 @@ def plain_repeats(rows, window=13):
     return sorted(out)
 
 
+def test_matching_statistics():
+    r = np.random.default_rng(7)
+    segments = [r.integers(1, 4, n) for n in r.integers(8, 40, 30)]
+    index = substrings.FMIndex(segments, np.arange(30), 8)
+    begin, want, ends = 0, [], []
+    every = ["".join(map(str, s)) for s in segments]
+    for k, s in enumerate(every):
+        for e in range(7, len(s)):
+            ends.append(begin + e)
+            elsewhere = lambda w, k=k, e=e: any(w == t[j : j + len(w)] for i, t in enumerate(every) for j in range(len(t) - len(w) + 1) if (i, j + len(w) - 1) != (k, e))
+            want.append(max(n for n in range(9) if n == 0 or elsewhere(s[e - n + 1 : e + 1])))
+        begin += len(s) + 1
+    length, reached, lo, hi = index.matching_statistics(np.array(ends), 8)
+    assert length.tolist() == want and reached.tolist() == [k for k, n in enumerate(want) if n == 8] and (hi - lo > 1).all()
+
+
 @pytest.mark.parametrize("wide", [5_000, 2])
 def test_repeats(spark, sf, odd, monkeypatch, wide):
     monkeypatch.setattr(substrings, "WIDE_ANCHOR", wide)
