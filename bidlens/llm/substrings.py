@@ -351,7 +351,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     prepare(docs.sparkSession)
     rows = _rows(docs, doc_id, text).where("id is not null")
     firsts = rows.groupBy("body", F.octet_length("text").alias("size")).agg(F.min("id").alias("id")).select("id", "body")
-    of = written(rows.select("body", "text").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor long, body long"), "anchors")
+    of = written(rows.select("body", "text").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor long, body long"), "anchors", "snappy")
     shared = of.groupBy("anchor").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high").select("anchor")
     lists = of.join(shared, "anchor").groupBy("body").agg(F.collect_set("anchor").alias("anchors")).join(firsts, "body")
     segments = rows.join(lists, ["id", "body"]).select("id", "body", "text", "anchors").mapInArrow(lambda it: _segment_rows(it, window, gram), "anchor long, key binary, words string, id long, body long, start int")

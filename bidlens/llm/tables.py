@@ -9,13 +9,16 @@ from bidlens.session import scratch
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written as a compressed table and read again: lineage ends here, and shuffle files that led here go."""
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """``df``, written as a compressed table and read again: lineage ends here, and shuffle files that led here go.
+
+    Columns of hashes hardly shrink; for a table of these a quick ``compression`` will do.
+    """
     spark = df.sparkSession
     path, before = scratch(spark, name), spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
