@@ -98,3 +98,51 @@ def stem(text: Column, term: str) -> Column:
 
     end = r"(?![\p{L}\p{N}_])" if term.endswith(" ") else ""
     return text.contains(term.strip()) & text.rlike(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(term.strip())}{end}")
+
+
+#: Names of CPV divisions; others are ``otros``.
+CPV_DIVISIONS = {
+    "72": "servicios de TI", "48": "paquetes de software", "79": "servicios para empresas y seguridad", "80": "enseñanza y formación",
+    "30": "equipos de oficina e informática", "32": "equipos de telecomunicaciones", "50": "reparación y mantenimiento",
+    "64": "servicios de telecomunicaciones", "71": "arquitectura e ingeniería", "35": "seguridad y defensa", "51": "servicios de instalación",
+    "75": "administración pública", "98": "otros servicios",
+}
+
+
+def _mapped(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+
+
+def cpv_division(code: Column) -> Column:
+    return F.coalesce(F.element_at(_mapped(CPV_DIVISIONS), F.substring(code, 1, 2)), F.lit("otros"))
+
+
+def translated(joined: Column, table: dict[str, str], by: str = " · ") -> Column:
+    """Each part of a joined text by ``table`` (itself where it isn't there), once, in order; null if empty."""
+    parts = F.transform(F.split(joined, by), lambda x: F.coalesce(F.element_at(_mapped(table), F.trim(x)), F.trim(x)))
+    return F.nullif(F.array_join(F.array_distinct(parts), by), F.lit(""))
+
+
+def tax_id(ids: Column) -> Column:
+    """The first of ``ids`` that has the form of a tax id, in capitals."""
+    return F.get(F.filter(F.transform(ids, F.upper), lambda x: x.rlike(r"^([A-Z]\d{8}|\d{8}[A-Z]|[A-Z]\d{7}[A-Z0-9])$")), F.lit(0))
+
+
+def url(text: Column) -> Column:
+    """The address of a JSON object's ``url``, or of a text that is one."""
+    return F.coalesce(F.get_json_object(text, "$.url"), F.when(text.startswith("http"), text))
+
+
+def version_parts(version: Column) -> Column:
+    """``v1.10`` as (1, 10), which sort as versions do; a part without digits is 0."""
+    return F.transform(F.split(F.regexp_replace(F.trim(version), "^[vV]+", ""), r"\."), lambda x: F.coalesce(F.regexp_replace(x, r"\D", "").try_cast("long"), F.lit(0)))
+
+
+def content_hash(columns: list[str]) -> Column:
+    """SHA-256 of the named columns as JSON, in order of names, nulls included: what tells whether a notice is a new version."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def clamped(value: int, least: int, most: int) -> int:
+    """A parameter within its range: months 1 to 60, rows 1 to 200."""
+    return max(least, min(most, value))

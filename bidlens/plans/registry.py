@@ -14,7 +14,7 @@ from bidlens.operators import expiries as E
 from bidlens.operators import export as X
 from bidlens.operators import inbox as I
 from bidlens.operators import reconcile as R
-from bidlens.operators import maintenance, rules
+from bidlens.operators import maintenance, rules, storage
 from bidlens.operators.grain import Filters, bins, entry, in_range, ranks
 from bidlens.sources.adapter import AS_OF, NOTICES_SQL, matches, notices
 from bidlens.session import scratch
@@ -427,6 +427,62 @@ SELECT profiles, score::VARCHAR AS score, coalesce(review_state, 'nuevo') AS rev
         lambda s, d: maintenance.fill_texts(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.when(F.col("lang") == "en", "as it was").alias("text_norm")), "text", "text_norm").select("doc_id", F.sha2("text_norm", 256).alias("text_norm")),
         f"SELECT doc_id, sha256(CASE WHEN lang = 'en' THEN 'as it was' ELSE {_norm_sql('text')} END) AS text_norm FROM documents",
     )
+    q["cpv_division_names"] = (
+        lambda s, d: notices(s, d).select(F.explode("cpv").alias("code")).select(scalars.cpv_division(F.col("code")).alias("division")).groupBy("division").agg(F.count("*").alias("codes")),
+        n + """, code AS (SELECT unnest(cpv) AS c FROM valued)
+SELECT CASE left(c, 2) """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scalars.CPV_DIVISIONS.items()) + """ ELSE 'otros' END AS division, count(*) AS codes FROM code GROUP BY 1""",
+    )
+    q["content_hashes"] = (
+        lambda s, d: notices(s, d).select("notice_id", scalars.content_hash(["title", "buyer", "region", "state"]).alias("fingerprint")),
+        n + "SELECT notice_id, sha256(to_json({'buyer': buyer, 'region': region, 'state': state, 'title': title})::VARCHAR) AS fingerprint FROM valued",
+    )
+    q["stored_rows"] = (
+        lambda s, d: storage.stored(notices(s, d).select("notice_id", "title", "buyer", "region", "cpv", "award", "budget"), ("title", "region", "cpv"), ("award", "budget")).select("notice_id", "cpv", "search_text", "text_norm", F.col("reference_amount").cast("double").alias("reference_amount")),
+        n + f"""SELECT notice_id, array_to_string(cpv, ' ') AS cpv, concat_ws(' \n', nullif(title, ''), nullif(region, ''), nullif(array_to_string(cpv, ' '), '')) AS search_text,
+  {_norm_sql("concat_ws(' ' || chr(10), nullif(title, ''), nullif(region, ''), nullif(array_to_string(cpv, ' '), ''))")} AS text_norm, coalesce(nullif(award, 0), budget)::DOUBLE AS reference_amount FROM valued""".replace("' \n'", "' ' || chr(10)"),
+    )
+    q["version_snapshots"] = (
+        lambda s, d: _versions(s, d).select("event_id", storage.snapshot(("state", "previous")).alias("snapshot")),
+        VERSIONS_SQL + "SELECT event_id, to_json({'state': state, 'previous': previous})::VARCHAR AS snapshot FROM version",
+    )
+    q["version_order"] = (
+        lambda s, d: (lambda v: v.select("version", scalars.version_parts(F.col("version")).alias("parts")).distinct().groupBy("parts").agg(F.min("version").alias("version")).where(F.col("parts") > F.array(*[F.lit(x).cast("long") for x in (1, 30)])).select("version"))(
+            s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("v"), (F.col("p_size") % 3).cast("string"), F.lit("."), F.col("p_size").cast("string"), F.lit("-b")).alias("version"))),
+        "SELECT DISTINCT 'v' || (p_size % 3) || '.' || p_size || '-b' AS version FROM part WHERE p_size % 3 > 1 OR (p_size % 3 = 1 AND p_size > 30)",
+    )
+
+    def cursors(s, d):
+        rows = notices(s, d).groupBy("source", "lot").agg(F.max("published").alias("cursor"))
+        return storage.put(rows.where("lot = '1'").drop("lot"), rows.where("lot = '2' and source <> 'eu'").drop("lot"), "source")
+
+    q["cursors_put"] = (
+        cursors,
+        n + ", c AS (SELECT source, lot, max(published) AS cursor FROM valued GROUP BY source, lot) SELECT source, cursor FROM c WHERE lot = CASE WHEN source = 'eu' THEN '1' ELSE '2' END",
+    )
+
+    def run_log(s, d):
+        o = s.read.parquet(f"{d}/orders.parquet")
+        opened = o.select(F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("source"))
+        closed = o.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("run"), F.to_date("o_orderdate").alias("ended"), (F.col("o_orderkey") % 50).cast("int").alias("seen"), F.lit(None).cast("int").alias("created"), F.lit(1).alias("updated"), F.when(F.col("o_orderstatus") == "P", "timed out").alias("error"))
+        return storage.runs(opened, closed)
+
+    q["run_log"] = (
+        run_log,
+        """SELECT o_orderkey AS run, o_orderpriority AS source, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate::DATE END AS ended, CASE WHEN o_orderstatus <> 'O' THEN o_orderkey % 50 ELSE 0 END::INT AS seen, 0::INT AS created,
+  CASE WHEN o_orderstatus <> 'O' THEN 1 ELSE 0 END::INT AS updated, CASE o_orderstatus WHEN 'F' THEN true WHEN 'P' THEN false END AS ok, CASE o_orderstatus WHEN 'P' THEN 'timed out' END AS error FROM orders""",
+    )
+    q["marks_evaluated"] = (
+        lambda s, d: (lambda v: storage.mark_evaluated(v, v.where("source = 'regional'"), "notice_id", "state", "mark").groupBy("source", "mark").agg(F.count("*").alias("notices")))(notices(s, d).select("notice_id", "source", "state", F.lit("old").alias("mark"))),
+        n + "SELECT source, CASE WHEN source = 'regional' THEN state ELSE 'old' END AS mark, count(*) AS notices FROM valued GROUP BY 1, 2",
+    )
+    q["sources_united"] = (
+        lambda s, d: (lambda v: storage.union(v.where("source = 'eu'").select("notice_id", "source", "title"), v.where("source <> 'eu'").select("notice_id", "source", "region")))(notices(s, d)),
+        n + "SELECT notice_id, source, CASE WHEN source = 'eu' THEN title END AS title, CASE WHEN source <> 'eu' THEN region END AS region FROM valued",
+    )
+    q["translated_terms"] = (
+        lambda s, d: notices(s, d).select("notice_id", scalars.translated(F.concat_ws(" · ", "state", "procedure", "state"), {"publicada": "open", "adjudicada": "awarded"}).alias("terms")),
+        n + "SELECT notice_id, CASE state WHEN 'publicada' THEN 'open' WHEN 'adjudicada' THEN 'awarded' ELSE state END || ' · ' || procedure AS terms FROM valued",
+    )
     return q
 
 
