@@ -35,7 +35,7 @@ GRAM = 5
 #: Words in one FM-index, about; a shard has as many as it takes, one after the other.
 INDEX_WORDS = 150_000
 #: Anchors of more different segments are given more precise shards: by their windows.
-WIDE_ANCHOR = 5_000
+WIDE_ANCHOR = 1_000
 CHUNK_ROWS = 300
 REMEMBERED = 400_000
 
