@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from bidlens.llm import archives, bpe, mixing, pii, quality, secrets, sharding, simhash, substrings, vectors
+from bidlens.llm import alignment, archives, bpe, exact, mixing, pii, quality, secrets, sharding, simhash, substrings, vectors, whitening
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,9 @@ def queries() -> dict[str, Callable]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_sharding": sharding.op9_sharding,
         "op10_embedding_graph": vectors.op10_embedding_graph,
+        "op11_alignment": alignment.op11_alignment,
+        "op12_exact_dedup": exact.op12_exact_dedup,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
@@ -28,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substrings.OP5_SQL,
         "op7_warc": archives.OP7_SQL,
         "op10_embedding_graph": vectors.OP10_SQL,
+        "op12_exact_dedup": exact.OP12_SQL,
     }
