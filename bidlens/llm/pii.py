@@ -13,8 +13,10 @@ pattern has found, though it is joined by a skip edge to one that a pattern has,
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain as chained_lists
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ AGREEING = np.array([19.0, 1.0])
 #: A node is reported from this marginal probability on.
 CONFIDENT = 0.9
 ROUNDS, DAMPING, SETTLED = 30, 0.5, 1e-4
+#: Edges whose sums over labels are made at a time.
+EDGES = 50_000
 #: Characters whose graph is solved together.
 CHUNK_CHARS = 4_000_000
 
@@ -73,10 +77,16 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def octet(digits: str) -> bool:
+    """Whether a number, with any zeros before it, is at most 255."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the patterns' matches that hold, by kind, then start. In code points."""
     out = [(0, a, b) for a, b in emails(text)]
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if len(digits) <= 19 and luhn(digits):
@@ -116,7 +126,7 @@ def form(word: str) -> list[int]:
         bool(named and place) and "." in place.strip("."),
         "." in word,
         dotted,
-        dotted and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts),
+        dotted and all(map(octet, parts)),
         word.startswith("+"),
         "(" in word or ")" in word,
         "-" in word,
@@ -165,9 +175,12 @@ def keys_of(word: str) -> list[str]:
 
 @dataclass
 class Graph:
-    """Nodes of one or more documents, without an edge between those of different documents. ``like`` marks skip edges of similar content."""
+    """Nodes of one or more documents, without an edge between those of different documents. ``like`` marks skip edges of similar content.
+
+    ``forms`` has each node's features as bits.
+    """
 
-    features: np.ndarray
+    forms: np.ndarray
     labels: np.ndarray
     outside: np.ndarray
     chain: np.ndarray
@@ -177,6 +190,19 @@ class Graph:
     def likes(self) -> np.ndarray:
         return np.zeros(len(self.skip), bool) if self.like is None else self.like
 
+    def parts(self) -> np.ndarray:
+        """For each node the least node that edges reach from it."""
+        least = np.arange(len(self.labels))
+        a, b = np.concatenate([self.chain, self.skip]).T
+        while len(a):
+            x, y = least[a], least[b]
+            np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+            while (least[least] != least).any():
+                least = least[least]
+            if (least[a] == least[b]).all():
+                break
+        return least
+
     def unknown(self) -> np.ndarray:
         """Nodes without a label that a skip edge joins to one with a label."""
         out = np.zeros(len(self.labels), bool)
@@ -189,18 +215,16 @@ class Graph:
 
 
 def graph_of(texts: list[str], places: list[list[tuple[int, int]]], labels: list[list[int]]) -> Graph:
-    features, outside, chain, skip, like, n = [], [], [], [], [], 0
+    forms, outside, chain, skip, like, n = array("q"), array("b"), array("q"), array("q"), array("b"), 0
     for text, at in zip(texts, places, strict=True):
         last: dict[str, int] = {}
         end = len(text)
         for k, (a, b) in enumerate(at):
             word = text[a:b]
-            row = np.zeros(FEATURES, np.float64)
-            row[form(word)] = 1
-            features.append(row)
+            forms.append(sum(1 << f for f in form(word)))
             joined = k > 0 and bool(ASCII_SPACE.fullmatch(text, at[k - 1][1], a))
             if joined:
-                chain.append((n + k - 1, n + k))
+                chain.extend((n + k - 1, n + k))
             following = k + 1 < len(at) and bool(ASCII_SPACE.fullmatch(text, b, at[k + 1][0]))
             outside.append((not joined and a > 0) + (not following and b < end))
             met = set()
@@ -208,13 +232,13 @@ def graph_of(texts: list[str], places: list[list[tuple[int, int]]], labels: list
                 if key in last and last[key] not in met:
                     other = text[slice(*at[last[key] - n])]
                     met.add(last[key])
-                    skip.append((last[key], n + k))
+                    skip.extend((last[key], n + k))
                     like.append(which > 0 or keys_of(other)[0] != key)
                 last[key] = n + k
         n += len(at)
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    flat = np.array([x for part in labels for x in part], np.int64)
-    return Graph(np.array(features).reshape(-1, FEATURES), flat, np.array(outside, np.float64), pairs(chain), pairs(skip), np.array(like, bool))
+    flat = np.fromiter(chained_lists.from_iterable(labels), np.int64, len(forms))
+    return Graph(np.array(forms), flat, np.array(outside, np.float64), pairs(chain), pairs(skip), np.array(like, bool))
 
 
 # The model
@@ -230,7 +254,9 @@ class Model:
     like: np.ndarray | None = None
 
     def unary(self, g: Graph) -> np.ndarray:
-        return g.features @ self.form + g.outside[:, None] * self.chain[0]
+        forms, of = np.unique(g.forms, return_inverse=True)
+        bits = (forms[:, None] >> np.arange(FEATURES) & 1).astype(np.float64)
+        return (bits @ self.form)[of.reshape(-1)] + g.outside[:, None] * self.chain[0]
 
 
 def fit(features: np.ndarray, labels: np.ndarray, times: np.ndarray, chain: np.ndarray, outside: np.ndarray, agree: np.ndarray, steps: int = 300, decay: float = 1e-3) -> Model:
@@ -270,7 +296,11 @@ def fit(features: np.ndarray, labels: np.ndarray, times: np.ndarray, chain: np.n
 
 
 def marginals(model: Model, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-    """Probabilities of the labels by loopy sum-product message passing, all edges at a time, damped; labels found by patterns are observed."""
+    """Probabilities of the labels by loopy sum-product message passing, damped; labels found by patterns are observed.
+
+    Each connected part settles for itself, so what else is solved beside it changes nothing. Room grows with the
+    nodes and edges, by some numbers for each; the sums over labels are made some edges at a time.
+    """
     n = len(g.labels)
     own = model.unary(g)
     seen = g.labels > 0
@@ -285,22 +315,25 @@ def marginals(model: Model, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
     target = np.concatenate([edges[:, 1], edges[:, 0]])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     kind_of = np.tile(np.concatenate([np.zeros(len(g.chain), np.int64), 1 + g.likes()]), 2)
-    tables = (model.chain, model.skip, model.skip if model.like is None else model.like)
+    tables = np.stack((model.chain, model.skip, model.skip if model.like is None else model.like))
     message = np.zeros((len(source), LABELS))
+    part_of = g.parts()[source]
+    live = np.arange(len(source))
     for _ in range(rounds):
         belief = own.copy()
         np.add.at(belief, target, message)
-        out = belief[source] - message[back]
-        new = np.empty_like(message)
-        for kind, table in enumerate(tables):
-            m = kind_of == kind
-            z = out[m][:, :, None] + table[None]
+        new = np.empty((len(live), LABELS))
+        for k in range(0, len(live), EDGES):
+            e = live[k : k + EDGES]
+            z = (belief[source[e]] - message[back[e]])[:, :, None] + tables[kind_of[e]]
             top = z.max(1, keepdims=True)
-            new[m] = (top + np.log(np.exp(z - top).sum(1, keepdims=True)))[:, 0]
+            new[k : k + EDGES] = (top + np.log(np.exp(z - top).sum(1, keepdims=True)))[:, 0]
         new -= new.max(1, keepdims=True)
-        moved = np.abs(new - message).max()
-        message = DAMPING * message + (1 - DAMPING) * new
-        if moved < SETTLED:
+        moved = np.zeros(n)
+        np.maximum.at(moved, part_of[live], np.abs(new - message[live]).max(1))
+        message[live] = DAMPING * message[live] + (1 - DAMPING) * new
+        live = live[moved[part_of[live]] >= SETTLED]
+        if not len(live):
             break
     belief = own.copy()
     np.add.at(belief, target, message)
@@ -348,11 +381,10 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if places:
                 g = graph_of([text], [places], [labels])
                 known = ~g.unknown()
-                bits = (g.features @ (1 << np.arange(FEATURES))).astype(np.int64)
                 a, b = (g.labels[e] for e in g.chain[known[g.chain].all(1)].T)
                 x, y = (g.labels[e] for e in g.skip.T)
                 both = (x > 0) & (y > 0)
-                rows.append((key, bits[known].tolist(), g.labels[known].tolist(), g.outside[known].astype(np.int64).tolist(), (LABELS * a + b).tolist(), (2 * g.likes() + (x != y))[both].tolist()))
+                rows.append((key, g.forms[known].tolist(), g.labels[known].tolist(), g.outside[known].astype(np.int64).tolist(), (LABELS * a + b).tolist(), (2 * g.likes() + (x != y))[both].tolist()))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "form", "label", "outside", "chain", "skip"])
@@ -411,7 +443,8 @@ def find(docs: DataFrame, text: str = "text", model: Model | None = None, doc_id
 
     ``base`` tells what a pattern found from what the field adds. Without a ``model`` one is fitted on ``docs``. Null and
     empty texts have no spans; rows repeat as they are; other columns pass through; a column ``spans`` is replaced.
-    An empty table gives an empty result. One document's graph is solved within one row; its edges grow with its words.
+    An empty table gives an empty result. One document's graph is solved within one row: its edges grow with its words, and
+    its connected parts are solved apart.
     """
     prepare(docs.sparkSession)
     model = train(docs, doc_id, text) if model is None else model

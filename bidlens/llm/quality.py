@@ -156,9 +156,12 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     both = counted.join(gone, same, "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     kept = both.where(~failed & (F.col("n_words") - F.coalesce("gone", F.lit(0)) >= min_share * F.col("n_words")))
-    shorter = F.array_join(F.filter(F.split("_raw", "\n"), lambda _, i: ~F.array_contains("places", i)), "\n")
+    # the lines that stay lie in runs between the removed places, so each line is looked at once
+    bounds = F.concat(F.array(F.lit(-1)), F.array_sort("places"), F.array(F.size("_lines")))
+    runs = F.transform(F.slice(bounds, 1, F.size(bounds) - 1), lambda at, i: F.slice("_lines", at + 2, F.get(bounds, i + 1) - at - 1))
+    shorter = F.array_join(F.flatten(runs), "\n")
     cleaned = F.when(F.col("places").isNull(), F.col("_raw")).otherwise(shorter)
-    return kept.select(*[cleaned.alias(text) if c == text else old for c, old in zip(docs.columns, unpacked(docs.columns), strict=True)])
+    return kept.withColumn("_lines", F.when(F.col("places").isNotNull(), F.split("_raw", "\n"))).select(*[cleaned.alias(text) if c == text else old for c, old in zip(docs.columns, unpacked(docs.columns), strict=True)])
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

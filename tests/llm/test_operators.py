@@ -249,14 +249,32 @@ def exact(model, g):
 
 def test_messages_are_exact_on_a_tree_and_close_on_a_loop():
     r = np.random.default_rng(1)
-    model = pii.Model(r.normal(size=(pii.FEATURES, pii.LABELS)), (lambda m: (m + m.T) / 2)(r.normal(size=(5, 5)) / 2), np.eye(5))
-    f = (r.random((4, pii.FEATURES)) < 0.3).astype(float) / 3
+    model = pii.Model(r.normal(size=(pii.FEATURES, pii.LABELS)) / 3, (lambda m: (m + m.T) / 2)(r.normal(size=(5, 5)) / 2), np.eye(5))
+    f = r.integers(0, 1 << 10, 4) & r.integers(0, 1 << 10, 4)
     tree = pii.Graph(f, np.array([0, 2, 0, 0]), np.ones(4), np.array([[0, 1], [2, 3]]), np.array([[1, 2]]))
     assert np.abs(pii.marginals(model, tree, 100) - exact(model, tree)).max() < 1e-3
     loop = pii.Graph(f, np.array([0, 2, 0, 0]), np.ones(4), np.array([[0, 1], [1, 2], [2, 3]]), np.array([[0, 3]]))
     assert np.abs(pii.marginals(model, loop, 100) - exact(model, loop)).max() < 0.1
 
 
+def test_long_runs_of_zeros_and_many_numbers():
+    zeros = "0" * 10_000
+    assert pii.base_spans(f"{zeros}.1.1.1") == [(1, 0, 10_006)] and pii.base_spans(f"x {zeros}7.{zeros}256.1.1") == []
+    assert pii.form(f"{zeros}.1.1.1") and pii.label(pii.Model(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), np.zeros((5, 5))), [f"a {zeros}1.2.3.{zeros}"]) == [[(1, 2, 20_008, True)]]
+    text = " ".join(str(10**8 + 7919 * i % 99_999_989) for i in range(50_000))
+    assert pii.label(pii.Model(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), np.zeros((5, 5))), [text]) == [[]]
+
+
+def test_parts_settle_apart():
+    """What is solved beside a document changes nothing of it, to the last bit."""
+    r = np.random.default_rng(2)
+    model = pii.Model(r.normal(size=(pii.FEATURES, 5)), r.normal(size=(5, 5)), np.eye(5) * 2)
+    texts = ["call +1 (555) 123-4567 or 123-4567 now", "a 5551234567 b 5551234567 c 1234567", "ip 10.0.0.1 and 10.0.0.1:80"]
+    graphs = [pii.graph_of([t], [p], [y]) for t in texts for _, p, y in [pii.nodes_of(t)]]
+    together = pii.graph_of(texts, [pii.nodes_of(t)[1] for t in texts], [pii.nodes_of(t)[2] for t in texts])
+    assert (np.concatenate([pii.marginals(model, g) for g in graphs]) == pii.marginals(model, together)).all()
+
+
 # 3
 
 
@@ -570,6 +588,14 @@ def test_quality_counts(spark, sf, odd):
         assert got == sorted(want)
 
 
+def test_lines_of_a_very_long_document_are_removed_in_one_walk(spark):
+    own = [f"w{i} x{i} y{i} z{i}" for i in range(50_000)]
+    rows = [(0, "\n".join(f"{x}\ncommon line here" for x in own), "h")] + [(i, " ".join(f"v{i}v{k}" for k in range(12)) + "\ncommon line here", "h") for i in range(1, 20)]
+    rows += [(30, "common line here\n\n" + " ".join(f"u{k}" for k in range(12)) + "\n\ncommon line here", "h")]
+    kept = {r[0]: r[1] for r in quality.clean(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), max_docs=5).select("doc_id", "text").collect()}
+    assert kept[0] == "\n".join(own) and kept[1] == rows[1][1].split("\n")[0] and kept[30] == "\n" + " ".join(f"u{k}" for k in range(12)) + "\n"
+
+
 def plain_frequent(rows, max_docs, max_share):
     """Words that each row (id, text, host) loses, documents told apart by id."""
     tidy = lambda t: [" ".join(SPACE.findall(x)) for x in (t or "").lower().split("\n")]
