@@ -67,11 +67,32 @@ def months(value: Column, unit: Column) -> Column:
     return F.when(m > 0, F.bround(m, 2))
 
 
+_ISO = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+
+
+def iso_instant(text: Column) -> Column:
+    """A date and time as ``2024-01-31T10:00:00``, with six digits of a fraction and an offset if the text has them; null if it is none.
+
+    Read are ISO forms, with or without separators, with a time to the hour, minute, second or fraction, and
+    ``31/01/2024`` without a time. The clock is never shifted. A day alone is its midnight; a week's day isn't read.
+    """
+    t = F.trim(text)
+    part = lambda k: F.regexp_extract(t, _ISO, k)
+    padded = lambda k: F.lpad(part(k), 2, "0")
+    slashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+    spanish = F.try_to_date(F.nullif(F.regexp_extract(t, slashed, 0), F.lit("")), "d/M/yyyy")
+    day = F.try_to_date(F.nullif(F.concat(part(1), part(2), part(3)), F.lit("")), "yyyyMMdd")
+    clock = F.concat_ws(":", padded(4), padded(5), padded(6))
+    sound = (padded(4) < "24") & (padded(5) < "60") & (padded(6) < "60")
+    fraction = F.rpad(part(7), 6, "0")
+    zone = F.when(part(8) == "Z", "+00:00").when(part(8) == "", "").otherwise(F.concat(F.substring(part(8), 1, 3), F.lit(":"), F.rpad(F.regexp_replace(F.substring(part(8), 4, 3), ":", ""), 2, "0")))
+    made = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), clock, F.when(part(7).rlike("[1-9]"), F.concat(F.lit("."), fraction)).otherwise(""), zone)
+    return F.when(spanish.isNotNull(), F.concat(F.date_format(spanish, "yyyy-MM-dd"), F.lit("T00:00:00"))).when(sound, made)
+
+
 def wall_clock(text: Column) -> Column:
-    """The day as written, never shifted by an offset; null if it is none."""
-    iso = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1)
-    spanish = F.regexp_extract(text, r"^(\d{2}/\d{2}/\d{4})", 1)
-    return F.coalesce(F.try_to_date(F.nullif(iso, F.lit("")), "yyyy-MM-dd"), F.try_to_date(F.nullif(spanish, F.lit("")), "dd/MM/yyyy"))
+    """The day of :func:`iso_instant`: as written, never shifted by an offset; null if it is none."""
+    return F.to_date(F.substring(iso_instant(text), 1, 10))
 
 
 def useful_title(title: Column) -> Column:
@@ -117,6 +138,20 @@ def cpv_division(code: Column) -> Column:
     return F.coalesce(F.element_at(_mapped(CPV_DIVISIONS), F.substring(code, 1, 2)), F.lit("otros"))
 
 
+def any_language(text: Column, preferred: tuple[str, ...] = ("spa", "eng"), by: str = " · ") -> Column:
+    """The text of a JSON value: a text itself, the different texts of a list joined, of texts by language the first preferred one that isn't empty, else the first."""
+    kept = lambda x: F.filter(x, lambda v: v.isNotNull() & (v != ""))
+    flat = lambda v: F.nullif(F.when(v.startswith("["), F.array_join(F.array_distinct(kept(F.from_json(v, "array<string>"))), by)).otherwise(v), F.lit(""))
+    of = F.from_json(text, "map<string,string>")
+    first = F.get(kept(F.transform(F.map_values(of), flat)), F.lit(0))
+    return F.when(text.startswith("{"), F.coalesce(*[flat(F.element_at(of, F.lit(x))) for x in preferred], first)).otherwise(flat(text))
+
+
+def first_of(text: Column) -> Column:
+    """The first of a JSON list, or the value itself."""
+    return F.when(text.startswith("["), F.get(F.from_json(text, "array<string>"), F.lit(0))).otherwise(text)
+
+
 def translated(joined: Column, table: dict[str, str], by: str = " · ") -> Column:
     """Each part of a joined text by ``table`` (itself where it isn't there), once, in order; null if empty."""
     parts = F.transform(F.split(joined, by), lambda x: F.coalesce(F.element_at(_mapped(table), F.trim(x)), F.trim(x)))

@@ -1,25 +1,19 @@
-"""Tender feeds as DataFrames: ATOM files, ZIPs of them, and JSON of the EU and regional services. Schemas are given, never inferred."""
+"""Tender feeds as DataFrames: ATOM files and bodies, and JSON of the EU and regional services. Schemas are given, never inferred."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.functions.scalars import amount, clean, cpv_codes, months, tax_id, translated, wall_clock
-from bidlens.session import prepare
+from bidlens.functions.scalars import amount, any_language, clean, cpv_codes, first_of, months, tax_id, translated, wall_clock
 
 #: State codes of the national feed.
 STATES = {"PRE": "previo", "PUB": "publicada", "EV": "evaluacion", "ADJ": "adjudicada", "RES": "resuelta", "ANUL": "anulada"}
 #: Regions by the first four characters of the territorial code.
 REGIONS = {
     "ES11": "Galicia", "ES12": "Asturias", "ES13": "Cantabria", "ES21": "País Vasco", "ES22": "Navarra", "ES23": "La Rioja", "ES24": "Aragón",
-    "ES30": "Madrid", "ES41": "Castilla y León", "ES42": "Castilla-La Mancha", "ES43": "Extremadura", "ES51": "Cataluña", "ES52": "Comunitat Valenciana",
-    "ES53": "Illes Balears", "ES61": "Andalucía", "ES62": "Murcia", "ES63": "Ceuta", "ES64": "Melilla", "ES70": "Canarias",
+    "ES30": "Madrid", "ES41": "Castilla y León", "ES42": "Castilla-La Mancha", "ES43": "Extremadura", "ES51": "Cataluña", "ES52": "Comunidad Valenciana",
+    "ES53": "Islas Baleares", "ES61": "Andalucía", "ES62": "Murcia", "ES63": "Ceuta", "ES64": "Melilla", "ES70": "Canarias",
 }
 #: Kinds of contract of the national feed.
 CONTRACT_TYPES = {
@@ -65,6 +59,17 @@ def lookup(codes: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), key)
 
 
+def named(codes: dict[str, str], key: Column) -> Column:
+    """The name of a code; a code that isn't listed stands for itself."""
+    return F.coalesce(lookup(codes, key), key)
+
+
+def local_end(day: Column, clock: Column) -> Column:
+    """A day and a time of day as one text, both without their offsets; the day alone where there is no time."""
+    bare = lambda c: F.substring_index(F.substring_index(F.trim(c), "+", 1), "Z", 1)
+    return F.concat(bare(day), F.coalesce(F.concat(F.lit("T"), F.nullif(bare(clock), F.lit(""))), F.lit("")))
+
+
 def region_of(code: Column) -> Column:
     return lookup(REGIONS, F.substring(F.upper(F.trim(code)), 1, 4))
 
@@ -101,7 +106,7 @@ def consultations(spark: SparkSession, path: str, source: str = "national:consul
         clean(project["Name"]).alias("summary"),
         cpv_codes(F.array_join(codes, " ")).alias("cpv"),
         F.lit("Consulta preliminar de mercado").alias("procedure"),
-        lookup(CONTRACT_TYPES, project["TypeCode"]).alias("contract_type"),
+        named(CONTRACT_TYPES, project["TypeCode"]).alias("contract_type"),
         F.lit("previo").alias("state"),
         wall_clock(F.coalesce(c["PlannedDate"], first_published(c["ValidNoticeInfo"]))).alias("published"),
         c["LimitDate"].alias("deadline"),
@@ -142,7 +147,7 @@ def _tenders(raw: DataFrame, source: str) -> DataFrame:
         amount(project["BudgetAmount"]["TaxExclusiveAmount"]).alias("budget"),
         amount(project["BudgetAmount"]["EstimatedOverallContractAmount"]).alias("estimated_value"),
         region_of(project["RealizedLocation"]["CountrySubentityCode"]).alias("region"),
-        F.concat(end["EndDate"], F.coalesce(F.concat(F.lit("T"), F.regexp_replace(end["EndTime"], r"(Z|[+-]\d{2}:?\d{2})$", "")), F.lit(""))).alias("deadline"),
+        local_end(end["EndDate"], end["EndTime"]).alias("deadline"),
         F.col("updated"),
         months(project["PlannedPeriod"]["DurationMeasure"]["_VALUE"], project["PlannedPeriod"]["DurationMeasure"]["_unitCode"]).alias("months"),
         F.when(F.size(lots) == 1, F.get(lots, F.lit(0))["ID"]).alias("lot"),
@@ -152,8 +157,8 @@ def _tenders(raw: DataFrame, source: str) -> DataFrame:
         wall_clock(result["AwardDate"]).alias("awarded_on"),
         F.col("link._href").alias("detail_url"),
         tax_id(folder["LocatedContractingParty"]["Party"]["PartyIdentification"]["ID"]).alias("buyer_id"),
-        lookup(CONTRACT_TYPES, project["TypeCode"]).alias("contract_type"),
-        lookup(PROCEDURES, folder["TenderingProcess"]["ProcedureCode"]).alias("procedure"),
+        named(CONTRACT_TYPES, project["TypeCode"]).alias("contract_type"),
+        named(PROCEDURES, folder["TenderingProcess"]["ProcedureCode"]).alias("procedure"),
         clean(project["RealizedLocation"]["CountrySubentity"]).alias("place"),
         wall_clock(project["PlannedPeriod"]["StartDate"]).alias("starts_on"),
         wall_clock(project["PlannedPeriod"]["EndDate"]).alias("ends_on"),
@@ -162,39 +167,18 @@ def _tenders(raw: DataFrame, source: str) -> DataFrame:
     )
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for name in sorted(x for x in z.namelist() if x.endswith(".atom")):
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([z.read(name).decode("utf-8", "replace")])], ["archive", "member", "value"])
-
-
-def unzip(spark: SparkSession, path: str, out: str) -> str:
-    """Write the ATOM members of the archives below ``path`` as files below ``out``, a member at a time; other members are left out."""
-    prepare(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    files.mapInArrow(_members, "archive string, member string, value string").select("value").write.option("lineSep", "\n").text(out)
-    return out
-
-
-LANGUAGES = ("spa", "eng")
-JOINED = " · "
-
-
-def _pick(texts: Column) -> Column:
-    """Of texts by language: Spanish, else English, else the first."""
-    return F.coalesce(*[F.get(F.element_at(texts, F.lit(x)), F.lit(0)) for x in LANGUAGES], F.get(F.get(F.map_values(texts), F.lit(0)), F.lit(0)))
-
-
 def eu_state(kind: Column) -> Column:
     k = F.lower(F.coalesce(kind, F.lit("")))
     return F.when(k.startswith("pin") | k.contains("prior"), "previo").when(k.startswith("can") | k.contains("award") | k.startswith("car"), "adjudicada").when(k.startswith("cn") | k.startswith("subco") | k.contains("competition"), "publicada").otherwise("desconocido")
 
 
-EU = """struct<`publication-number`:string,`publication-date`:string,`notice-type`:string,`classification-cpv`:array<string>,
-`buyer-name`:map<string,array<string>>,`notice-title`:map<string,array<string>>,`deadline-receipt-request`:array<string>,`total-value`:double,
-`duration-period-value-lot`:array<string>,`duration-period-unit-lot`:array<string>,`contract-nature`:array<string>,`procedure-type`:string>"""
+#: Text, lists and texts by language come alike: such fields are read as JSON text.
+EU = """struct<`publication-number`:string,`publication-date`:string,`notice-type`:string,`classification-cpv`:array<string>,`buyer-name`:string,
+`notice-title`:string,`description-proc`:string,`description-lot`:string,`deadline-receipt-request`:string,`total-value`:double,
+`estimated-value-proc`:string,`duration-period-value-lot`:array<string>,`duration-period-unit-lot`:array<string>,`contract-nature`:string,
+`procedure-type`:string,`winner-name`:string,`winner-decision-date`:string,links:struct<html:map<string,string>,pdf:map<string,string>>>"""
+#: Fixed value: where the EU service shows a notice.
+EU_DETAIL = "https://ted.europa.eu/es/notice/-/detail/"
 
 
 def longest_duration(values: Column, units: Column) -> Column:
@@ -205,21 +189,38 @@ def longest_duration(values: Column, units: Column) -> Column:
 
 def eu_notices(spark: SparkSession, path: str) -> DataFrame:
     """Notices of the EU service's JSON pages. Dates keep the day as written; notices without a number are left out."""
-    pages = spark.read.schema(f"notices array<{EU}>").option("multiLine", True).json(path)
-    n = pages.select(F.explode("notices").alias("n")).select("n.*").where(F.col("publication-number").isNotNull())
+    return eu_bodies(spark.read.text(path, wholetext=True), "value")
+
+
+def eu_bodies(pages: DataFrame, body: str = "body") -> DataFrame:
+    """The same of pages that a column holds, as a source of pages gives them."""
+    parsed = pages.select(F.from_json(body, f"notices array<{EU}>")["notices"].alias("notices"))
+    n = parsed.select(F.explode("notices").alias("n")).select("n.*").where(F.col("publication-number").isNotNull() & (F.col("publication-number") != ""))
+    text = lambda c: any_language(F.col(c))
+    html, pdf = F.col("links.html"), F.col("links.pdf")
+    page = F.coalesce(F.element_at(html, F.lit("SPA")), F.element_at(html, F.lit("ENG")), F.get(F.map_values(html), F.lit(0)), F.concat(F.lit(EU_DETAIL), "publication-number"))
+    file = F.coalesce(F.element_at(pdf, F.lit("SPA")), F.element_at(pdf, F.lit("ENG")))
     return n.select(
         F.lit("eu").alias("source"),
         F.col("publication-number").alias("external_id"),
-        clean(_pick(F.col("notice-title").cast("map<string,array<string>>"))).alias("title"),
-        clean(_pick(F.col("buyer-name"))).alias("buyer"),
+        F.col("publication-number").alias("case_no"),
+        clean(text("notice-title")).alias("title"),
+        clean(F.coalesce(text("description-proc"), text("description-lot"))).alias("summary"),
+        clean(text("buyer-name")).alias("buyer"),
         F.array_distinct("classification-cpv").alias("cpv"),
         eu_state(F.col("notice-type")).alias("state"),
-        wall_clock(F.col("publication-date")).alias("published"),
-        wall_clock(F.get("deadline-receipt-request", F.lit(0))).alias("deadline"),
-        F.col("total-value").alias("estimated_value"),
+        F.col("notice-type").alias("state_code"),
+        wall_clock(F.substring_index(F.col("publication-date"), "+", 1)).alias("published"),
+        wall_clock(first_of(F.col("deadline-receipt-request"))).alias("deadline"),
+        F.col("total-value").alias("budget"),
+        amount(first_of(F.col("estimated-value-proc"))).alias("estimated_value"),
+        clean(text("winner-name")).alias("awardee"),
+        wall_clock(first_of(F.col("winner-decision-date"))).alias("awarded_on"),
         longest_duration(F.col("duration-period-value-lot"), F.col("duration-period-unit-lot")).alias("months"),
-        translated(F.array_join(F.array_distinct("contract-nature"), JOINED), EU_CONTRACT_TYPES).alias("contract_type"),
-        translated(F.col("procedure-type"), EU_PROCEDURES).alias("procedure"),
+        translated(text("contract-nature"), EU_CONTRACT_TYPES).alias("contract_type"),
+        translated(text("procedure-type"), EU_PROCEDURES).alias("procedure"),
+        page.alias("detail_url"),
+        F.filter(F.array(file), lambda x: x.isNotNull()).alias("documents"),
     )
 
 

@@ -13,7 +13,7 @@ from bidlens.functions import scalars, search
 from bidlens.operators import analytics, export, inbox, maintenance, reconcile, rules
 from bidlens.operators.grain import Filters, bins, entry, in_range, ranks
 from bidlens.plans import registry
-from bidlens.sources import feeds
+from bidlens.sources import feeds, paged
 from bidlens.sources.adapter import AS_OF, matches, notices
 from bidlens.streaming import changes
 
@@ -181,8 +181,8 @@ def test_feeds(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "zip/a.zip", "w") as z:
         z.writestr("b.atom", ATOM)
         z.writestr("readme.txt", "no feed")
-    out = feeds.unzip(spark, str(tmp_path / "zip"), str(tmp_path / "atoms"))
-    rows = {r["external_id"]: r for r in feeds.atom(spark, out).collect()}
+    members = paged.register(spark).read.format("notice_archive").load((tmp_path / "zip").as_uri())
+    rows = {r["external_id"]: r for r in feeds.atom_bodies(members).collect()}
     one = rows["e1"]
     assert set(rows) == {"e1", "e2"} and rows["e2"]["state"] == "desconocido" and rows["e2"]["title"] == "Two"
     assert (one["case_no"], one["buyer"], one["state"], one["budget"], one["cpv"], one["region"], one["months"], one["deadline"], one["lot"], one["detail_url"]) == ("12/2026", "Buyer A", "publicada", 1000.5, ["72500000"], "Madrid", 24, "2026-02-01T14:00:00", "1", "http://x/1")

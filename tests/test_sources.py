@@ -47,6 +47,51 @@ def test_eu_durations_and_terms(spark, tmp_path):
     assert got == {"1": ("previo", 36, "Servicios · odd", "Abierto"), "2": ("desconocido", 24, None, None), "3": ("desconocido", None, None, None)}
 
 
+def test_dates_as_written(spark):
+    """Against the standard library's readers, form by form."""
+    from datetime import datetime
+
+    def plain(text):
+        t = text.strip().replace("Z", "+00:00")
+        for form in ("%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M", "%Y-%m-%d", "%d/%m/%Y"):
+            try:
+                return datetime.strptime(t, form).isoformat()
+            except ValueError:
+                pass
+        try:
+            return datetime.fromisoformat(t).isoformat()
+        except ValueError:
+            return None
+
+    forms = ["2026-03-13T13:00:00.000", "2026-03-13T13:00:00.250", "2026-03-13T13:00:00+01:00", "2026-03-13T13:00:00Z", "2026-03-13T13:00", "2026-03-13", "20240131", "20240131T1015", "31/01/2024", "1/2/2024", "31/01/2024 10:00", "2026-03-13 07:30", "2026-02-30", "2026-03-13T25:00", "31-12", "", " 2026-03-13 ", "2026-03-13T13:00:00-05:30", "2026-03-13T13", "30/02/2024", "text"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(forms)], "k int, t string").orderBy("k").select(scalars.iso_instant(F.col("t"))).collect()]
+    assert got == [plain(t) if t else None for t in forms]
+
+
+def test_deadlines_unknown_codes_and_regions(spark, tmp_path):
+    end = lambda d, t: f"<cac:TenderingProcess><cbc:ProcedureCode>77</cbc:ProcedureCode><cac:TenderSubmissionDeadlinePeriod><cbc:EndDate>{d}</cbc:EndDate>{t and f'<cbc:EndTime>{t}</cbc:EndTime>'}</cac:TenderSubmissionDeadlinePeriod></cac:TenderingProcess>"
+    bare = '<cac:TenderingProcess><cbc:ProcedureCode>9</cbc:ProcedureCode></cac:TenderingProcess>'
+    odd = [TENDER.replace(bare, end(d, t)).replace("<cbc:TypeCode>2<", "<cbc:TypeCode>55<") for d, t in (("2024-05-01+02:00", "10:00:00+02:00"), ("2024-05-01Z", "23:59:00Z"), ("2024-05-01", ""))]
+    (tmp_path / "o.atom").write_text(feed("2026-01-03", "".join(odd)))
+    got = [(r["deadline"], r["procedure"], r["contract_type"]) for r in feeds.atom(spark, str(tmp_path / "o.atom")).collect()]
+    assert got == [(d, "77", "55") for d in ("2024-05-01T10:00:00", "2024-05-01T23:59:00", "2024-05-01")]
+    want = "Galicia,Asturias,Cantabria,País Vasco,Navarra,La Rioja,Aragón,Madrid,Castilla y León,Castilla-La Mancha,Extremadura,Cataluña,Comunidad Valenciana,Islas Baleares,Andalucía,Murcia,Ceuta,Melilla,Canarias".split(",")
+    assert list(feeds.REGIONS.values()) == want and len(want) == 19
+    assert spark.range(1).select(feeds.region_of(F.lit(" es523 "))).first()[0] == "Comunidad Valenciana"
+
+
+def test_eu_fields_in_all_forms(spark, tmp_path):
+    page = {"notices": [
+        {"publication-number": "1-2026", "publication-date": "2026-01-05+01:00", "buyer-name": {"cat": ["C", "C", "D"]}, "notice-title": {"eng": ["A"], "spa": ["B", "B2"]}, "description-proc": None, "description-lot": {"spa": ["x", "x"]}, "total-value": 5.5, "estimated-value-proc": ["1.234,5", "9"], "winner-name": ["W", "W", "V"], "winner-decision-date": ["2026-01-02"], "deadline-receipt-request": ["2026-02-01T10:00:00+01:00", "x"], "links": {"html": {"ENG": "http://e"}, "pdf": {"SPA": "http://p"}}, "procedure-type": "unlisted"},
+        {"publication-number": "2-2026", "notice-title": "plain", "buyer-name": ["a", "b", "a"], "winner-name": {"fra": []}, "links": {"html": {}}},
+    ]}
+    (tmp_path / "eu.json").write_text(json.dumps(page))
+    a, b = feeds.eu_notices(spark, str(tmp_path / "eu.json")).orderBy("external_id").collect()
+    assert (a["title"], a["buyer"], a["summary"], a["budget"], a["estimated_value"], a["awardee"], str(a["awarded_on"]), str(a["deadline"])) == ("B · B2", "C · D", "x", 5.5, 1234.5, "W · V", "2026-01-02", "2026-02-01")
+    assert (a["case_no"], a["detail_url"], a["documents"], a["procedure"], str(a["published"])) == ("1-2026", "http://e", ["http://p"], "unlisted", "2026-01-05")
+    assert (b["title"], b["buyer"], b["awardee"], b["detail_url"], b["documents"]) == ("plain", "a · b", None, feeds.EU_DETAIL + "2-2026", [])
+
+
 def test_regional_rows(spark, tmp_path):
     rows = [
         {"id_intern": "a", "numero_lot": "2", "codi_cpv": "72500000-0", "denominacio": "Servei", "fase_publicacio": "Anunci de licitació", "pressupost_licitacio_sense": "", "pressupost_licitacio_sense_1": "10.5", "enllac_publicacio": {"url": "http://a"}, "url_json_previ": "http://p", "url_json_licitacio": "no", "durada_contracte": "1/7/2026 fins 31-12-2026", "data_publicacio_anunci": "2026-02-01T00:00:00"},
