@@ -16,7 +16,7 @@ def searchable(text: Column) -> Column:
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(text_norm(text), r"[^\p{L}\p{N}_]+", " ")), F.lit(" "))
 
 
-def _folded(words: str) -> list[str]:
+def folded(words: str) -> list[str]:
     plain = "".join(c for c in unicodedata.normalize("NFD", words.lower()) if not unicodedata.combining(c))
     out = re.findall(r"\w+", plain)
     if not out:
@@ -26,16 +26,16 @@ def _folded(words: str) -> list[str]:
 
 def phrase(text: Column, words: str) -> Column:
     """Whether the text has these words, one after the other; a single word is a phrase, too."""
-    return text.contains(f" {' '.join(_folded(words))} ")
+    return text.contains(f" {' '.join(folded(words))} ")
 
 
 def prefix(text: Column, words: str) -> Column:
     """As :func:`phrase`; the last word may go on."""
-    return text.contains(f" {' '.join(_folded(words))}")
+    return text.contains(f" {' '.join(folded(words))}")
 
 
 def near(text: Column, one: str, other: str, most: int = 10) -> Column:
     """Whether both words are there, in either order, with ``most`` words between them at most."""
-    (a,), (b,) = _folded(one), _folded(other)
+    (a,), (b,) = folded(one), folded(other)
     between = rf" (?:[^ ]+ ){{0,{most}}}"
     return text.rlike(f" {a}{between}{b} ") | text.rlike(f" {b}{between}{a} ")

@@ -17,6 +17,7 @@ from bidlens.operators import reconcile as R
 from bidlens.operators import maintenance, rules, storage
 from bidlens.operators.grain import Filters, bins, entry, in_range, ranks
 from bidlens.sources.adapter import AS_OF, NOTICES_SQL, matches, notices
+from bidlens.plans import stored as kept_tables
 from bidlens.session import scratch
 from bidlens.streaming import changes
 
@@ -483,7 +484,7 @@ SELECT CASE left(c, 2) """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scala
         lambda s, d: notices(s, d).select("notice_id", scalars.translated(F.concat_ws(" · ", "state", "procedure", "state"), {"publicada": "open", "adjudicada": "awarded"}).alias("terms")),
         n + "SELECT notice_id, CASE state WHEN 'publicada' THEN 'open' WHEN 'adjudicada' THEN 'awarded' ELSE state END || ' · ' || procedure AS terms FROM valued",
     )
-    return q
+    return q | kept_tables.table()
 
 
 TABLE = _table()

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bidlens.operators.evaluation import Evaluation
 from bidlens.operators.rules import Profile, matches, reevaluate
 from bidlens.session import scratch
 
@@ -49,3 +50,19 @@ def run_once(spark: SparkSession, stream: DataFrame, profiles: Sequence[Profile]
 
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(OUTPUT + ", batch int").parquet(path)
+
+
+def run_stored(stream: DataFrame, evaluation: Evaluation, profiles: Sequence[Profile], order: str, checkpoint: str, at: str) -> list[dict]:
+    """All that is there now into a stored evaluation, and what each batch did.
+
+    The rules' fingerprint is part of what is stored: the first batch under other rules judges all stored notices, later
+    ones again what they bring. A run without new rows only does so if the rules have changed.
+    """
+    done: list[dict] = []
+
+    def each(batch: DataFrame, k: int) -> None:
+        evaluation.take(latest(batch, order).drop(order), f"{checkpoint} {k}").count()
+        done.append(evaluation.evaluate(profiles, at, incremental=True))
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return done or [evaluation.evaluate(profiles, at, incremental=True)]
