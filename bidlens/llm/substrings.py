@@ -34,8 +34,10 @@ WINDOW = 13
 GRAM = 5
 #: Words in one FM-index, about; a shard has as many as it takes, one after the other.
 INDEX_WORDS = 150_000
-#: Anchors of more different segments are given more precise shards: by their windows.
-WIDE_ANCHOR = 1_000
+#: Anchors of more different segments, or of more windows in these, are given more precise shards: by their windows.
+WIDE_ANCHOR, WIDE_WINDOWS = 1_000, 100_000
+#: Windows of a segment at most; a text of one repeated word makes one as long as itself, which lies in several rows.
+PART_WINDOWS = 4_000
 CHUNK_ROWS = 300
 REMEMBERED = 400_000
 
@@ -262,7 +264,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> I
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Segments around shared anchors: anchor, key (a digest of the words), words, id, body, start."""
+    """Segments around shared anchors: anchor, key (a digest of the words), words, id, body, start, windows. Long ones in parts that share all but their windows."""
     hashes = Hasher()
     for batch in batches:
         ids = batch.column("id").to_pylist()
@@ -275,12 +277,32 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) ->
             a, start, count = anchors(hashes(words), window, gram)
             take = np.isin(_signed(a), shared[i].values.to_numpy(zero_copy_only=False))
             for x, s, n in zip(_signed(a)[take].tolist(), start[take].tolist(), count[take].tolist(), strict=True):
-                passage = b" ".join(words[s : s + n + window - 1])
-                out.append((x, xxhash.xxh3_128_digest(passage), passage.decode(), ids[i], bodies[i], s))
+                for at in range(s, s + n, PART_WINDOWS):
+                    m = min(PART_WINDOWS, s + n - at)
+                    passage = b" ".join(words[at : at + m + window - 1])
+                    out.append((x, xxhash.xxh3_128_digest(passage), passage.decode(), ids[i], bodies[i], at, m))
         if out:
-            columns = list(zip(*out, strict=True))
-            types = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["anchor", "key", "words", "id", "body", "start"])
+            yield _as_segments(out)
+
+
+SEGMENT = "anchor long, key binary, words string, id long, body long, start int, windows int"
+
+
+def _as_segments(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["anchor", "key", "words", "id", "body", "start", "windows"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Each window of the segments as a segment of its own, whose anchor is its content."""
+    for batch in batches:
+        for words, i, body, start in zip(*(batch.column(c).to_pylist() for c in ("words", "id", "body", "start")), strict=True):
+            w, out = words.encode().split(b" "), []
+            for k in range(len(w) - window + 1):
+                passage = b" ".join(w[k : k + window])
+                out.append((xxhash.xxh3_64_intdigest(passage) - (1 << 63), xxhash.xxh3_128_digest(passage), passage.decode(), i, body, start + k, 1))
+            yield _as_segments(out)
 
 
 def _index_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -335,10 +357,9 @@ def _distinct(segments: DataFrame) -> DataFrame:
 
 
 def _wide(segments: DataFrame) -> DataFrame:
-    """Anchors of more than WIDE_ANCHOR different segments; segments are told apart only where there are so many rows."""
-    many = segments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_ANCHOR).select("anchor")
-    kinds = segments.select("anchor", "key").join(many, "anchor", "left_semi").distinct()
-    return kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_ANCHOR).select("anchor")
+    """Anchors whose different segments are more than WIDE_ANCHOR or have more than WIDE_WINDOWS windows; segments are told apart only where there is so much."""
+    large = lambda rows: rows.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("windows").alias("w")).where((F.col("n") > WIDE_ANCHOR) | (F.col("w") > WIDE_WINDOWS)).select("anchor")
+    return large(segments.select("anchor", "key", "windows").join(large(segments), "anchor", "left_semi").distinct())
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -354,18 +375,16 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     of = written(rows.select("body", "text").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor long, body long"), "anchors", "snappy")
     shared = of.groupBy("anchor").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high").select("anchor")
     lists = of.join(shared, "anchor").groupBy("body").agg(F.collect_set("anchor").alias("anchors")).join(firsts, "body")
-    segments = rows.join(lists, ["id", "body"]).select("id", "body", "text", "anchors").mapInArrow(lambda it: _segment_rows(it, window, gram), "anchor long, key binary, words string, id long, body long, start int")
+    segments = rows.join(lists, ["id", "body"]).select("id", "body", "text", "anchors").mapInArrow(lambda it: _segment_rows(it, window, gram), SEGMENT)
     segments = written(segments, "segments")
-    # An anchor with many different segments is cut into single windows, which meet by their own content.
+    # An anchor with many or long different segments is cut into single windows, which meet by their own content.
     wide = written(_wide(segments), "wide-anchors")
     if not wide.isEmpty():
-        words = F.split("words", " ")
-        cut = F.transform(F.sequence(F.lit(0), F.size(words) - window), lambda k: F.struct(F.array_join(F.slice(words, k + 1, window), " ").alias("words"), k.alias("k")))
-        hot = segments.join(wide, "anchor").select("id", "body", "start", F.explode(cut).alias("w")).select(F.xxhash64("w.words").alias("anchor"), F.unhex(F.md5("w.words")).alias("key"), F.col("w.words").alias("words"), "id", "body", (F.col("start") + F.col("w.k")).alias("start"))
-        segments = segments.join(wide, "anchor", "left_anti").select(hot.columns).union(hot)
+        hot = segments.join(wide, "anchor", "left_semi").mapInArrow(lambda it: _window_rows(it, window), SEGMENT)
+        segments = segments.join(wide, "anchor", "left_anti").union(hot)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = _distinct(segments).repartition(parts, "anchor").sortWithinPartitions("anchor", "first").mapInArrow(lambda it: _index_rows(it, window), "anchor long, key binary, least binary")
-    hits = segments.drop("words").join(found, ["anchor", "key"]).select("id", "body", "start", "least")
+    hits = segments.drop("words", "windows").join(found, ["anchor", "key"]).select("id", "body", "start", "least")
     spans = hits.mapInArrow(lambda it: _interval_rows(it, window), "id long, body long, begin int, end int").groupBy("id", "body").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     return written(firsts.join(spans, ["id", "body"], "left"), "repeats")
 

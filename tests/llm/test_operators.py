@@ -369,6 +369,15 @@ def test_repeats(spark, sf, odd, monkeypatch, wide):
     assert sorted(map(tuple, substrings.remove_repeats(docs).collect())) == plain_repeats([r[:2] for r in texts(sf)])
 
 
+def test_repeats_of_one_word_in_parts_and_windows(spark, monkeypatch):
+    """Texts of one repeated word, of different lengths: one anchor with few segments, each as long as its text."""
+    monkeypatch.setattr(substrings, "WIDE_WINDOWS", 4_000)
+    monkeypatch.setattr(substrings, "PART_WINDOWS", 700)
+    rows = [(i, f"start{i} " + "same " * (900 + 37 * i) + f"end{i}") for i in range(8)] + [(20, " ".join(f"v{k % 50}" for k in range(3_000))), (21, " ".join(f"v{k % 50}" for k in range(7, 3_100)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, substrings.remove_repeats(docs).collect())) == plain_repeats(rows)
+
+
 # 6
 
 
