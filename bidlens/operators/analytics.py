@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +21,46 @@ SHORT_LIST, MIDDLE = 5.0, 4.0
 PROCEDURES = {"4-not specified": "5-low"}
 
 
+#: What another language calls a procedure, in lower case.
+PROCEDURE_SPELLINGS = {
+    "obert": "Abierto", "obert simplificat": "Abierto simplificado", "obert simplificat abreujat": "Abierto simplificado",
+    "restringit": "Restringido", "negociat sense publicitat": "Negociado sin publicidad", "negociat amb publicitat": "Negociado con publicidad",
+    "contracte menor": "Contrato menor", "normes internes": "Normas internas", "altres": "Otros",
+}
+#: Procedures that are named, how the rest is called, and what a block needs before it says anything.
+TOP_PROCEDURES, REST = 7, "el resto"
+LEAST_MONTHS, LEAST_DISCOUNTS, LEAST_CYCLES, LEAST_WINDOWS = 12, 50, 50, 50
+#: Fixed value: the month from which history is taken to be whole.
+HISTORY_SINCE = "2024-01"
+
+
+def ranges(as_of: str, history_since: str = HISTORY_SINCE) -> dict[str, str]:
+    """The first month (yyyy-MM) of the three ranges that a user chooses among: this year, the last 24 months, all history."""
+    year, month = int(as_of[:4]), int(as_of[5:7])
+    back = year * 12 + month - 1 - 23
+    return {"year": f"{year}-01", "24m": f"{back // 12}-{back % 12 + 1:02}", "all": history_since}
+
+
 def calendar_months(entry: DataFrame) -> DataFrame:
     return cases(entry).where("month is not null").groupBy("month").agg(F.count("*").alias("cases"))
 
 
+def calendar_filled(entry: DataFrame) -> DataFrame:
+    """Cases of each month from the first to the last, those without any as 0. One row per month of history."""
+    months = calendar_months(entry)
+    day = lambda c: F.to_date(F.concat(c, F.lit("-01")))
+    span = months.agg(day(F.min("month")).alias("a"), day(F.max("month")).alias("b")).where("a is not null")
+    every = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("day")).select(F.date_format("day", "yyyy-MM").alias("month"))
+    return every.join(months, "month", "left").select("month", F.coalesce("cases", F.lit(0)).alias("cases"))
+
+
 def calendar_mean(entry: DataFrame) -> DataFrame:
     """Mean cases of each calendar month over complete years, the year of the newest publication left out. Few rows: one per month of history."""
     months = calendar_months(entry).withColumn("year", F.substring("month", 1, 4))
     newest = entry.agg(F.date_format(F.max("published"), "yyyy").alias("newest"))
     years = months.groupBy("year").agg(F.count("*").alias("n")).where("n = 12").join(F.broadcast(newest), F.col("year") != F.col("newest")).select("year")
     rows = months.join(years, "year").groupBy(F.substring("month", 6, 2).alias("month")).agg(F.sum("cases").alias("sum"), F.count("*").alias("years"))
-    return rows.select("month", (F.floor(F.col("sum") / F.col("years") * 10 + 0.5) / 10).alias("mean"))
+    return rows.select("month", F.bround(F.col("sum") / F.col("years"), 1).alias("mean"))
 
 
 def calendar_cover(entry: DataFrame) -> DataFrame:
@@ -122,6 +153,30 @@ def procedures(entry: DataFrame, top: int = 3) -> DataFrame:
     return both.groupBy(F.when(F.col("first"), F.col("procedure")).otherwise("rest").alias("procedure")).agg(F.sum("cases").alias("cases"))
 
 
+def procedures_named(entry: DataFrame, top: int = TOP_PROCEDURES) -> DataFrame:
+    """Cases by procedure under one name for all spellings, the most frequent ``top`` and one row for the rest. Cases without one aren't listed."""
+    spelled = F.create_map(*[F.lit(x) for kv in PROCEDURE_SPELLINGS.items() for x in kv])
+    raw = F.trim("procedure")
+    per = entry.groupBy("case_key").agg(F.max("procedure").alias("procedure")).where(raw != "")
+    counts = per.groupBy(F.coalesce(F.element_at(spelled, F.lower(raw)), raw).alias("procedure")).agg(F.count("*").alias("cases"))
+    first = counts.orderBy(F.col("cases").desc(), "procedure").limit(top).select("procedure", F.lit(True).alias("first"))  # a report of a few names
+    both = counts.join(F.broadcast(first), "procedure", "left")
+    return both.groupBy(F.when(F.col("first"), F.col("procedure")).otherwise(REST).alias("procedure")).agg(F.sum("cases").alias("cases"))
+
+
+def floors(entry: DataFrame, versions: DataFrame) -> DataFrame:
+    """block, n, least and enough: how much each block rests on, and whether that is enough to show it."""
+    kept = F.col("kind") == "kept"
+    blocks = (
+        ("calendar", LEAST_MONTHS, calendar_months(entry)),
+        ("discount", LEAST_DISCOUNTS, discounts(entry).where(kept)),
+        ("bid_window", LEAST_WINDOWS, bid_windows(entry).where(kept)),
+        ("cycle", LEAST_CYCLES, cycles(versions).where("days > 0")),
+    )
+    counted = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("block"), "n", F.lit(least).alias("least"), (F.col("n") >= least).alias("enough")) for name, least, rows in blocks]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def buyers(entry: DataFrame, top: int = 8) -> DataFrame:
     rows = entry.where("buyer is not null").groupBy("buyer").agg(F.countDistinct("case_key").alias("cases"))
     return rows.orderBy(F.col("cases").desc(), "buyer").limit(top)

@@ -23,6 +23,19 @@ def matched(matches: DataFrame) -> DataFrame:
     )
 
 
+def entry_in_row(notices: DataFrame, found: str = "found", discarded: bool = False) -> DataFrame:
+    """As :func:`entry`, of notices that carry their matches (profile, score, reason) as an array: no join, no shuffle."""
+    some = notices.where(F.size(found) > 0)
+    rows = some if discarded else some.where(F.coalesce("review_state", F.lit("nuevo")) != "descartado")
+    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["profile"].alias("profile"), x["reason"].alias("reason"))))
+    told = {
+        "score": F.array_max(F.transform(found, lambda x: x["score"])),
+        "profiles": F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["profile"]))), ","),
+        "reasons": F.array_join(F.transform(ordered, lambda x: F.concat(x["profile"], F.lit(": "), x["reason"])), " · "),
+    }
+    return rows.withColumns(told).drop(found)
+
+
 def entry(notices: DataFrame, matches: DataFrame, discarded: bool = False) -> DataFrame:
     """Matched notices with score, profiles and reasons; those that a reviewer discarded only on demand."""
     out = notices.join(matched(matches), "notice_id")

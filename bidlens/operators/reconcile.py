@@ -64,12 +64,13 @@ REVIEW_STATES = ("nuevo", "siguiendo", "descartado")
 def decide(decisions: DataFrame, notices: DataFrame, reviews: DataFrame) -> DataFrame:
     """``reviews`` (notice_id, state, reason) after ``decisions`` (the same, null meaning keep) on all notices of the case that each names.
 
-    One decision a case; states other than the known ones are an error when the rows are read.
+    Of several decisions on a case the one on its last notice counts, with its own reason. States other than the known ones
+    are an error when the rows are read.
     """
     known = F.col("state").isNull() | F.col("state").isin(*REVIEW_STATES)
     valid = decisions.select("notice_id", F.when(known, F.col("state")).otherwise(F.raise_error(F.concat(F.lit("no review state: "), F.col("state")))).alias("_state"), F.col("reason").alias("_reason"))
     keys = notices.select("notice_id", "case_key")
-    of_case = valid.join(keys, "notice_id").groupBy("case_key").agg(F.max("_state").alias("_state"), F.max("_reason").alias("_reason"))
+    of_case = valid.join(keys, "notice_id").groupBy("case_key").agg(F.max_by(F.struct("_state", "_reason"), "notice_id").alias("last")).select("case_key", "last._state", "last._reason")
     touched = keys.join(of_case, "case_key").select("notice_id", "_state", "_reason", F.lit(True).alias("_new"))
     both = reviews.join(touched, "notice_id", "full")
     return both.select("notice_id", F.coalesce("_state", "state", F.when(F.col("_new"), "nuevo")).alias("state"), F.coalesce("_reason", "reason").alias("reason"))

@@ -15,8 +15,8 @@ from bidlens.operators import export as X
 from bidlens.operators import inbox as I
 from bidlens.operators import reconcile as R
 from bidlens.operators import maintenance, rules, storage
-from bidlens.operators.grain import Filters, bins, entry, in_range, ranks
-from bidlens.sources.adapter import AS_OF, NOTICES_SQL, matches, notices
+from bidlens.operators.grain import Filters, bins, entry_in_row, in_range, ranks
+from bidlens.sources.adapter import AS_OF, NOTICES_SQL, found, matches, notices
 from bidlens.plans import stored as kept_tables
 from bidlens.session import scratch
 from bidlens.streaming import changes
@@ -25,6 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 LIVE = f"(state IN ('previo', 'publicada', 'evaluacion') AND (deadline IS NULL OR deadline >= DATE '{AS_OF}'))"
 DAY = f"DATE '{AS_OF}'"
 MARK = 10_000_000
+#: Priorities as procedures in the spellings that sources have; one is missing.
+SPELLED = {"1-urgent": "Obert", "2-high": "Abierto", "3-medium": " Negociat sense publicitat ", "5-low": "Altre"}
 
 PROFILE_A = rules.Profile("A", strong=("disgust", "licen"), weak=("tion", "ment"), context=("from", "ung"), exclude=("quel",), cpv=("80100000",), min_amount=500)
 PROFILE_B = rules.Profile("B", strong=("cion",), weak=("heit", "mit "), context=("ung",), exclude=("thsh",), cpv=("12100000",), regions=("de", "es"))
@@ -33,13 +35,11 @@ PROFILE_A2 = rules.Profile("A", strong=("disgust",), weak=("tion", "ment"), cont
 
 
 def _entry(spark, sf):
-    n = notices(spark, sf)
-    return entry(n, matches(n))
+    return entry_in_row(notices(spark, sf).withColumn("found", found()))
 
 
 def _every(spark, sf):
-    n = notices(spark, sf)
-    return entry(n, matches(n), discarded=True)
+    return entry_in_row(notices(spark, sf).withColumn("found", found()), discarded=True)
 
 
 def _docs(spark, sf):
@@ -243,7 +243,7 @@ GROUP BY company_key ORDER BY contracts DESC, money DESC, company_key LIMIT 20""
         lambda s, d: A.calendar_mean(_entry(s, d)),
         c + """, m AS (SELECT month, substr(month, 1, 4) AS year, count(*) AS cases FROM cases WHERE month IS NOT NULL GROUP BY month),
 years AS (SELECT year FROM m GROUP BY year HAVING count(*) = 12 AND year <> (SELECT strftime(max(published), '%Y') FROM entry))
-SELECT substr(m.month, 6, 2) AS month, floor(sum(cases)::DOUBLE / count(*) * 10 + 0.5) / 10 AS mean FROM m JOIN years USING (year) GROUP BY 1""",
+SELECT substr(m.month, 6, 2) AS month, round_even(sum(cases)::DOUBLE / count(*), 1) AS mean FROM m JOIN years USING (year) GROUP BY 1""",
     )
     q["calendar_cover"] = (lambda s, d: A.calendar_cover(_entry(s, d)), n + "SELECT max(published) AS newest, day(max(published))::INT AS days_covered, day(last_day(max(published)))::INT AS days_in_month FROM entry")
     q["amount_stats"] = (lambda s, d: ranks(A.amounts(_entry(s, d)), "money"), c + _stats_sql("cases", "money"))
@@ -272,6 +272,27 @@ SELECT substr(m.month, 6, 2) AS month, floor(sum(cases)::DOUBLE / count(*) * 10
 counts AS (SELECT procedure, count(*) AS cases FROM per GROUP BY procedure), placed AS (SELECT *, row_number() OVER (ORDER BY cases DESC, procedure) AS rn FROM counts)
 SELECT CASE WHEN rn <= 3 THEN procedure ELSE 'rest' END AS procedure, sum(cases)::BIGINT AS cases FROM placed GROUP BY 1""",
     )
+    q["procedures_named"] = (
+        lambda s, d: A.procedures_named(_entry(s, d).withColumn("procedure", F.element_at(F.create_map(*[F.lit(x) for kv in SPELLED.items() for x in kv]), F.col("procedure"))), 2),
+        n + """, spelled AS (SELECT case_key, CASE procedure WHEN '1-urgent' THEN 'Obert' WHEN '2-high' THEN 'Abierto' WHEN '3-medium' THEN ' Negociat sense publicitat ' WHEN '5-low' THEN 'Altre' END AS procedure FROM entry),
+per AS (SELECT case_key, trim(max(procedure)) AS procedure FROM spelled GROUP BY case_key), named AS (SELECT CASE procedure WHEN 'Obert' THEN 'Abierto' WHEN 'Negociat sense publicitat' THEN 'Negociado sin publicidad' ELSE procedure END AS procedure FROM per WHERE procedure <> ''),
+placed AS (SELECT procedure, count(*) AS cases, row_number() OVER (ORDER BY count(*) DESC, procedure) AS rn FROM named GROUP BY 1)
+SELECT CASE WHEN rn <= 2 THEN procedure ELSE 'el resto' END AS procedure, sum(cases)::BIGINT AS cases FROM placed GROUP BY 1""",
+    )
+    q["floors"] = (
+        lambda s, d: A.floors(_entry(s, d), _versions(s, d).withColumn("day", F.to_date("ts"))),
+        n + CASES_SQL + DISCOUNTS_SQL.replace("kept AS", "dk AS") + BID_SQL.replace("kept AS", "bk AS") + CYCLE_SQL.replace("WITH lagged", ", lagged").replace("kept AS", "ck AS") + """
+SELECT 'calendar' AS block, count(DISTINCT month)::BIGINT AS n, 12 AS least, count(DISTINCT month) >= 12 AS enough FROM cases UNION ALL SELECT 'discount', count(*), 50, count(*) >= 50 FROM dk
+UNION ALL SELECT 'bid_window', count(*), 50, count(*) >= 50 FROM bk UNION ALL SELECT 'cycle', count(*), 50, count(*) >= 50 FROM ck""",
+    )
+    q["calendar_filled"] = (
+        lambda s, d: A.calendar_filled(_entry(s, d)),
+        c + """, m AS (SELECT month, count(*) AS cases FROM cases WHERE month IS NOT NULL GROUP BY month),
+span AS (SELECT strftime(unnest(generate_series((min(month) || '-01')::DATE, (max(month) || '-01')::DATE, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM m)
+SELECT month, coalesce(cases, 0)::BIGINT AS cases FROM span LEFT JOIN m USING (month)""",
+    )
+    for name, first in A.ranges(AS_OF, "1996-01").items():
+        q[f"range_{name}"] = (lambda s, d, m=first: A.calendar_months(in_range(_entry(s, d), m)), c + f"SELECT month, count(*) AS cases FROM cases WHERE month >= '{first}' GROUP BY month")
     q["buyers_top"] = (lambda s, d: A.buyers(_entry(s, d)), n + "SELECT buyer, count(DISTINCT case_key) AS cases FROM entry GROUP BY buyer ORDER BY cases DESC, buyer LIMIT 8")
     q["portfolio_bands"] = (
         lambda s, d: A.portfolio(_entry(s, d), AS_OF),
@@ -381,13 +402,13 @@ change AS (SELECT coalesce(new.doc_id, old.doc_id) AS doc_id, coalesce(new.profi
     def decided(s, d):
         x = notices(s, d)
         reviews = x.where("review_state is not null").select("notice_id", F.col("review_state").alias("state"), F.col("discard_reason").alias("reason"))
-        decisions = x.where("lot = '1' and procedure = '2-high'").select("notice_id", F.when(F.col("source") == "eu", "siguiendo").alias("state"), F.lit("seen").alias("reason"))
+        decisions = x.where("lot = '1' and procedure = '2-high'").select("notice_id", F.when(F.col("source") == "eu", "siguiendo").alias("state"), F.concat(F.lit("seen from "), "source").alias("reason"))
         return R.decide(decisions, x, reviews)
 
     q["reviews_of_cases"] = (
         decided,
-        n + """, decision AS (SELECT case_key, max(CASE WHEN source = 'eu' THEN 'siguiendo' END) AS s FROM valued WHERE lot = '1' AND procedure = '2-high' GROUP BY case_key)
-SELECT notice_id, coalesce(s, review_state, 'nuevo') AS state, CASE WHEN decision.case_key IS NOT NULL THEN 'seen' ELSE discard_reason END AS reason
+        n + """, decision AS (SELECT case_key, source, CASE WHEN source = 'eu' THEN 'siguiendo' END AS s FROM valued WHERE lot = '1' AND procedure = '2-high' QUALIFY row_number() OVER (PARTITION BY case_key ORDER BY notice_id DESC) = 1)
+SELECT notice_id, coalesce(s, review_state, 'nuevo') AS state, CASE WHEN decision.case_key IS NOT NULL THEN 'seen from ' || decision.source ELSE discard_reason END AS reason
 FROM valued LEFT JOIN decision USING (case_key) WHERE review_state IS NOT NULL OR decision.case_key IS NOT NULL""",
     )
     q["reviews_inherited"] = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 AS_OF = "1998-08-01"
@@ -65,11 +65,16 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"case_key": F.coalesce("group_key", F.col("notice_id").cast("string")), "money": F.coalesce("award", "budget")})
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """A row per notice and profile."""
+def found() -> Column:
+    """The matches of a notice, in its row: one of its segment, and one of its quantity if that is large."""
     one = F.struct(F.col("segment").alias("profile"), F.col("base_score").alias("score"), F.concat(F.lit("brand "), "brand").alias("reason"))
     two = F.when(F.col("months") > 40, F.struct(F.lit("bulk").alias("profile"), (F.col("base_score") - 0.5).alias("score"), F.lit("quantity").alias("reason")))
-    return found.select("notice_id", F.inline(F.filter(F.array(one, two), lambda x: x.isNotNull())))
+    return F.filter(F.array(one, two), lambda x: x.isNotNull())
+
+
+def matches(rows: DataFrame) -> DataFrame:
+    """A row per notice and profile."""
+    return rows.select("notice_id", F.inline(found()))
 
 
 NOTICES_SQL = """
