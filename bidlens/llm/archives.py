@@ -174,7 +174,11 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def convert(arcs: DataFrame) -> DataFrame:
-    """ARC files (key, refers_to, arc) to WARC records in a column ``value``, as :func:`write` wants them."""
+    """ARC files (key, refers_to, arc) to WARC records in a column ``value``, as :func:`write` wants them.
+
+    A null ``refers_to`` is a record of its own; a null key is an error, as nothing would name the record. Repeated rows give
+    repeated records; an archive is converted within its row, whole, however long. No rows give none.
+    """
     prepare(arcs.sparkSession)
     return arcs.select("key", "refers_to", "arc").mapInArrow(_convert, "value binary")
 
@@ -182,7 +186,8 @@ def convert(arcs: DataFrame) -> DataFrame:
 def write(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
     """Gzipped WARC files below ``path``, of at most ``per_file`` records.
 
-    A cast makes text of the bytes without changing them, whatever their encoding.
+    A cast makes text of the bytes without changing them, whatever their encoding. Records are written as they come, repeated
+    ones too; a null record is an empty line. No records give a folder without archives.
     Spark's text writer ends each row with the two line ends that end a WARC record, and commits files whole, so a
     lost executor leaves no half archives.
     """
@@ -211,7 +216,11 @@ READ_COLUMNS = ["key", "record_type", "record_id", "date", "url", "payload_bytes
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the WARC files below ``path``, in any folder; payloads are held against their digests."""
+    """A row for each record of the WARC files below ``path``, in any folder; payloads are held against their digests.
+
+    Records of one key come as often as they are written; one without a key or with another payload than its digest says is
+    an error. A record is read whole, one at a time. A folder without archives gives no rows.
+    """
     prepare(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     schema = ", ".join(f"{c} {'bigint' if c == 'payload_bytes' else 'string'}" for c in READ_COLUMNS)

@@ -245,7 +245,11 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", decoded
 
 
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document the number of ids, the hash of the ids and the hash of what they decode to."""
+    """Per document the number of ids, the hash of the ids and the hash of what they decode to.
+
+    A null text is an empty one: no ids, and the hashes of nothing. Repeated rows and null document ids have rows like any other,
+    long texts are encoded whole, and no rows give none.
+    """
     tokens = decode(encode(docs.select(doc_id, text), path, pattern, text), path, pattern)
     return tokens.select(
         doc_id,

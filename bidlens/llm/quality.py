@@ -164,5 +164,25 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     return kept.withColumn("_lines", F.when(F.col("places").isNotNull(), F.split("_raw", "\n"))).select(*[cleaned.alias(text) if c == text else old for c, old in zip(docs.columns, unpacked(docs.columns), strict=True)])
 
 
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+starts AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS times FROM starts),
+rep AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS place FROM windows WHERE times > 1) GROUP BY 1),
+lines AS (SELECT doc_id, source, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line FROM raw),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS of FROM d GROUP BY 1),
+often AS (SELECT source, line, count(DISTINCT doc_id) AS docs FROM lines WHERE line <> '' GROUP BY 1, 2),
+over AS (SELECT often.source, line FROM often JOIN hosts ON often.source IS NOT DISTINCT FROM hosts.source WHERE docs > {MAX_DOCS_PER_HOST} AND docs > {MAX_SHARE_OF_HOST}::DOUBLE * of),
+gone AS (SELECT doc_id, sum(len(string_split(lines.line, ' ')))::BIGINT AS n FROM lines JOIN over ON lines.line = over.line AND lines.source IS NOT DISTINCT FROM over.source GROUP BY 1),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS words_removed
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND n_words - words_removed >= {MIN_SHARE_LEFT}::DOUBLE * n_words AS kept FROM f
+"""
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))

@@ -30,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.OP4_SQL,
         "op5_substring_dedup": substrings.OP5_SQL,
         "op7_warc": archives.OP7_SQL,
+        "op8_quality_rules": quality.OP8_SQL,
         "op10_embedding_graph": vectors.OP10_SQL,
         "op12_exact_dedup": exact.OP12_SQL,
     }

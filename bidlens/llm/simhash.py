@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidlens.llm.components import connect
-from bidlens.llm.tables import written
+from bidlens.llm.tables import looked_up, written
 from bidlens.llm.text import packed, unpacked, unused, whole
 from bidlens.session import prepare
 
@@ -178,6 +178,8 @@ WIDE, WIDE_SEGMENTS, WIDE_CHAIN = 4, 16, 8
 SAMPLE_DOCUMENTS, FREQUENT = 20_000, 100_000
 #: Members of a key that one task holds against another such block.
 BLOCK = 256
+#: Shared shingles that are broadcast at most; beyond it the most frequent ones are, as :func:`looked_up` does it.
+SHARED_ROWS = 100_000
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -328,8 +330,9 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     keyed = one.select("id", "size", F.posexplode("prefix").alias("pos", "key"))
     member = F.struct("id", "size", "pos")
-    ends_of = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(member).alias("low"), F.max(member).alias("high")).where("n > 1")
-    met = written(keyed.join(ends_of, "key").select("key", "id", "size", "pos", "n", "low", "high"), "met")
+    ends_of = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(member).alias("low"), F.max(member).alias("high")).where("n > 1"), "ends")
+    # a shingle that many texts share meets them where they are, so no task has all of its texts
+    met = written(looked_up(keyed, ends_of, ["key"], "n", "inner", SHARED_ROWS).select("key", "id", "size", "pos", "n", "low", "high"), "met")
     ends = met.select(F.struct("id", "size", "pos").alias("m"), F.explode(F.array("low", "high")).alias("e"))
     near = written(ends.where((F.col("m.id") != F.col("e.id")) & _may_be_similar("m", "e", similarity)).select(*_pair(F.col("m.id"), F.col("e.id"))).distinct(), "near")
     links_ = _similar(written(pruned(near), "near-pruned"), rows, words, similarity)
@@ -337,8 +340,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     inner = met.where((F.col("n") > 3) & (F.col("id") != F.col("low.id")) & (F.col("id") != F.col("high.id"))).select("key", "id", "size", "pos")
     so_far = connect(links_, "a", "b").withColumnRenamed("component", "part")
     placed = written(inner.join(so_far, "id", "left").select("key", "id", "size", "pos", F.coalesce("part", "id").alias("part")), "placed")
-    apart_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("one"), F.max("part").alias("other")).where("one < other").select("key", "n")
-    mixed = written(placed.join(apart_, "key"), "mixed")
+    apart_ = written(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("one"), F.max("part").alias("other")).where("one < other").select("key", "n"), "apart")
+    mixed = written(looked_up(placed, apart_, ["key"], "n", "inner", SHARED_ROWS), "mixed")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     x = mixed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
     y = mixed.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("y")
