@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -428,8 +429,15 @@ def truth(classes: DataFrame, least: float = LEAST_COSINE, queries: int = AUDIT)
     return classes.select("id", "label", "v", "n").mapInPandas(compare, kinds).groupBy("id", "label").agg(F.sum("there").alias("there"), F.sum("partners").alias("partners")).checkpoint()
 
 
+def missed(there: DataFrame, found: DataFrame, recall: float = RECALL) -> DataFrame:
+    """The labels of which fewer of the links that ``truth`` has are found than ``recall``."""
+    both = there.join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
+    of = both.groupBy("label").agg(F.sum("there").alias("there"), F.sum(F.coalesce("links", F.lit(0))).alias("found"))
+    return of.where(F.col("found") < recall * F.col("there")).select("label")
+
+
 def audit(there: DataFrame, found: DataFrame) -> float:
-    """Recall: links found of those that ``truth`` has."""
+    """Recall over all labels: links found of those that ``truth`` has."""
     both = there.join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").agg(F.sum("there"), F.sum(F.coalesce("links", F.lit(0)))).first()
     return 1.0 if not both[0] else both[1] / both[0]
 
@@ -450,16 +458,22 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     dense = there.groupBy("label").agg(F.avg("partners").alias("partners")).join(sizes, "label").where(F.col("partners") >= DENSE * F.col("of")).select("label").checkpoint()
     rest, there = classes.join(dense, "label", "left_anti").select(classes.columns).checkpoint(), there.join(dense, "label", "left_anti")
     by_blocks = compare_all(classes.join(dense, "label", "left_semi").select(classes.columns), least)
-    overlap = OVERLAP
+    parts_found, overlap = [by_blocks], OVERLAP
     while True:
         found = search(rest, overlap, least).checkpoint()
-        if audit(there, found) >= RECALL:
+        again = missed(there, found).checkpoint()
+        if again.isEmpty():
+            parts_found.append(found)
             break
+        # labels that were found well enough are done; only the others are searched with more overlap, at last in blocks
+        left = rest.join(again, "label", "left_semi").select(classes.columns).checkpoint()
+        parts_found.append(found.join(left.select("id"), "id", "left_anti").select(found.columns))
+        rest, there = left, there.join(again, "label", "left_semi")
         if overlap >= 4 * OVERLAP:
-            found = compare_all(rest, least)
+            parts_found.append(compare_all(rest, least))
             break
         overlap *= 2
-    found = found.union(by_blocks).checkpoint()
+    found = reduce(DataFrame.union, parts_found).checkpoint()
     parts = connect(found.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")), "a", "b")
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.join(counted, "id", "left").join(parts, "id", "left").select("label", "key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", F.col("id")).alias("component"))
