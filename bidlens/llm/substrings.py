@@ -35,7 +35,7 @@ GRAM = 5
 #: Words in one FM-index, about; a shard has as many as it takes, one after the other.
 INDEX_WORDS = 150_000
 #: Anchors of more different segments, or of more windows in these, are given more precise shards: by their windows.
-WIDE_ANCHOR, WIDE_WINDOWS = 1_000, 100_000
+WIDE_ANCHOR, WIDE_WINDOWS = 1_000, 400_000
 #: Windows of a segment at most; a text of one repeated word makes one as long as itself, which lies in several rows.
 PART_WINDOWS = 4_000
 CHUNK_ROWS = 300
@@ -294,17 +294,6 @@ def _as_segments(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Each window of the segments as a segment of its own, whose anchor is its content."""
-    for batch in batches:
-        for words, i, body, start in zip(*(batch.column(c).to_pylist() for c in ("words", "id", "body", "start")), strict=True):
-            w, out = words.encode().split(b" "), []
-            for k in range(len(w) - window + 1):
-                passage = b" ".join(w[k : k + window])
-                out.append((xxhash.xxh3_64_intdigest(passage) - (1 << 63), xxhash.xxh3_128_digest(passage), passage.decode(), i, body, start + k, 1))
-            yield _as_segments(out)
-
-
 def _index_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The segments of which some document has a repeated window, with the least document for each window.
 
@@ -380,8 +369,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # An anchor with many or long different segments is cut into single windows, which meet by their own content.
     wide = written(_wide(segments), "wide-anchors")
     if not wide.isEmpty():
-        hot = segments.join(wide, "anchor", "left_semi").mapInArrow(lambda it: _window_rows(it, window), SEGMENT)
-        segments = segments.join(wide, "anchor", "left_anti").union(hot)
+        words = F.split("words", " ")
+        cut = F.transform(F.sequence(F.lit(0), F.col("windows") - 1), lambda k: F.struct(F.array_join(F.slice(words, k + 1, window), " ").alias("words"), k.alias("k")))
+        hot = segments.join(wide, "anchor").select("id", "body", "start", F.explode(cut).alias("w")).select(F.xxhash64("w.words").alias("anchor"), F.unhex(F.md5("w.words")).alias("key"), F.col("w.words").alias("words"), "id", "body", (F.col("start") + F.col("w.k")).alias("start"), F.lit(1).alias("windows"))
+        segments = segments.join(wide, "anchor", "left_anti").select(hot.columns).union(hot)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = _distinct(segments).repartition(parts, "anchor").sortWithinPartitions("anchor", "first").mapInArrow(lambda it: _index_rows(it, window), "anchor long, key binary, least binary")
     hits = segments.drop("words", "windows").join(found, ["anchor", "key"]).select("id", "body", "start", "least")
