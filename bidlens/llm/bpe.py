@@ -29,20 +29,36 @@ TOGETHER = 64
 #: Pieces whose ids a worker remembers; the store is emptied when full.
 REMEMBERED = 250_000
 #: Characters that are encoded at a time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
+
+
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+
+
+@lru_cache(2)
+def tokens_of(path: str) -> list[bytes]:
+    """The bytes of each id, which is all that decoding needs; made once in each Python worker."""
+    ranks = ranks_of(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def bytes_of(path: str, ids: list[bytes]) -> list[bytes]:
+    token = tokens_of(path).__getitem__
+    return [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
 
 
 class Vocabulary:
     """Ranks of a rank file, and the rank of each pair of tokens that together make a token."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+        ranks = ranks_of(path)
         self.pattern = regex.compile(pattern)
         self.ranks = ranks
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.bits = max(ranks.values()).bit_length()
         self.pairs = {}
@@ -196,9 +212,6 @@ class Vocabulary:
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 @lru_cache(2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
@@ -234,14 +247,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return narrow.mapInArrow(lambda it: _append(it, own, ids, lambda texts: vocabulary(path, pattern).encode(texts)), schema)
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def decode(tokens: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``tokens`` with a binary column ``decoded``: the bytes that the ids stand for. Null ids give no bytes."""
     prepare(tokens.sparkSession)
     rest = [c for c in tokens.columns if c != decoded]
     none, own = F.lit(b""), unused(tokens, "_ids")
     narrow = tokens.select(*[F.coalesce(F.col(c), none).alias(c) if c == ids else F.col(c) for c in rest], F.coalesce(F.col(ids), none).alias(own))
     schema = T.StructType([*(T.StructField(ids, T.BinaryType()) if c == ids else tokens.schema[c] for c in rest), T.StructField(decoded, T.BinaryType())])
-    return narrow.mapInArrow(lambda it: _append(it, own, decoded, lambda rows: [vocabulary(path, pattern).decode(x) for x in rows]), schema)
+    return narrow.mapInArrow(lambda it: _append(it, own, decoded, lambda rows: bytes_of(path, rows)), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,7 +263,7 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     A null text is an empty one: no ids, and the hashes of nothing. Repeated rows and null document ids have rows like any other,
     long texts are encoded whole, and no rows give none.
     """
-    tokens = decode(encode(docs.select(doc_id, text), path, pattern, text), path, pattern)
+    tokens = decode(encode(docs.select(doc_id, text), path, pattern, text), path)
     return tokens.select(
         doc_id,
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
