@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 _MANIFEST = "version bigint, mark string, bucket int, folder string"
 
@@ -29,7 +29,7 @@ class Store:
 
     spark: SparkSession
     path: str
-    schema: StructType
+    schema: T.StructType
     key: Sequence[str]
     by: Sequence[str] = ()
     buckets: int = 64
@@ -98,21 +98,14 @@ class Store:
             out = f"data/{version + 1:09}-{uuid.uuid4().hex[:8]}"
             dealt = left.unionByName(new).repartition("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.spread)))
             dealt.sortWithinPartitions("_bucket", *self.sort).write.options(**self.options).partitionBy("_bucket").parquet(f"{self.path}/{out}")
-            written = {r[0] for r in self.spark.read.parquet(f"{self.path}/{out}").select("_bucket").distinct().collect()} if self._any(f"{self.path}/{out}") else set()
+            there = self.spark.read.schema(T.StructType([*self.schema, T.StructField("_bucket", T.IntegerType())])).parquet(f"{self.path}/{out}")
+            written = {r[0] for r in there.select("_bucket").distinct().collect()}
             folders = {b: f for b, f in folders.items() if b not in touched} | {b: f"{out}/_bucket={b}" for b in written}
         return self._publish(version + 1, mark, folders)
 
     def _joined(self) -> Column:
         return (F.col("_old._bucket") == F.col("_key._bucket")) & reduce(lambda a, b: a & b, [F.col(f"_old.{k}").eqNullSafe(F.col(f"_key.{k}")) for k in self.key])
 
-    def _any(self, path: str) -> bool:
-        try:
-            return bool(self.spark.read.parquet(path).columns)
-        except AnalysisException as e:
-            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
-                raise
-            return False
-
     def _publish(self, version: int, mark: str | None, folders: dict[int, str]) -> int:
         rows = [(version, mark, b, f) for b, f in sorted(folders.items())] or [(version, mark, None, None)]
         self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/manifest/{version:09}")

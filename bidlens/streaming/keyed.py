@@ -63,7 +63,9 @@ def outcomes(stream: DataFrame, keep: timedelta | None = None) -> DataFrame:
 
 def run(stream: DataFrame, out: str, checkpoint: str, keep: timedelta | None = None) -> None:
     """All that is there now, appended below ``out`` exactly once; a later run on the same checkpoint goes on."""
-    outcomes(stream, keep).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    # with a time to live there is always another batch to run, without rows, so such a run is one batch
+    trigger = {"once": True} if keep else {"availableNow": True}
+    outcomes(stream, keep).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start(out).awaitTermination()
 
 
 def run_once(spark: SparkSession, stream: DataFrame, name: str = "keyed") -> DataFrame:
