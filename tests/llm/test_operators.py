@@ -494,7 +494,6 @@ def test_similar_pairs_meet_among_hundreds_of_strangers(spark, monkeypatch):
 
 @pytest.mark.parametrize("frequent", [100_000, 0])
 def test_similar_groups_are_those_of_all_pairs(spark, sf, odd, monkeypatch, frequent):
-    monkeypatch.setattr(simhash, "SHARED_ROWS", 3 if frequent else 100_000)
     monkeypatch.setattr(simhash, "FREQUENT", frequent)
     rows = [(i, t) for i, t in {r[0]: r[1] for r in ODD if r[0] is not None}.items()] + [(1000 + r[0], r[1]) for r in texts(sf)]
     assert similar(spark, rows) == plain_similar(rows)
