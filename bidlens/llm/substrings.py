@@ -324,17 +324,20 @@ def _index_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
 
 
 def _interval_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """id, body, first word and end of each run of windows that an earlier document has."""
+    """id, body, first word and end of each run of windows that an earlier document has. The windows of a batch are one array."""
     for batch in batches:
-        out = []
-        for i, body, s, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "body", "start", "least")), strict=True):
-            hit = np.flatnonzero(np.frombuffer(raw, np.int64) < i)
-            if len(hit):
-                cut = np.flatnonzero(np.diff(hit) > 1)
-                a, b = hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])]
-                out += [(i, body, s + int(x), s + int(y) + window) for x, y in zip(a, b, strict=True)]
-        columns = list(zip(*out, strict=True)) if out else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["id", "body", "begin", "end"])
+        raw = batch.column("least").to_pylist()
+        n = np.array([len(x) // 8 for x in raw], np.int64)
+        owner = np.repeat(np.arange(len(raw)), n)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        hit = np.flatnonzero(np.frombuffer(b"".join(raw), np.int64) < batch.column("id").to_numpy(zero_copy_only=False)[owner])
+        owner, place = owner[hit], place[hit]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1))) if len(hit) else hit
+        last = np.append(first[1:], len(hit))[: len(first)] - 1
+        of = owner[first]
+        start = batch.column("start").to_numpy(zero_copy_only=False)[of]
+        made = [pa.array(start + place[first], pa.int32()), pa.array(start + place[last] + window, pa.int32())]
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), batch.column("body").take(pa.array(of)), *made], ["id", "body", "begin", "end"])
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
