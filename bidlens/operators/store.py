@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,30 +78,47 @@ class Store:
     def merge(self, rows: DataFrame, gone: DataFrame | None = None, mark: str | None = None) -> int:
         """``rows`` in the place of those with their keys, without the keys in ``gone``; gives the new version.
 
-        Keys are unique in ``rows``, a null meets a null. Both frames are read more than once, so they should be tables or
-        cheap. A ``mark`` that a version bears already (a batch that is run again) changes nothing.
+        Keys are unique in ``rows``, a null meets a null. Both frames are read twice, so they should be tables or cheap; a
+        table's first merge reads them once. Old rows, new ones and keys that go meet in one shuffle. A ``mark`` that a
+        version bears already (a batch that is run again) changes nothing.
         """
         if mark is not None and self.manifests().where(F.col("mark") == mark).limit(1).count():
             return self.version()
         version, names = self.version(), self.schema.fieldNames()
-        new = rows.select(*names).withColumn("_bucket", self.bucket())
-        keys = new.select("_bucket", *self.key)
+        new, there = rows.select(*names), self.folders(version)
+        if not there:
+            return self.replace(version, None, self._dealt(new).sortWithinPartitions("_bucket", *self.sort), mark)
+        told = [new.withColumn("_kind", F.lit(2))]
         if gone is not None:
-            keys = keys.unionByName(gone.select(*self.key).distinct().withColumn("_bucket", self.bucket()))
-        touched = sorted(r[0] for r in keys.select("_bucket").distinct().collect())  # at most as many as there are buckets
+            told.append(gone.select(*[F.col(c) if c in self.key else F.lit(None).cast(self.schema[c].dataType).alias(c) for c in names], F.lit(1).alias("_kind")))
+        told = reduce(DataFrame.unionByName, told)
+        touched = sorted(r[0] for r in told.select(self.bucket()).distinct().collect())  # at most as many as there are buckets
         if not touched and mark is None:
             return version
-        folders = self.folders(version)
-        if touched:
-            old = self.read(version, touched).withColumn("_bucket", self.bucket())
-            left = old.alias("_old").join(keys.alias("_key"), self._joined(), "left_anti")
+        dealt = self._dealt(told.unionByName(self.read(version, touched).withColumn("_kind", F.lit(0))))
+        first = F.rank().over(Window.partitionBy("_bucket", *self.key, "_part").orderBy(F.col("_kind").desc()))
+        kept = dealt.withColumn("_rank", first).where("_rank = 1 and _kind <> 1")
+        return self.replace(version, touched, kept.sortWithinPartitions("_bucket", *self.sort), mark)
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        spread = F.pmod(F.xxhash64(*self.key), F.lit(self.spread)).cast("int")
+        return rows.withColumns({"_bucket": self.bucket(), "_part": spread}).repartition("_bucket", "_part")
+
+    def replace(self, version: int, touched: Sequence[int] | None, rows: DataFrame, mark: str | None = None) -> int:
+        """The version after ``version``, with ``rows`` as all that the buckets ``touched`` hold (None: all buckets).
+
+        ``rows`` have their ``_bucket``, are dealt to tasks and sorted by it.
+        """
+        folders, written = self.folders(version), set()
+        if touched is None or touched:
             out = f"data/{version + 1:09}-{uuid.uuid4().hex[:8]}"
-            dealt = left.unionByName(new).repartition("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.spread)))
-            dealt.sortWithinPartitions("_bucket", *self.sort).write.options(**self.options).partitionBy("_bucket").parquet(f"{self.path}/{out}")
+            rows.select(*self.schema.fieldNames(), "_bucket").write.options(**self.options).partitionBy("_bucket").parquet(f"{self.path}/{out}")
             there = self.spark.read.schema(T.StructType([*self.schema, T.StructField("_bucket", T.IntegerType())])).parquet(f"{self.path}/{out}")
             written = {r[0] for r in there.select("_bucket").distinct().collect()}
-            folders = {b: f for b, f in folders.items() if b not in touched} | {b: f"{out}/_bucket={b}" for b in written}
-        return self._publish(version + 1, mark, folders)
+        if not written and not touched and mark is None:
+            return version
+        kept = {b: f for b, f in folders.items() if touched is not None and b not in touched}
+        return self._publish(version + 1, mark, kept | {b: f"{out}/_bucket={b}" for b in written})
 
     def _joined(self) -> Column:
         return (F.col("_old._bucket") == F.col("_key._bucket")) & reduce(lambda a, b: a & b, [F.col(f"_old.{k}").eqNullSafe(F.col(f"_key.{k}")) for k in self.key])

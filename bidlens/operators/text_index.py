@@ -1,7 +1,8 @@
 """A positional inverted index: for each term the notices that have it, and where. Phrases and nearness are joins of postings.
 
 Postings lie in a :class:`Store` whose buckets are chosen by the term, sorted by it: a query reads one bucket for each of its words.
-Beside it lies what each notice had, so that a change finds the postings to take out; a posting that a change leaves as it was isn't
+A row has the postings of one term from one batch of notices, so that a term is shuffled and sorted once for many notices.
+Beside it lie the words of each notice, so that a change finds the postings to take out; a posting that a change leaves as it was isn't
 touched. Positions are ascending integers, which the file format keeps as differences.
 """
 
@@ -13,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,31 +25,92 @@ from bidlens.operators.store import Store
 from bidlens.session import prepare, scratch
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (notice, words): a row for each different word of a notice, with its positions in order."""
+#: Of a term the notices are dealt to this many parts, each with files of its own.
+PARTS = 4
+
+
+def _spans(words: pa.Array, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of words: each different word of a row as row * words + word, in order; where its positions begin (and the end); positions."""
+    n, sizes = max(len(dictionary), 1), pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
+    code = pc.index_in(words.flatten(), dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+    key = np.repeat(np.arange(len(sizes)), sizes) * n + code
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[order[first]], np.append(first, len(key)), (np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+
+
+def _cut(starts: np.ndarray, which: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and joined values of the spans ``which``."""
+    sizes = starts[which + 1] - starts[which]
+    return sizes, values[np.repeat(starts[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+
+def _blocks(kind: int, part: np.ndarray, ids: pa.Array, dictionary: pa.Array, key: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Postings (``key`` as in :func:`_spans`) as rows: a row for each part and term."""
+    row, code = key // max(len(dictionary), 1), key % max(len(dictionary), 1)
+    group = part[row].astype(np.int64) * max(len(dictionary), 1) + code
+    order = np.argsort(group, kind="stable")
+    sizes, values = _cut(np.append(0, np.cumsum(sizes)), order, values)
+    group, row, ends = group[order], row[order], np.append(0, np.cumsum(sizes))
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    lists = np.append(first, len(group))
+    bounds = np.repeat(ends[first], np.diff(lists) + 1)  # a list has one bound more than notices
+    at = np.arange(len(bounds)) - np.repeat(np.arange(len(first)), np.diff(lists) + 1)
+    offsets = lambda x: pa.array(x, pa.int32())
+    starts = pa.ListArray.from_arrays(offsets(lists + np.arange(len(lists))), offsets(ends[at] - bounds))
+    term, where = dictionary.take(pa.array(group[first] % max(len(dictionary), 1))), pa.array(part[row[first]], pa.int32())
+    positions = pa.ListArray.from_arrays(offsets(ends[lists]), offsets(values))
+    return pa.RecordBatch.from_arrays([term, where, pa.ListArray.from_arrays(offsets(lists), ids.take(pa.array(row))), starts, positions, pa.array(np.full(len(first), kind, np.int32))], [*_BLOCK, "kind"])
+
+
+_BLOCK = ("term", "part", "ids", "starts", "positions")
+
+
+def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, part, was, now), words between spaces: postings that are new or have other positions (kind 2), and those that go (kind 1)."""
+    for batch in batches:
+        ids, part = batch.column(0), batch.column(1).to_numpy()
+        was, now = (pc.split_pattern(batch.column(k), " ") for k in (2, 3))
+        dictionary = pa.concat_arrays([was.flatten(), now.flatten()]).unique()
+        (old, old_at, old_values), (new, new_at, new_values) = _spans(was, dictionary), _spans(now, dictionary)
+        _, i, j = np.intersect1d(old, new, assume_unique=True, return_indices=True)
+        alike = np.diff(old_at)[i] == np.diff(new_at)[j]
+        i, j = i[alike], j[alike]
+        if len(i):
+            sizes, left = _cut(old_at, i, old_values)
+            differ = np.add.reduceat((left != _cut(new_at, j, new_values)[1]).astype(np.int64), np.cumsum(sizes) - sizes)
+            j = j[differ == 0]
+        fresh, stale = np.setdiff1d(np.arange(len(new)), j), np.flatnonzero(~np.isin(old, new, assume_unique=True))
+        for kind, key, starts, values, which in ((2, new, new_at, new_values, fresh), (1, old, old_at, old_values, stale)):
+            if len(which):
+                yield _blocks(kind, part, ids, dictionary, key[which], *_cut(starts, which, values))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks in order of part and term, what is new or goes first: those that stay, without the notices that these name."""
+    at, named = None, []
     for batch in batches:
-        words = batch.column(1)
-        flat, sizes = words.flatten(), np.diff(words.offsets.to_numpy())
-        if not len(flat):
-            continue
-        coded = flat.dictionary_encode()
-        code, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
-        position = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        order = np.argsort(row * len(coded.dictionary) + code, kind="stable")
-        key = (row * len(coded.dictionary) + code)[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(position[order], pa.int32()))
-        at = order[first]
-        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[at])), batch.column(0).take(pa.array(row[at])), lists], ["term", "id", "positions"])
-
-
-def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """term, id and positions of all words of ``text``; a null or empty text has none."""
-    prepare(texts.sparkSession)
-    cut = F.filter(F.split(searchable(F.col(text)), " "), lambda w: w != "")
-    words = fenced(texts.select(F.col(key).alias("id"), text), {"words": F.coalesce(cut, F.array().cast("array<string>"))}).select("id", "words")
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", texts.schema[key].dataType), T.StructField("positions", T.ArrayType(T.IntegerType()))])
-    return words.mapInArrow(_postings, schema)
+        term, part, ids, starts, positions, kind, bucket = (batch.column(k) for k in range(7))
+        kinds, keep = kind.to_numpy(), {}
+        for k, key in enumerate(zip(bucket.to_pylist(), part.to_pylist(), term.to_pylist(), strict=True)):
+            if key != at:
+                at, named = key, []
+            if kinds[k]:
+                named.append(ids[k].values)
+            elif named:
+                if len(named) > 1:
+                    named = [pa.concat_arrays(named)]
+                gone = pc.is_in(ids[k].values, value_set=named[0]).to_numpy(zero_copy_only=False)
+                if gone.any():
+                    sizes, values = _cut(starts[k].values.to_numpy().astype(np.int64), np.flatnonzero(~gone), positions[k].values.to_numpy())
+                    keep[k] = (ids[k].values.filter(pa.array(~gone)), np.append(0, np.cumsum(sizes)), values)
+        whole = [k for k in np.flatnonzero(kinds != 1) if k not in keep]
+        yield batch.take(pa.array(whole, pa.int64()))
+        cut = [k for k, x in keep.items() if len(x[0])]
+        if cut:
+            lists = lambda n, kind: pa.array([keep[k][n] for k in cut], kind)
+            take = pa.array(cut, pa.int64())
+            yield pa.RecordBatch.from_arrays([term.take(take), part.take(take), lists(0, ids.type), lists(1, starts.type), lists(2, positions.type), kind.take(take), bucket.take(take)], names=batch.schema.names)
 
 
 @dataclass
@@ -59,10 +122,11 @@ class TextIndex:
 
     @classmethod
     def at(cls, spark: SparkSession, path: str, id_type: T.DataType, buckets: int = 64) -> TextIndex:
-        posting = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", id_type), T.StructField("positions", T.ArrayType(T.IntegerType()))])
-        held = T.StructType([T.StructField("id", id_type), T.StructField("terms", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("mark", T.LongType())])))])
-        deltas = {"parquet.writer.version": "v2"}
-        return cls(Store(spark, f"{path}/terms", posting, ("term", "id"), ("term",), buckets, sort=("term",), options=deltas), Store(spark, f"{path}/notices", held, ("id",), (), buckets))
+        ints, text = T.ArrayType(T.IntegerType()), T.StringType()
+        block = T.StructType([T.StructField(n, t) for n, t in zip(_BLOCK, (text, T.IntegerType(), T.ArrayType(id_type), ints, ints), strict=True)])
+        held = T.StructType([T.StructField("id", id_type), T.StructField("words", text)])
+        small = {"compression": "zstd"}
+        return cls(Store(spark, f"{path}/terms", block, ("term", "part"), ("term",), buckets, sort=("term",), options=small | {"parquet.writer.version": "v2"}), Store(spark, f"{path}/notices", held, ("id",), (), buckets, options=small))
 
     @classmethod
     def of(cls, texts: DataFrame, key: str, text: str, path: str | None = None, buckets: int = 64) -> TextIndex:
@@ -75,22 +139,36 @@ class TextIndex:
     def update(self, texts: DataFrame, key: str, text: str, gone: DataFrame | None = None) -> None:
         """Take in new and changed notices, and leave out those whose ids are in ``gone``. Ids are unique in ``texts``.
 
-        A text that is null or empty takes its notice out. Terms come first: if the second step fails, the same update
-        may be run again.
+        A text that is null or empty takes its notice out. Only notices whose words change are looked at further. Terms come
+        first: if the second step fails, the same update may be run again.
         """
-        spark, path = texts.sparkSession, f"{self.terms.path}/update"
-        new = postings(texts, key, text)
-        staged = f"{path}-{self.terms.version() + 1}-{self.notices.version() + 1}"
-        new.write.mode("overwrite").parquet(staged)
-        new = spark.read.schema(self.terms.schema).parquet(staged).withColumn("mark", F.xxhash64("positions"))
-        named = texts.select(F.col(key).alias("id"))
-        named = named.unionByName(gone.select("id")).distinct() if gone is not None else named
-        before = self.notices.read().join(named, "id", "left_semi").select("id", F.inline("terms"))
-        stale = before.join(new.select("id", "term", F.col("mark").alias("_mark")), ["id", "term"], "left").where(~F.col("mark").eqNullSafe(F.col("_mark")))
-        fresh = new.join(before.withColumnRenamed("mark", "_mark"), ["id", "term"], "left").where(~F.col("mark").eqNullSafe(F.col("_mark")))
-        self.terms.merge(fresh, stale.where("_mark is null"))
-        listed = new.groupBy("id").agg(F.collect_list(F.struct("term", "mark")).alias("terms"))  # of one notice
-        self.notices.merge(listed, named)
+        spark = prepare(texts.sparkSession)
+        now = fenced(texts.select(F.col(key).alias("id"), text), {"now": F.nullif(F.btrim(searchable(F.col(text))), F.lit(""))}).select("id", "now")
+        if self.notices.folders():
+            if gone is not None:
+                others = gone.select("id").distinct().join(texts.select(F.col(key).alias("id")), "id", "left_anti")
+                now = now.unionByName(others.withColumn("now", F.lit(None).cast("string")))
+            now = now.join(self.notices.read().withColumnRenamed("words", "was"), "id", "left")
+        else:
+            now = now.withColumn("was", F.lit(None).cast("string"))
+        staged = f"{self.terms.path}/update-{self.terms.version() + 1}-{self.notices.version() + 1}"
+        now.where(~F.col("was").eqNullSafe(F.col("now"))).write.mode("overwrite").option("compression", "zstd").parquet(staged)
+        changes = spark.read.schema(T.StructType([self.notices.schema["id"], T.StructField("now", T.StringType()), T.StructField("was", T.StringType())])).parquet(staged)
+        self._post(changes)
+        self.notices.merge(changes.where("now is not null").select("id", F.col("now").alias("words")), changes.where("now is null").select("id"))
+
+    def _post(self, changes: DataFrame) -> None:
+        """Bring the postings of notices (id, was, now) up to date."""
+        part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+        new = changes.select("id", part.alias("part"), "was", "now").mapInArrow(_changed, T.StructType([*self.terms.schema, T.StructField("kind", T.IntegerType())])).withColumn("_bucket", self.terms.bucket())
+        version = self.terms.version()
+        if not self.terms.folders(version):
+            self.terms.replace(version, None, new.where("kind = 2").repartition("_bucket", "part").sortWithinPartitions("_bucket", "term"))
+            return
+        touched = sorted(r[0] for r in new.select("_bucket").distinct().collect())  # at most as many as there are buckets
+        old = self.terms.read(version, touched).withColumns({"kind": F.lit(0), "_bucket": self.terms.bucket()})
+        met = old.unionByName(new).repartition("_bucket", "part").sortWithinPartitions("_bucket", "part", "term", F.col("kind").desc())
+        self.terms.replace(version, touched, met.mapInArrow(_merged, met.schema).sortWithinPartitions("_bucket", "term"))
 
     # Queries
 
@@ -98,10 +176,15 @@ class TextIndex:
         """id and positions of a word, or of all words that begin with it."""
         if not going_on:
             bucket = self.terms.bucket_of(word)
-            return self.terms.read(buckets=[bucket]).where(F.col("term") == word).select("id", "positions")
-        rows = self.terms.read().where(F.col("term").startswith(word))
+            return self._each(self.terms.read(buckets=[bucket]).where(F.col("term") == word))
+        rows = self._each(self.terms.read().where(F.col("term").startswith(word)))
         return rows.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))  # within one notice
 
+    def _each(self, blocks: DataFrame) -> DataFrame:
+        """id and positions of each posting in ``blocks``."""
+        span = lambda k: F.slice("positions", F.col("starts")[k] + 1, F.col("starts")[k + 1] - F.col("starts")[k])
+        return blocks.select(F.inline(F.transform("ids", lambda x, k: F.struct(x.alias("id"), span(k).alias("positions")))))
+
     def _ordered(self, words: list[str], going_on: bool) -> DataFrame:
         """Notices where the words follow each other: starts that all words agree on, one join for each further word."""
         shifted = lambda k: self._hits(words[k], going_on and k == len(words) - 1).select("id", F.transform("positions", lambda p: p - k).alias(f"s{k}"))

@@ -99,3 +99,44 @@ def test_index_equals_the_scan_and_follows_changes(spark, tmp_path):
     texts[7] = (texts[7] or "") + " lonely"
     index.update(frame({7: texts[7]}), "k", "t")
     assert {b for b, f in index.terms.folders().items() if folders.get(b) != f} == {index.terms.bucket_of("lonely")}
+
+
+def dealt(spark):
+    """Records that all shuffles so far have written."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_an_index_shuffles_terms_of_many_notices_together_and_once(spark, tmp_path):
+    draw = random.Random(5)
+    texts = spark.createDataFrame([(k, " ".join(draw.choice("abcdefgh") + draw.choice("xyz") for _ in range(60))) for k in range(2000)], "k bigint, t string").coalesce(2)
+    want = {r["k"] for r in texts.where(search.phrase(search.searchable(F.col("t")), "ax by")).collect()}
+    before = dealt(spark)
+    index = TextIndex.of(texts, "k", "t", str(tmp_path / "i"), buckets=4)
+    assert dealt(spark) - before < 8_000  # about 45,000 postings
+    assert {r[0] for r in index.phrase("ax by").collect()} == want
+    before, folders = dealt(spark), index.terms.folders()
+    index.update(texts, "k", "t")  # as they were
+    assert dealt(spark) - before < 8_000 and index.terms.folders() == folders
+    longer = texts.where("k % 3 = 0").withColumn("t", F.concat(F.lit("ax "), "t"))
+    index.update(longer, "k", "t", texts.where("k % 3 = 1").select(F.col("k").alias("id")))
+    left = longer.unionByName(texts.where("k % 3 = 2"))
+    for words in ("ax by", "cz", "ax ax"):
+        assert sorted(r[0] for r in index.phrase(words).collect()) == sorted(r["k"] for r in left.where(search.phrase(search.searchable(F.col("t")), words)).collect())
+
+
+def test_a_first_merge_reads_its_rows_once_and_later_ones_twice(spark, tmp_path):
+    store, seen = Store(spark, str(tmp_path / "s"), SCHEMA, ["k"], buckets=4), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(k, "v", "a") for k in range(300)], SCHEMA).mapInArrow(counted, SCHEMA)
+    store.merge(rows)
+    assert seen.value == 300
+    store.merge(rows, gone=spark.createDataFrame([(5, "", ""), (700, "", "")], SCHEMA).select("k"))
+    assert seen.value == 900 and store.read().count() == 300
