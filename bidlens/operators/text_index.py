@@ -3,7 +3,7 @@
 Postings lie in a :class:`Store` whose buckets are chosen by the term, sorted by it: a query reads one bucket for each of its words.
 A row has the postings of one term from one batch of notices, so that a term is shuffled and sorted once for many notices.
 Beside it lie the words of each notice, so that a change finds the postings to take out; a posting that a change leaves as it was isn't
-touched. Positions are ascending integers, which the file format keeps as differences.
+touched. Positions are kept as steps, most of them in one byte.
 """
 
 from __future__ import annotations
@@ -45,25 +45,66 @@ def _cut(starts: np.ndarray, which: np.ndarray, values: np.ndarray) -> tuple[np.
     return sizes, values[np.repeat(starts[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
 
 
+def _packed(positions: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes, and where the bytes of each position begin: steps from one to the next of a notice in groups of seven bits; the lowest bit tells its first."""
+    step = np.diff(positions, prepend=0)
+    step[starts] = positions[starts]
+    step = step * 2
+    step[starts] += 1
+    sizes = 1 + sum((step >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.append(0, np.cumsum(sizes))
+    out = np.empty(ends[-1], np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        more = sizes > k
+        out[ends[:-1][more] + k] = (step[more] >> 7 * k & 127) | ((sizes[more] > k + 1) * 128)
+    return out, ends
+
+
+def _unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions, and where those of each notice begin."""
+    last = np.flatnonzero(data < 128)
+    first = np.append(0, last[:-1] + 1)
+    shift = 7 * (np.arange(len(data)) - np.repeat(first, last - first + 1))
+    step = np.add.reduceat((data & 127).astype(np.int64) << shift, first)
+    starts = np.flatnonzero(step & 1)
+    sums = np.cumsum(step >> 1)
+    before = sums[starts] - (step[starts] >> 1)
+    return sums - np.repeat(before, np.diff(np.append(starts, len(step)))), starts
+
+
+def _bytes(array: pa.Array) -> np.ndarray:
+    """What lies in the values of a binary array, joined."""
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
+    return np.frombuffer(array.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+
+
 def _blocks(kind: int, part: np.ndarray, ids: pa.Array, dictionary: pa.Array, key: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     """Postings (``key`` as in :func:`_spans`) as rows: a row for each part and term."""
-    row, code = key // max(len(dictionary), 1), key % max(len(dictionary), 1)
-    group = part[row].astype(np.int64) * max(len(dictionary), 1) + code
+    row, code = key // len(dictionary), key % len(dictionary)
+    group = part[row].astype(np.int64) * len(dictionary) + code
     order = np.argsort(group, kind="stable")
     sizes, values = _cut(np.append(0, np.cumsum(sizes)), order, values)
     group, row, ends = group[order], row[order], np.append(0, np.cumsum(sizes))
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     lists = np.append(first, len(group))
-    bounds = np.repeat(ends[first], np.diff(lists) + 1)  # a list has one bound more than notices
-    at = np.arange(len(bounds)) - np.repeat(np.arange(len(first)), np.diff(lists) + 1)
-    offsets = lambda x: pa.array(x, pa.int32())
-    starts = pa.ListArray.from_arrays(offsets(lists + np.arange(len(lists))), offsets(ends[at] - bounds))
-    term, where = dictionary.take(pa.array(group[first] % max(len(dictionary), 1))), pa.array(part[row[first]], pa.int32())
-    positions = pa.ListArray.from_arrays(offsets(ends[lists]), offsets(values))
-    return pa.RecordBatch.from_arrays([term, where, pa.ListArray.from_arrays(offsets(lists), ids.take(pa.array(row))), starts, positions, pa.array(np.full(len(first), kind, np.int32))], [*_BLOCK, "kind"])
+    data, at = _packed(values, ends[:-1])
+    offsets = pa.array(at[ends[lists]], pa.int32()).buffers()[1]
+    positions = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(data)])
+    term, where = dictionary.take(pa.array(group[first] % len(dictionary))), pa.array(part[row[first]], pa.int32())
+    held = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), ids.take(pa.array(row)))
+    return pa.RecordBatch.from_arrays([term, where, held, positions, pa.array(np.full(len(first), kind, np.int32))], [*_BLOCK, "kind"])
+
 
+_BLOCK = ("term", "part", "ids", "positions")
 
-_BLOCK = ("term", "part", "ids", "starts", "positions")
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks (ids, positions): a row for each notice."""
+    for batch in batches:
+        if batch.num_rows:
+            positions, starts = _unpacked(_bytes(batch.column(1)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(positions)), pa.int32()), pa.array(positions, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).flatten(), lists], ["id", "positions"])
 
 
 def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +131,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of blocks in order of part and term, what is new or goes first: those that stay, without the notices that these name."""
     at, named = None, []
     for batch in batches:
-        term, part, ids, starts, positions, kind, bucket = (batch.column(k) for k in range(7))
+        term, part, ids, positions, kind, bucket = (batch.column(k) for k in range(6))
         kinds, keep = kind.to_numpy(), {}
         for k, key in enumerate(zip(bucket.to_pylist(), part.to_pylist(), term.to_pylist(), strict=True)):
             if key != at:
@@ -98,19 +139,18 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kinds[k]:
                 named.append(ids[k].values)
             elif named:
-                if len(named) > 1:
-                    named = [pa.concat_arrays(named)]
-                gone = pc.is_in(ids[k].values, value_set=named[0]).to_numpy(zero_copy_only=False)
-                if gone.any():
-                    sizes, values = _cut(starts[k].values.to_numpy().astype(np.int64), np.flatnonzero(~gone), positions[k].values.to_numpy())
-                    keep[k] = (ids[k].values.filter(pa.array(~gone)), np.append(0, np.cumsum(sizes)), values)
-        whole = [k for k in np.flatnonzero(kinds != 1) if k not in keep]
-        yield batch.take(pa.array(whole, pa.int64()))
+                named = [pa.concat_arrays(named)] if len(named) > 1 else named
+                stay = ~pc.is_in(ids[k].values, value_set=named[0]).to_numpy(zero_copy_only=False)
+                if not stay.all():
+                    values, starts = _unpacked(_bytes(positions.slice(k, 1)))
+                    sizes, values = _cut(np.append(starts, len(values)), np.flatnonzero(stay), values)
+                    keep[k] = (ids[k].values.filter(pa.array(stay)), _packed(values, np.cumsum(sizes) - sizes)[0].tobytes())
+        yield batch.take(pa.array([k for k in np.flatnonzero(kinds != 1) if k not in keep], pa.int64()))
         cut = [k for k, x in keep.items() if len(x[0])]
         if cut:
-            lists = lambda n, kind: pa.array([keep[k][n] for k in cut], kind)
             take = pa.array(cut, pa.int64())
-            yield pa.RecordBatch.from_arrays([term.take(take), part.take(take), lists(0, ids.type), lists(1, starts.type), lists(2, positions.type), kind.take(take), bucket.take(take)], names=batch.schema.names)
+            held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(keep[k][0]) for k in cut])), pa.int32()), pa.concat_arrays([keep[k][0] for k in cut]))
+            yield pa.RecordBatch.from_arrays([term.take(take), part.take(take), held, pa.array([keep[k][1] for k in cut], pa.binary()), kind.take(take), bucket.take(take)], names=batch.schema.names)
 
 
 @dataclass
@@ -122,8 +162,8 @@ class TextIndex:
 
     @classmethod
     def at(cls, spark: SparkSession, path: str, id_type: T.DataType, buckets: int = 64) -> TextIndex:
-        ints, text = T.ArrayType(T.IntegerType()), T.StringType()
-        block = T.StructType([T.StructField(n, t) for n, t in zip(_BLOCK, (text, T.IntegerType(), T.ArrayType(id_type), ints, ints), strict=True)])
+        text = T.StringType()
+        block = T.StructType([T.StructField(n, t) for n, t in zip(_BLOCK, (text, T.IntegerType(), T.ArrayType(id_type), T.BinaryType()), strict=True)])
         held = T.StructType([T.StructField("id", id_type), T.StructField("words", text)])
         small = {"compression": "zstd"}
         return cls(Store(spark, f"{path}/terms", block, ("term", "part"), ("term",), buckets, sort=("term",), options=small | {"parquet.writer.version": "v2"}), Store(spark, f"{path}/notices", held, ("id",), (), buckets, options=small))
@@ -182,8 +222,8 @@ class TextIndex:
 
     def _each(self, blocks: DataFrame) -> DataFrame:
         """id and positions of each posting in ``blocks``."""
-        span = lambda k: F.slice("positions", F.col("starts")[k] + 1, F.col("starts")[k + 1] - F.col("starts")[k])
-        return blocks.select(F.inline(F.transform("ids", lambda x, k: F.struct(x.alias("id"), span(k).alias("positions")))))
+        schema = T.StructType([self.notices.schema["id"], T.StructField("positions", T.ArrayType(T.IntegerType()))])
+        return blocks.select("ids", "positions").mapInArrow(_postings, schema)
 
     def _ordered(self, words: list[str], going_on: bool) -> DataFrame:
         """Notices where the words follow each other: starts that all words agree on, one join for each further word."""
