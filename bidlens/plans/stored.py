@@ -16,8 +16,15 @@ from bidlens.streaming import changes, keyed
 BUCKETS = 8
 
 
+def _table(s, rows: DataFrame) -> DataFrame:
+    """``rows`` as a table, for what reads them more than once."""
+    path = scratch(s, "rows")
+    rows.write.option("compression", "zstd").parquet(path)
+    return s.read.schema(rows.schema).parquet(path)
+
+
 def _state(s, d) -> DataFrame:
-    return notices(s, d).select("notice_id", "source", "lot", F.col("state").alias("fingerprint"), "procedure", "region")
+    return _table(s, notices(s, d).select("notice_id", "source", "lot", F.col("state").alias("fingerprint"), "procedure", "region"))
 
 
 def _store(s, rows: DataFrame) -> Store:
@@ -82,7 +89,7 @@ ASKED = {
 
 def searched(s, d) -> DataFrame:
     """Notices by words of their whole search text: title, buyer and region."""
-    n = notices(s, d)
+    n = _table(s, notices(s, d).select("notice_id", "title", "buyer", "region"))
     index = TextIndex.of(n.select("notice_id", F.concat_ws(" \n", "title", "buyer", "region").alias("search_text")), "notice_id", "search_text", buckets=BUCKETS)
     found = both(index.prefix("Réd"), either(index.prefix("customer 00000001"), index.phrase("nation_1")))
     return n.join(found.withColumnRenamed("id", "notice_id"), "notice_id", "left_semi").select("notice_id", "title", "buyer", "region")
