@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.functions.fence import fenced
-from bidlens.functions.scalars import company_key, window_end
+from bidlens.functions.scalars import company_key, window_end, without_marks
 from bidlens.session import prepare
 
 
@@ -41,9 +41,10 @@ def awardees(entry: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def contracts_of(entry: DataFrame, company: str, limit: int = 60) -> DataFrame:
-    """Contracts of a company under any spelling of its name."""
-    key = company_key(F.lit(company))
-    rows = entry.where(company_key(F.col("awardee")) == key).orderBy(F.col("money").desc(), "notice_id").limit(limit)
+    """Contracts of a company under any spelling of its name. Only names that have all words of its key are cut down to theirs."""
+    key, name = company_key(F.lit(company)), without_marks(F.lower("awardee"))
+    some = F.forall(F.split(key, " "), lambda w: name.contains(w))
+    rows = entry.where(F.when(some, company_key(F.col("awardee"))) == key).orderBy(F.col("money").desc(), "notice_id").limit(limit)
     return rows.select("notice_id", "awardee", "buyer", F.col("money").cast("double").alias("money"))
 
 
