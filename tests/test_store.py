@@ -140,3 +140,17 @@ def test_a_first_merge_reads_its_rows_once_and_later_ones_twice(spark, tmp_path)
     assert seen.value == 300
     store.merge(rows, gone=spark.createDataFrame([(5, "", ""), (700, "", "")], SCHEMA).select("k"))
     assert seen.value == 900 and store.read().count() == 300
+
+
+def test_counters_by_profile_need_no_join_and_names_are_sieved(spark):
+    from bidlens.operators import expiries, inbox
+
+    found = lambda *p: [(x, 1.0, "r") for x in p]
+    rows = [(1, "c1", None, found("a", "b")), (2, "c1", None, found("a")), (3, "c2", "descartado", found("a")), (4, "c3", "siguiendo", found("a")), (5, "c4", None, [])]
+    n = spark.createDataFrame(rows, "notice_id bigint, case_key string, review_state string, found array<struct<profile: string, score: double, reason: string>>")
+    assert {r["profile"]: r["cases"] for r in inbox.by_profile_in_row(n).collect()} == {"a": 2, "b": 1}
+    names = ["Ácme Obras, S.L.", "acme  obras SL", "OBRAS Acme", "Acme (Obras) S.A.U.", "Acme", None]
+    entry = spark.createDataFrame([(k, x, "b", k) for k, x in enumerate(names)], "notice_id bigint, awardee string, buyer string, money int")
+    got = expiries.contracts_of(entry, "ACME obras")
+    assert sorted(r["notice_id"] for r in got.collect()) == [0, 1, 3] and expiries.contracts_of(entry, "S.L.").count() == 0
+    assert "forall" in got._jdf.queryExecution().optimizedPlan().toString()
