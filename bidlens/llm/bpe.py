@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import base64
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ NONE = np.int64(1) << 60
 TOGETHER = 64
 #: Pieces whose ids a worker remembers; the store is emptied when full.
 REMEMBERED = 250_000
+#: Bytes of pieces, with what fills them up to one size, that are merged together at a time.
+MERGED_BYTES = 1 << 18
 #: Characters that are encoded at a time.
 CHUNK_CHARS = 1_000_000
 
@@ -196,8 +199,9 @@ class Vocabulary:
             else:
                 by_size[max(2, 1 << (len(raw) - 1).bit_length())].append(p)
         for size, group in by_size.items():
-            for k in range(0, len(group), 1 << 14):
-                part = group[k : k + (1 << 14)]
+            step = min(1 << 14, MERGED_BYTES // size)
+            for k in range(0, len(group), step):
+                part = group[k : k + step]
                 self.known.update(zip(part, self.merge_many([x.encode() for x in part], size), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -219,18 +223,19 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def _append(batches: Iterator[pa.RecordBatch], source: str, name: str, f) -> Iterator[pa.RecordBatch]:
-    """Batches with a binary column that ``f`` makes from lists of the column ``source``, a bounded part at a time."""
+def _append(batches: Iterator[pa.RecordBatch], source: str, names: list[str], f: Callable[[list], list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
+    """Batches with the binary columns ``names`` that ``f`` makes from a list of the column ``source``, a bounded part at a time."""
     for batch in batches:
         column, start = batch.column(source), 0
-        size = np.array([len(x) for x in column.to_pylist()]) if batch.num_rows else np.zeros(0)
+        length = pc.binary_length if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pc.utf8_length
+        ends = np.cumsum(length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
         while start < batch.num_rows:
-            n = max(1, int(np.searchsorted(np.cumsum(size[start:]), CHUNK_CHARS)))
+            n = max(1, int(np.searchsorted(ends[start:] - (ends[start - 1] if start else 0), CHUNK_CHARS)))
             part = batch.slice(start, n)
             start += n
-            made = pa.array(f(part.column(source).to_pylist()), pa.binary())
+            made = [pa.array(x, pa.binary()) for x in f(part.column(source).to_pylist())]
             kept = [c for c in part.schema.names if c != source]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), made], [*kept, name])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], [*kept, *names])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -244,7 +249,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     own = unused(docs, "_text")
     narrow = docs.select(*rest, whole(text).alias(own))
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids, T.BinaryType())])
-    return narrow.mapInArrow(lambda it: _append(it, own, ids, lambda texts: vocabulary(path, pattern).encode(texts)), schema)
+    return narrow.mapInArrow(lambda it: _append(it, own, [ids], lambda texts: [vocabulary(path, pattern).encode(texts)]), schema)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -254,7 +259,25 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
     none, own = F.lit(b""), unused(tokens, "_ids")
     narrow = tokens.select(*[F.coalesce(F.col(c), none).alias(c) if c == ids else F.col(c) for c in rest], F.coalesce(F.col(ids), none).alias(own))
     schema = T.StructType([*(T.StructField(ids, T.BinaryType()) if c == ids else tokens.schema[c] for c in rest), T.StructField(decoded, T.BinaryType())])
-    return narrow.mapInArrow(lambda it: _append(it, own, decoded, lambda rows: bytes_of(path, rows)), schema)
+    return narrow.mapInArrow(lambda it: _append(it, own, [decoded], lambda rows: [bytes_of(path, rows)]), schema)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """As :func:`decode` of :func:`encode`: ``docs`` with the text replaced by its ids and the bytes that these stand for.
+
+    One worker does both for a bounded part of the texts; two steps keep twice as many workers, and the ids on their way between them.
+    """
+    prepare(docs.sparkSession)
+    rest = [c for c in docs.columns if c not in (text, ids, decoded)]
+    own = unused(docs, "_text")
+    narrow = docs.select(*rest, whole(text).alias(own))
+    schema = T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(c, T.BinaryType()) for c in (ids, decoded))])
+
+    def both(texts: list[str]) -> list[list[bytes]]:
+        made = vocabulary(path, pattern).encode(texts)
+        return [made, bytes_of(path, made)]
+
+    return narrow.mapInArrow(lambda it: _append(it, own, [ids, decoded], both), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,7 +286,7 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     A null text is an empty one: no ids, and the hashes of nothing. Repeated rows and null document ids have rows like any other,
     long texts are encoded whole, and no rows give none.
     """
-    tokens = decode(encode(docs.select(doc_id, text), path, pattern, text), path)
+    tokens = round_trip(docs.select(doc_id, text), path, pattern, text)
     return tokens.select(
         doc_id,
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
