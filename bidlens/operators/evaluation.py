@@ -15,6 +15,8 @@ from bidlens.session import scratch
 #: Why a pass is complete although a partial one was asked for.
 UNKNOWN, CHANGED = "no record of the rules", "the rules have changed"
 RULES = "rules"
+#: Keys of notices to judge that are sent to the tasks at most; beyond it, they meet in a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 class Evaluation:
@@ -27,7 +29,7 @@ class Evaluation:
     def __init__(self, spark: SparkSession, path: str, key: T.StructField, buckets: int = 64) -> None:
         text, of = T.StringType(), lambda *f: T.StructType([T.StructField(key.name, key.dataType), *[T.StructField(n, t) for n, t in f]])
         self.spark, self.path, self.key = spark, path, key.name
-        self.notices = Store(spark, f"{path}/notices", of(("fingerprint", text), ("text_norm", text), ("region", text), ("amount", T.DoubleType()), ("source", text), ("cpv", T.ArrayType(text))), [key.name], buckets=buckets)
+        self.notices = Store(spark, f"{path}/notices", of(("fingerprint", text), ("text_norm", text), ("region", text), ("amount", T.DoubleType()), ("source", text), ("cpv", T.ArrayType(text))), [key.name], buckets=buckets, options={"compression": "zstd"})
         self.marks = Store(spark, f"{path}/marks", of(("judged", text)), [key.name], buckets=buckets)
         self.matches = Store(spark, f"{path}/matches", of(("profile", text), ("score", T.DoubleType()), ("reason", text), ("created", text), ("updated", text)), [key.name, "profile"], [key.name], buckets=buckets)
         self.settings = Store(spark, f"{path}/settings", T.StructType([T.StructField("name", text), T.StructField("value", text)]), ["name"], buckets=1)
@@ -36,11 +38,17 @@ class Evaluation:
         """Notices that came in: key and outcome. One with the fingerprint that is stored isn't written, nor judged again."""
         return self.notices.upsert(rows, "fingerprint", mark)
 
-    def pending(self) -> DataFrame:
-        """Notices whose content isn't the one that was judged."""
-        both = self.notices.read().join(self.marks.read(), self.key, "left")
+    def pending(self, rows: DataFrame | None = None) -> DataFrame:
+        """Notices (all that are stored, or ``rows``) whose content isn't the one that was judged."""
+        both = (self.notices.read() if rows is None else rows).join(self.marks.read(), self.key, "left")
         return both.where(~F.col("fingerprint").eqNullSafe(F.col("judged"))).drop("judged")
 
+    def _of(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """Those of ``rows`` whose key is in ``keys``. Up to ``BROADCAST_KEYS`` keys go to the rows, so that texts stay where they are."""
+        asked = keys.select(F.col(self.key).alias("_asked"))
+        asked = F.broadcast(asked) if keys.count() <= BROADCAST_KEYS else asked
+        return rows.join(asked, F.col(self.key).eqNullSafe(F.col("_asked")), "left_semi")
+
     def evaluate(self, profiles: Sequence[rules.Profile], at: str, incremental: bool = False) -> dict:
         """Bring matches up to date at the time ``at``; gives evaluated, complete, why, and the counts of pairs.
 
@@ -51,10 +59,12 @@ class Evaluation:
         now, known = rules.fingerprint(active), self.settings.read().where(F.col("name") == RULES).first()
         why = None if not incremental or (known and known["value"] == now) else (CHANGED if known else UNKNOWN)
         complete = not incremental or why is not None
-        judged = self.notices.read() if complete else self.pending()
+        rows = self.notices.read()
+        due = rows if complete else self.pending(rows.select(self.key, "fingerprint"))
         stage = scratch(self.spark, "evaluation")
-        judged.select(self.key, F.col("fingerprint").alias("judged")).write.parquet(f"{stage}/marks")
+        due.select(self.key, F.col("fingerprint").alias("judged")).write.parquet(f"{stage}/marks")
         marks = self.spark.read.schema(self.marks.schema).parquet(f"{stage}/marks")
+        judged = rows if complete else self._of(rows, marks)
         old = self.matches.read() if complete else self.matches.read().join(marks, self.key, "left_semi")
         schema = self.matches.schema
         found = rules.matches(judged, active, self.key) if active else self.spark.createDataFrame([], T.StructType([schema[0], schema[1], schema[2], schema[3]]))

@@ -129,16 +129,36 @@ class Store:
         return version
 
     def upsert(self, rows: DataFrame, fingerprint: str, mark: str | None = None) -> DataFrame:
-        """key and outcome (nueva, igual, actualizada) of each row; rows with the fingerprint that is stored are not written again."""
-        keyed = rows.select(*self.schema.fieldNames()).withColumn("_bucket", self.bucket())
-        touched = sorted(r[0] for r in keyed.select("_bucket").distinct().collect())
-        version = self.version()
-        was = self.read(version, touched).select(*self.key, F.col(fingerprint).alias("_was"), F.lit(True).alias("_known")).withColumn("_bucket", self.bucket())
-        both = keyed.alias("_old").join(was.alias("_key"), self._joined(), "left")
-        outcome = F.when(F.col("_known").isNull(), "nueva").when(F.col(f"_old.{fingerprint}").eqNullSafe(F.col("_was")), "igual").otherwise("actualizada")
-        told = both.select(*[F.col(f"_old.{c}").alias(c) for c in self.schema.fieldNames()], outcome.alias("outcome"))
+        """key and outcome (nueva, igual, actualizada) of each row; rows with the fingerprint that is stored are not written again.
+
+        Keys and fingerprints alone are compared first; whole rows move once, when they meet the old ones of their bucket.
+        ``rows`` are read twice, so they should be a table or cheap.
+        """
+        version, there = self.version(), bool(self.folders())
+        new = rows.select(*dict.fromkeys([*self.key, fingerprint])).withColumn("_bucket", self.bucket())
+        if there:
+            was = self.read(version).select(*self.key, F.col(fingerprint).alias("_was"), F.lit(True).alias("_known")).withColumn("_bucket", self.bucket())
+            both = new.alias("_old").join(was.alias("_key"), self._joined(), "left")
+            outcome = F.when(F.col("_known").isNull(), "nueva").when(F.col(f"_old.{fingerprint}").eqNullSafe(F.col("_was")), "igual").otherwise("actualizada")
+            told = both.select(*[F.col(f"_old.{c}").alias(c) for c in self.key], F.col("_old._bucket").alias("_bucket"), outcome.alias("outcome"))
+        else:
+            told = new.select(*self.key, "_bucket", F.lit("nueva").alias("outcome"))
         table = f"{self.path}/outcome/{uuid.uuid4().hex}"
-        told.write.parquet(table)
-        told = self.spark.read.parquet(table)
-        self.merge(told.where("outcome <> 'igual'").drop("outcome"), mark=mark)
+        told.write.option("compression", "zstd").parquet(table)
+        told = self.spark.read.schema(told.schema).parquet(table)
+        if not there:
+            self.merge(rows, mark=mark)
+        elif mark is None or not self.manifests().where(F.col("mark") == mark).limit(1).count():
+            touched = sorted(r[0] for r in told.where("outcome <> 'igual'").select("_bucket").distinct().collect())  # at most as many as there are buckets
+            self.replace(version, touched, self._changed(rows, fingerprint, version, touched), mark)
         return told.select(*self.key, "outcome")
+
+    def _changed(self, rows: DataFrame, fingerprint: str, version: int, touched: Sequence[int]) -> DataFrame:
+        """What the buckets ``touched`` hold with those of ``rows`` that are new or have another fingerprint in the place of the old."""
+        names, of_key = self.schema.fieldNames(), Window.partitionBy("_bucket", *self.key, "_part")
+        new = rows.select(*names).where(self.bucket().isin(*touched)).withColumn("_new", F.lit(True))
+        dealt = self._dealt(new.unionByName(self.read(version, touched).withColumn("_new", F.lit(False))))
+        was = F.max(F.when(~F.col("_new"), F.struct(fingerprint))).over(of_key)
+        differs = F.col("_new") & (F.col("_was").isNull() | ~F.col(fingerprint).eqNullSafe(F.col(f"_was.{fingerprint}")))
+        told = dealt.withColumn("_was", was).withColumn("_differs", differs).withColumn("_gone", F.max("_differs").over(of_key))
+        return told.where("_differs or not (_new or _gone)").sortWithinPartitions("_bucket", *self.sort)
