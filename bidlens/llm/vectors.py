@@ -1,16 +1,17 @@
 """Embedding near-duplicates by a flat graph with robust pruning, built on overlapping shards.
 
-1. Equal vectors of a label become one. A bounded hash sample of them gives the centres of clusters.
+1. Equal vectors of a label become one. A bounded hash sample of them gives the centres of clusters; of centres that are near
+   copies of each other one stays, so that a large group of near copies isn't dealt out.
 2. Each vector goes to the shards of its nearest centres, so shards overlap; large shards have centres of their own. In each
-   shard a graph is built by insertion: a greedy search in the graph so far finds a vector's candidates, and robust
+   shard a graph is built by insertion: a vector's candidates are the nearest of those that the graph has so far, and robust
    pruning keeps those that no kept neighbour is much nearer to.
-3. Adjacency lists of one vector from several shards are joined, and the lists reach every shard that the vector is in.
-4. In each shard every member is searched for from the medoid and from itself; the range expands while all is in range.
-   Cosines in double precision verify what was found.
+3. In each shard every member is searched for from itself: its neighbours in range are found, and the range expands from
+   what is in range. That tells which members link with anything.
+4. Members with links are compared in the shards that they share, by cosines in double precision; a pair counts in the first
+   of its shards, so that no pair is listed.
 5. A bounded sample is held against all rows, in blocks. If recall is below the aim, shards overlap more; if it is still
    below it with the largest overlap, all vectors of a label are compared, in blocks. Large labels of which the sample
-   shows that a vector is linked to a hundredth or more of all are compared so from the start: listing the links found
-   there would cost more than comparing.
+   shows that a vector is linked to a hundredth or more of all are compared so from the start.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ LEAST_COSINE = 0.93
 #: Vectors to a centre, about, as long as MAX_CENTRES allows; and centres of all labels together, about (they are broadcast).
 SHARD = 400
 MAX_CENTRES = 4_096
-#: Shards that a vector is in at first; neighbours of a vector in the graph; nearest that are candidates; width of the beam; pruning factor.
-OVERLAP, DEGREE, POOL, BEAM, ALPHA = 3, 16, 32, 24, 1.2
-#: Edges of a vector to others drawn among those that its search has met; vectors of which the first graph is made.
+#: Shards that a vector is in at first; neighbours of a vector in the graph; nearest that are candidates; pruning factor.
+OVERLAP, DEGREE, POOL, ALPHA = 3, 16, 32, 1.2
+#: Edges of a vector to others drawn among its candidates; vectors of which the first graph is made.
 LONGER, FIRST = 8, 64
 #: Rows that a step of numpy takes together.
 AT_ONCE = 512
@@ -47,67 +48,63 @@ AUDIT, RECALL = 400, 0.98
 DENSE = 0.01
 
 
-# In a shard: x holds unit vectors, one a row
+# In a shard: x holds unit vectors, one a row; dots the products of each two of them
 
 
-def _nearest_first(x: np.ndarray, rows: np.ndarray, cand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _nearest_first(dots: np.ndarray, rows: np.ndarray, cand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidates (-1: none) and their distances to the rows, in order; each only once, never the row itself."""
-    d = np.where(cand < 0, np.inf, 2 - 2 * np.einsum("nd,nmd->nm", x[rows], x[cand]))
-    d[cand == rows[:, None]] = np.inf
-    order = np.lexsort((d, cand), axis=1)
-    c, ds = np.take_along_axis(cand, order, 1), np.take_along_axis(d, order, 1)
-    ds[:, 1:][c[:, 1:] == c[:, :-1]] = np.inf
-    order = np.argsort(ds, axis=1, kind="stable")
-    c, ds = np.take_along_axis(c, order, 1), np.take_along_axis(ds, order, 1)
-    return np.where(np.isinf(ds), -1, c), ds
+    c = np.sort(cand, axis=1)
+    d = 2 - 2 * dots[rows[:, None], c]
+    d[(c < 0) | (c == rows[:, None])] = np.inf
+    d[:, 1:][c[:, 1:] == c[:, :-1]] = np.inf
+    order = np.argsort(d, axis=1, kind="stable")
+    c, d = np.take_along_axis(c, order, 1), np.take_along_axis(d, order, 1)
+    return np.where(np.isinf(d), -1, c), d
 
 
-def robust_prune(x: np.ndarray, rows: np.ndarray, cand: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+def robust_prune(dots: np.ndarray, rows: np.ndarray, cand: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Per row up to ``degree`` candidates: the nearest left is taken, and those go that it is alpha times nearer to than the row is."""
     if len(rows) > AT_ONCE:
-        return np.concatenate([robust_prune(x, rows[k : k + AT_ONCE], cand[k : k + AT_ONCE], degree, alpha) for k in range(0, len(rows), AT_ONCE)])
-    c, d = _nearest_first(x, rows, cand)
+        return np.concatenate([robust_prune(dots, rows[k : k + AT_ONCE], cand[k : k + AT_ONCE], degree, alpha) for k in range(0, len(rows), AT_ONCE)])
+    c, d = _nearest_first(dots, rows, cand)
+    left = ~np.isinf(d)
+    nearer = 1 - d / (2 * alpha)  # the product from which a candidate is alpha times nearer to another
     out = np.full((len(rows), degree), -1)
     n = np.arange(len(rows))
     for k in range(degree):
-        first = np.argmin(d, axis=1)
-        live = ~np.isinf(d[n, first])
+        first = np.argmax(left, axis=1)
+        live = left[n, first]
         if not live.any():
             break
-        out[live, k] = c[n, first][live]
-        star = x[np.where(live, c[n, first], 0)]
-        between = 2 - 2 * np.einsum("nd,nmd->nm", star, x[c])
-        d[(alpha * between <= d) & live[:, None]] = np.inf
-        d[n, first] = np.inf
+        star = c[n, first]
+        out[live, k] = star[live]
+        left &= dots.take(star[:, None] * len(dots) + c, mode="clip") < nearer
+        left[n, first] = False
     return out
 
 
-def medoid(x: np.ndarray) -> int:
-    return int(np.argmax(x @ x.mean(0)))
-
-
 def build(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, longer: int = LONGER, alpha: float = ALPHA) -> np.ndarray:
     """Adjacency, a row for each vector, -1 where there are fewer. Vectors are inserted in random order, as many at a time as the graph has.
 
-    A new vector's candidates are what a greedy search from the medoid meets in the graph so far; the pruned ones become its
-    edges. In a tight group of many near copies pruning leaves few edges, so ``longer`` more are drawn among what the search
-    has met. Edges go both ways: where a vector has no room left for those of new ones, all of its are pruned again.
+    A new vector's candidates are the ``pool`` nearest of the graph so far and of those that come with it; the pruned ones become its edges. In a tight
+    group of many near copies pruning leaves few edges, so ``longer`` more are drawn among the candidates. Edges go both
+    ways: where a vector has no room left for those of new ones, all of its are pruned again. The products of all vectors
+    are held, which suits a shard: a greedy search for the candidates would meet ``pool`` times the edges of a vector, more than a shard has.
     """
     n = len(x)
     draw = np.random.default_rng(n)
     order = draw.permutation(n)
+    x = x[order]  # from here on a row is the place in this order
+    dots = x @ x.T
     most = 2 * (degree + longer)
     graph = np.full((n, most), -1)
     filled = np.zeros(n, np.int64)
     done = 0
     while done < n:
-        rows = order[done : done + (min(FIRST, n) if done == 0 else min(done, AT_ONCE))]
-        if done == 0:
-            met = np.tile(rows, (len(rows), 1))
-        else:
-            entry = order[:done][np.argmin(((x[order[:done]] - x[order[:done]].mean(0)) ** 2).sum(1))]
-            met, _ = beam_search(x, graph, np.full((len(rows), 1), entry), rows, pool)
-        near = robust_prune(x, rows, met, degree, alpha)
+        there = done + (min(FIRST, n) if done == 0 else min(done, AT_ONCE, n - done))
+        rows = np.arange(done, there)
+        met = np.argpartition(-dots[done:there, :there], min(pool, there - 1), axis=1)[:, : pool + 1]
+        near = robust_prune(dots, rows, met, degree, alpha)
         drawn = np.take_along_axis(met, draw.integers(0, met.shape[1], (len(rows), longer)), 1)
         new = np.sort(np.concatenate([near, drawn], axis=1), axis=1)
         new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
@@ -115,12 +112,14 @@ def build(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, longer: int = L
         new = np.sort(new, axis=1)[:, ::-1]
         graph[rows, : new.shape[1]] = new
         filled[rows] = (new >= 0).sum(1)
-        _link_back(x, graph, filled, np.repeat(rows, (new >= 0).sum(1)), new[new >= 0], draw, degree, alpha)
-        done += len(rows)
-    return graph
+        _link_back(dots, graph, filled, np.repeat(rows, (new >= 0).sum(1)), new[new >= 0], draw, degree, alpha)
+        done = there
+    out = np.empty_like(graph)
+    out[order] = np.where(graph < 0, -1, order[graph])
+    return out
 
 
-def _link_back(x: np.ndarray, graph: np.ndarray, filled: np.ndarray, source: np.ndarray, target: np.ndarray, draw: np.random.Generator, degree: int, alpha: float) -> None:
+def _link_back(dots: np.ndarray, graph: np.ndarray, filled: np.ndarray, source: np.ndarray, target: np.ndarray, draw: np.random.Generator, degree: int, alpha: float) -> None:
     """The edges ``source`` to ``target`` the other way, too."""
     by = np.argsort(target, kind="stable")
     source, target = source[by], target[by]
@@ -138,7 +137,7 @@ def _link_back(x: np.ndarray, graph: np.ndarray, filled: np.ndarray, source: np.
         more = np.full((len(full), times.max()), -1)
         more[np.repeat(np.arange(len(full)), times), np.concatenate([np.arange(t) for t in times])] = source[~fits]
         every = np.concatenate([graph[full], more], axis=1)
-        kept = robust_prune(x, full, every, degree, alpha)
+        kept = robust_prune(dots, full, every, degree, alpha)
         some = np.take_along_axis(every, np.argsort(np.where(every < 0, 2, draw.random(every.shape)), axis=1)[:, : graph.shape[1] - degree], 1)
         both = np.sort(np.concatenate([kept, some], axis=1), axis=1)
         both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
@@ -146,73 +145,43 @@ def _link_back(x: np.ndarray, graph: np.ndarray, filled: np.ndarray, source: np.
         filled[full] = (graph[full] >= 0).sum(1)
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the ``width`` nearest that a greedy search meets for each query row. ``starts``: entry points of each."""
-    n, width = len(queries), max(starts.shape[1], min(width, len(x)))
-    ids = np.full((n, width), -1)
-    dist = np.full((n, width), np.inf)
-    k = starts.shape[1]
-    ids[:, :k], dist[:, :k] = starts, 2 - 2 * np.einsum("nd,nkd->nk", x[queries], x[starts])
-    for j in range(1, k):
-        dist[:, j][(ids[:, :j] == ids[:, j : j + 1]).any(1)] = np.inf
-    done = np.isinf(dist)
-    rows = np.arange(n)
-    while len(rows):
-        at = np.argmin(np.where(done[rows], np.inf, dist[rows]), axis=1)
-        done[rows, at] = True
-        near = graph[ids[rows, at]]
-        d = np.where(near < 0, np.inf, 2 - 2 * np.einsum("nd,nmd->nm", x[queries[rows]], x[near]))
-        d[(near[:, :, None] == ids[rows][:, None, :]).any(2)] = np.inf
-        every = np.concatenate([ids[rows], near], axis=1)
-        ds = np.concatenate([dist[rows], d], axis=1)
-        dn = np.concatenate([done[rows], np.zeros(near.shape, bool)], axis=1)
-        best = np.argpartition(ds, width - 1, axis=1)[:, :width]
-        ids[rows], dist[rows] = np.take_along_axis(every, best, 1), np.take_along_axis(ds, best, 1)
-        done[rows] = np.take_along_axis(dn, best, 1) | np.isinf(dist[rows])
-        rows = rows[~done[rows].all(1)]
-    return ids, dist
-
-
-def range_search(x: np.ndarray, graph: np.ndarray, most: float, beam: int = BEAM) -> list[np.ndarray]:
+def range_search(x: np.ndarray, graph: np.ndarray, most: float) -> list[np.ndarray]:
     """For each row those within the squared distance ``most`` that the search meets, itself included.
 
-    It starts from the medoid and, as rows are searched for that the graph has, from the row itself. All in the beam
-    has been expanded, so a beam that isn't all in range has what the graph reaches. Otherwise the range expands:
-    neighbours of what is in range are tried until nothing new is in range.
+    It starts from the row. The neighbours of what is in range are tried until nothing new is in range.
     """
     n, found = len(x), []
     for k in range(0, n, AT_ONCE):
-        rows = np.arange(k, min(n, k + AT_ONCE))
-        starts = np.stack([np.full(len(rows), medoid(x)) if k == 0 else starts[: len(rows), 0], rows], axis=1)
-        ids, dist = beam_search(x, graph, starts, rows, beam)
-        for r, i, d in zip(rows, ids, dist, strict=True):
-            edge = i[d <= most]
-            if len(edge) < len(i):
-                found.append(edge)
+        near = graph[k : k + AT_ONCE]
+        hit = (near >= 0) & (2 - 2 * np.einsum("nd,nmd->nm", x[k : k + AT_ONCE], x[near]) <= most)
+        for r, edge in zip(range(k, k + len(near)), [e[h] for e, h in zip(near, hit, strict=True)], strict=True):
+            if not len(edge):
+                found.append(np.array([r]))
                 continue
-            near_enough = np.zeros(n, bool)
-            tried = np.zeros(n, bool)
-            tried[edge] = near_enough[edge] = True
+            left = 2 - 2 * (x @ x[r]) <= most
+            there = left.copy()
+            left[r] = left[edge] = False
             while len(edge):
-                near = graph[edge].ravel()
-                near = near[near >= 0]
-                near = np.unique(near[~tried[near]])
-                tried[near] = True
-                edge = near[2 - 2 * (x[near] @ x[r]) <= most]
-                near_enough[edge] = True
-            found.append(np.flatnonzero(near_enough))
+                tried = np.zeros(n + 1, bool)
+                tried[graph[edge]] = True  # the last place takes -1
+                edge = np.flatnonzero(tried[:n] & left)
+                left[edge] = False
+            found.append(np.flatnonzero(there & ~left))
     return found
 
 
 # On Spark
 
 
-def keyed(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """id, label, v and key of all rows; the key, a hash of the vector, is null for rows that link with nothing."""
-    base = vectors.select(F.col(vec_id).alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
-    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~odd & F.exists("v", lambda x: x != 0)
-    return base.withColumn("key", F.when(fit, F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256)))
+def fitted(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
+    """id, label and v of all rows; v is null for rows that link with nothing. Floats stay floats, all else is doubles; no zero is negative."""
+    kind = vectors.schema[embedding].dataType
+    one = kind.elementType if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else T.DoubleType()
+    base = vectors.select(F.col(vec_id).alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast(T.ArrayType(one)).alias("v"))
+    most, least = F.array_max("v"), F.array_min("v")  # NaN is above all numbers
+    finite = ~F.exists("v", lambda x: x.isNull()) & ~F.isnan(most) & (most < float("inf")) & (least > float("-inf"))
+    fit = F.col("id").isNotNull() & F.col("label").isNotNull() & finite & ((most > 0) | (least < 0))
+    return base.select("id", "label", F.when(fit, F.transform("v", lambda x: x + F.lit(0.0).cast(one))).alias("v"))
 
 
 def _units(v: pd.Series) -> np.ndarray:
@@ -221,8 +190,19 @@ def _units(v: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def centres_of(classes: DataFrame, shard: int = SHARD, most: int = MAX_CENTRES) -> dict[tuple[str, int], np.ndarray]:
-    """Centres by label and length of the vectors: a hash sample of the classes, one for ``unit`` of them.
+def _apart(centres: np.ndarray, least: float) -> np.ndarray:
+    """Centres in order, without those whose cosine to an earlier one that stays is ``least`` or more. Linked vectors then have nearly the same nearest centres."""
+    kept = np.empty_like(centres)
+    n = 0
+    for c in centres:
+        if not n or (kept[:n] @ c).max() < least:
+            kept[n] = c
+            n += 1
+    return kept[:n]
+
+
+def centres_of(classes: DataFrame, shard: int = SHARD, most: int = MAX_CENTRES, least: float = LEAST_COSINE) -> dict[tuple[str, int], np.ndarray]:
+    """Centres by label and length of the vectors: a hash sample of the classes, one for ``unit`` of them, less those near to others.
 
     ``unit`` is ``shard``, and more if there would be over ``most`` centres. Labels of up to ``unit`` classes need none, so
     that about twice ``most`` vectors come to the driver at most, whatever the number of labels and rows.
@@ -232,14 +212,14 @@ def centres_of(classes: DataFrame, shard: int = SHARD, most: int = MAX_CENTRES)
     sized = classes.withColumn("dims", F.size("v"))
     large = sized.groupBy("label", "dims").agg(F.count("*").alias("of"), F.min(F.xxhash64("id")).alias("first")).where(F.col("of") > unit)
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit((1 << 40) // unit)
-    rows = sized.join(large, ["label", "dims"]).where(drawn | (F.xxhash64("id") == F.col("first"))).select("label", "v").toPandas()
+    rows = sized.join(large, ["label", "dims"]).where(drawn | (F.xxhash64("id") == F.col("first"))).select("id", "label", "v").toPandas().sort_values("id")
     if rows.empty:
         return {}
-    return {(label, int(dims)): _units(part["v"]) for (label, dims), part in rows.groupby([rows["label"], rows["v"].map(len)])}
+    return {(label, int(dims)): _apart(_units(part["v"]), least) for (label, dims), part in rows.groupby([rows["label"], rows["v"].map(len)])}
 
 
 def assign(classes: DataFrame, centres: dict, overlap: int) -> DataFrame:
-    """A row for each class and shard: shard, id, n, v, shards (all of the class, nearest first). A label without centres is one shard."""
+    """id and shard, a row for each class and shard of it. A label without centres is one shard."""
     sent = classes.sparkSession.sparkContext.broadcast(centres)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,18 +228,16 @@ def assign(classes: DataFrame, centres: dict, overlap: int) -> DataFrame:
                 continue
             for (label, dims), part in rows.groupby([rows["label"], rows["v"].map(len)]):
                 c = sent.value.get((label, int(dims)), np.zeros((1, dims)))
-                cos = _units(part["v"]) @ c.T
                 k = min(overlap, len(c))
-                best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-                names = [[f"{label}/{dims}/{i}" for i in b] for b in best.tolist()]
-                yield part.assign(shards=names)[["id", "n", "v", "shards"]]
+                best = np.argsort(-(_units(part["v"]) @ c.T), axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), k), "shard": [f"{label}/{dims}/{i}" for i in best.ravel().tolist()]})
 
-    kinds = T.StructType([classes.schema["id"], classes.schema["n"], classes.schema["v"], T.StructField("shards", T.ArrayType(T.StringType()))])
-    return classes.select("id", "n", "label", "v").mapInPandas(near, kinds).withColumn("shard", F.explode("shards")).select("shard", "id", "n", "v")
+    kinds = T.StructType([classes.schema["id"], T.StructField("shard", T.StringType())])
+    return classes.select("id", "label", "v").mapInPandas(near, kinds)
 
 
-def refine(placed: DataFrame, overlap: int, largest: int | None = None, most: int | None = None) -> DataFrame:
-    """``placed`` (shard, id, n, v) with each shard of over ``largest`` dealt again, by centres that are drawn from it.
+def refine(placed: DataFrame, classes: DataFrame, overlap: int, least: float = LEAST_COSINE, largest: int | None = None, most: int | None = None) -> DataFrame:
+    """``placed`` (id, shard) with each shard of over ``largest`` dealt again, by centres that are drawn from it.
 
     A large shard is dealt by several tasks, each of about ``DEALT`` of its rows and all of its centres, ``most`` at most.
     """
@@ -267,133 +245,111 @@ def refine(placed: DataFrame, overlap: int, largest: int | None = None, most: in
     big = placed.groupBy("shard").agg(F.count("*").alias("of")).where(F.col("of") > largest).checkpoint()
     if big.isEmpty():
         return placed
-    rows = placed.join(big, "shard").withColumn("tasks", F.ceil(F.col("of") / DEALT).cast("int"))
+    rows = placed.join(big, "shard").join(classes.select("id", "v"), "id").withColumn("tasks", F.ceil(F.col("of") / DEALT).cast("int"))
     unit = F.greatest(F.least(F.lit(SHARD), F.floor(F.col("of") / 8)), F.ceil(F.col("of") / most)).cast("long")
     drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), unit) == 0).select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "id", "v").toDF("of_shard", "of_task", "at", "v")
-    dealt = rows.select("shard", F.pmod(F.xxhash64("id", F.lit(6)), F.col("tasks")).cast("int").alias("task"), "id", "n", "v")
+    dealt = rows.select("shard", F.pmod(F.xxhash64("id", F.lit(6)), F.col("tasks")).cast("int").alias("task"), "id", "v")
 
     def deal(own: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
-            return own[["shard", "id", "n", "v"]]
+            return own[["id", "shard"]]
         if centres.empty:
-            return own.assign(shard=own["shard"] + "|0")[["shard", "id", "n", "v"]]
-        c = _units(centres.sort_values("at")["v"])
+            return own.assign(shard=own["shard"] + "|0")[["id", "shard"]]
+        c = _apart(_units(centres.sort_values("at")["v"]), least)
         best = np.concatenate([np.argsort(-(_units(own["v"].iloc[k : k + AT_ONCE]) @ c.T), axis=1, kind="stable")[:, :overlap] for k in range(0, len(own), AT_ONCE)])
         at = np.repeat(np.arange(len(own)), best.shape[1])
-        names = own["shard"].to_numpy()[at] + "|" + best.ravel().astype(str)
-        return own[["id", "n", "v"]].iloc[at].assign(shard=names)[["shard", "id", "n", "v"]]
+        return pd.DataFrame({"id": own["id"].to_numpy()[at], "shard": own["shard"].to_numpy()[at] + "|" + best.ravel().astype(str)})
 
-    again = dealt.groupBy("shard", "task").cogroup(drawn.groupBy("of_shard", "of_task")).applyInPandas(deal, placed.select("shard", "id", "n", "v").schema)
-    return placed.join(big, "shard", "left_anti").select("shard", "id", "n", "v").union(again).checkpoint()
+    again = dealt.groupBy("shard", "task").cogroup(drawn.groupBy("of_shard", "of_task")).applyInPandas(deal, placed.select("id", "shard").schema)
+    return placed.join(big, "shard", "left_anti").select("id", "shard").union(again).checkpoint()
 
 
 def split(placed: DataFrame, largest: int | None = None) -> DataFrame:
-    """``placed`` (shard, id, n, v) with shards of over ``largest`` cut into blocks, each two of which are a shard; and ``shards``, all of the class."""
+    """``placed`` (id, shard) with shards of over ``largest`` cut into blocks, each two of which are a shard; and ``shards``, all of the class."""
     largest = LARGEST if largest is None else largest
     sizes = placed.groupBy("shard").agg(F.count("*").alias("of"))
     blocks = F.when(F.col("of") > largest, F.ceil(2 * F.col("of") / largest)).otherwise(1).cast("int")
     cut = placed.join(sizes, "shard").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (F.col("blocks") == 1) | (b != F.col("own")))
     name = lambda b: F.when(F.col("blocks") == 1, F.col("shard")).otherwise(F.concat_ws("/", "shard", F.least("own", b).cast("string"), F.greatest("own", b).cast("string")))
-    each = cut.select("id", "n", "v", F.transform(others, name).alias("names"))
-    all_of = each.groupBy("id").agg(F.flatten(F.collect_list("names")).alias("shards"))
-    return each.join(all_of, "id").select("id", "n", "v", "shards", F.explode("names").alias("shard"))
-
+    all_of = cut.select("id", F.transform(others, name).alias("names")).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("shards"))
+    return all_of.select("id", "shards", F.explode("shards").alias("shard"))
 
-def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("id", ignore_index=True)
-    graph = build(_units(rows["v"]).astype(np.float32))
-    ids = rows["id"].to_numpy()
-    return pd.DataFrame({"id": ids, "near": [ids[g[g >= 0]].tolist() for g in graph]})
 
-
-def _search_shard(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links in a shard: per member the partners' rows that it meets here only, and one partner to hang on; besides, the pairs that
-    other shards may find, too, with the rows of both.
-    """
-    rows = rows.sort_values("id", ignore_index=True)
+def _linked_in(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Ids of a shard's members that a search in its graph finds a link of; both of the link."""
     exact = _units(rows["v"])
     x = exact.astype(np.float32)
-    most = 2 - 2 * least + 1e-4
-    place = {i: k for k, i in enumerate(rows["id"].tolist())}
-    lists = [[place[j] for j in near if j in place] for near in rows["near"]]
-    graph = np.full((len(rows), max(1, max(map(len, lists)))), -1)
-    for k, near in enumerate(lists):
-        graph[k, : len(near)] = near
-    found = range_search(x, graph, most)
-    shards, n, ids = [set(s) for s in rows["shards"]], rows["n"].to_numpy(), rows["id"].to_numpy()
-    parent = list(range(len(rows)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    partners = [0] * len(rows)
-    shared: list[np.ndarray] = []
-    one = np.repeat(np.arange(len(rows)), [len(js) for js in found])
-    two = np.concatenate(found)
-    code = np.unique(np.minimum(one, two)[one != two] * len(rows) + np.maximum(one, two)[one != two])
-    for k in range(0, len(code), 1 << 16):
-        i, j = np.divmod(code[k : k + (1 << 16)], len(rows))
+    found = range_search(x, build(x), 2 - 2 * least + 1e-4)
+    one, two = np.repeat(np.arange(len(rows)), [len(js) for js in found]), np.concatenate(found)
+    one, two = one[one != two], two[one != two]
+    linked = np.zeros(len(rows), bool)
+    for k in range(0, len(one), 1 << 16):
+        i, j = one[k : k + (1 << 16)], two[k : k + (1 << 16)]
+        left = ~(linked[i] & linked[j])
+        i, j = i[left], j[left]
         ok = np.einsum("nd,nd->n", exact[i], exact[j]) >= least
-        again = []
-        for i, j in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-            a, b = root(i), root(j)
-            parent[max(a, b)] = min(a, b)
-            if len(shards[i] & shards[j]) == 1:
-                partners[i] += int(n[j])
-                partners[j] += int(n[i])
-            else:
-                again.append((i, j))
-        shared.append(np.array(again, np.int64).reshape(-1, 2))
-    hang = [ids[root(i)] for i in range(len(rows))]
-    out = pd.DataFrame({"id": ids, "links": partners, "hub": hang})
-    out = out[(out["links"] > 0) | (out["id"] != out["hub"])].assign(other=None, other_links=None)
-    i, j = np.concatenate([np.zeros((0, 2), np.int64), *shared]).T
-    pairs = pd.DataFrame({"id": ids[i], "links": n[j], "hub": ids[i], "other": ids[j], "other_links": n[i]})
-    return pairs if out.empty else out if pairs.empty else pd.concat([out.astype({"other": object, "other_links": object}), pairs.astype({"other": object, "other_links": object})], ignore_index=True)
-
-
-def _counted(shards: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """id, links, hub of the links in ``shards``; pairs that several shards find count once."""
-    kind = classes.schema["id"].dataType
-    kinds = T.StructType([classes.schema["id"], T.StructField("links", T.LongType()), T.StructField("hub", kind), T.StructField("other", kind), T.StructField("other_links", T.LongType())])
-    found = shards.groupBy("shard").applyInPandas(lambda rows: _search_shard(rows, least), kinds).checkpoint()
-    pairs = found.where("other is not null").select("id", "other", "links", "other_links").distinct()
-    both = F.explode(F.array(F.struct("id", "links"), F.struct(F.col("other").alias("id"), F.col("other_links").alias("links"))))
-    return found.where("other is null").select("id", "links", "hub").union(pairs.select(both.alias("p")).select("p.id", "p.links", F.col("p.id")))
+        linked[i[ok]] = linked[j[ok]] = True
+    return rows.loc[linked, ["id"]]
+
+
+def _links(hit: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """Of a matrix of links: per member that has any the rows in range, and one member that these links reach."""
+    some = np.flatnonzero(hit.any(1))
+    hit, ids, n = hit[np.ix_(some, some)], ids[some], n[some]
+    part = np.arange(len(ids), dtype=np.int32)
+    links = np.zeros(len(ids), np.int64)
+    for k in range(0, len(ids), AT_ONCE):
+        links[k : k + AT_ONCE] = np.where(hit[k : k + AT_ONCE], n[None, :], 0).sum(1)
+    while len(part):
+        least_of = np.concatenate([np.where(hit[k : k + AT_ONCE], part[None, :], len(part)).min(1) for k in range(0, len(part), AT_ONCE)]).astype(np.int32)
+        new = np.minimum(part, least_of)
+        new = new[new]
+        if (new == part).all():
+            break
+        part = new
+    return pd.DataFrame({"id": ids, "links": links, "hub": ids[part]})
+
+
+def _count_shard(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links among the members given; a pair that a shard earlier by name has, too, counts there."""
+    x, own = _units(rows["v"]), rows["shard"].iloc[0]
+    hit = x @ x.T >= least
+    np.fill_diagonal(hit, False)
+    at = np.repeat(np.arange(len(rows)), rows["shards"].map(len))
+    names = np.concatenate(rows["shards"].to_numpy())
+    for both in pd.Series(at[names < own]).groupby(names[names < own]).indices.values():
+        if len(both) > 1:
+            there = at[names < own][both]
+            hit[np.ix_(there, there)] = False
+    return _links(hit, rows["id"].to_numpy(), rows["n"].to_numpy().astype(np.int64))
+
+
+def _found_kinds(classes: DataFrame) -> T.StructType:
+    return T.StructType([classes.schema["id"], T.StructField("links", T.LongType()), T.StructField("hub", classes.schema["id"].dataType)])
 
 
 def search(classes: DataFrame, overlap: int, least: float = LEAST_COSINE) -> DataFrame:
     """id, links (rows in linked classes), hub (a class of the same component): several rows for one id, links to be summed."""
-    placed = split(refine(assign(classes, centres_of(classes), overlap).checkpoint(), overlap)).checkpoint()
-    edges = placed.groupBy("shard").applyInPandas(lambda rows: _build_shard(rows), T.StructType([classes.schema["id"], T.StructField("near", T.ArrayType(T.LongType()))]))
-    graph = edges.select("id", F.explode("near").alias("one")).groupBy("id").agg(F.array_sort(F.collect_set("one")).alias("near"))
-    full = placed.join(graph, "id", "left").select("shard", "id", "v", "n", "shards", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
-    return _counted(full, classes, least)
+    placed = split(refine(assign(classes, centres_of(classes, least=least), overlap).checkpoint(), classes, overlap, least)).checkpoint()
+    members = placed.select("id", "shard").join(classes.select("id", "v"), "id").groupBy("shard")
+    linked = members.applyInPandas(lambda rows: _linked_in(rows, least), T.StructType([classes.schema["id"]])).distinct().checkpoint()
+    again = placed.join(linked, "id", "left_semi").join(classes.select("id", "n", "v").join(linked, "id", "left_semi"), "id")
+    return again.groupBy("shard").applyInPandas(lambda rows: _count_shard(rows, least), _found_kinds(classes))
 
 
 def _compare_blocks(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links between two blocks, or within one: per member the rows in range, and the least member that these links reach. No pair is listed."""
-    rows = rows.sort_values("id", ignore_index=True)
-    x, own = _units(rows["v"]), rows["block"].to_numpy()
-    hit = x @ x.T >= least
-    if (own != own[0]).any():
-        hit &= own[:, None] != own[None, :]
-    np.fill_diagonal(hit, False)
-    part = np.arange(len(rows), dtype=np.int32)
-    while True:
-        least_of = np.concatenate([np.where(hit[k : k + AT_ONCE], part[None, :], len(part)).min(1) for k in range(0, len(part), AT_ONCE)]).astype(np.int32)
-        new = np.minimum(part, least_of)
-        new = new[new]
-        if (new == part).all():
-            break
-        part = new
-    ids = rows["id"].to_numpy()
-    out = pd.DataFrame({"id": ids, "links": hit @ rows["n"].to_numpy().astype(np.int64), "hub": ids[part]})
-    return out[out["links"] > 0]
+    """Links between two blocks, or within one. No pair is listed."""
+    rows = rows.sort_values("block", ignore_index=True)
+    x, first = _units(rows["v"]), int((rows["block"] == rows["block"].iloc[0]).sum())
+    hit = np.zeros((len(rows), len(rows)), bool)
+    if rows["block"].iloc[0] == rows["other"].iloc[0]:
+        hit = x @ x.T >= least
+        np.fill_diagonal(hit, False)
+    else:
+        hit[:first, first:] = x[:first] @ x[first:].T >= least
+        hit[first:, :first] = hit[:first, first:].T
+    return _links(hit, rows["id"].to_numpy(), rows["n"].to_numpy().astype(np.int64))
 
 
 def compare_all(classes: DataFrame, least: float = LEAST_COSINE, largest: int | None = None) -> DataFrame:
@@ -404,9 +360,8 @@ def compare_all(classes: DataFrame, least: float = LEAST_COSINE, largest: int |
     cut = named.join(sizes, "shard").withColumn("blocks", F.ceil(2 * F.col("of") / largest).cast("int"))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    each = cut.withColumn("other", other).select(F.concat_ws("/", "shard", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")).alias("shard"), "block", "id", "n", "v")
-    kinds = T.StructType([classes.schema["id"], T.StructField("links", T.LongType()), T.StructField("hub", classes.schema["id"].dataType)])
-    return each.groupBy("shard").applyInPandas(lambda rows: _compare_blocks(rows, least), kinds)
+    each = cut.withColumn("other", other).select(F.concat_ws("/", "shard", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")).alias("shard"), "block", "other", "id", "n", "v")
+    return each.groupBy("shard").applyInPandas(lambda rows: _compare_blocks(rows, least), _found_kinds(classes))
 
 
 def truth(classes: DataFrame, least: float = LEAST_COSINE, queries: int = AUDIT) -> DataFrame:
@@ -451,14 +406,15 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     each other count. Ids are taken to be unique; a repeated id counts as another vector.
     """
     prepare(vectors.sparkSession)
-    rows = keyed(vectors, vec_id, embedding, label)
-    classes = rows.where("key is not null").groupBy("label", "key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")).checkpoint()
+    rows = fitted(vectors, vec_id, embedding, label)
+    classes = rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")).checkpoint()
     there = truth(classes, least)
     sizes = classes.groupBy("label").agg(F.count("*").alias("of")).where(F.col("of") > 2 * SHARD)
     dense = there.groupBy("label").agg(F.avg("partners").alias("partners")).join(sizes, "label").where(F.col("partners") >= DENSE * F.col("of")).select("label").checkpoint()
-    rest, there = classes.join(dense, "label", "left_anti").select(classes.columns).checkpoint(), there.join(dense, "label", "left_anti")
-    by_blocks = compare_all(classes.join(dense, "label", "left_semi").select(classes.columns), least)
-    parts_found, overlap = [by_blocks], OVERLAP
+    rest, parts_found, overlap = classes, [], OVERLAP
+    if not dense.isEmpty():
+        rest, there = classes.join(dense, "label", "left_anti").select(classes.columns).checkpoint(), there.join(dense, "label", "left_anti")
+        parts_found.append(compare_all(classes.join(dense, "label", "left_semi").select(classes.columns), least))
     while True:
         found = search(rest, overlap, least).checkpoint()
         again = missed(there, found).checkpoint()
@@ -476,10 +432,16 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     found = reduce(DataFrame.union, parts_found).checkpoint()
     parts = connect(found.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")), "a", "b")
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = classes.join(counted, "id", "left").join(parts, "id", "left").select("label", "key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", F.col("id")).alias("component"))
-    both = rows.select("id", "label", "key").join(named, ["label", "key"], "left")
-    component = F.coalesce("component", F.col("id")).cast("long")
-    return both.select(F.col("id").alias(vec_id), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    linked = counted.join(parts, "id", "left").select(F.col("id").alias("class"), "links", "component")
+    copies = classes.where("n > 1").select("label", "v", F.col("id").alias("class"), "n")
+    if copies.isEmpty():
+        of_class = rows.select("id", F.expr("if(v is null, null, id)").alias("class"), F.lit(1).alias("n"))
+    else:
+        of_class = rows.join(copies, ["label", "v"], "left").select("id", F.expr("if(v is null, null, coalesce(class, id))").alias("class"), F.coalesce("n", F.lit(1)).alias("n"))
+    both = of_class.join(linked, "class", "left")
+    component = F.coalesce("component", "class", "id").cast("long")
+    links = (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long")
+    return both.select(F.col("id").alias(vec_id), links.alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op10_embedding_graph(spark, sf_dir: str) -> DataFrame:

@@ -859,3 +859,28 @@ def test_recall_of_one_label_with_many_centres(spark, monkeypatch, vectors_):
     rows = vectors.near_duplicates(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>, label int")).collect()
     assert searched[0] == (n if groups > 1 else 0)
     assert 0.98 * there <= sum(x["n_links"] for x in rows) <= there
+
+
+def test_a_group_of_near_copies_is_neither_listed_nor_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 20)
+    r = np.random.default_rng(13)
+    v = np.concatenate([r.normal(size=24) + 0.1 * r.normal(size=(150, 24)), r.normal(size=(450, 24))])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & ~np.eye(600, dtype=bool)
+    assert near[:150, :150].sum() == 150 * 149 and near.sum() < 150 * 149 + 50
+    classes = spark.createDataFrame([(i, "1", x.tolist(), 1) for i, x in enumerate(v)], "id bigint, label string, v array<double>, n bigint").cache()
+    found = vectors.search(classes, 3).collect()
+    assert len(found) <= 3 * 600
+    links = Counter()
+    for x in found:
+        links[x["id"]] += x["links"]
+    assert all(links[i] == near[i].sum() for i in range(150)) and sum(links.values()) >= 0.98 * near.sum()
+
+
+def test_blocks_without_rows_count_nothing_twice(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LARGEST", 2)
+    classes = spark.createDataFrame([(i, "1", [1.0, 0.01 * i], 1) for i in range(6)], "id bigint, label string, v array<double>, n bigint")
+    links = Counter()
+    for x in vectors.compare_all(classes).collect():
+        links[x["id"]] += x["links"]
+    assert links == {i: 5 for i in range(6)}
