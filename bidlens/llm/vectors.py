@@ -191,14 +191,14 @@ def _units(v: pd.Series) -> np.ndarray:
 
 
 def _apart(centres: np.ndarray, least: float) -> np.ndarray:
-    """Centres in order, without those whose cosine to an earlier one that stays is ``least`` or more. Linked vectors then have nearly the same nearest centres."""
-    kept = np.empty_like(centres)
-    n = 0
-    for c in centres:
-        if not n or (kept[:n] @ c).max() < least:
-            kept[n] = c
-            n += 1
-    return kept[:n]
+    """Places of the centres, without those whose cosine to an earlier one that stays is ``least`` or more. Linked vectors then have nearly the same nearest centres."""
+    kept: list[int] = []
+    held = np.empty_like(centres)
+    for k, c in enumerate(centres):
+        if not kept or (held[: len(kept)] @ c).max() < least:
+            held[len(kept)] = c
+            kept.append(k)
+    return np.array(kept, np.int64)
 
 
 def centres_of(classes: DataFrame, shard: int = SHARD, most: int = MAX_CENTRES, least: float = LEAST_COSINE) -> dict[tuple[str, int], np.ndarray]:
@@ -215,7 +215,8 @@ def centres_of(classes: DataFrame, shard: int = SHARD, most: int = MAX_CENTRES,
     rows = sized.join(large, ["label", "dims"]).where(drawn | (F.xxhash64("id") == F.col("first"))).select("id", "label", "v").toPandas().sort_values("id")
     if rows.empty:
         return {}
-    return {(label, int(dims)): _apart(_units(part["v"]), least) for (label, dims), part in rows.groupby([rows["label"], rows["v"].map(len)])}
+    every = {(label, int(dims)): _units(part["v"]) for (label, dims), part in rows.groupby([rows["label"], rows["v"].map(len)])}
+    return {k: c[_apart(c, least)] for k, c in every.items()}
 
 
 def assign(classes: DataFrame, centres: dict, overlap: int) -> DataFrame:
@@ -230,7 +231,7 @@ def assign(classes: DataFrame, centres: dict, overlap: int) -> DataFrame:
                 c = sent.value.get((label, int(dims)), np.zeros((1, dims)))
                 k = min(overlap, len(c))
                 best = np.argsort(-(_units(part["v"]) @ c.T), axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), k), "shard": [f"{label}/{dims}/{i}" for i in best.ravel().tolist()]})
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), k), "shard": [f"{len(label)}:{label}/{dims}/{i}" for i in best.ravel().tolist()]})
 
     kinds = T.StructType([classes.schema["id"], T.StructField("shard", T.StringType())])
     return classes.select("id", "label", "v").mapInPandas(near, kinds)
@@ -239,7 +240,9 @@ def assign(classes: DataFrame, centres: dict, overlap: int) -> DataFrame:
 def refine(placed: DataFrame, classes: DataFrame, overlap: int, least: float = LEAST_COSINE, largest: int | None = None, most: int | None = None) -> DataFrame:
     """``placed`` (id, shard) with each shard of over ``largest`` dealt again, by centres that are drawn from it.
 
-    A large shard is dealt by several tasks, each of about ``DEALT`` of its rows and all of its centres, ``most`` at most.
+    A large shard is dealt by several tasks, each of about ``DEALT`` of its rows and all of its centres, ``most`` at most. A
+    centre has one shard, whichever large shards it and its members are in, and of the centres of all large shards that a
+    class is in its nearest ``overlap`` count, so that classes aren't dealt ``overlap`` times ``overlap`` times.
     """
     largest, most = LARGEST if largest is None else largest, MAX_CENTRES if most is None else most
     big = placed.groupBy("shard").agg(F.count("*").alias("of")).where(F.col("of") > largest).checkpoint()
@@ -252,16 +255,25 @@ def refine(placed: DataFrame, classes: DataFrame, overlap: int, least: float = L
 
     def deal(own: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
-            return own[["id", "shard"]]
+            return own.assign(cos=0.0)[["id", "shard", "cos"]]
         if centres.empty:
-            return own.assign(shard=own["shard"] + "|0")[["id", "shard"]]
-        c = _apart(_units(centres.sort_values("at")["v"]), least)
-        best = np.concatenate([np.argsort(-(_units(own["v"].iloc[k : k + AT_ONCE]) @ c.T), axis=1, kind="stable")[:, :overlap] for k in range(0, len(own), AT_ONCE)])
-        at = np.repeat(np.arange(len(own)), best.shape[1])
-        return pd.DataFrame({"id": own["id"].to_numpy()[at], "shard": own["shard"].to_numpy()[at] + "|" + best.ravel().astype(str)})
-
-    again = dealt.groupBy("shard", "task").cogroup(drawn.groupBy("of_shard", "of_task")).applyInPandas(deal, placed.select("id", "shard").schema)
-    return placed.join(big, "shard", "left_anti").select("id", "shard").union(again).checkpoint()
+            return own.assign(shard=own["shard"] + "|0", cos=1.0)[["id", "shard", "cos"]]
+        centres = centres.sort_values("at")
+        c = _units(centres["v"])
+        kept = _apart(c, least)
+        c, names = c[kept], own["shard"].iloc[0].rpartition("/")[0] + "|" + centres["at"].to_numpy()[kept].astype(str).astype(object)
+        out = []
+        for k in range(0, len(own), AT_ONCE):
+            cos = _units(own["v"].iloc[k : k + AT_ONCE]) @ c.T
+            best = np.argsort(-cos, axis=1, kind="stable")[:, :overlap]
+            out.append(pd.DataFrame({"id": np.repeat(own["id"].to_numpy()[k : k + AT_ONCE], best.shape[1]), "shard": names[best.ravel()], "cos": np.take_along_axis(cos, best, 1).ravel()}))
+        return pd.concat(out, ignore_index=True)
+
+    kinds = T.StructType([*placed.select("id", "shard").schema, T.StructField("cos", T.DoubleType())])
+    again = dealt.groupBy("shard", "task").cogroup(drawn.groupBy("of_shard", "of_task")).applyInPandas(deal, kinds)
+    nearest = F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("far"), "shard")))
+    again = again.repartition("id").groupBy("id", "shard").agg(F.max("cos").alias("cos")).groupBy("id").agg(F.slice(nearest, 1, overlap)["shard"].alias("shards"))
+    return placed.join(big, "shard", "left_anti").select("id", "shard").union(again.select("id", F.explode("shards"))).checkpoint()
 
 
 def split(placed: DataFrame, largest: int | None = None) -> DataFrame:

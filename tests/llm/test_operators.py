@@ -884,3 +884,19 @@ def test_blocks_without_rows_count_nothing_twice(spark, monkeypatch):
     for x in vectors.compare_all(classes).collect():
         links[x["id"]] += x["links"]
     assert links == {i: 5 for i in range(6)}
+
+
+def test_large_shards_are_dealt_again_without_more_copies(spark, monkeypatch):
+    for name, n in (("SHARD", 12), ("MAX_CENTRES", 12), ("LARGEST", 90)):
+        monkeypatch.setattr(vectors, name, n)
+    centres, split, placed = vectors.centres_of, vectors.split, []
+    monkeypatch.setattr(vectors, "centres_of", lambda classes, **k: centres(classes, 12, 12, **k))
+    monkeypatch.setattr(vectors, "split", lambda p, *a: placed.append(p.groupBy("shard").count().collect()) or split(p, *a))
+    r = np.random.default_rng(14)
+    v = r.normal(size=(250, 24))[r.integers(0, 250, 1_500)] + 0.15 * r.normal(size=(1_500, 24))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    there = (u @ u.T >= 0.93).sum() - 1_500
+    classes = spark.createDataFrame([(i, "1", x.tolist(), 1) for i, x in enumerate(v)], "id bigint, label string, v array<double>, n bigint").cache()
+    links = vectors.search(classes, 3).agg({"links": "sum"}).first()[0]
+    assert len(placed[0]) > 60 and sum(x["count"] for x in placed[0]) <= 3 * 1_500
+    assert 0.98 * there <= links <= there
